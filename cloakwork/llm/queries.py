@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.decontaminate import contamination
 from cloakwork.llm.exact_dedup import DigestIndex
+from cloakwork.llm.html_text import extraction
+from cloakwork.llm.licences import scan
 from cloakwork.llm.pieces import encode
 from cloakwork.llm.shared import table
 from cloakwork.llm.simhash import near_duplicates
+from cloakwork.llm.substring_dedup import without_repeats
+from cloakwork.llm.token_counts import token_counts
 from cloakwork.llm.toxicity import held_out, toxicity
+from cloakwork.llm.url_filters import captures_of, entries_of, evaluate
 
 
 def tokenizer(name: str) -> str:
@@ -48,11 +53,38 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return evaluate(captures_of(pages), entries_of(pages)).select(F.col("capture_id").alias("page_id"), "url", "blocked", "n_active", "pattern", "category")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction(table(spark, sf_dir, "pages"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_decontaminate, op4_sentencepiece, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_exact_dedup, op3_decontaminate, op4_sentencepiece, op5_url_filters,
+        op6_html_extraction, op7_licence_scan, op8_token_counts, op9_substring_dedup, op10_simhash,
+    )
+}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -62,4 +94,26 @@ ORACLES = {
             SELECT doc_id, h, count(*) OVER (PARTITION BY h) AS n,
                    first_value(doc_id) OVER (PARTITION BY h ORDER BY length(t) DESC, doc_id) AS keep_id FROM d)
         SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM r""",
+    "op5_url_filters": r"""
+        WITH p AS (
+            SELECT page_id, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '.') AS h,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path,
+                   CAST(to_timestamp(1704067200 + ((page_id * 97) % (366 * 1440)) * 60) AT TIME ZONE 'UTC' AS DATE) AS day FROM pages),
+        m AS (
+            SELECT page_id, regexp_replace(h, '^[^.]+\.([^.]+\.[^.]+\.)', '\1') AS pattern, CASE WHEN page_id % 2 = 0 THEN 'ads' ELSE 'malware' END AS category FROM p WHERE page_id % 7 = 0
+            UNION ALL SELECT page_id, h || regexp_extract(path, '^(/[^/]*/?)', 1), 'adult' FROM p WHERE page_id % 11 = 0),
+        log AS (
+            SELECT lower(pattern) AS pattern, category, DATE '2024-01-01' + CAST((page_id * 13) % 366 AS INT) AS day, 0 AS removed FROM m
+            UNION ALL SELECT lower(pattern), category, DATE '2024-01-01' + CAST((page_id * 29) % 366 AS INT), 1 FROM m),
+        daily AS (SELECT pattern, category, day, max(removed) AS removed FROM log GROUP BY ALL),
+        v AS (SELECT *, lead(day) OVER (PARTITION BY pattern, category ORDER BY day) AS until FROM daily),
+        k AS (
+            SELECT DISTINCT page_id, url, day, unnest(list_distinct(list_concat(
+                list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: array_to_string(string_split(h, '.')[i:], '.')),
+                list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: h || array_to_string(string_split(path, '/')[1:i], '/') || '/'),
+                [h || path]))) AS pattern FROM p),
+        hit AS (
+            SELECT k.page_id, k.url, k.pattern, v.category FROM k JOIN v ON v.pattern = k.pattern AND v.removed = 0 AND v.day <= k.day AND (v.until IS NULL OR k.day < v.until)),
+        r AS (SELECT *, count(*) OVER (PARTITION BY page_id, url) AS n, row_number() OVER (PARTITION BY page_id, url ORDER BY length(pattern) DESC, pattern DESC, category) AS i FROM hit)
+        SELECT p.page_id, p.url, r.n IS NOT NULL AS blocked, coalesce(r.n, 0) AS n_active, r.pattern, r.category FROM p LEFT JOIN r ON r.page_id = p.page_id AND r.url = p.url AND r.i = 1""",
 }
