@@ -1,4 +1,621 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and the SQL that must give the same rows.
 
-QUERIES = {}
-ORACLES = {}
+SQL engines without lookaround restate a pattern as maximal runs and check the
+neighbours by position. Where SQL can't say it, a query has no SQL and tests hold
+it against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakwork.functions import fixed
+from cloakwork.functions import validators as V
+from cloakwork.functions.positions import matches, splice
+from cloakwork.operators import audit, evaluate, mask, merge, policy, residual, scan, texts
+from cloakwork.operators.recognizers import Config, registry
+from cloakwork.sources import files, requests
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+KEY = b"a key for tests: another is given"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_spans(pattern: str, source: str = "documents", key: str = "doc_id", text: str = "text", guard: str | None = None) -> str:
+    """SQL for (key, start, end, value) of a pattern's matches, by the lengths of matches and gaps."""
+    p = _quoted(pattern)
+    return f"""
+        (SELECT k, s AS "start", s + length(v) AS "end", v AS value FROM (
+            SELECT {key} AS k, h[i] AS v,
+                   (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0))::INT AS s
+            FROM (SELECT {key}, h, g, unnest(range(1, len(h) + 1)) AS i FROM (
+                SELECT {key}, regexp_extract_all({text}, {p}) AS h, string_split_regex({text}, {p}) AS g FROM {source} WHERE regexp_matches({text}, {p})))))"""
+
+
+def span_rows(df: DataFrame, key: str, pattern: str, text: str = "text", group: int = 0) -> DataFrame:
+    one = df.select(key, F.explode(matches(F.col(text), pattern, group)).alias("m"))
+    return one.select(key, "m.start", "m.end", "m.value")
+
+
+# ---------------------------------------------------------------- positions and validators
+DIGITS = sql_spans(r"[0-9]+")
+LUHN = "(list_sum(list_transform(range(0, length(value)), lambda i: CASE WHEN i % 2 = 0 THEN substr(value, length(value) - i, 1)::INT ELSE [0,2,4,6,8,1,3,5,7,9][substr(value, length(value) - i, 1)::INT + 1] END)) % 10 = 0)"
+
+
+@query(f'SELECT k AS doc_id, "start", "end", value FROM {DIGITS} WHERE length(value) BETWEEN 13 AND 19')
+def digit_run_spans(spark, d):
+    return span_rows(table(spark, d, "documents"), "doc_id", r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+
+
+@query(f'SELECT k AS doc_id, "start", "end", value, {LUHN} AS luhn FROM {DIGITS} WHERE length(value) BETWEEN 13 AND 19')
+def luhn_digit_runs(spark, d):
+    return digit_run_spans(spark, d).withColumn("luhn", V.luhn(F.col("value")))
+
+
+BRAND = """CASE WHEN value[1] = '4' AND n IN (13, 16, 19) THEN 'visa' WHEN n = 16 AND (p2 BETWEEN 51 AND 55 OR p4 BETWEEN 2221 AND 2720) THEN 'mastercard'
+    WHEN n = 15 AND p2 IN (34, 37) THEN 'amex' WHEN n BETWEEN 16 AND 19 AND (p4 = 6011 OR p2 = 65 OR p3 BETWEEN 644 AND 649 OR p6 BETWEEN 622126 AND 622925) THEN 'discover'
+    WHEN n BETWEEN 14 AND 19 AND (p3 BETWEEN 300 AND 305 OR p3 = 309 OR p2 IN (36, 38, 39)) THEN 'diners' WHEN n BETWEEN 16 AND 19 AND p4 BETWEEN 3528 AND 3589 THEN 'jcb'
+    WHEN n BETWEEN 16 AND 19 AND p2 = 62 THEN 'unionpay' END"""
+
+
+@query(
+    f"""SELECT brand, count(*) AS n FROM (SELECT {BRAND} AS brand FROM (SELECT value, length(value) AS n, value[1:2]::INT AS p2, value[1:3]::INT AS p3, value[1:4]::INT AS p4, value[1:6]::INT AS p6
+        FROM {DIGITS} WHERE length(value) BETWEEN 13 AND 19)) GROUP BY brand"""
+)
+def card_brand_counts(spark, d):
+    return digit_run_spans(spark, d).groupBy(V.card_brand(F.col("value")).alias("brand")).agg(F.count("*").alias("n"))
+
+
+IPV4_TOKEN = r"[0-9A-Za-z_.À-ÖØ-öø-ÿ]+"
+IPV4_SHAPE = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.?$"
+IPV4_SQL = f"""(SELECT k, "start", "start" + length(rtrim(value, '.')) AS "end", rtrim(value, '.') AS value FROM {sql_spans(IPV4_TOKEN)} WHERE regexp_matches(value, '{IPV4_SHAPE}'))"""
+IPV4_N = "(split_part(value, '.', 1)::BIGINT * 16777216 + split_part(value, '.', 2)::BIGINT * 65536 + split_part(value, '.', 3)::BIGINT * 256 + split_part(value, '.', 4)::BIGINT)"
+
+
+def _sql_blocks(blocks) -> str:
+    parts = []
+    for block in blocks:
+        base, bits = block.split("/")
+        first = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(base.split(".")))
+        parts.append(f"n BETWEEN {first} AND {first + 2 ** (32 - int(bits)) - 1}")
+    return "(" + " OR ".join(parts) + ")"
+
+
+@query(f'SELECT k AS doc_id, "start"::INT AS "start", "end"::INT AS "end", value FROM {IPV4_SQL}')
+def ipv4_spans(spark, d):
+    docs = table(spark, d, "documents")
+    return span_rows(docs.where(F.col("text").rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")), "doc_id", fixed.IPV4)
+
+
+IPV4_GLOBAL = f"NOT ({_sql_blocks((*V.PRIVATE_BLOCKS, '100.64.0.0/10', '224.0.0.0/4'))} AND NOT {_sql_blocks(V.GLOBAL_EXCEPTIONS)})"
+
+
+@query(f"SELECT k AS doc_id, value, CASE WHEN {IPV4_GLOBAL} THEN 'KEEP' ELSE 'REDACT' END AS action, CASE WHEN {IPV4_GLOBAL} THEN 'ip:globally-reachable' ELSE 'ip:non-global-or-unparseable' END AS rule FROM (SELECT *, {IPV4_N} AS n FROM {IPV4_SQL})")
+def ipv4_routing(spark, d):
+    spans = ipv4_spans(spark, d).withColumn("label", F.lit("IP_ADDRESS"))
+    return policy.route(spans).select("doc_id", "value", "action", "rule")
+
+
+EMAIL_TOKEN = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"
+EMAIL_SQL = f"""(SELECT k, "start", "end", value FROM {sql_spans(EMAIL_TOKEN)} WHERE length(split_part(value, '@', 1)) <= 64 AND position('..' IN value) = 0 AND value[1] <> '.'
+    AND split_part(value, '@', 1)[-1] <> '.' AND lower(regexp_extract(value, '[A-Za-z]+$')) NOT IN ({", ".join(map(_quoted, fixed.FILE_TLDS))}))"""
+
+
+@query(f'SELECT k AS doc_id, "start", "end", value FROM {EMAIL_SQL}')
+def email_spans(spark, d):
+    return _label_spans(spark, d, "EMAIL").select("doc_id", "start", "end", "value")
+
+
+def _label_spans(spark, d, *labels: str, **config) -> DataFrame:
+    """Scanned spans of some labels: only their recognizers are in the plan."""
+    chosen = registry(Config(enabled_labels=frozenset(labels), **config))
+    found = scan.scan(table(spark, d, "documents").select("doc_id", "text", "source"), recognizers=chosen)
+    return scan.explode_spans(found, ["doc_id", "source"])
+
+
+TOKEN_SQL = sql_spans(r"""(?i)token\s*=\s*"[0-9a-f]{40}\"""")
+
+
+@query(f"""SELECT k AS doc_id, ("end" - 41)::INT AS "start", ("end" - 1)::INT AS "end", value[-41:-2] AS value FROM {TOKEN_SQL}""")
+def secret_kv_spans(spark, d):
+    return _spans_of_source(spark, d, "generic_secret_kv").select("doc_id", "start", "end", "value")
+
+
+def _spans_of_source(spark, d, name: str) -> DataFrame:
+    chosen = [r for r in registry() if r.name == name]
+    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=chosen)
+    return scan.explode_spans(found, ["doc_id"])
+
+
+@query(
+    f"""SELECT k AS doc_id, round(-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (length(v) - length(replace(v, c, ''))) / length(v)::DOUBLE * log2((length(v) - length(replace(v, c, ''))) / length(v)::DOUBLE))), 6) AS bits
+        FROM (SELECT k, value[-41:-2] AS v FROM {TOKEN_SQL})"""
+)
+def token_entropy(spark, d):
+    return _spans_of_source(spark, d, "generic_secret_kv").select("doc_id", F.round(V.entropy(F.col("value")), 6).alias("bits"))
+
+
+@query()
+def phone_spans(spark, d):
+    chosen = [r for r in registry(Config(uncued_phones=True)) if r.name.startswith("phone")]
+    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=chosen)
+    return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "label", "score", F.col("source"), "value")
+
+
+# ---------------------------------------------------------------- scan, merge, mask
+def _scanned(spark, d) -> DataFrame:
+    return scan.scan(table(spark, d, "documents").select("doc_id", "source", "text"), config=Config(uncued_phones=True))
+
+
+def _merged(spark, d) -> DataFrame:
+    return _scanned(spark, d).withColumn("merged", merge.merge(F.col("text"), F.col("spans")))
+
+
+@query()
+def all_spans(spark, d):
+    """Every recognizer over every document."""
+    return scan.explode_spans(_scanned(spark, d).drop("source"), ["doc_id"])
+
+
+@query()
+def merged_spans(spark, d):
+    return _merged(spark, d).select("doc_id", F.inline("merged"))
+
+
+@query()
+def masked_documents(spark, d):
+    return _merged(spark, d).select("doc_id", mask.redacted(F.col("text"), F.col("merged")).alias("masked_text"))
+
+
+@query()
+def masked_summary(spark, d):
+    """Flagship: spans found, merged and masked; per label how many, and what the residual scan still finds."""
+    m = _merged(spark, d).withColumn("left", residual.residual_scan(mask.redacted(F.col("text"), F.col("merged"))))
+    one = m.select("doc_id", F.explode("merged").alias("m"), F.size("left").alias("n_left"))
+    return one.groupBy("m.label", "m.action").agg(F.count("*").alias("spans"), F.sum(F.col("m.end") - F.col("m.start")).alias("chars"), F.count_if(F.col("n_left") == 0).alias("safe"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, {_quoted(EMAIL_TOKEN)}, '[REDACTED:EMAIL]', 'g') AS masked_text FROM documents")
+def masked_emails(spark, d):
+    chosen = registry(Config(enabled_labels=frozenset({"EMAIL"})))
+    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=chosen)
+    merged = found.withColumn("merged", merge.merge(F.col("text"), F.col("spans"), snap=False))
+    return merged.select("doc_id", mask.redacted(F.col("text"), F.col("merged")).alias("masked_text"))
+
+
+SPAN_SQL = """SELECT event_id // 40 AS grp, (event_id * 37 % 400)::INT AS "start", (event_id * 37 % 400 + 1 + event_id * 11 % 23)::INT AS "end", 'L' || (event_id % 7) AS label,
+    (event_id % 10) / 10.0::DOUBLE AS score, (event_id % 3)::INT AS evidence, 's' || (event_id % 4) AS source, (event_id * 7 % 4)::INT AS action FROM events"""
+
+
+def _made_spans(spark, d) -> DataFrame:
+    e = F.col("event_id")
+    start = (e * 37 % 400).cast("int")
+    return table(spark, d, "events").select(
+        F.floor(e / 40).alias("grp"), start.alias("start"), (start + 1 + (e * 11 % 23)).cast("int").alias("end"), F.concat(F.lit("L"), e % 7).alias("label"),
+        ((e % 10) / 10.0).alias("score"), (e % 3).cast("int").alias("evidence"), F.concat(F.lit("s"), e % 4).alias("source"), (e * 7 % 4).cast("int").alias("action"),
+    )
+
+
+@query(
+    f"""WITH s AS ({SPAN_SQL}), a AS (SELECT *, max("end") OVER (PARTITION BY grp ORDER BY "start", "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s WHERE action > 0),
+    b AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY "start", "end" DESC ROWS UNBOUNDED PRECEDING) AS island FROM a),
+    c AS (SELECT *, row_number() OVER (PARTITION BY grp, island ORDER BY action DESC, evidence DESC, "end" - "start" DESC, score DESC, label DESC) AS r FROM b)
+    SELECT grp, min("start") AS "start", max("end") AS "end", max(CASE WHEN r = 1 THEN label END) AS label, max(CASE WHEN r = 1 THEN action END) AS action,
+           max(CASE WHEN r = 1 THEN evidence END) AS evidence, count(DISTINCT label) AS n_labels, count(DISTINCT source) AS n_sources FROM c GROUP BY grp, island"""
+)
+def merged_islands(spark, d):
+    out = merge.merged_rows(_made_spans(spark, d), "grp")
+    return out.select("grp", "start", "end", "label", "action", "evidence", F.size("labels").cast("long").alias("n_labels"), F.size("sources").cast("long").alias("n_sources"))
+
+
+def _held(spark, d):
+    merged = _merged(spark, d).withColumn("conv", F.concat_ws("-", "source", F.pmod("doc_id", F.lit(64))))
+    return merged, mask.assign(mask.wanted(merged, "conv", "text", policy.Policy()), KEY, now=F.lit(1_700_000_000).cast("long"))
+
+
+@query()
+def conversation_surrogates(spark, d):
+    _, vault = _held(spark, d)
+    return vault.select("conv_id", "label", "fake", "idx", "expires_at")
+
+
+@query()
+def masked_with_vault(spark, d):
+    merged, vault = _held(spark, d)
+    return mask.mask(merged, "doc_id", "conv", vault)
+
+
+@query("SELECT doc_id, true AS safe FROM documents")
+def demask_roundtrip(spark, d):
+    """Masked texts restored: all that the vault holds comes back, and what isn't stored stays redacted."""
+    merged, vault = _held(spark, d)
+    masked = mask.mask(merged, "doc_id", "conv", vault).join(merged.select("doc_id", "conv", "text", "merged"), "doc_id")
+    back = mask.restore(masked.select("doc_id", "conv", "masked_text"), "doc_id", "conv", vault)
+    lost = masked.select(
+        "doc_id", "text", F.transform(F.filter("infos", lambda i: ~i["stored"]), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), F.concat(F.lit("[REDACTED:"), i["label"], F.lit("]")).alias("replacement"))).alias("edits")
+    )
+    return lost.join(back, "doc_id").select("doc_id", (splice(F.col("text"), F.col("edits")) == F.col("restored_text")).alias("safe"))
+
+
+RESIDUAL_CARDS = f"""SELECT k AS doc_id, 'CREDIT_CARD' AS type, "start", "end" FROM (SELECT *, length(value) AS n, value[1:2]::INT AS p2, value[1:3]::INT AS p3, value[1:4]::INT AS p4 FROM {DIGITS}
+    WHERE length(value) BETWEEN 13 AND 19) WHERE {LUHN} AND ((value[1] = '4' AND n IN (13, 16, 19)) OR (n = 16 AND (p2 BETWEEN 51 AND 55 OR p4 BETWEEN 2221 AND 2720)) OR (n = 15 AND p2 IN (34, 37))
+    OR (n BETWEEN 16 AND 19 AND (p4 = 6011 OR p2 IN (62, 65) OR p3 BETWEEN 644 AND 649)) OR (n BETWEEN 14 AND 19 AND (p3 BETWEEN 300 AND 305 OR p2 IN (36, 38, 39))) OR (n BETWEEN 16 AND 19 AND p4 BETWEEN 3528 AND 3589))"""
+
+
+@query(RESIDUAL_CARDS)
+def residual_findings(spark, d):
+    """What the residual scan finds in the documents as they are."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.explode(residual.residual_scan(F.col("text"))).alias("f")).select("doc_id", "f.type", "f.start", "f.end")
+
+
+# ---------------------------------------------------------------- policy
+LABELS = [*(r[0] for r in fixed.ROUTING), *fixed.ALIASES, "SOMETHING_NEW"]
+ROUTING_VALUES = ", ".join(f"('{a}', '{b}', '{c}', '{e}', {str(s).lower()})" for a, b, c, e, s in fixed.ROUTING)
+ALIAS_CASE = "CASE label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fixed.ALIASES.items()) + " ELSE label END"
+LABEL_LIST = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
+ROUTED_SQL = f"""(SELECT event_id, c AS canonical, coalesce(action, 'REDACT') AS action, coalesce(risk, 'UNKNOWN') AS risk, coalesce(category, 'UNKNOWN') AS category, coalesce(store, false) AS store,
+    CASE WHEN action IS NULL THEN 'default:unknown-type' ELSE 'policy:' || c END AS rule
+    FROM (SELECT event_id, {ALIAS_CASE} AS c FROM (SELECT event_id, {LABEL_LIST}[(event_id % {len(LABELS)} + 1)::INT] AS label FROM events)) e
+    LEFT JOIN (VALUES {ROUTING_VALUES}) r(label, action, risk, category, store) ON r.label = e.c)"""
+
+
+def _routed(spark, d, p: policy.Policy = policy.Policy()) -> DataFrame:
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("event_id") % len(LABELS) + 1).cast("int"))
+    return policy.route(table(spark, d, "events").select("event_id", label.alias("label"), F.lit(None).cast("string").alias("value")), p)
+
+
+@query(f"SELECT event_id, canonical, action, risk, category, store, rule FROM {ROUTED_SQL}")
+def label_routing(spark, d):
+    return _routed(spark, d).select("event_id", "canonical", "action", "risk", "category", "store", "rule")
+
+
+@query(f"SELECT action, risk, category, count(*) AS n FROM {ROUTED_SQL} GROUP BY ALL")
+def routing_risk_summary(spark, d):
+    return _routed(spark, d).groupBy("action", "risk", "category").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE WHEN canonical = 'EMAIL' THEN 'BLOCK' WHEN canonical = 'PERSON' THEN 'REDACT' ELSE action END AS action, count(*) AS n FROM {ROUTED_SQL} GROUP BY ALL")
+def policy_snapshot_apply(spark, d):
+    """A snapshot of two changes; every other label is at its default."""
+    return _routed(spark, d, policy.Policy.snapshot({"EMAIL": "BLOCK", "PERSON": "MASK"})).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT user_id::VARCHAR AS label, arg_max(event_type, event_id) AS x FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id::VARCHAR AS label, arg_max(event_type, event_id) AS x FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+    SELECT coalesce(a.label, b.label) AS label, a.x AS old_action, b.x AS new_action FROM a FULL JOIN b ON a.label = b.label WHERE a.x IS DISTINCT FROM b.x"""
+)
+def policy_change_log(spark, d):
+    e = table(spark, d, "events")
+    snap = lambda k: e.where(f"event_id % {k} = 0").groupBy(F.col("user_id").cast("string").alias("label")).agg(F.max_by("event_type", "event_id").alias("action"))
+    return policy.change_log(snap(2), snap(3))
+
+
+# ---------------------------------------------------------------- audit
+KINDS = {"error": "fail_closed", "purchase": "mask", "view": "detect", "click": "file", "signup": "demask"}
+SHORT = LABELS[:12]
+AUDIT_SQL = f"""(SELECT event_id AS id, 'org' || (user_id % 3) AS org_id, user_id AS endpoint, CASE event_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items())} END AS event_type,
+    'c' || (user_id % 20) AS conversation_id, k % 10 AS entity_count, [{", ".join(f"'{x}'" for x in SHORT)}][k % 12 + 1] AS label, CASE WHEN k % 17 <> 0 THEN (value * 10)::INT END AS latency_ms, ts, 'v' || (k % 4) AS version
+    FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM events))"""
+
+
+def audit_events(spark, d) -> DataFrame:
+    """The events table as audit events."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    label = F.element_at(F.array(*[F.lit(x) for x in SHORT]), F.col("k") % 12 + 1)
+    return table(spark, d, "events").withColumn("k", k).select(
+        F.col("event_id").alias("id"), F.concat(F.lit("org"), F.col("user_id") % 3).alias("org_id"), F.col("user_id").alias("endpoint"), kinds[F.col("event_type")].alias("event_type"),
+        F.concat(F.lit("c"), F.col("user_id") % 20).alias("conversation_id"), (F.col("k") % 10).alias("entity_count"), F.create_map(label, (F.col("k") % 10).cast("long")).alias("entity_types"),
+        F.when(F.col("k") % 17 != 0, F.round(F.col("value") * 10).cast("int")).alias("latency_ms"), "ts", F.concat(F.lit("v"), F.col("k") % 4).alias("version"),
+    )
+
+
+@query(f"SELECT event_type, count(*) AS n FROM {AUDIT_SQL} GROUP BY 1")
+def audit_by_event_type(spark, d):
+    return audit.by_event_type(audit_events(spark, d))
+
+
+@query(
+    f"""SELECT count(*) AS total_events, count(*) FILTER (event_type = 'fail_closed') AS fail_closed_events, round(avg(latency_ms) FILTER (event_type = 'mask'), 1) AS avg_latency_ms,
+    (sum(entity_count) FILTER (event_type = 'mask'))::BIGINT AS total_entities_masked FROM {AUDIT_SQL}"""
+)
+def audit_stats(spark, d):
+    return audit.stats(audit_events(spark, d))
+
+
+@query(f"SELECT label AS entity_type, sum(entity_count)::BIGINT AS n FROM {AUDIT_SQL} WHERE event_type = 'mask' GROUP BY 1")
+def audit_breakdown_map(spark, d):
+    return audit.breakdown(audit_events(spark, d))
+
+
+@query(f"SELECT label AS entity_type, sum(entity_count)::BIGINT AS n FROM {AUDIT_SQL} WHERE event_type = 'mask' GROUP BY 1 ORDER BY n DESC, entity_type LIMIT 8")
+def audit_top8(spark, d):
+    return audit.top_entity_types(audit_events(spark, d))
+
+
+@query(
+    f"""WITH e AS (SELECT * FROM {AUDIT_SQL}), b AS (SELECT date_trunc('hour', ts) AS t, count(*) AS events, sum(entity_count)::BIGINT AS entities, count(*) FILTER (event_type = 'mask') AS masks FROM e GROUP BY 1),
+    x AS (SELECT unnest(generate_series((SELECT min(date_trunc('hour', ts)) FROM e), (SELECT max(date_trunc('hour', ts)) FROM e), INTERVAL 1 HOUR)) AS t)
+    SELECT x.t::TIMESTAMP AS t, coalesce(events, 0) AS events, coalesce(entities, 0) AS entities, coalesce(masks, 0) AS masks FROM x LEFT JOIN b ON b.t = x.t"""
+)
+def audit_timeseries_zero_filled(spark, d):
+    out = audit.timeseries(audit_events(spark, d), F.min("ts"), F.max("ts"))
+    return out.select("t", "events", "entities", F.coalesce(F.try_element_at("by_event_type", F.lit("mask")), F.lit(0)).alias("masks"))
+
+
+@query(
+    f"""SELECT event_type, conversation_id, sum(entity_count)::BIGINT AS entity_count, count(DISTINCT label) AS n_labels, round_even(avg(latency_ms), 0)::INT AS latency_ms FROM {AUDIT_SQL}
+    GROUP BY event_type, conversation_id, CASE WHEN event_type = 'fail_closed' THEN id END"""
+)
+def audit_preaggregate(spark, d):
+    out = audit.preaggregated(audit_events(spark, d))
+    return out.select("event_type", "conversation_id", "entity_count", F.cardinality("entity_types").cast("long").alias("n_labels"), "latency_ms")
+
+
+@query(
+    f"""SELECT count(*) FILTER (event_type = 'mask') AS masked, count(*) FILTER (event_type = 'fail_closed') AS held, count(*) FILTER (event_type NOT IN ('mask', 'fail_closed')) AS other,
+    count(*) FILTER (event_type = 'file') AS files_masked, (sum(entity_count) FILTER (event_type IN ('mask', 'file')))::BIGINT AS entities_masked FROM {AUDIT_SQL}"""
+)
+def audit_dashboard(spark, d):
+    return audit.dashboard(audit_events(spark, d))
+
+
+@query(f"SELECT hour(ts)::INT AS hour, count(*) AS n FROM {AUDIT_SQL} WHERE event_type IN ('mask', 'file') GROUP BY 1")
+def audit_hourly_bars(spark, d):
+    return audit.hourly_bars(audit_events(spark, d))
+
+
+NOW = "2024-01-30 12:00:00"
+
+
+@query(f"SELECT id, event_type, ts FROM {AUDIT_SQL} WHERE org_id = 'org1' AND event_type = 'mask' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 72 HOURS ORDER BY ts DESC, id LIMIT 100")
+def audit_recent(spark, d):
+    return audit.recent(audit_events(spark, d), "org1", F.lit(NOW).cast("timestamp_ntz"), 72, "mask").select("id", "event_type", "ts")
+
+
+@query(f"SELECT endpoint, max(ts) AS last_seen, arg_max(version, ts) AS version, max(ts) < TIMESTAMP '{NOW}' - INTERVAL 300 SECONDS AS stale FROM {AUDIT_SQL} GROUP BY 1")
+def endpoint_staleness(spark, d):
+    return audit.endpoints(audit_events(spark, d), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f"SELECT id, count(*) OVER (PARTITION BY conversation_id ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS n_recent FROM {AUDIT_SQL}")
+def calls_in_window(spark, d):
+    return audit.recent_calls(audit_events(spark, d), "conversation_id").select("id", "n_recent")
+
+
+@query()
+def rate_limited_calls(spark, d):
+    from cloakwork.streaming.streams import replay_limits
+
+    e = audit_events(spark, d).select(F.col("conversation_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return replay_limits(e, limit=5, seconds=3600)
+
+
+@query(f"SELECT org_id, event_type, max(id) AS id, arg_max(version, id) AS version FROM {AUDIT_SQL} GROUP BY 1, 2")
+def newest_per_org_and_type(spark, d):
+    return audit.newest_per_key(audit_events(spark, d).select("org_id", "event_type", "id", "version"), ["org_id", "event_type"])
+
+
+@query(f"SELECT org_id, count(*) AS n, count(DISTINCT endpoint) AS endpoints FROM {AUDIT_SQL} WHERE org_id = 'org2' GROUP BY 1")
+def tenant_isolation(spark, d):
+    return audit_events(spark, d).where("org_id = 'org2'").groupBy("org_id").agg(F.count("*").alias("n"), F.count_distinct("endpoint").alias("endpoints"))
+
+
+@query(f"SELECT event_type, list_sort(list(latency_ms))[least(len(list(latency_ms)), (floor(0.95 * len(list(latency_ms))) + 1)::INT)::INT] AS p95 FROM {AUDIT_SQL} WHERE latency_ms IS NOT NULL GROUP BY 1")
+def latency_nearest_rank(spark, d):
+    """The value of rank floor(0.95 n), counted and not collected: a type may hold most of the events."""
+    return nearest_rank_by(audit_events(spark, d).where("latency_ms is not null"), "event_type", "latency_ms", 0.95, "p95")
+
+
+def nearest_rank_by(df: DataFrame, key: str, value: str, q: float, name: str) -> DataFrame:
+    """sorted[min(n - 1, floor(q n))] of each key from the counts of distinct values."""
+    from pyspark.sql import Window as W
+
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_c"))
+    w = W.partitionBy(key)
+    ranked = counts.withColumns({"_to": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
+    rank = F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
+    return ranked.where((F.col("_to") > rank) & (F.col("_to") - F.col("_c") <= rank)).select(key, F.col(value).alias(name))
+
+
+# ---------------------------------------------------------------- evaluation
+NUMBER = r"[0-9]+"
+GOLD_SQL = f"""(SELECT k, "start", "end", CASE WHEN length(value) >= 13 THEN 'LONG' ELSE 'SHORT' END AS label FROM {DIGITS} WHERE length(value) >= 4)"""
+PRED_SQL = f"""(SELECT k, "start", "end", CASE WHEN length(value) >= 16 THEN 'LONG' ELSE 'SHORT' END AS label, length(value) / 20.0::DOUBLE AS score FROM {DIGITS} WHERE length(value) >= 3 AND length(value) <> 5)"""
+
+
+def _cases(spark, d) -> DataFrame:
+    """Gold: digit runs of four or more. Predictions: runs of three or more but five, with another border between labels."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", matches(F.col("text"), NUMBER).alias("m"))
+    n = lambda x: F.length(x["value"])
+    gold = F.transform(F.filter("m", lambda x: n(x) >= 4), lambda x: F.struct(x["start"], x["end"], F.when(n(x) >= 13, "LONG").otherwise("SHORT").alias("label"), F.lit(1).alias("tier")))
+    preds = F.transform(F.filter("m", lambda x: (n(x) >= 3) & (n(x) != 5)), lambda x: F.struct(x["start"], x["end"], F.when(n(x) >= 16, "LONG").otherwise("SHORT").alias("label"), (n(x) / 20.0).alias("score")))
+    return docs.select("doc_id", "text", F.array("source").alias("tags"), gold.alias("gold"), preds.alias("preds"))
+
+
+STRICT_SQL = f"""(SELECT coalesce(g.label, p.label) AS label, (g.k IS NOT NULL AND p.k IS NOT NULL)::INT AS tp, (g.k IS NULL)::INT AS fp, (p.k IS NULL)::INT AS fn FROM {GOLD_SQL} g FULL JOIN {PRED_SQL} p
+    ON g.k = p.k AND g."start" = p."start" AND g."end" = p."end" AND g.label = p.label)"""
+PRF = "round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, {n}) AS {p}, round_even(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, {n}) AS {r}, round_even(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, {n}) AS {f}"
+
+
+@query(f"SELECT label, tp, fp, fn, {PRF.format(n=3, p='strict_p', r='strict_r', f='strict_f1')} FROM (SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM {STRICT_SQL} GROUP BY 1)")
+def strict_prf_by_label(spark, d):
+    return evaluate.per_label(evaluate.scored(_cases(spark, d)))
+
+
+@query(
+    f"""WITH t AS (SELECT 'strict' AS mode, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM {STRICT_SQL}
+    UNION ALL SELECT 'overlap', count(*) FILTER (g.label = p.label), count(p.k) - count(*) FILTER (g.label = p.label), count(g.k) - count(*) FILTER (g.label = p.label) FROM {GOLD_SQL} g FULL JOIN {PRED_SQL} p ON g.k = p.k AND g."start" = p."start"
+    UNION ALL SELECT 'type_agnostic', count(*) FILTER (g.k = p.k), count(p.k) - count(*) FILTER (g.k = p.k), count(g.k) - count(*) FILTER (g.k = p.k) FROM {GOLD_SQL} g FULL JOIN {PRED_SQL} p ON g.k = p.k AND g."start" = p."start")
+    SELECT mode, tp, fp, fn, {PRF.format(n=4, p="precision", r="recall", f="f1")} FROM t"""
+)
+def prf_totals(spark, d):
+    return evaluate.totals(evaluate.scored(_cases(spark, d)))
+
+
+LEAK_SQL = f"""(SELECT g.k, g.label, g."end" - g."start" AS chars, CASE WHEN p.k IS NULL THEN 0 ELSE g."end" - g."start" END AS hit FROM {GOLD_SQL} g LEFT JOIN {PRED_SQL} p ON g.k = p.k AND g."start" = p."start")"""
+LEAK_AGG = "sum(chars)::BIGINT AS gold_chars, sum(hit)::BIGINT AS covered_chars, count(*) AS spans, count(*) FILTER (hit = 0) AS fully_missed, count(*) FILTER (hit > 0 AND hit < chars) AS partial, round_even(sum(hit) / sum(chars)::DOUBLE, 4) AS char_recall"
+
+
+@query(f"SELECT label, {LEAK_AGG} FROM {LEAK_SQL} GROUP BY 1")
+def char_leak_recall(spark, d):
+    return evaluate.leak_recall(evaluate.scored(_cases(spark, d)), "label").drop("low", "high")
+
+
+@query(f"SELECT source AS tag, {LEAK_AGG} FROM {LEAK_SQL} JOIN documents ON k = doc_id GROUP BY 1")
+def leak_recall_by_tag(spark, d):
+    return evaluate.leak_recall(evaluate.scored(_cases(spark, d)), "tag").drop("low", "high")
+
+
+@query(
+    f"""SELECT source, n, k, round(greatest((k / n::DOUBLE + 3.8416 / (2 * n) - 1.96 * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 0), 6) AS low,
+    round(least((k / n::DOUBLE + 3.8416 / (2 * n) + 1.96 * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 1), 6) AS high
+    FROM (SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '{NUMBER}')) AS k FROM documents GROUP BY 1)"""
+)
+def wilson_by_source(spark, d):
+    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(NUMBER)).alias("k"))
+    ci = V.wilson(F.col("k"), F.col("n"))
+    return g.select("source", "n", "k", F.round(ci["low"], 6).alias("low"), F.round(ci["high"], 6).alias("high"))
+
+
+@query(
+    f"""SELECT count(*) AS cases, count(*) FILTER (n > 0) AS cases_with_fp, coalesce(sum(n), 0)::BIGINT AS fp_spans, coalesce(sum(length(text)), 0)::BIGINT AS chars, round_even(count(*) FILTER (n > 0) / count(*)::DOUBLE, 4) AS fp_case_rate
+    FROM (SELECT text, (SELECT count(*) FROM {PRED_SQL} p WHERE p.k = doc_id) AS n FROM documents WHERE doc_id NOT IN (SELECT k FROM {GOLD_SQL}))"""
+)
+def benign_fp(spark, d):
+    return evaluate.benign(evaluate.scored(_cases(spark, d)))
+
+
+SWEEP = [round(0.1 * i, 2) for i in range(1, 10)]
+
+
+@query(
+    f"""WITH t AS (SELECT unnest({SWEEP})::DOUBLE AS threshold), x AS (SELECT threshold, count(*) FILTER (g.k = p.k) AS tp, count(p.k) - count(*) FILTER (g.k = p.k) AS fp FROM t JOIN {PRED_SQL} p ON p.score >= threshold LEFT JOIN {GOLD_SQL} g
+    ON g.k = p.k AND g."start" = p."start" AND g.label = p.label GROUP BY 1), y AS (SELECT t.threshold, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, (SELECT count(*) FROM {GOLD_SQL}) - coalesce(tp, 0) AS fn FROM t LEFT JOIN x USING (threshold))
+    SELECT threshold, tp, fp, fn, {PRF.format(n=4, p="precision", r="recall", f="f1")} FROM y"""
+)
+def threshold_sweep(spark, d):
+    return evaluate.threshold_sweep(_cases(spark, d), SWEEP)
+
+
+@query()
+def overlap_classes(spark, d):
+    return evaluate.overlap_classes(_cases(spark, d))
+
+
+@query()
+def bootstrap_recall(spark, d):
+    s = evaluate.scored(_cases(spark, d)).select("doc_id", F.aggregate("leaks", F.lit(0), lambda a, x: a + x["hit"]).alias("hit"), F.aggregate("leaks", F.lit(0), lambda a, x: a + x["chars"]).alias("chars"))
+    return evaluate.bootstrap(s.where("chars > 0"), "doc_id", "hit", "chars", resamples=200)
+
+
+# ---------------------------------------------------------------- texts, requests, pages
+@query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
+def user_slot_texts(spark, d):
+    return requests.user_texts(table(spark, d, "conversations"))
+
+
+COUNTS = ", ".join(
+    f"len(list_filter([{', '.join(_quoted(s) for s in ss)}], lambda s: contains(low, s))) AS c_{c}" for c, ss in fixed.SIGNALS.items()
+)
+MOST = "greatest(" + ", ".join(f"c_{c}" for c in fixed.SIGNALS) + ")"
+CATEGORY_SQL = f"CASE WHEN {MOST} = 0 THEN 'general' " + " ".join(f"WHEN c_{c} = {MOST} THEN '{c}'" for c in fixed.SIGNALS) + " END"
+
+
+@query(f"SELECT conv_id, turn, {CATEGORY_SQL} AS category FROM (SELECT conv_id, turn, {COUNTS} FROM (SELECT conv_id, turn, lower(text) AS low FROM conversations))")
+def prompt_category(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", texts.prompt_category(F.col("text")).alias("category"))
+
+
+@query(f"SELECT {CATEGORY_SQL} AS category, count(*) AS n FROM (SELECT {COUNTS} FROM (SELECT lower(text) AS low FROM documents)) GROUP BY 1")
+def category_distribution(spark, d):
+    return table(spark, d, "documents").groupBy(texts.prompt_category(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM benchmark)")
+def leak_guard_exact(spark, d):
+    return texts.leak_guard(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id")
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 14 OR (length(b.text) >= 8 AND contains(b.text, ' '))")
+def leak_guard_contains(spark, d):
+    items = table(spark, d, "benchmark")
+    held = texts.holding(table(spark, d, "documents"), texts.values_of(items.select(F.col("text").alias("value"))), "doc_id")
+    return held.join(items.select("item_id", F.col("text").alias("value")), "value").select("doc_id", "item_id")
+
+
+@query("SELECT doc_id, substr(sha1(text), 1, 16) AS key FROM documents")
+def text_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", V.text_key(F.col("text")).alias("key"))
+
+
+@query()
+def text_windows(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.inline(texts.windows(F.col("text"))))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents WHERE contains(text, ' | ')),
+    c AS (SELECT doc_id, row, unnest(string_split(line, ' | ')) AS text, generate_subscripts(string_split(line, ' | '), 1) - 1 AS col FROM l)
+    SELECT c.doc_id, c.row::INT AS row, c.col::INT AS col, c.text, CASE WHEN c.row > 0 AND h.text IS NOT NULL AND trim(h.text) <> '' THEN substr(trim(h.text), 1, 80) || ': ' ELSE '' END AS context
+    FROM c LEFT JOIN c h ON h.doc_id = c.doc_id AND h.col = c.col AND h.row = 0"""
+)
+def csv_header_context(spark, d):
+    lines = table(spark, d, "documents").where(F.col("text").contains(" | ")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row", "line"))
+    cells = lines.select("doc_id", "row", F.posexplode(F.split("line", r" \| ", -1)).alias("col", "text"))
+    return files.with_headers(cells, "doc_id").select("doc_id", "row", "col", "text", "context")
+
+
+@query()
+def html_raw_scan(spark, d):
+    return files.raw_scan(table(spark, d, "pages"), ["page_id"], "html")
+
+
+@query(
+    r"""SELECT page_id, nullif(regexp_extract(url, '^https?://([^/?#]*)', 1), '') AS host, nullif(regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/c/([0-9a-zA-Z-]{8,})', 1), '') AS conversation,
+    CASE WHEN page_id % 3 = 0 AND regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) IN ('/backend-api/conversation') THEN 'send' END AS kind FROM pages"""
+)
+def request_class(spark, d):
+    p = table(spark, d, "pages")
+    method = F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
+    return p.select("page_id", requests.part(F.col("url"), "HOST").alias("host"), requests.conversation_of(F.col("url")).alias("conversation"), requests.request_kind(method, F.col("url")).alias("kind"))
+
+
+REID_SQL = """(SELECT q.vec_id AS query_id, q.label, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)"""
+RANKED_SQL = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM {REID_SQL})"
+
+
+@query(f"SELECT query_id, label, vec_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM {RANKED_SQL} WHERE rank <= 3")
+def reid_rank(spark, d):
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    out = texts.reidentification(v, q)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT label, count(*) AS n, count(*) FILTER (rank = 1 AND similarity >= 0.5) AS top1, round(avg(similarity), 6) AS mean FROM {RANKED_SQL} WHERE rank <= 3 GROUP BY 1")
+def reid_summary(spark, d):
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    best = texts.reidentification(v, q)
+    return best.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("rank") == 1) & (F.col("similarity") >= 0.5)).alias("top1"), F.round(F.avg("similarity"), 6).alias("mean"))
