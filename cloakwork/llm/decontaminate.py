@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from cloakwork.llm.shared import words
 
 K1, B = 1.2, 0.75
-UNIT, PASSAGE, STRIDE, THRESHOLD = 64, 64, 32, 0.4
+#: A passage is two strides.
+UNIT, STRIDE, PASSAGE, THRESHOLD = 64, 32, 64, 0.4
 MAX_BLOCKS, MIN_BLOCK, RUN = 64, 8, 5
 QUESTION, ANSWER, QUESTION_ALONE = 0.6, 0.6, 0.8
 INDEX_BYTES = 16 << 20
@@ -107,22 +108,25 @@ class ItemIndex:
         found: dict[int, list[tuple[float, int]]] = {}
         if not (rows != none).any():
             return found
-        starts = np.arange(0, max(1, len(w) - PASSAGE + STRIDE), STRIDE)
-        ends = np.minimum(starts + PASSAGE, len(w))
-        for lo in range(0, len(starts), 1024):  # a long document in pieces
-            s, e = starts[lo : lo + 1024], ends[lo : lo + 1024]
-            total = np.zeros((e[-1] - s[0] + 1, self.bounds.shape[1]), dtype=np.float64)
-            np.cumsum(self.bounds[rows[s[0] : e[-1]]], axis=0, out=total[1:])
-            bound = total[e - s[0]] - total[s - s[0]]
-            for p, b in zip(*np.nonzero(bound >= threshold - 1e-6)):
-                score: Counter = Counter()
-                for r in set(rows[s[p] : e[p]].tolist()):
-                    if r != none:
-                        for u, x in self.postings[r].get(int(b), ()):
-                            score[u] += x
-                for u, x in score.items():
-                    if x >= threshold:
-                        found.setdefault(self.unit_item[u], []).append((x, int(s[p])))
+        for lo in range(0, len(w), 1024 * STRIDE):  # a long document in pieces, each with the words that its last passage needs
+            part = rows[lo : lo + 1024 * STRIDE + PASSAGE - STRIDE]
+            strides = np.add.reduceat(self.bounds[part], np.arange(0, len(part), STRIDE), axis=0)
+            n = min(1024, max(1, len(strides) - 1))
+            bound = strides[:n].astype(np.float64)
+            bound[: len(strides) - 1] += strides[1 : n + 1]
+            s = np.arange(lo, lo + n * STRIDE, STRIDE)
+            e = np.minimum(s + PASSAGE, len(w))
+            for p in np.flatnonzero((bound >= threshold - 1e-6).any(axis=1)):
+                # a word that repeats counts once: a tighter bound, of the passages that are left
+                distinct = [r for r in set(rows[s[p] : e[p]].tolist()) if r != none]
+                for b in np.flatnonzero(self.bounds[distinct].sum(axis=0) >= threshold - 1e-6).tolist():
+                    score: dict[int, float] = {}
+                    for r in distinct:
+                        for u, x in self.postings[r].get(b, ()):
+                            score[u] = score.get(u, 0.0) + x
+                    for u, x in score.items():
+                        if x >= threshold:
+                            found.setdefault(self.unit_item[u], []).append((x, int(s[p])))
         return found
 
     def check(self, text: str | None) -> list[tuple[int, float, float, float]]:
