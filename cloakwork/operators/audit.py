@@ -36,13 +36,19 @@ def recent(events: DataFrame, org: str, now: Column, hours: int = 24, event_type
     return out.orderBy(F.desc("ts"), "id").limit(limit)
 
 
+def tenths(whole: Column) -> Column:
+    """The mean of whole numbers to one place, halves up, computed in integers."""
+    total, n = F.sum(whole.cast("long")), F.count(whole)
+    return F.when(n > 0, F.floor((total * 20 + n) / (2 * n)) / 10.0)
+
+
 def stats(events: DataFrame) -> DataFrame:
     """One row: total_events, fail_closed_events, avg_latency_ms (of masks; 0 reads as null), total_entities_masked."""
     is_mask = F.col("event_type") == "mask"
     return events.agg(
         F.count("*").alias("total_events"),
         F.count_if(F.col("event_type") == "fail_closed").alias("fail_closed_events"),
-        F.nullif(F.round(F.avg(F.when(is_mask, F.col("latency_ms"))), 1), F.lit(0.0)).alias("avg_latency_ms"),
+        F.nullif(tenths(F.when(is_mask, F.col("latency_ms"))), F.lit(0.0)).alias("avg_latency_ms"),
         F.coalesce(F.sum(F.when(is_mask, F.col("entity_count"))), F.lit(0)).alias("total_entities_masked"),
     )
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakwork.functions.positions import let
 from cloakwork.operators.recognizers import SPANS, Config, Recognizer, no_spans, registry, spans_of
@@ -40,7 +42,7 @@ def normalised(text: str) -> tuple[str, list[int]]:
     return "".join(out), index
 
 
-@F.pandas_udf("struct<text: string, index: array<int>>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("index", T.ArrayType(T.IntegerType()))]))
 def _normalise(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         done = [normalised(t) if t is not None else (None, None) for t in texts]
@@ -74,20 +76,25 @@ def mapped_back(spans: Column, index: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=16)
+def _spans_column(recognizers: tuple[Recognizer, ...], gateway: int) -> Column:
+    """The spans of the column _t. Some fifty recognizers are thousands of calls to the JVM, so the column is kept for later scans."""
+    return raw_spans(F.col("_t"), list(recognizers))
+
+
 def scan(docs: DataFrame, text_col: str = "text", config: Config = Config(), recognizers: list[Recognizer] | None = None) -> DataFrame:
     """docs with the column spans: array<SPAN>. A null text has no spans; a text over MAX_TEXT characters has null spans.
 
-    Rows without odd characters never leave the JVM; the others take one Arrow
-    round trip for their normal form.
+    One pass: texts with odd characters get their normal form in Python, of all
+    other rows only a null goes there.
     """
-    recognizers = registry(config) if recognizers is None else recognizers
+    chosen = tuple(registry(config) if recognizers is None else recognizers)
     text = F.col(text_col)
-    plain = F.when(F.length(text) > MAX_TEXT, F.lit(None).cast(SPANS)).when(text.isNull(), no_spans())
-    simple = docs.where(~F.coalesce(text.rlike(ODD), F.lit(False))).withColumn("spans", plain.otherwise(raw_spans(text, recognizers)))
-    odd = docs.where(text.rlike(ODD)).withColumn("_n", _normalise(text))
-    found = raw_spans(F.col("_n.text"), recognizers)
-    odd = odd.withColumn("spans", plain.otherwise(mapped_back(found, F.col("_n.index")))).drop("_n")
-    return simple.unionByName(odd)
+    n = docs.withColumn("_n", _normalise(F.when(text.rlike(ODD), text))).withColumn("_t", F.coalesce("_n.text", text_col))
+    found = F.when(F.length(text) > MAX_TEXT, F.lit(None).cast(SPANS)).when(text.isNull(), no_spans()).otherwise(_spans_column(chosen, id(docs.sparkSession.sparkContext._gateway)))
+    n = n.withColumn("spans", found)
+    back = F.when(F.col("_n.index").isNull(), F.col("spans")).otherwise(mapped_back(F.col("spans"), F.col("_n.index")))
+    return n.withColumn("spans", back).drop("_n", "_t")
 
 
 def explode_spans(scanned: DataFrame, keys: list[str], text_col: str = "text", spans_col: str = "spans") -> DataFrame:

@@ -154,8 +154,8 @@ def reidentification(vectors: DataFrame, queries: DataFrame, k: int = 3, salts:
     v = vectors.select("vec_id", "label", "embedding", norm("embedding").alias("_n"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("_salt"))
     q = queries.select("query_id", "label", "q", norm("q").alias("_qn"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
     pairs = v.join(q, ["label", "_salt"]).where("vec_id <> query_id").select("query_id", "label", "vec_id", (dot / (F.col("_n") * F.col("_qn"))).alias("similarity"))
-    best = pairs.groupBy("query_id", "label").agg(F.max_by(F.struct("vec_id", "similarity"), F.struct("similarity", -F.col("vec_id")), k).alias("b"))
-    return best.select("query_id", "label", F.posexplode("b").alias("pos", "x")).select("query_id", "label", "x.vec_id", "x.similarity", (F.col("pos") + 1).alias("rank"))
+    # a rank with a bound is cut in each task before the shuffle
+    return ranks(pairs).where(F.col("rank") <= k).select("query_id", "label", "vec_id", "similarity", "rank")
 
 
 def ranks(vectors: DataFrame, w_key: str = "query_id") -> DataFrame:
