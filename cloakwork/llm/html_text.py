@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,9 +75,11 @@ def _attributes(text: str) -> dict[str, str]:
 def build(page: str) -> Node:
     root = Node("#root")
     open_: list[Node] = [root]
+    count: Counter[str] = Counter()  # open elements by tag: nothing is searched for that isn't open
     at = 0
 
     def close(i: int) -> None:
+        count.subtract(n.tag for n in open_[i:])
         del open_[i:]
 
     def text(s: str) -> None:
@@ -94,7 +97,7 @@ def build(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if count[tag] > 0 else ():
                 if open_[i].tag == tag:
                     close(i)
                     break
@@ -104,14 +107,14 @@ def build(page: str) -> Node:
         ended, barrier = ENDS.get(tag, (frozenset(), frozenset()))
         if tag in BLOCK and tag not in ("html", "body"):
             # a block ends an open paragraph of the same cell
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if count["p"] > 0 else ():
                 if open_[i].tag in BOUNDS:
                     break
                 if open_[i].tag == "p":
                     close(i)
                     break
         last = None
-        for i in range(len(open_) - 1, 0, -1):
+        for i in range(len(open_) - 1, 0, -1) if any(count[t] > 0 for t in ended) else ():
             if open_[i].tag in barrier:
                 break
             if open_[i].tag in ended:
@@ -128,6 +131,7 @@ def build(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         open_.append(node)
+        count[tag] += 1
     return root
 
 
