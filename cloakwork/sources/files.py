@@ -51,7 +51,7 @@ def file_type(content: Column, path: Column) -> Column:
         .when(head.startswith("D0CF11E0"), "unknown")
         .when(head.rlike("^(89504E47|FFD8FF|47494638|424D|49492A00|4D4D002A)") | (head.startswith("52494646") & head.endswith("57454250")), "image")
         .when(ext.isin(*BINARY_EXTENSIONS), "unknown")
-        .when(F.locate("\0", F.decode(start, F.lit("ISO-8859-1"))) > 0, "unknown")
+        .when(F.decode(start, F.lit("ISO-8859-1")).contains("\0"), "unknown")
         .when(utf8, "text")
         .otherwise("unknown")
     )
