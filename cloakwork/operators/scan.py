@@ -19,13 +19,12 @@ from cloakwork.functions.positions import let
 from cloakwork.operators.recognizers import SPANS, Config, Recognizer, no_spans, registry, spans_of
 
 #: Characters that are dropped, and dashes that become '-'.
-DROPPED = "​‌‍⁠﻿­"
-DASHES = "‐‑‒–—―−"
+DROPPED = "\u200B\u200C\u200D\u2060\uFEFF\u00AD"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 #: What needs the slow path: the above, and the blocks with compatibility forms.
 ODD = (
-    r"[ -¿ĲĳĿŀŉſǄ-ǌǱ-ǳʰ-˿̀-Ϳ΄-·ϐ-Ͽև"
-    r"ٵ-ٸำຳໜ-༌ჼᴬ-ᶿẚẛ᾽-῿ -⯿ⱼ-ⱽⵯ⺟-㏿ꚜ-ꟿ"
-    r"꭛-꭯豈-￯\x{1d400}-\x{1f2ff}\x{2f800}-\x{2fa1f}]"
+    r"[\u00A0-\u00BF\u0132-\u0133\u013F-\u0140\u0149\u017F\u01C4-\u01CC\u01F1-\u01F3\u02B0-\u02DD\u02E0-\u02E4\u0340-\u0344\u0374\u037A\u037E\u0384-\u0387\u03D0-\u03D6\u03F0-\u03FA\u0587\u0675-\u0678\u0E33\u0EB3\u0EDC-\u0ED"
+    r"D\u0F0C\u0F77\u0F79\u10FC\u1D2C-\u1DBF\u1E9A-\u1E9B\u1FBD-\u1FFE\u2000-\u2BFF\u2C7C-\u2C7D\u2D6F\u2E9F\u2EF3\u2F00-\u2FD5\u3000-\u33FF\uA69C-\uA69D\uA770\uA7F1-\uA7F9\uAB5C-\uAB69\uF900-\uFDFF\uFE00-\uFEFF\uFF00-\uFFEF\x{1D400}-\x{1F2FF}\x{2F800}-\x{2FA1F}]"
 )
 MAX_TEXT = 2_000_000
 
@@ -71,9 +70,9 @@ def raw_spans(text: Column, recognizers: list[Recognizer]) -> Column:
 
 
 def mapped_back(spans: Column, index: Column) -> Column:
-    return F.transform(
-        spans, lambda s: s.withField("start", F.get(index, s["start"])).withField("end", F.get(index, s["end"] - 1) + 1)
-    )
+    """The spans in the offsets of the text that index came from; a null index leaves them."""
+    moved = lambda s: s.withField("start", F.get(index, s["start"])).withField("end", F.get(index, s["end"] - 1) + 1)
+    return F.transform(spans, lambda s: F.when(index.isNull(), s).otherwise(moved(s)))
 
 
 @lru_cache(maxsize=16)
@@ -92,9 +91,7 @@ def scan(docs: DataFrame, text_col: str = "text", config: Config = Config(), rec
     text = F.col(text_col)
     n = docs.withColumn("_n", _normalise(F.when(text.rlike(ODD), text))).withColumn("_t", F.coalesce("_n.text", text_col))
     found = F.when(F.length(text) > MAX_TEXT, F.lit(None).cast(SPANS)).when(text.isNull(), no_spans()).otherwise(_spans_column(chosen, id(docs.sparkSession.sparkContext._gateway)))
-    n = n.withColumn("spans", found)
-    back = F.when(F.col("_n.index").isNull(), F.col("spans")).otherwise(mapped_back(F.col("spans"), F.col("_n.index")))
-    return n.withColumn("spans", back).drop("_n", "_t")
+    return n.withColumn("spans", mapped_back(found, F.col("_n.index"))).drop("_n", "_t")
 
 
 def explode_spans(scanned: DataFrame, keys: list[str], text_col: str = "text", spans_col: str = "spans") -> DataFrame:

@@ -12,9 +12,12 @@ from cloakwork.functions.positions import let, matches, running_sum
 
 def signal_counts(text: Column) -> Column:
     """struct of the number of signals of each category that the text holds."""
-    low = F.lower(text)
-    count = lambda ss: F.size(F.filter(F.array(*[F.lit(s) for s in ss]), lambda s: low.contains(s)))
-    return F.struct(*[count(ss).alias(c) for c, ss in fixed.SIGNALS.items()])
+
+    def counts(low: Column) -> Column:
+        count = lambda ss: F.size(F.filter(F.array(*[F.lit(s) for s in ss]), lambda s: low.contains(s)))
+        return F.struct(*[count(ss).alias(c) for c, ss in fixed.SIGNALS.items()])
+
+    return let(F.lower(text), counts)
 
 
 def prompt_category(text: Column) -> Column:

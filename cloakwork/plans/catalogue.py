@@ -189,7 +189,8 @@ def masked_documents(spark, d):
 @query()
 def masked_summary(spark, d):
     """Flagship: spans found, merged and masked; per label how many, and what the residual scan still finds."""
-    m = _merged(spark, d).withColumn("left", residual.residual_scan(mask.redacted(F.col("text"), F.col("merged"))))
+    m = _merged(spark, d).withColumn("masked", mask.redacted(F.col("text"), F.col("merged")))
+    m = m.withColumn("left", residual.residual_scan(F.col("masked")))
     one = m.select("doc_id", F.explode("merged").alias("m"), F.size("left").alias("n_left"))
     return one.groupBy("m.label", "m.action").agg(F.count("*").alias("spans"), F.sum(F.col("m.end") - F.col("m.start")).alias("chars"), F.count_if(F.col("n_left") == 0).alias("safe"))
 

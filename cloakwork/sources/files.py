@@ -40,7 +40,7 @@ def file_type(content: Column, path: Column) -> Column:
     """pdf, docx, xlsx, image, text or unknown, by content; a binary extension on other content is unknown."""
     head = F.hex(F.substring(content, 1, 12))
     # names of a package's parts stand in its bytes as they are
-    names = F.decode(content, F.lit("ISO-8859-1"))
+    names = F.decode(content, "ISO-8859-1")
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     start = F.substring(content, 1, 4096)
     # a character that is cut at the end of the sample isn't an error
@@ -51,7 +51,7 @@ def file_type(content: Column, path: Column) -> Column:
         .when(head.startswith("D0CF11E0"), "unknown")
         .when(head.rlike("^(89504E47|FFD8FF|47494638|424D|49492A00|4D4D002A)") | (head.startswith("52494646") & head.endswith("57454250")), "image")
         .when(ext.isin(*BINARY_EXTENSIONS), "unknown")
-        .when(F.decode(start, F.lit("ISO-8859-1")).contains("\0"), "unknown")
+        .when(F.decode(start, "ISO-8859-1").contains("\0"), "unknown")
         .when(utf8, "text")
         .otherwise("unknown")
     )
