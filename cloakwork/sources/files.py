@@ -44,7 +44,7 @@ def file_type(content: Column, path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     start = F.substring(content, 1, 4096)
     # a character that is cut at the end of the sample isn't an error
-    utf8 = F.exists(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.is_valid_utf8(F.substring(start, F.lit(1), F.greatest(F.length(start) - i, F.lit(0))).cast("string")))
+    utf8 = F.exists(F.array(*[F.lit(i) for i in range(4)]), lambda i: ((i == 0) | (F.length(content) > 4096)) & F.is_valid_utf8(F.substring(start, F.lit(1), F.greatest(F.length(start) - i, F.lit(0))).cast("string")))
     return (
         F.when(head.startswith("25504446"), "pdf")
         .when(head.startswith("504B0304"), F.when(names.contains("word/document.xml"), "docx").when(names.contains("xl/workbook.xml"), "xlsx").otherwise("unknown"))
