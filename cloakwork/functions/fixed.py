@@ -90,21 +90,21 @@ JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,2048}\.ey[A-Za-z0-9_-]{4,4096}\.[A-
 BEARER = r"(?i)(?<![A-Za-z0-9])Bearer[ \t]+([A-Za-z0-9._~+/=-]{16,2048})(?![A-Za-z0-9._~+/=-])"
 BASIC_AUTH = r"(?i)Authorization[ \t]*:[ \t]*Basic[ \t]+([A-Za-z0-9+/=]{8,2048})"
 GOOGLE_OAUTH = r"(?<![A-Za-z0-9_-])ya29\.[A-Za-z0-9_-]{20,2048}"
-#: name, pattern, least entropy in bits a character
+#: name, pattern, least entropy in bits a character, strings of which a match holds one
 KEY_SIGNATURES = (
-    ("aws_access_key_id", r"(?<![A-Z0-9])(?:AKIA|ASIA|ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|AROA|APKA|ASCA)[A-Z0-9]{16}(?![A-Z0-9])", 0.0),
-    ("github_token", r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})(?![A-Za-z0-9_])", 3.0),
-    ("gitlab_pat", r"(?<![A-Za-z0-9_-])glpat-[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])", 3.0),
-    ("slack_token", r"(?<![A-Za-z0-9-])xox[abposr]-[A-Za-z0-9-]{10,72}(?![A-Za-z0-9-])", 2.5),
-    ("slack_webhook", r"https://hooks\.slack\.com/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{16,}", 0.0),
-    ("stripe_secret", r"(?<![A-Za-z0-9_])(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,99}(?![A-Za-z0-9_])", 3.0),
-    ("google_api_key", r"(?<![A-Za-z0-9_-])AIza[0-9A-Za-z_-]{35}(?![A-Za-z0-9_-])", 3.0),
-    ("llm_provider_key", r"(?<![A-Za-z0-9_-])sk-(?:ant-|proj-|svcacct-|admin-)?[A-Za-z0-9_-]{32,200}(?![A-Za-z0-9_-])", 3.3),
-    ("sendgrid", r"(?<![A-Za-z0-9_.-])SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}(?![A-Za-z0-9_-])", 3.0),
-    ("twilio_api_key", r"(?<![A-Za-z0-9])SK[0-9a-fA-F]{32}(?![A-Za-z0-9])", 3.0),
-    ("npm_token", r"(?<![A-Za-z0-9_])npm_[A-Za-z0-9]{36}(?![A-Za-z0-9_])", 3.0),
-    ("huggingface", r"(?<![A-Za-z0-9_])hf_[A-Za-z0-9]{30,}(?![A-Za-z0-9_])", 3.0),
-    ("pypi_token", r"(?<![A-Za-z0-9_-])pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}", 3.0),
+    ("aws_access_key_id", r"(?<![A-Z0-9])(?:AKIA|ASIA|ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|AROA|APKA|ASCA)[A-Z0-9]{16}(?![A-Z0-9])", 0.0, ("AKIA", "ASIA", "ABIA", "ACCA", "AGPA", "AIDA", "AIPA", "ANPA", "ANVA", "AROA", "APKA", "ASCA")),
+    ("github_token", r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})(?![A-Za-z0-9_])", 3.0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
+    ("gitlab_pat", r"(?<![A-Za-z0-9_-])glpat-[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])", 3.0, ("glpat-",)),
+    ("slack_token", r"(?<![A-Za-z0-9-])xox[abposr]-[A-Za-z0-9-]{10,72}(?![A-Za-z0-9-])", 2.5, ("xox",)),
+    ("slack_webhook", r"https://hooks\.slack\.com/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{16,}", 0.0, ("hooks.slack.com",)),
+    ("stripe_secret", r"(?<![A-Za-z0-9_])(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,99}(?![A-Za-z0-9_])", 3.0, ("_live_", "_test_")),
+    ("google_api_key", r"(?<![A-Za-z0-9_-])AIza[0-9A-Za-z_-]{35}(?![A-Za-z0-9_-])", 3.0, ("AIza",)),
+    ("llm_provider_key", r"(?<![A-Za-z0-9_-])sk-(?:ant-|proj-|svcacct-|admin-)?[A-Za-z0-9_-]{32,200}(?![A-Za-z0-9_-])", 3.3, ("sk-",)),
+    ("sendgrid", r"(?<![A-Za-z0-9_.-])SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}(?![A-Za-z0-9_-])", 3.0, ("SG.",)),
+    ("twilio_api_key", r"(?<![A-Za-z0-9])SK[0-9a-fA-F]{32}(?![A-Za-z0-9])", 3.0, ("SK",)),
+    ("npm_token", r"(?<![A-Za-z0-9_])npm_[A-Za-z0-9]{36}(?![A-Za-z0-9_])", 3.0, ("npm_",)),
+    ("huggingface", r"(?<![A-Za-z0-9_])hf_[A-Za-z0-9]{30,}(?![A-Za-z0-9_])", 3.0, ("hf_",)),
+    ("pypi_token", r"(?<![A-Za-z0-9_-])pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}", 3.0, ("pypi-",)),
 )
 GENERIC_SECRET = (
     r"(?iU)(?<![A-Za-z0-9])[\w-]{0,20}?(?:api[_-]?key|apikey|access[_-]?token|auth[_-]?token|client[_-]?secret"
@@ -272,12 +272,13 @@ SIGNALS = {
 # ---- fixed values: what is left over after masking, stated apart from the patterns above
 RESIDUAL_CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 RESIDUAL_JWT = r"(?U)\beyJ[A-Za-z0-9_-]{6,}\.ey[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{0,}\b"
+#: what a match starts with, pattern
 RESIDUAL_KEYS = (
-    r"(?U)\bAKIA[0-9A-Z]{16}\b",
-    r"(?U)\bsk-[A-Za-z0-9]{40,}\b",
-    r"(?U)\bghp_[A-Za-z0-9]{36}\b",
-    r"(?U)\bAIza[0-9A-Za-z_-]{35}\b",
-    r"(?U)\bxox[abposr]-[A-Za-z0-9-]{10,}\b",
-    r"(?U)\bsk_(?:live|test)_[A-Za-z0-9]{16,}\b",
+    ("AKIA", r"(?U)\bAKIA[0-9A-Z]{16}\b"),
+    ("sk-", r"(?U)\bsk-[A-Za-z0-9]{40,}\b"),
+    ("ghp_", r"(?U)\bghp_[A-Za-z0-9]{36}\b"),
+    ("AIza", r"(?U)\bAIza[0-9A-Za-z_-]{35}\b"),
+    ("xox", r"(?U)\bxox[abposr]-[A-Za-z0-9-]{10,}\b"),
+    ("sk_", r"(?U)\bsk_(?:live|test)_[A-Za-z0-9]{16,}\b"),
 )
 RESIDUAL_IBAN = r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"

@@ -26,15 +26,15 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start,end,value,hit>> of the non-overlapping matches. With a group, value is that group, which must end
     the match; hit is the whole match. The pattern must not match the empty string."""
     p = F.lit(pattern)
-    parts = F.struct(
-        F.regexp_extract_all(text, p, F.lit(0)).alias("h"), F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, p, F.lit(group)).alias("v")
-    )
+    hits = [F.regexp_extract_all(text, p, F.lit(0)).alias("h")]
+    values = [F.regexp_extract_all(text, p, F.lit(group)).alias("v")] if group else []
+    parts = F.struct(*hits, F.split(text, pattern, -1).alias("g"), *values)
 
     def place(s: Column) -> Column:
         steps = F.transform(s["h"], lambda h, i: F.length(F.get(s["g"], i)) + F.length(h))
         ends = running_sum(steps)
         return let(
-            F.struct(s["h"].alias("h"), s["v"].alias("v"), ends.alias("e")),
+            F.struct(s["h"].alias("h"), s["v" if group else "h"].alias("v"), ends.alias("e")),
             lambda t: F.transform(
                 t["v"],
                 lambda v, i: F.struct((F.get(t["e"], i) - F.length(v)).alias("start"), F.get(t["e"], i).alias("end"), v.alias("value"), F.get(t["h"], i).alias("hit")),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.positions import let, matches, splice
 from cloakwork.operators.policy import RANK, Policy
+from cloakwork.operators.tables import exploded
 
 TTL_SECONDS = 24 * 3600
 MAX_PER_CONVERSATION = 100_000
@@ -163,7 +164,7 @@ def masked_offsets(edits: Column) -> Column:
 def restore(masked: DataFrame, key_col: str, conv: str, vault: DataFrame, text: str = "masked_text") -> DataFrame:
     """key, restored_text, n_restored. What has a surrogate's shape is looked up in the conversation's vault: one row a shape
     found, joined on (conversation, fake), so texts and fakes of a conversation are never paired."""
-    rows = masked.select(F.col(key_col), F.col(conv).cast("string").alias("conv_id"), F.explode(matches(F.col(text), RESTORE)).alias("m"))
+    rows = exploded(masked, matches(F.col(text), RESTORE), "m", F.col(key_col), F.col(conv).cast("string").alias("conv_id"))
     found = rows.select(key_col, "conv_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("fake")).join(
         vault.select("conv_id", "fake", "real"), ["conv_id", "fake"]
     )

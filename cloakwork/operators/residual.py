@@ -51,14 +51,15 @@ def residual_scan(text: Column) -> Column:
             found = F.filter(found, keep)
         return F.transform(found, lambda m: _finding(label, m["start"], m["end"], reason))
 
-    keys = F.flatten(F.array(*[guarded(k, kind(k, "API_KEY", "API key prefix survived")) for k in fixed.RESIDUAL_KEYS]))
+    key = lambda prefix, pattern: F.when(text.contains(prefix), kind(pattern, "API_KEY", "API key prefix survived")).otherwise(none)
+    keys = F.flatten(F.array(*[key(*k) for k in fixed.RESIDUAL_KEYS]))
     block = F.when(
         text.contains("-----BEGIN") & text.contains("PRIVATE KEY"),
         F.array(_finding("PRIVATE_KEY", F.instr(text, "-----BEGIN") - 1, F.length(text), "PEM block survived")),
     ).otherwise(none)
     return F.concat(
         guarded(r"[0-9](?:[ -]?[0-9]){12}", kind(fixed.RESIDUAL_CARD, "CREDIT_CARD", "Luhn-valid card survived", cards)),
-        guarded(r"eyJ", kind(fixed.RESIDUAL_JWT, "AUTH_TOKEN", "Valid JWT survived", signed)),
+        F.when(text.contains("eyJ"), kind(fixed.RESIDUAL_JWT, "AUTH_TOKEN", "Valid JWT survived", signed)).otherwise(none),
         keys,
         guarded(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10}", kind(fixed.RESIDUAL_IBAN, "IBAN", "Valid IBAN survived", lambda m: _sum97(m["value"]) == 1)),
         block,

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.functions.positions import let
-from cloakwork.operators.recognizers import SPANS, Config, Recognizer, no_spans, registry, spans_of
+from cloakwork.operators.recognizers import SPANS, Config, Recognizer, folded, no_spans, registry, spans_of
+from cloakwork.operators.tables import exploded
 
 #: Characters that are dropped, and dashes that become '-'.
 DROPPED = "\u200B\u200C\u200D\u2060\uFEFF\u00AD"
@@ -65,8 +66,8 @@ def collapse(spans: Column) -> Column:
     )
 
 
-def raw_spans(text: Column, recognizers: list[Recognizer]) -> Column:
-    return collapse(F.flatten(F.array(*[spans_of(text, r) for r in recognizers])))
+def raw_spans(text: Column, recognizers: list[Recognizer], low: Column | None = None) -> Column:
+    return collapse(F.flatten(F.array(*[spans_of(text, r, low) for r in recognizers])))
 
 
 def mapped_back(spans: Column, index: Column) -> Column:
@@ -77,8 +78,8 @@ def mapped_back(spans: Column, index: Column) -> Column:
 
 @lru_cache(maxsize=16)
 def _spans_column(recognizers: tuple[Recognizer, ...], gateway: int) -> Column:
-    """The spans of the column _t. Some fifty recognizers are thousands of calls to the JVM, so the column is kept for later scans."""
-    return raw_spans(F.col("_t"), list(recognizers))
+    """The spans of the column _t, _low being its lower case. Some fifty recognizers are thousands of calls to the JVM, so the column is kept for later scans."""
+    return raw_spans(F.col("_t"), list(recognizers), F.col("_low"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", config: Config = Config(), recognizers: list[Recognizer] | None = None) -> DataFrame:
@@ -89,13 +90,13 @@ def scan(docs: DataFrame, text_col: str = "text", config: Config = Config(), rec
     """
     chosen = tuple(registry(config) if recognizers is None else recognizers)
     text = F.col(text_col)
-    n = docs.withColumn("_n", _normalise(F.when(text.rlike(ODD), text))).withColumn("_t", F.coalesce("_n.text", text_col))
+    n = docs.withColumn("_n", _normalise(F.when(text.rlike(ODD), text))).withColumn("_t", F.coalesce("_n.text", text_col)).withColumn("_low", folded(F.col("_t")))
     found = F.when(F.length(text) > MAX_TEXT, F.lit(None).cast(SPANS)).when(text.isNull(), no_spans()).otherwise(_spans_column(chosen, id(docs.sparkSession.sparkContext._gateway)))
-    return n.withColumn("spans", mapped_back(found, F.col("_n.index"))).drop("_n", "_t")
+    return n.withColumn("spans", mapped_back(found, F.col("_n.index"))).drop("_n", "_t", "_low")
 
 
 def explode_spans(scanned: DataFrame, keys: list[str], text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """One row a span: the keys, the span's fields and its value."""
-    one = scanned.select(*keys, text_col, F.explode(spans_col).alias("s"))
+    one = exploded(scanned, spans_col, "s", *keys, text_col)
     value = F.substring(F.col(text_col), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return one.select(*keys, "s.*", value.alias("value"))

@@ -1,8 +1,9 @@
-"""Tables that a plan reads more than once."""
+"""Tables that a plan reads more than once, tables of few tasks, and arrays as rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -11,3 +12,18 @@ def materialised(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
     return df.checkpoint()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, over all cores where these give fewer tasks than that (a row group can't be split).
+
+    For costly narrow work. A large table has tasks enough and isn't shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def exploded(df: DataFrame, array: str | Column, name: str, *keep: str | Column) -> DataFrame:
+    """A row for each element that isn't null. explode() makes a filter on the array's size, pushed down as far as it goes:
+    a computed array is computed twice then. explode_outer() makes none."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

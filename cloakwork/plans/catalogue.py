@@ -15,7 +15,7 @@ from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
 from cloakwork.operators import audit, evaluate, mask, merge, policy, residual, scan, texts
 from cloakwork.operators.recognizers import Config, registry
-from cloakwork.operators.tables import materialised
+from cloakwork.operators.tables import exploded, materialised, spread
 from cloakwork.sources import files, requests
 
 QUERIES: dict = {}
@@ -53,7 +53,7 @@ def sql_spans(pattern: str, source: str = "documents", key: str = "doc_id", text
 
 
 def span_rows(df: DataFrame, key: str, pattern: str, text: str = "text", group: int = 0) -> DataFrame:
-    one = df.select(key, F.explode(matches(F.col(text), pattern, group)).alias("m"))
+    one = exploded(df, matches(F.col(text), pattern, group), "m", key)
     return one.select(key, "m.start", "m.end", "m.value")
 
 
@@ -163,7 +163,7 @@ def phone_spans(spark, d):
 
 # ---------------------------------------------------------------- scan, merge, mask
 def _scanned(spark, d) -> DataFrame:
-    return scan.scan(table(spark, d, "documents").select("doc_id", "source", "text"), config=Config(uncued_phones=True))
+    return scan.scan(spread(table(spark, d, "documents").select("doc_id", "source", "text")), config=Config(uncued_phones=True))
 
 
 def _merged(spark, d) -> DataFrame:
@@ -178,7 +178,7 @@ def all_spans(spark, d):
 
 @query()
 def merged_spans(spark, d):
-    return _merged(spark, d).select("doc_id", F.inline("merged"))
+    return exploded(_merged(spark, d), "merged", "m", "doc_id").select("doc_id", "m.*")
 
 
 @query()
@@ -191,7 +191,7 @@ def masked_summary(spark, d):
     """Flagship: spans found, merged and masked; per label how many, and what the residual scan still finds."""
     m = _merged(spark, d).withColumn("masked", mask.redacted(F.col("text"), F.col("merged")))
     m = m.withColumn("left", residual.residual_scan(F.col("masked")))
-    one = m.select("doc_id", F.explode("merged").alias("m"), F.size("left").alias("n_left"))
+    one = exploded(m, "merged", "m", "doc_id", F.size("left").alias("n_left"))
     return one.groupBy("m.label", "m.action").agg(F.count("*").alias("spans"), F.sum(F.col("m.end") - F.col("m.start")).alias("chars"), F.count_if(F.col("n_left") == 0).alias("safe"))
 
 
@@ -267,7 +267,7 @@ RESIDUAL_CARDS = f"""SELECT k AS doc_id, 'CREDIT_CARD' AS type, "start", "end" F
 def residual_findings(spark, d):
     """What the residual scan finds in the documents as they are."""
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.explode(residual.residual_scan(F.col("text"))).alias("f")).select("doc_id", "f.type", "f.start", "f.end")
+    return exploded(docs, residual.residual_scan(F.col("text")), "f", "doc_id").select("doc_id", "f.type", "f.start", "f.end")
 
 
 # ---------------------------------------------------------------- policy
