@@ -282,3 +282,15 @@ RESIDUAL_KEYS = (
     ("sk_", r"(?U)\bsk_(?:live|test)_[A-Za-z0-9]{16,}\b"),
 )
 RESIDUAL_IBAN = r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"
+
+# ---- fixed values: labels that count as one another when a prediction is scored by class
+LABEL_CLASSES = {
+    "person": ("person", "full name", "first name", "middle name", "last name"),
+    "card": ("card number", "payment card", "card expiry", "card cvv"),
+    "secret": ("api key", "password", "secret", "access token", "recovery code"),
+    "address": ("address", "street address", "city", "state or region", "postal code", "country"),
+    "account": ("username", "account id", "account number", "sensitive account id"),
+    "government id": ("government id", "national id number", "passport number", "drivers license number", "tax id", "tax number"),
+    "date": ("date of birth", "sensitive date", "date", "date time"),
+    "phone": ("phone number", "phone"),
+}

@@ -128,3 +128,24 @@ def newest_per_key(table: DataFrame, keys: list[str], id_col: str = "id") -> Dat
     rest = [c for c in table.columns if c not in keys]
     best = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), id_col).alias("r"))
     return best.select(*keys, "r.*").select(table.columns)
+
+
+def activity(events: DataFrame) -> DataFrame:
+    """One row: prompts masked, entities masked in them, files masked, calls blocked."""
+    of = lambda kind: F.col("event_type") == kind
+    return events.agg(
+        F.count_if(of("mask")).alias("prompts_masked"), F.coalesce(F.sum(F.when(of("mask"), F.col("entity_count"))), F.lit(0)).cast("long").alias("entities_masked"),
+        F.count_if(of("file")).alias("files_masked"), F.count_if(of("fail_closed")).alias("blocks"),
+    )
+
+
+def owned(events: DataFrame, endpoints_: DataFrame) -> DataFrame:
+    """Events whose endpoint is registered in the same organisation."""
+    return events.join(endpoints_.select("org_id", "endpoint").distinct(), ["org_id", "endpoint"], "left_semi")
+
+
+def callers(calls: DataFrame, register: DataFrame, key: str = "api_key") -> DataFrame:
+    """calls with the columns of the active row of the register, (key_hash, active, ...), that has the SHA-256 of their key; calls of others go.
+    Hashes of a register are unique, so no call is doubled."""
+    known = register.where("active").drop("active")
+    return calls.withColumn("key_hash", F.sha2(F.col(key), 256)).join(known, "key_hash").drop("key_hash", key)

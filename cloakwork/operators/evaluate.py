@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.fixed import LABEL_CLASSES
 from cloakwork.functions.positions import let
 from cloakwork.functions.validators import wilson
 
@@ -190,3 +191,30 @@ def compare_reports(before: DataFrame, after: DataFrame) -> DataFrame:
     d_r, d_p = F.col("recall_after") - F.col("recall_before"), F.col("precision_after") - F.col("precision_before")
     note = F.when(F.col("recall_before").isNull(), "new").when(F.col("recall_after").isNull(), "gone").when(d_r < -0.02, "recall fell").when(d_p < -0.05, "precision fell").otherwise("")
     return j.withColumn("note", note)
+
+
+def label_class(label: Column) -> Column:
+    """The class of a label in lower case, '_' and '-' as blanks; a label of none is a class of its own."""
+    plain = F.lower(F.translate(label, "_-", "  "))
+    return F.coalesce(*[F.when(plain.isin(*members), F.concat(F.lit("class:"), F.lit(name))) for name, members in LABEL_CLASSES.items()], plain)
+
+
+def class_totals(cases: DataFrame, by: list[str] | None = None, least_precision: float = 0.85, least_recall: float = 0.80) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 and passed, of all cases or by columns of theirs: a prediction takes the first free gold span
+    that it meets and that has a label of its class."""
+    classed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"], label_class(s["label"]).alias("label")))
+    tp = greedy_matches(classed(F.col("preds")), classed(F.col("gold")), True)
+    one = cases.select(*(by or []), tp.alias("tp"), F.size("preds").alias("n_preds"), F.size("gold").alias("n_gold"))
+    sums = one.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "n_preds", "n_gold")])
+    sums = sums.select(*(by or []), "tp", (F.col("n_preds") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
+    p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return sums.select("*", F.bround(p, 4).alias("precision"), F.bround(r, 4).alias("recall"), F.bround(f, 4).alias("f1"), ((p >= least_precision) & (r >= least_recall)).alias("passed"))
+
+
+def best_model(table: DataFrame, models: list[str], combined: str, slack: float = 0.01) -> DataFrame:
+    """table with best, the first of the models' columns that holds the highest F1, and starred: combined comes within slack of the others."""
+    f1 = {m: F.coalesce(F.col(m), F.lit(0.0)) for m in models}
+    top = F.greatest(*f1.values())
+    others = F.greatest(*[f1[m] for m in models if m != combined], F.lit(0.0))
+    best = F.coalesce(*[F.when(f1[m] == top, m) for m in models])
+    return table.withColumns({"best": best, "starred": (f1[combined] >= others - slack) & (f1[combined] > 0)})

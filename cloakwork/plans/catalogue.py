@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions import fixed
 from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
-from cloakwork.operators import audit, evaluate, mask, merge, policy, residual, scan, texts
+from cloakwork.operators import audit, detect, evaluate, mask, merge, policy, residual, scan, texts
 from cloakwork.operators.recognizers import Config, registry
 from cloakwork.operators.tables import exploded, materialised, spread
 from cloakwork.sources import files, requests
@@ -621,3 +621,99 @@ def reid_summary(spark, d):
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     best = texts.reidentification(v, q)
     return best.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("rank") == 1) & (F.col("similarity") >= 0.5)).alias("top1"), F.round(F.avg("similarity"), 6).alias("mean"))
+
+
+# ---------------------------------------------------------------- detectors, classes and callers
+NAMES = [("short", "PERSON", 0.9, ["Orre", "Eriner", "Eren"]), ("long", "ORGANIZATION", 0.25, ["Erachtz", "Enststung", "Enmentai"])]
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT k AS doc_id, "start", "end", '{label}' AS label, {score}::DOUBLE AS score, value FROM {sql_spans(chr(92) + "b(?:" + "|".join(words) + ")" + chr(92) + "b")}""" for _, label, score, words in NAMES
+    )
+)
+def dictionary_entities(spark, d):
+    """The stand-in for a model: words of a dictionary."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = docs.withColumn("spans", scan.raw_spans(F.col("text"), detect.dictionary(NAMES)))
+    return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "label", "score", "value")
+
+
+@query()
+def window_entities(spark, d):
+    """Long capitalised words as a model would report them for windows of a text; each at its best score wherever the text has it."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    pieces = exploded(docs, texts.windows(F.col("text"), 600, 60), "w", "doc_id", "text")
+    told = pieces.select("doc_id", F.regexp_extract_all(F.substring(F.col("text"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")), F.lit("[A-Z][a-z]{11,}"), F.lit(0)).alias("e"))
+    words, n = exploded(told, "e", "entity", "doc_id"), F.length("entity")
+    found = words.select("doc_id", F.when(n % 2 == 0, "PERSON").otherwise("ORGANIZATION").alias("label"), "entity", (F.least(n, F.lit(30)) / 30.0).alias("score"))
+    return detect.found_everywhere(found, docs, "doc_id")
+
+
+@query(
+    """WITH r AS (SELECT lang, 0.09 * length(text) / 1000 <= least(0.2 + 0.05 * length(text) / 1000, 0.6) AS a, lang = 'en' AS b FROM documents)
+    SELECT lang, count(*) AS texts, count(*) FILTER (NOT a OR NOT b) AS degraded, count(*) FILTER (NOT a) AS blocked,
+    sum(CASE WHEN a THEN 0 ELSE 1 END + CASE WHEN a OR b THEN 0 ELSE 1 END + CASE WHEN b THEN 0 ELSE 1 END)::BIGINT AS uncovered_labels FROM r GROUP BY 1"""
+)
+def detector_coverage(spark, d):
+    """A critical detector with a budget (labels A and B) beside one for English alone (B and C): what the texts of a language are covered for."""
+    text, n = F.col("text"), F.length("text")
+    in_time = n * F.lit(0.09) / 1000 <= detect.Budget(0.2, 0.05, 0.6).seconds(n)
+    spans = scan.raw_spans(text, [r for r in registry() if r.name == "ipv4"])
+    first = detect.report("rules", ["A", "B"], True, spans, text, in_time=in_time)
+    second = detect.report("model", ["B", "C"], False, F.array().cast(scan.SPANS), text, available=F.col("lang") == "en")
+    c = table(spark, d, "documents").select("lang", "text").withColumn("c", detect.coverage(F.array(first, second)))
+    return c.groupBy("lang").agg(F.count("*").alias("texts"), F.count_if("c.degraded").alias("degraded"), F.count_if("c.blocked").alias("blocked"), F.sum(F.size("c.uncovered")).alias("uncovered_labels"))
+
+
+@query("""SELECT CASE WHEN source LIKE 'src1%' THEN 'PERSON' WHEN source = 'src2' THEN 'LOCATION' WHEN source LIKE 'src%' THEN 'ORGANIZATION' END AS label, count(*) AS n FROM documents GROUP BY 1""")
+def model_label_mapping(spark, d):
+    """Labels mapped by the first entry that fits, whole or by prefix."""
+    label = detect.canonical_of(F.col("source"), {"SRC1*": "person", "src2": "location", "src*": "organization"})
+    return table(spark, d, "documents").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH t AS (SELECT k AS doc_id, sum(tp)::BIGINT AS tp, sum(np)::BIGINT - sum(tp)::BIGINT AS fp, sum(ng)::BIGINT - sum(tp)::BIGINT AS fn FROM (
+        SELECT coalesce(g.k, p.k) AS k, (g.k IS NOT NULL AND p.k IS NOT NULL AND g.label = p.label)::INT AS tp, (p.k IS NOT NULL)::INT AS np, (g.k IS NOT NULL)::INT AS ng FROM {GOLD_SQL} g FULL JOIN {PRED_SQL} p ON g.k = p.k AND g."start" = p."start") GROUP BY 1),
+    u AS (SELECT source, sum(coalesce(tp, 0))::BIGINT AS tp, sum(coalesce(fp, 0))::BIGINT AS fp, sum(coalesce(fn, 0))::BIGINT AS fn FROM documents LEFT JOIN t USING (doc_id) GROUP BY 1)
+    SELECT source, tp, fp, fn, {PRF.format(n=4, p="precision", r="recall", f="f1")}, (CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END >= 0.85 AND CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END >= 0.80) AS passed FROM u"""
+)
+def class_scoring_gate(spark, d):
+    """Predictions under names of their own, scored by class: card number and payment card are one."""
+    named = lambda spans, long, short: F.transform(spans, lambda s: s.withField("label", F.when(s["label"] == "LONG", long).otherwise(short)))
+    cases = _cases(spark, d).withColumns({"gold": named("gold", "CARD_NUMBER", "tax id"), "preds": named("preds", "payment-card", "passport_number"), "source": F.get("tags", 0)})
+    return evaluate.class_totals(cases, ["source"])
+
+
+F1_COLUMNS = ", ".join(f"round_even(count(*) FILTER ({c}) / count(*)::DOUBLE, 4) AS {m}" for m, c in {"SM": "l_quantity < 20", "GL": "l_discount < 0.05", "RX": "l_tax < 0.04", "CMB": "l_quantity < 23"}.items())
+
+
+@query(f"SELECT *, CASE greatest(SM, GL, RX, CMB) WHEN SM THEN 'SM' WHEN GL THEN 'GL' WHEN RX THEN 'RX' ELSE 'CMB' END AS best, CMB >= greatest(SM, GL, RX) - 0.01 AND CMB > 0 AS starred FROM (SELECT l_suppkey % 50 AS type, {F1_COLUMNS} FROM lineitem GROUP BY 1)")
+def best_model_per_type(spark, d):
+    share = lambda c: F.bround(F.count_if(c) / F.count("*"), 4)
+    q, off, tax = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    f1 = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("type")).agg(share(q < 20).alias("SM"), share(off < 0.05).alias("GL"), share(tax < 0.04).alias("RX"), share(q < 23).alias("CMB"))
+    return evaluate.best_model(f1, ["SM", "GL", "RX", "CMB"], "CMB")
+
+
+@query(f"SELECT count(*) FILTER (event_type = 'mask') AS prompts_masked, (sum(entity_count) FILTER (event_type = 'mask'))::BIGINT AS entities_masked, count(*) FILTER (event_type = 'file') AS files_masked, count(*) FILTER (event_type = 'fail_closed') AS blocks FROM {AUDIT_SQL}")
+def activity_counters(spark, d):
+    return audit.activity(audit_events(spark, d))
+
+
+@query(f"SELECT org_id, count(*) AS n FROM {AUDIT_SQL} WHERE endpoint % 4 <> 0 AND org_id = 'org' || (endpoint % 2) GROUP BY 1")
+def owned_events(spark, d):
+    """Events of endpoints that are registered, in two organisations, for their own."""
+    e = audit_events(spark, d)
+    register = e.where("endpoint % 4 <> 0").select(F.concat(F.lit("org"), F.col("endpoint") % 2).alias("org_id"), "endpoint")
+    return audit.owned(e, register).groupBy("org_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment AS org, count(*) AS calls FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0 GROUP BY 1")
+def callers_by_key(spark, d):
+    """Calls with a key, joined by its hash with the active keys of organisations."""
+    key = lambda c: F.concat(F.lit("key-"), F.col(c).cast("string"))
+    register = table(spark, d, "customer").select(F.sha2(key("c_custkey"), 256).alias("key_hash"), (F.col("c_acctbal") >= 0).alias("active"), F.col("c_mktsegment").alias("org"))
+    calls = table(spark, d, "orders").select(key("o_custkey").alias("api_key"))
+    return audit.callers(calls, register).groupBy("org").agg(F.count("*").alias("calls"))

@@ -3,15 +3,18 @@
 import hmac
 import ipaddress
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
-from cloakwork.operators import audit, evaluate, mask, merge, policy, residual, scan, texts
+from cloakwork.operators import audit, detect, evaluate, mask, merge, policy, residual, scan, texts
 from cloakwork.operators.recognizers import SPANS, Config, folded, registry
+from cloakwork.plans import catalogue
 from cloakwork.sources import files, requests
+from tests.conftest import SMALL
 
 # text, and the (label, value) that a scan must find, no more and no less
 CASES = [
@@ -228,3 +231,46 @@ def test_words_let_every_match_pass(spark):
     wrong = [(row["name"], n) for row in rows for n, r in rules.items() if row[n][1] and r.pattern and not r.cue_required and not row[n][0]]
     assert not wrong
     assert not [row["name"] for row in rows if row["name"] in rules and not row[row["name"]][0]]
+
+
+def test_reply_entities(spark):
+    text = "Ann Lee met ann lee at Acme. Acme paid."
+    replies = {
+        "offsets": ('{"entities": {"full-name": [{"text": "Ann Lee", "confidence": 1.7, "start": 0, "end": 7}]}}', [(0, 7, "FULL_NAME", 1.0)], 0),
+        "wrong offsets": ('{"entities": {"org": [{"text": "Acme", "score": 0.4, "start_char": 1, "end_char": 5}]}}', [(23, 27, "ORG", 0.4), (29, 33, "ORG", 0.4)], 0),
+        "plain": ('{"entities": {"org": ["Acme", "Nobody", ""]}}', [(23, 27, "ORG", 0.5), (29, 33, "ORG", 0.5)], 1),
+        "any case": ('{"entities": {"name": ["ANN LEE"]}}', [(0, 7, "NAME", 0.5), (12, 19, "NAME", 0.5)], 0),
+        "none": ('{"other": 1}', [], 0), "broken": ("[", [], 0), "null": (None, [], 0),
+    }
+    rows = spark.createDataFrame([(k, r) for k, (r, _, _) in replies.items()], "k string, reply string").select("k", detect.entities_of(F.col("reply"), F.lit(text)).alias("x"))
+    for row in rows.collect():
+        _, spans, lost = replies[row["k"]]
+        assert sorted((s["start"], s["end"], s["label"], s["score"]) for s in row["x"]["spans"]) == spans, row["k"]
+        assert row["x"]["unlocated"] == lost, row["k"]
+
+
+def test_detectors_report_and_cover(spark):
+    span = "array(struct(0 as start, 3 as end, 'A' as label, 0.5D as score, 't' as source, true as validated, false as context))"
+    docs = spark.sql(f"select 'abc' as text, {span} as good union all select 'ab', {span} union all select 'abc', null")
+    text = F.col("text")
+    reports = F.array(detect.report("one", ["A", "B"], True, F.col("good"), text), detect.report("two", ["B"], False, F.array().cast(SPANS), text, available=F.lit(True)))
+    rows = docs.select(F.transform(reports, lambda r: r["status"]).alias("s"), detect.coverage(reports).alias("c"), F.size(detect.all_found(reports)).alias("n")).collect()
+    assert [r["s"] for r in rows] == [["ok", "ok"], ["invalid_output", "ok"], ["failed", "ok"]]
+    assert [(r["c"]["degraded"], r["c"]["blocked"], r["c"]["covered"], r["c"]["uncovered"], r["n"]) for r in rows] == [
+        (False, False, ["A", "B"], [], 1), (True, True, ["B"], ["A"], 0), (True, True, ["B"], ["A"], 0),
+    ]
+
+
+def test_window_entities_like_plain_python(spark):
+    docs = catalogue.table(spark, SMALL, "documents").select("doc_id", "text").collect()
+    want = set()
+    for doc_id, text in docs:
+        for word in set(re.findall("[A-Z][a-z]{11,}", text)):
+            exact = [m.span() for m in re.finditer(rf"(?<!\w){word}(?!\w)", text)]
+            for a, b in exact:
+                want.add((doc_id, a, b, "PERSON" if len(word) % 2 == 0 else "ORGANIZATION"))
+    got = [(r["doc_id"], r["start"], r["end"], r["label"]) for r in catalogue.window_entities(spark, SMALL).collect() if r["score"] > 0]
+    whole = {(d, a, b, x) for d, a, b, x in got}
+    assert want and want <= whole and len(got) == len(whole)
+    # what else there is lies in a text that has the word as a part of another alone: there any case counts
+    assert all(dict(docs)[d][a:b].isalpha() for d, a, b, _ in whole - want)
