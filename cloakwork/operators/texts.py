@@ -50,14 +50,15 @@ ANCHOR = 8
 
 
 def holding(texts: DataFrame, values: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, value) of the texts that hold a value: joined on the values' first characters, then compared, so texts and values
-    are never all paired. Positions of a text that start no value are dropped in the join."""
+    """(key, value) of the texts that hold a value; texts without a key can't be named and are left out.
+
+    The distinct runs of ANCHOR characters of a text, cut out in one pass, are joined with the values' first characters; only
+    the pairs that are left meet the text again and are compared, so texts and values are never all paired.
+    """
     v = values.select("value", F.substring("value", 1, ANCHOR).alias("_a"))
-    n = F.length(text_col) - ANCHOR + 1
-    at = F.when(n > 0, F.sequence(F.lit(1), n))
-    anchors = F.transform(at, lambda i: F.struct(i.alias("i"), F.substring(F.col(text_col), i, F.lit(ANCHOR)).alias("a")))
-    t = texts.select(key, text_col, F.explode(anchors).alias("x")).select(key, text_col, F.col("x.i").alias("_i"), F.col("x.a").alias("_a"))
-    hit = t.join(v, "_a").where(F.substring(F.col(text_col), F.col("_i"), F.length("value")) == F.col("value"))
+    runs = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{ANCHOR}}}))"), F.lit(1)))
+    near = texts.select(key, F.explode(runs).alias("_a")).join(v, "_a").select(key, "value").distinct()
+    hit = texts.select(key, text_col).join(near, key).where(F.contains(F.col(text_col), F.col("value")))
     return hit.select(key, "value").distinct()
 
 
