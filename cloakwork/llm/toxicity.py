@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 fit() takes at most MAX_EXAMPLES labelled rows (those with the least hash of
-their id; a documented bound), keeps the terms whose presence goes with the
-label, weighs them by their document frequency in the whole corpus and indexes
-the examples: postings in blocks of BLOCK examples, with the largest weight of
-each term in each block. A query bounds every block by its largest weights,
-visits blocks from the highest bound down and stops when no bound exceeds the
-K-th best cosine: the same neighbours as by brute force. Votes weighted by
+their id; a documented bound) and indexes every term of their texts, weighed by
+its document frequency in the whole corpus; terms whose presence doesn't go with
+the label count OTHER of that. Examples lie in blocks of BLOCK, by weight, with the
+largest weight of each common term in each block. A query adds up the postings of
+its rare terms, bounds every block by these sums and the largest weights of its
+common terms, visits blocks from the highest bound down and stops when no bound
+exceeds the K-th best cosine: the same neighbours as by brute force. Terms that no example has would scale all cosines
+of a text alike, and are left out of its norm. Votes weighted by
 similarity, and PRIOR_WEIGHT votes at the base rate of examples without evidence,
 give a raw score; a logistic fit of leave-one-out votes calibrates it.
 
@@ -24,6 +26,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,15 +38,17 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.shared import staged, words
 
-MAX_EXAMPLES, MAX_TERMS, BLOCK, K = 4000, 2000, 64, 15
-#: Least chi-square (one degree of freedom) and examples of a term that is indexed.
-MIN_CHI2, MIN_EXAMPLES = 25.0, 3
+MAX_EXAMPLES, BLOCK, K = 4000, 64, 15
+#: Least chi-square (one degree of freedom) and examples of a term that goes with the label, and what other terms weigh.
+MIN_CHI2, MIN_EXAMPLES, OTHER = 25.0, 3, 0.1
+#: A term that one example in DENSE has is common.
+DENSE = 4
 PRIOR_WEIGHT = 0.5
 
 
 @dataclass
 class ToxicityIndex:
-    """Bounded by MAX_EXAMPLES and MAX_TERMS, whatever the corpus holds."""
+    """Bounded by MAX_EXAMPLES and their texts, whatever the corpus holds."""
 
     ids: np.ndarray  # example ids, in index order
     labels: np.ndarray
@@ -51,46 +56,73 @@ class ToxicityIndex:
     base: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
-    postings: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
-    bounds: dict[str, np.ndarray] = field(default_factory=dict)
-
-    @property
-    def n_blocks(self) -> int:
-        return -(-len(self.ids) // BLOCK)
+    rows: dict[str, int] = field(default_factory=dict)  # terms that have postings
+    n_blocks: int = 0
 
     def vector(self, tf: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items() if t in self.idf}
+        idf = self.idf
+        v = {t: (1 + math.log(n)) * idf[t] if n > 1 else idf[t] for t, n in tf.items() if t in idf}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()} if norm else {}
 
     def build(self, vectors: list[dict[str, float]]) -> None:
-        raw: dict[str, list[tuple[int, float]]] = {}
+        """Rare terms as postings; terms that one example in DENSE has as columns of each block, with their largest weights."""
+        row, example, weight = array("i"), array("i"), array("d")
         for i, v in enumerate(vectors):
-            for t, x in v.items():
-                raw.setdefault(t, []).append((i, x))
-        for t, found in raw.items():
-            blocks: dict[int, list[tuple[int, float]]] = {}
-            for i, x in found:
-                blocks.setdefault(i // BLOCK, []).append((i % BLOCK, x))
-            self.postings[t] = {b: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for b, p in blocks.items()}
-            self.bounds[t] = np.array([max((x for _, x in blocks.get(b, [])), default=0.0) for b in range(self.n_blocks)])
+            row.extend([self.rows.setdefault(t, len(self.rows)) for t in v])
+            example.extend([i] * len(v))
+            weight.extend(v.values())
+        r, w = np.array(row, dtype=np.int64), np.array(weight)
+        self.weigh = np.array([self.idf[t] for t in self.rows])
+        # short texts have the large weights: they share blocks, and don't loosen the bounds of others
+        self.example = np.argsort([-max(v.values(), default=0.0) for v in vectors], kind="stable")
+        place = np.empty(len(vectors), dtype=np.int64)
+        place[self.example] = np.arange(len(vectors))
+        p = place[np.array(example, dtype=np.int64)]
+        self.n_blocks = -(-len(vectors) // BLOCK)
+        df = np.bincount(r, minlength=len(self.rows))
+        self.column = np.where(df * DENSE >= len(vectors), np.cumsum(df * DENSE >= len(vectors)) - 1, -1)  # of the common terms
+        common = self.column[r] >= 0
+        self.dense = np.zeros((self.n_blocks, BLOCK, int(self.column.max(initial=-1)) + 1))
+        self.dense[p[common] // BLOCK, p[common] % BLOCK, self.column[r[common]]] = w[common]
+        self.most = self.dense.max(axis=1, initial=0.0)
+        r, p, w = r[~common], p[~common], w[~common]
+        by = np.lexsort((p, r))
+        self.place, self.weight = p[by], w[by]
+        self.first = np.searchsorted(r[by], np.arange(len(self.rows) + 1))
 
     def nearest(self, q: dict[str, float], k: int = K, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, index) of the k best examples of cosine over 0, best first. skip: an example left out."""
-        q = {t: x for t, x in q.items() if t in self.postings}
-        if not q:
+        found = [(self.rows[t], x) for t, x in q.items() if t in self.rows]
+        if not found:
             return []
-        bound = sum(x * self.bounds[t] for t, x in q.items())
+        return self.search(np.array([i for i, _ in found]), np.array([x for _, x in found]), k, skip)
+
+    def search(self, r: np.ndarray, x: np.ndarray, k: int = K, skip: int = -1) -> list[tuple[float, int]]:
+        """nearest() of the terms in rows r, of weights x."""
+        column = self.column[r]
+        rare = column < 0
+        p, y = ranges(self.first[r[rare]], self.first[r[rare] + 1], x[rare])
+        scores = np.bincount(self.place[p], y * self.weight[p], minlength=self.n_blocks * BLOCK).reshape(self.n_blocks, BLOCK)
+        dense = np.zeros(self.most.shape[1])
+        dense[column[~rare]] = x[~rare]
+        bound = scores.max(axis=1) + self.most @ dense
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
+        done, step = 0, 8
+        while done < len(order):
+            least = -best[-1][0] - 1e-12 if len(best) == k else 0.0
+            group = order[done : done + step]
+            group = group[(bound[group] > 0) & (bound[group] >= least)]
+            if not len(group):
                 break
-            scores = np.zeros(BLOCK)
-            for t, x in q.items():
-                if (p := self.postings[t].get(int(b))) is not None:
-                    scores[p[0]] += x * p[1]
-            hits = np.flatnonzero(scores > 0)
-            best = sorted(best + [(-round(float(scores[i]), 12), int(b) * BLOCK + int(i)) for i in hits if int(b) * BLOCK + i != skip])[:k]
+            found = (scores[group] + self.dense[group] @ dense).ravel()
+            hits = np.flatnonzero((found > 0) & (found >= least - 1e-12))
+            if len(hits) > 2 * k:  # what can't be among the k best, even with one example left out, goes before the sort
+                hits = hits[found[hits] >= np.partition(found[hits], -k - 1)[-k - 1] - 1e-9]
+            index = self.example[group[hits // BLOCK] * BLOCK + hits % BLOCK]
+            best = sorted(best + [(-round(s, 12), i) for s, i in zip(found[hits].tolist(), index.tolist()) if i != skip])[:k]
+            done, step = done + step, 4 * step
         return [(-s, i) for s, i in best]
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -104,12 +136,25 @@ class ToxicityIndex:
         """The score, and the ids of the neighbours that voted."""
         if not self.idf:
             return self.base, []
-        found = self.nearest(self.vector(Counter(words(text))))
+        rows = self.rows
+        terms = [(rows[t], n) for t, n in Counter(words(text)).items() if t in rows]
+        if not terms:
+            return self.base, []
+        r, n = np.array(terms, dtype=np.int64).T
+        x = (1 + np.log(n)) * self.weigh[r]
+        found = self.search(r, x / math.sqrt(x @ x))
         if not found:
             return self.base, []
         return self.calibrated(self.vote(found)), [int(self.ids[i]) for _, i in found]
 
 
+def ranges(start: np.ndarray, end: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one after the other, and the x of the range each comes from."""
+    n = end - start
+    shift = start - np.cumsum(n) + n
+    return np.repeat(shift, n) + np.arange(n.sum()), np.repeat(x, n)
+
+
 def calibrate(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and shift of a logistic fit by Newton's method with a small ridge."""
     x = np.column_stack([votes, np.ones_like(votes)])
@@ -130,7 +175,7 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """Documents in all, and those that have each of the given terms (MAX_TERMS at most): one row a task and term is shuffled."""
+    """Documents in all, and those that have each of the given terms (those of the examples): one row a task and term is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +187,8 @@ def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str
         yield pd.DataFrame(list(seen.items()), columns=["term", "n"])
 
     counted = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r["term"]: r["n"] for r in counted.collect()}
+    sums = counted.toArrow()
+    found = dict(zip(sums["term"].to_pylist(), sums["n"].to_pylist()))
     return found.pop("", 0), found
 
 
@@ -161,22 +207,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
 
     n, pos = len(ids), float(ys.sum())
     own = terms.where("tf > 0").dropDuplicates(["doc_id", "term"]).join(F.broadcast(chosen.select("doc_id")), "doc_id")
-    a, df = F.col("a"), F.col("df")
-    chi2 = F.lit(float(n)) * F.pow(a * n - df * pos, 2) / (df * pos * (n - df) * (n - pos))
-    picked = (
-        own.groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("a"))
-        .where((df >= MIN_EXAMPLES) & (df < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-        .orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
-    )
-    picked = staged(picked.select("term"), "picked")
-    names = [r["term"] for r in picked.collect()]
+    # the examples' own terms, as codes: MAX_EXAMPLES texts at most
+    held = own.select("doc_id", "term", "tf").toArrow().combine_chunks()
+    place = {int(i): x for x, i in enumerate(ids)}
+    coded = held["term"].combine_chunks().dictionary_encode()
+    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    doc, count = np.array([place[i] for i in held["doc_id"].to_pylist()], dtype=np.int64), held["tf"].to_numpy()
+    df, a = np.bincount(code, minlength=len(names)), np.bincount(code, ys[doc], minlength=len(names))
+    chi2 = n * (a * n - df * pos) ** 2 / np.maximum(df * pos * (n - df) * (n - pos), 1.0)
+    share = np.where((df >= MIN_EXAMPLES) & (df < n) & (chi2 >= MIN_CHI2), 1.0, OTHER)
     total, seen = document_frequency(docs, names)
-    idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in names}
+    idf = {t: float(x) * (math.log((1 + total) / (1 + seen.get(t, 0))) + 1) for t, x in zip(names, share)}
     index = ToxicityIndex(ids, ys, idf)
-    tf: dict[int, dict[str, int]] = {}
-    for r in own.join(F.broadcast(picked), "term").select("doc_id", "term", "tf").collect():  # MAX_EXAMPLES x MAX_TERMS at most
-        tf.setdefault(r["doc_id"], {})[r["term"]] = r["tf"]
-    vectors = [index.vector(tf.get(int(i), {})) for i in ids]
+    tf: list[dict[str, int]] = [{} for _ in ids]
+    for d, c, m in sorted(zip(doc.tolist(), code.tolist(), count.tolist()), key=lambda x: (x[0], names[x[1]])):  # the same sums in every run
+        tf[d][names[c]] = m
+    vectors = [index.vector(x) for x in tf]
     bare = np.array([not v for v in vectors])
     index.base = float(ys[bare].mean()) if bare.any() else 0.0
     index.build(vectors)

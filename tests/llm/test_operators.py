@@ -149,6 +149,16 @@ def test_toxicity_held_out(spark):
     assert {r.tox_score for r in only} == {1.0}
 
 
+def test_toxicity_indexes_every_term(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join([f"only{i}", *rng.choices([f"word{j}" for j in range(200)], k=20), *(["vile"] * (i % 4 == 0))])) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, label int")
+    queries_ = [(1000 + i, f"Only{i}, unseen") for i in range(200)] + [(2000, "unseen"), (2001, " ".join(f"word{j}" for j in range(40)))]
+    got = {r.doc_id: r.tox_evidence for r in toxicity.toxicity(docs_of(spark, rows + queries_), labels).collect()}
+    assert all(got[1000 + i] == [i] for i in range(200))  # a word of one example finds it, whatever its label
+    assert got[2000] == [] and len(got[2001]) == toxicity.K
+
+
 # ---- 3 decontamination
 def test_decontamination(spark):
     rng = random.Random(3)
