@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence of a document goes one span: the shortest run of sentences
-from there that has MIN_SENTENCES sentences and MIN_WORDS words, or is one
-sentence of LONG_SENTENCE words. Spans are compared by a 128-bit hash of their
+Spans are, from and up to every sentence of a document, the shortest run of
+sentences that has MIN_SENTENCES sentences and MIN_WORDS words, and every single
+sentence of LONG_SENTENCE words: any repeated run of that size is covered from
+its first sentence to its last. Spans are compared by a 128-bit hash of their
 lower-case words, so blanks and punctuation don't matter. All documents' spans
 are grouped by hash; the first one (by doc_id, then position) stays, and
 sentences that any other span of a repeated hash covers are removed.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -47,17 +49,23 @@ def spans(text: str | None) -> list[tuple[int, int, bytes]]:
     found = [(i, w) for i, (a, b) in enumerate(sentences(text)) if (w := words(text[a:b]))]
     joined = [" ".join(w) for _, w in found]
     sizes = [len(w) for _, w in found]
-    out = []
-    for x, (first, _) in enumerate(found):
-        y, n = x, sizes[x]
-        if n < LONG_SENTENCE:
-            while y + 1 < len(found) and (y - x + 1 < MIN_SENTENCES or n < MIN_WORDS):
-                y += 1
-                n += sizes[y]
-            if y - x + 1 < MIN_SENTENCES or n < MIN_WORDS:
-                break  # the rest of the text is too short for a span
-        out.append((first, found[y][0], xxhash.xxh3_128_digest(" ".join(joined[x : y + 1]))))
-    return out
+    at = [0, *accumulate(sizes)]
+    runs = {(x, x) for x, n in enumerate(sizes) if n >= LONG_SENTENCE}
+    y = 0
+    for x in range(len(sizes)):
+        y = max(y, x + MIN_SENTENCES - 1)
+        while y < len(sizes) and at[y + 1] - at[x] < MIN_WORDS:
+            y += 1
+        if y >= len(sizes):
+            break  # the rest of the text is too short for a span
+        runs.add((x, y))
+    x = 0
+    for y in range(MIN_SENTENCES - 1, len(sizes)):
+        while x + MIN_SENTENCES <= y and at[y + 1] - at[x + 1] >= MIN_WORDS:
+            x += 1
+        if at[y + 1] - at[x] >= MIN_WORDS:
+            runs.add((x, y))
+    return [(found[x][0], found[y][0], xxhash.xxh3_128_digest(" ".join(joined[x : y + 1]))) for x, y in sorted(runs)]
 
 
 def document_spans(docs: DataFrame) -> DataFrame:

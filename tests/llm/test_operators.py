@@ -347,5 +347,16 @@ def test_substring_dedup(spark):
     assert substring_dedup.without_repeats(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(52, 45), (60, 3), (15, 15, 3), (3, 15, 15), (70, 2, 2, 60, 4)])
+def test_substring_dedup_covers_a_repeated_run_to_its_end(spark, sizes):
+    rng = random.Random(10)
+    sentence = lambda n=12: " ".join(rng.choices([f"s{i}" for i in range(5000)], k=n)).capitalize() + "."
+    passage = [sentence(n) for n in sizes]
+    rows = [(d, " ".join([sentence(), sentence(), *passage, sentence(), sentence()])) for d in range(3)]
+    got = {r.doc_id: r for r in substring_dedup.without_repeats(docs_of(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and [got[d].n_removed for d in range(3)] == [0, len(sizes), len(sizes)]
+    assert not any(x in got[d].text for d in (1, 2) for x in passage)
+
+
 def test_registered_queries_have_a_number_each():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
