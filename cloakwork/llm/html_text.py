@@ -6,9 +6,13 @@ scripts and styles. render() emits all visible text: blocks on their own lines
 with the blank lines that browsers give them, list markers with indents, cells
 aligned in columns, preformatted text as it stands.
 
-Hidden are head matter, scripts, styles, templates, form values, elements with
-the hidden attribute, aria-hidden="true" or an inline display: none or
-visibility: hidden, and closed details but for their summary.
+Hidden are head matter, scripts, styles, templates, data lists, what stands in
+for frames and media, drawing definitions, annotations of formulas, values of
+inputs that show none, elements with the hidden attribute, aria-hidden="true" or
+an inline display: none or visibility: hidden, and closed details but for their
+summary. Form fields give what they show: their value, or else their placeholder.
+The parts of a formula that stand over, under or beside each other get a blank
+between them, and so do the texts of a drawing.
 
 Defined results
 * Null and empty pages, and pages without visible text, give ''.
@@ -32,7 +36,12 @@ from pyspark.sql import functions as F
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes noscript iframe template".split())
-HIDDEN = frozenset("head title script style template noscript iframe noframes object svg math select datalist textarea input canvas audio video meta link base".split())
+HIDDEN = frozenset("head title script style template noscript iframe noframes datalist canvas audio video meta link base annotation annotation-xml".split())
+#: Of drawings: what isn't drawn where it stands. Of formulas: elements whose parts stand apart.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask".split())
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtr mtd mtable".split())
+#: Types of input that show no text.
+NO_TEXT = frozenset("hidden checkbox radio password file color range".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr".split()
@@ -123,11 +132,12 @@ def build(page: str) -> Node:
             close(last)
         node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else None)
         open_[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "math", "path", "use"):
+        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "math", "path", "use") or count["svg"] > 0 or count["math"] > 0):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else len(page)])
+            raw = page[at : end.start() if end else len(page)]
+            node.children.append(entities.unescape(raw) if tag == "textarea" else raw)
             at = end.end() if end else len(page)
             continue
         open_.append(node)
@@ -142,6 +152,17 @@ def visible(node: Node) -> bool:
     return not a or not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and _UNSEEN.search(a["style"])))
 
 
+def shown(field: Node) -> str:
+    """The text that an input or a textarea shows."""
+    a = field.attrs
+    if field.tag == "textarea":
+        return "".join(field.children).replace("\r\n", "\n").removeprefix("\n") or a.get("placeholder", "")
+    kind = a.get("type", "").strip().lower()
+    if kind == "image":
+        return a.get("alt", "")
+    return "" if kind in NO_TEXT else a.get("value") or a.get("placeholder", "")
+
+
 def width(text: str) -> int:
     """Columns that a text takes: wide characters two, combining ones none."""
     if text.isascii():
@@ -193,24 +214,36 @@ class Lines:
             self.end_line()
 
 
-def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells (text of one or more lines, columns spanned) aligned by column, two blanks between."""
+def table_lines(rows: list[list[tuple[str, int, int]] | None]) -> list[str]:
+    """Cells (text of one or more lines, columns and rows spanned) aligned by column, two blanks between. None parts groups of rows, which no cell spans."""
     grid: list[list[tuple[list[str], int, int]]] = []
     widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  # columns under a spanning cell: rows left
     for row in rows:
+        if row is None:
+            taken = {}
+            continue
         cells, col = [], 0
-        for text, span in row:
+        below = {c: n - 1 for c, n in taken.items() if n > 1}
+        for text, span, down in row:
+            while col in taken:
+                col += 1
             parts = text.split("\n") if text else [""]
             cells.append((parts, col, span))
             if span == 1:
                 widths[col] = max(widths.get(col, 0), max(map(width, parts)))
+            if down > 1:
+                below.update(dict.fromkeys(range(col, col + span), down - 1))
             col += span
+        taken = below
         grid.append(cells)
     out = []
     for cells in grid:
         for k in range(max((len(p) for p, _, _ in cells), default=0)):
-            line, due = [], 0
+            line, due, at = [], 0, 0
             for parts, col, span in cells:
+                due += sum(widths.get(c, 0) + 2 for c in range(at, col))
+                at = col + span
                 piece = parts[k] if k < len(parts) else ""
                 room = sum(widths.get(c, 0) + 2 for c in range(col, col + span))
                 line.append(" " * due + piece)
@@ -225,7 +258,8 @@ def render(root: Node) -> str:
     # tables under way: rows of cells, and the output that the table interrupts
     stack: list = [root]
     counters: list[int] = []
-    outer: list[tuple[Lines, list[list[tuple[str, int]]]]] = []
+    outer: list[tuple[Lines, list[list[tuple[str, int, int]] | None]]] = []
+    drawings = 0  # open svg elements
     while stack:
         item = stack.pop()
         if callable(item):
@@ -244,6 +278,41 @@ def render(root: Node) -> str:
             else:
                 out.gap = max(out.gap, 1)
             continue
+        if tag == "svg":
+            drawings += 1
+
+            def drawn() -> None:
+                nonlocal drawings
+                drawings -= 1
+
+            stack += [drawn, *later]
+            continue
+        if drawings and tag in UNDRAWN:
+            continue
+        if tag in APART or drawings and tag == "text":
+            out.inline(" ")
+            for c in later if tag in APART else (later,):
+                stack += [" ", *(c if isinstance(c, list) else [c])]
+            continue
+        if tag in ("input", "textarea"):
+            lines = shown(item).split("\n")
+            if len(lines) > 1:
+                out.block(0)
+                out.whole(lines)
+            elif lines[0]:
+                for part in (" ", lines[0], " "):
+                    out.inline(part)
+            continue
+        if tag in ("option", "optgroup"):
+            out.block(0)
+            if item.attrs.get("label"):
+                out.inline(item.attrs["label"])
+                if tag == "option":
+                    later = []
+                else:
+                    out.block(0)
+            stack += [lambda: out.block(0), *later]
+            continue
         if tag == "img":
             if item.attrs.get("alt"):
                 out.inline(item.attrs["alt"])
@@ -275,17 +344,22 @@ def render(root: Node) -> str:
             outer[-1][1].append([])
             stack += later
             continue
+        if tag in ROWS and outer:
+            outer[-1][1].append(None)
+            stack += [lambda rows=outer[-1][1]: rows.append(None), *later]
+            continue
         if tag in CELLS and outer:
             rows = outer[-1][1]
-            if not rows:
+            if not rows or rows[-1] is None:
                 rows.append([])
             before, out = out, Lines()
-            span = item.attrs.get("colspan", "1")
+            span, down = item.attrs.get("colspan", "1"), item.attrs.get("rowspan", "1")
 
-            def cell_done(before=before, row=rows[-1], span=span) -> None:
+            def cell_done(before=before, row=rows[-1], span=span, down=down) -> None:
                 nonlocal out
                 out.end_line()
-                row.append(("\n".join(out.lines), min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() else 1))
+                n = min(int(down), 65534) if down.isascii() and down.isdigit() else 1
+                row.append(("\n".join(out.lines), min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() else 1, n or 65534))
                 out = before
 
             stack += [cell_done, *later]
@@ -353,6 +427,8 @@ def _plain(node: Node) -> str:
             out.append(x)
         elif x.tag == "br":
             out.append("\n")
+        elif x.tag in ("input", "textarea") and visible(x):
+            out.append(shown(x))
         elif visible(x):
             stack += reversed(x.children)
     return "".join(out)

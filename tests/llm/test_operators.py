@@ -259,6 +259,23 @@ def test_html(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.", "so x=2."), ("a <math><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b", "a 1 2 b"),
+        ("<math><semantics><mi>y</mi><annotation>tex</annotation></semantics></math>", "y"),
+        ("a<svg><title>t</title><defs><text>no</text></defs><text>one</text><text>two</text></svg>b", "a one two b"), ("<svg><title/><circle/></svg>rest", "rest"),
+        ("<textarea>\na &lt;b&gt;\n  c</textarea>d", "a <b>\n  c\nd"), ("<textarea placeholder=say></textarea>", "say"),
+        ("x<select><optgroup label=G><option>a<option selected>b</optgroup></select>y", "x\nG\na\nb\ny"), ("<datalist><option>n</datalist>y", "y"),
+        ("<object data=x><p>instead</object>", "instead"), ("<label>Name<input value='A B'></label>:", "Name A B :"), ("<input type=hidden value=n><input type=submit value=Go>", "Go"),
+        ("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>", "ab  c\n    d\ne   f"), ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b   c\nd      e"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<pre>a<input value=v></pre>", "av"),
+    ],
+)
+def test_html_shows_formulas_drawings_fields_and_spanning_rows(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_html_depth_and_table(spark):
     assert html_text.extract("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
     pages = spark.createDataFrame([(1, "<p>a", "t"), (2, None, "t"), (1, "<p>a", "t"), (None, "b", "t")], "page_id long, html string, text string")
