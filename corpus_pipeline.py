@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 All but the last return the columns of documents, whatever else these hold; rows
-that repeat are one document for exact dedup, and rows without doc_id can't be
-named by an index, so only the row-wise stages judge them.
+that repeat are one document for exact dedup. Near dedup and decontamination
+judge every row by itself, under a key of its own: also rows without a doc_id,
+and rows that share one.
 """
 
 from __future__ import annotations
@@ -41,17 +42,26 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with the column _row, a key that stays since the table is staged; and (doc_id, text) with that key for doc_id."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return rows, rows.select(F.col("_row").alias("doc_id"), "text")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies the row with the smallest id stays (one without an id comes last)."""
+    rows, texts = keyed(docs)
+    found = near_duplicates(texts).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(staged(kept, "kept"), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = staged(contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, texts = keyed(docs)
+    gone = staged(contamination(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

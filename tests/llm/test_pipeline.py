@@ -51,3 +51,14 @@ def test_stages_keep_columns_and_bear_awkward_rows(spark):
             assert found == [] or set(found) >= {0, 1}, name
     kept = cp.exact_dedup_stage(spark, docs, SMALL).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2]
+
+
+def test_stages_judge_rows_without_an_id_and_rows_that_share_one(spark):
+    item = pd.read_parquet(f"{SMALL}/benchmark.parquet").text.iloc[0]
+    body = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, f"Start. {item} End."), (1, "A clean text of the same id."), (None, f"Other. {item} Stop."), (None, "A clean text without an id."), (7, body), (None, body + " more"), (7, "Nothing like it, of id seven.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {(r.doc_id, r.text) for r in cp.decontamination_stage(spark, docs, SMALL).collect()}
+    assert clean == {rows[i] for i in (1, 3, 4, 5, 6)}
+    once = {(r.doc_id, r.text) for r in cp.near_dedup_stage(spark, docs, SMALL).collect()}
+    assert once == {rows[i] for i in (0, 1, 2, 3, 4, 6)}
