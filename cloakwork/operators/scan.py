@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.functions.positions import let
-from cloakwork.operators.recognizers import SPANS, Config, Recognizer, folded, no_spans, registry, spans_of
+from cloakwork.operators.recognizers import Config, Recognizer, folded, no_spans, registry, spans_of
 from cloakwork.operators.tables import exploded
 
 #: Characters that are dropped, and dashes that become '-'.
@@ -27,7 +27,6 @@ ODD = (
     r"[\u00A0-\u00BF\u0132-\u0133\u013F-\u0140\u0149\u017F\u01C4-\u01CC\u01F1-\u01F3\u02B0-\u02DD\u02E0-\u02E4\u0340-\u0344\u0374\u037A\u037E\u0384-\u0387\u03D0-\u03D6\u03F0-\u03FA\u0587\u0675-\u0678\u0E33\u0EB3\u0EDC-\u0ED"
     r"D\u0F0C\u0F77\u0F79\u10FC\u1D2C-\u1DBF\u1E9A-\u1E9B\u1FBD-\u1FFE\u2000-\u2BFF\u2C7C-\u2C7D\u2D6F\u2E9F\u2EF3\u2F00-\u2FD5\u3000-\u33FF\uA69C-\uA69D\uA770\uA7F1-\uA7F9\uAB5C-\uAB69\uF900-\uFDFF\uFE00-\uFEFF\uFF00-\uFFEF\x{1D400}-\x{1F2FF}\x{2F800}-\x{2FA1F}]"
 )
-MAX_TEXT = 2_000_000
 
 
 def normalised(text: str) -> tuple[str, list[int]]:
@@ -83,7 +82,7 @@ def _spans_column(recognizers: tuple[Recognizer, ...], gateway: int) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", config: Config = Config(), recognizers: list[Recognizer] | None = None) -> DataFrame:
-    """docs with the column spans: array<SPAN>. A null text has no spans; a text over MAX_TEXT characters has null spans.
+    """docs with the column spans: array<SPAN>. A null text has no spans; texts of any length are scanned whole.
 
     One pass: texts with odd characters get their normal form in Python, of all
     other rows only a null goes there.
@@ -91,7 +90,7 @@ def scan(docs: DataFrame, text_col: str = "text", config: Config = Config(), rec
     chosen = tuple(registry(config) if recognizers is None else recognizers)
     text = F.col(text_col)
     n = docs.withColumn("_n", _normalise(F.when(text.rlike(ODD), text))).withColumn("_t", F.coalesce("_n.text", text_col)).withColumn("_low", folded(F.col("_t")))
-    found = F.when(F.length(text) > MAX_TEXT, F.lit(None).cast(SPANS)).when(text.isNull(), no_spans()).otherwise(_spans_column(chosen, id(docs.sparkSession.sparkContext._gateway)))
+    found = F.when(text.isNull(), no_spans()).otherwise(_spans_column(chosen, id(docs.sparkSession.sparkContext._gateway)))
     return n.withColumn("spans", mapped_back(found, F.col("_n.index"))).drop("_n", "_t", "_low")
 
 

@@ -274,3 +274,11 @@ def test_window_entities_like_plain_python(spark):
     assert want and want <= whole and len(got) == len(whole)
     # what else there is lies in a text that has the word as a part of another alone: there any case counts
     assert all(dict(docs)[d][a:b].isalpha() for d, a, b, _ in whole - want)
+
+
+def test_texts_of_any_length_are_scanned(spark):
+    text = "first@example.com " + "plain words here " * 130_000 + "last@example.com"
+    assert len(text) > 2_000_000
+    d = scan.scan(spark.createDataFrame([(1, text)], "id long, text string"), config=Config(enabled_labels=frozenset({"EMAIL"})))
+    got = scan.explode_spans(d, ["id"]).collect()
+    assert [(r.start, r.end, r.value) for r in got] == [(0, 17, "first@example.com"), (len(text) - 16, len(text), "last@example.com")]
