@@ -528,7 +528,7 @@ def overlap_classes(spark, d):
 @query()
 def bootstrap_recall(spark, d):
     s = evaluate.scored(_cases(spark, d)).select("doc_id", F.aggregate("leaks", F.lit(0), lambda a, x: a + x["hit"]).alias("hit"), F.aggregate("leaks", F.lit(0), lambda a, x: a + x["chars"]).alias("chars"))
-    return evaluate.bootstrap(s.where("chars > 0"), "doc_id", "hit", "chars", resamples=200)
+    return evaluate.bootstrap(s.where("chars > 0"), "doc_id", "hit", "chars")
 
 
 # ---------------------------------------------------------------- texts, requests, pages

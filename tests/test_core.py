@@ -282,3 +282,10 @@ def test_texts_of_any_length_are_scanned(spark):
     d = scan.scan(spark.createDataFrame([(1, text)], "id long, text string"), config=Config(enabled_labels=frozenset({"EMAIL"})))
     got = scan.explode_spans(d, ["id"]).collect()
     assert [(r.start, r.end, r.value) for r in got] == [(0, 17, "first@example.com"), (len(text) - 16, len(text), "last@example.com")]
+
+
+def test_bootstrap_recall_takes_all_resamples(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(evaluate, "bootstrap", lambda *a, resamples=1000, **k: taken.append(resamples))
+    catalogue.QUERIES["bootstrap_recall"](spark, SMALL)
+    assert taken == [1000]
