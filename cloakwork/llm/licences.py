@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +29,21 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and"
+    " the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+    " conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_DISCLAIMER = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED'
+    " TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR"
+    " CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,"
+    " PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF"
+    " LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+    " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 #: Public licence notices as their stewards publish them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -64,6 +80,20 @@ TEMPLATES = {
         " the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
         " conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
+    "BSD-2-Clause-full": _BSD + _BSD_DISCLAIMER,
+    "BSD-3-Clause-text": _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission." + _BSD_DISCLAIMER,
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or"
+        " distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any"
+        " means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in"
+        " the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and"
+        " successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software"
+        ' under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE'
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM,"
+        " DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR"
+        " THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0-header": (
@@ -85,6 +115,36 @@ TEMPLATES = {
 }
 
 
+#: Families of the GNU licences, their versions, and what a notice calls them.
+_GNU = {"GPL": (("1", "2", "3"), "GNU General Public License"), "LGPL": (("2", "2.1", "3"), "GNU Lesser General Public License"), "AGPL": (("3",), "GNU Affero General Public License")}
+
+
+def _notices() -> dict[str, str]:
+    """The usual notices of each family and version."""
+    out = {}
+    for family, (versions, title) in _GNU.items():
+        for v in versions:
+            name = f"{family}-{v}" + ("" if "." in v else ".0")
+            out.setdefault(f"{name}-work", f"This work is licensed under the {title}, version {v}.")
+            out[f"{name}-notice"] = f"Licensed under the {title} v{name.split('-')[1]}."
+            out[f"{name}-later"] = (
+                f"This program is free software; you can redistribute it and/or modify it under the terms of the {title} as published by the Free"
+                f" Software Foundation; either version {v} of the License, or (at your option) any later version. This program is distributed in the"
+                " hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+                f" PARTICULAR PURPOSE. See the {title} for more details."
+            )
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND"):
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            out[f"CC-{kind}-{v}"] = f"Licensed under CC {kind} {v}."
+    for name in ("BSD 2-Clause", "BSD 3-Clause", "ISC"):
+        out[f"{name.replace(' ', '-')}"] = f"Released under the {name} License."
+    return out
+
+
+TEMPLATES |= {k: t for k, t in _notices().items() if t not in TEMPLATES.values()}
+TEMPLATES |= {f"{f.stem}-full": f.read_text("utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
 def normalise(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 

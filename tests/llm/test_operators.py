@@ -320,6 +320,15 @@ def test_licences(spark):
     assert licences.scan(docs_of(spark, [])).count() == 0
 
 
+def test_licences_tell_versions_and_whole_texts_apart():
+    index = licences.Templates(licences.TEMPLATES)
+    name = lambda text: [m[0] for m in index.matches(text)]
+    assert name("x Licensed under the GNU General Public License v3.0. y") == ["GPL-3.0-notice"]
+    assert name("x Licensed under CC BY 3.0. y") == ["CC-BY-3.0"] and name("Licensed under CC BY-NC-ND 2.5.") == ["CC-BY-NC-ND-2.5"]
+    for k in ("BSD-2-Clause-full", "BSD-3-Clause-text", "Unlicense-text", "GPL-2.0-later", "AGPL-3.0-later", "LGPL-2.1-later", "CC0-1.0-full"):
+        assert name(f"before it {licences.TEMPLATES[k]} after it") == [k]
+
+
 # ---- 8 token counts
 def test_token_counts_equal_the_library(spark, texts, monkeypatch):
     counts = token_counts.Counts(P.path("word_bpe_49k.json"))
