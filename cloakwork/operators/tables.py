@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new folder of a local session;
+    other sessions have no such folder of their own, and must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """df computed once: a reliable checkpoint in the folder of spark.checkpoint.dir (one of our own only where that is unset)."""
+    """df computed once: a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table as read from files, over all cores where these give fewer tasks than that (a row group can't be split).
+    """A table as read from files, over all cores where these give fewer tasks than that.
 
-    For costly narrow work. A large table has tasks enough and isn't shuffled.
+    For costly narrow work. A row group can't be split, however many byte ranges a file is cut into: a table of few files is
+    dealt anew, so that its work isn't one task's. A table of many files has tasks enough and isn't shuffled.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
 def exploded(df: DataFrame, array: str | Column, name: str, *keep: str | Column) -> DataFrame:
