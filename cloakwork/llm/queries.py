@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm.decontaminate import contamination
-from cloakwork.llm.exact_dedup import DigestIndex
+from cloakwork.llm.exact_dedup import dedup_table
 from cloakwork.llm.html_text import extraction
 from cloakwork.llm.licences import scan
 from cloakwork.llm.pieces import encode
@@ -40,8 +38,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    found = index.dedup(table(spark, sf_dir, "documents"))
+    found = dedup_table(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

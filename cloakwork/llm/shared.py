@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.operators.tables import shared_dir
+
 #: Letters, digits and underscore of any script; words are compared in lower case.
 WORD = re.compile(r"\w+")
 
@@ -17,34 +19,44 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: a cut of lineage that outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it differ from df's columns (which Spark compares in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b), component the least node reachable.
 
     Alternating large-star and small-star rounds. Minima are combined before the
     shuffle and stars are joined, never gathered, so a hub costs no task more
     than its share; the number of rounds grows with the logarithm of the longest
-    chain. Each round is a staged table. Raises if `rounds` do not suffice.
+    chain. Each round is a staged table, deleted once the next one is there.
+    Raises if `rounds` do not suffice.
     """
     e = staged(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
@@ -63,7 +75,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = staged(small, "edges")
+        last, e = e, staged(small, "edges")
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))

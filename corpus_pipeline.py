@@ -1,24 +1,23 @@
 """A training corpus from `documents`: five stages, each an operator of cloakwork.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
-All but the last return the columns of documents, whatever else these hold; rows
-that repeat are one document for exact dedup. Near dedup and decontamination
-judge every row by itself, under a key of its own: also rows without a doc_id,
-and rows that share one.
+All but the last return the columns of documents, whatever else these hold and
+whatever their names. Dedup, near dedup and decontamination judge every row by
+itself, under a key of its own: also rows without a doc_id, and rows that share
+one. The last stage has one row per row, with doc_id, n_pieces, pieces and
+decodes; null and empty texts have no pieces.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm.decontaminate import contamination
-from cloakwork.llm.exact_dedup import DigestIndex, normalised
+from cloakwork.llm.exact_dedup import dedup_table
 from cloakwork.llm.pieces import encode
 from cloakwork.llm.queries import tokenizer
-from cloakwork.llm.shared import staged, table
+from cloakwork.llm.shared import free_name, staged, table
 from cloakwork.llm.simhash import near_duplicates
 from cloakwork.llm.toxicity import fit, held_out, scorer
 
@@ -33,35 +32,36 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.where(score(F.col("text"))["score"] < TOXIC)
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
-    found = DigestIndex(spark, f"digests_{uuid.uuid4().hex}").dedup(docs.select("doc_id", "text"))
-    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), digest)
-    kept = found.where("kept").select(key(F.lower(F.hex("digest"))).alias("_key"))
-    keyed = docs.withColumn("_key", key(F.sha2(normalised(F.col("text")), 256)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of its own for each row, which stays since the table is staged; and the name of that column."""
+    row = free_name(docs, "row_key")
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with the column _row, a key that stays since the table is staged; and (doc_id, text) with that key for doc_id."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    return rows, rows.select(F.col("_row").alias("doc_id"), "text")
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays."""
+    rows, row = keyed(docs)
+    gone = staged(dedup_table(rows, row).where("not kept").select(F.col("row").alias(row)), "copies")
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays (one without an id comes last)."""
-    rows, texts = keyed(docs)
-    found = near_duplicates(texts).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return rows.join(staged(kept, "kept"), "_row", "left_semi").select(docs.columns)
+    rows, row = keyed(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    in_groups = found.join(rows.select(row, "doc_id"), row)
+    first = in_groups.groupBy("component_id").agg(F.min_by(row, order).alias(row))
+    gone = staged(found.select(row).join(first.select(row), row, "left_anti"), "near_copies")
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    rows, texts = keyed(docs)
-    gone = staged(contamination(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    rows, row = keyed(docs)
+    leaks = contamination(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = staged(leaks.select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

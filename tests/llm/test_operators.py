@@ -53,6 +53,37 @@ def test_exact_dedup_empty_and_null_ids(spark):
     assert exact_dedup.DigestIndex(spark, "digest_test_b").dedup(docs_of(spark, [])).count() == 0
     got = exact_dedup.DigestIndex(spark, "digest_test_c").dedup(docs_of(spark, [(None, "q"), (1, "q"), (1, "q")])).collect()
     assert [r.keep_id for r in got] == [1, 1, 1] and {r.group_size for r in got} == {3}
+    assert [r.kept for r in got if r.doc_id is None] == [False] and sum(r.kept for r in got) == 1
+
+
+def test_a_whole_table_in_batches(spark):
+    rng = random.Random(21)
+    rows = [(i, " " * rng.randrange(4) + rng.choice("abcdefg") + " " * rng.randrange(4)) for i in range(200)] + [(300, None), (301, ""), (302, "long " * 30_000)]
+    for batches in (1, 2, 5):
+        got = exact_dedup.dedup_table(docs_of(spark, rows), batches=batches).collect()
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == brute_dedup(rows) and len(got) == len(rows)
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    repeated = exact_dedup.dedup_table(docs_of(spark, [(1, "ab"), (1, "a b"), (1, "a b"), (None, "a b")])).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in repeated) == [(0, False), (1, False), (1, False), (1, True)]
+    assert exact_dedup.dedup_table(docs_of(spark, [])).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digests_")]
+
+
+def test_the_index_is_met_by_a_sort_merge_anti_join(spark):
+    index = exact_dedup.DigestIndex(spark, "digest_test_d", buckets=4, settled=False)
+    index.take(exact_dedup.digests(docs_of(spark, [(1, "a"), (2, "b  ")])))
+    later = exact_dedup.digests(docs_of(spark, [(3, "a"), (4, "b"), (5, "a "), (6, "c")])).selectExpr("digest", "doc_id as keep_id", "n")
+    new = index.unknown(later)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    assert sorted(r.keep_id for r in new.collect()) == [5, 6]
+    again = exact_dedup.DigestIndex(spark, "digest_test_d", buckets=99, settled=False)
+    assert again.buckets == 4
+    again.append(later)
+    held = {r.keep_id for r in again.held().collect()}
+    again.compact()
+    assert held == {5, 2, 6} == {r.keep_id for r in again.known().collect()}
+    again.drop()
 
 
 # ---- 10 SimHash

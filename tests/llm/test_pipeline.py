@@ -41,16 +41,27 @@ def test_pipeline_equals_brute_force(spark):
 
 
 def test_stages_keep_columns_and_bear_awkward_rows(spark):
-    rows = [(1, "Clean words of a text.", "en", "s", 5, "k"), (1, "Clean words of a text.", "en", "s", 5, "k"), (2, None, "en", "s", 0, "k"), (3, "", None, None, None, "k"), (None, "no id", "en", "s", 5, "k")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep_id string")
-    for name, stage in cp.STAGES[:-1]:
+    rows = [(1, "Clean words of a text.", "en", "s", 5, "k"), (1, "Clean words of a text.", "en", "s", 5, "k"), (2, None, "en", "s", 0, "k"), (3, "", None, None, None, "k"), (None, "no id", "en", "s", 5, "k"), (4, "long words " * 40_000, "en", "s", 9, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_key string").withColumn("_KEY", F.lit(7)).withColumn("_row", F.lit(8))
+    for name, stage in cp.STAGES:
         for d in (docs, docs.where("false")):
             out = stage(spark, d, SMALL)
-            assert out.columns == docs.columns, name
-            found = sorted((r.doc_id or 0) for r in out.collect())
-            assert found == [] or set(found) >= {0, 1}, name
+            last = name == cp.STAGES[-1][0]
+            assert last or out.columns == docs.columns, name
+            found = out.collect()
+            ids = sorted((r.doc_id or 0) for r in found)
+            assert ids == [] or set(ids) >= {0, 1, 4}, name
+            if not last:
+                assert all((r.row_key, r._KEY, r._row) == ("k", 7, 8) for r in found)
+            elif found:
+                assert len(found) == 6 and {r.n_pieces for r in found if r.doc_id in (2, 3)} == {0}
     kept = cp.exact_dedup_stage(spark, docs, SMALL).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2]
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2, 4]
+
+
+def test_exact_dedup_stage_keeps_the_row_of_most_code_points(spark):
+    docs = spark.createDataFrame([(1, "ab"), (1, "a b"), (2, "a b"), (1, "a b")], "doc_id long, text string")
+    assert [tuple(r) for r in cp.exact_dedup_stage(spark, docs, SMALL).collect()] == [(1, "a b")]
 
 
 def test_stages_judge_rows_without_an_id_and_rows_that_share_one(spark):
