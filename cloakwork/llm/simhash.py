@@ -6,8 +6,9 @@ bit blocks two fingerprints within the radius agree in at least blocks - radius,
 so a shard is a choice of that many blocks and their value. Each shard is a
 BK-tree (children keyed by the integer Hamming distance to the parent), and a
 search follows only edges within the radius. Shards larger than SHARD_MAX are
-dealt again by the bits that they do not share yet, so that a crowded value does
-not make one large tree. The trees are dealt to the tasks, not broadcast through
+dealt again by more bits, LEVELS times, and what is crowded still is cut into
+chunks, of which every two make a tree: no tree is larger than SHARD_MAX,
+whatever the table holds. The trees are dealt to the tasks, not broadcast through
 the driver: together they hold every fingerprint, which has no size bound.
 
 Each shard gives a spanning forest of its links, not all pairs; components()
@@ -30,13 +31,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.shared import components, staged
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 3, 64
-SHARD_MAX = 4096
+#: Fingerprints of a tree, and how often a crowded shard is dealt by more bits.
+SHARD_MAX, LEVELS = 4096, 3
 #: Shingle hashes counted at once: bounds the memory that one long text takes.
 COUNT_AT_ONCE = 1 << 16
 
@@ -132,33 +134,59 @@ def shard_forests(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.D
         yield pd.DataFrame(np.array(out, dtype=np.uint64).view(np.int64), columns=["a", "b"])
 
 
-def block_masks(blocks: int, radius: int, bits: int = BITS, within: int = -1) -> list[int]:
-    """Masks of every choice of blocks - radius of the `blocks` bit blocks of the bits set in `within`."""
-    places = [i for i in range(bits) if within >> i & 1]
-    cut = [places[len(places) * i // blocks : len(places) * (i + 1) // blocks] for i in range(blocks)]
+def block_masks(blocks: int, radius: int, bits: int = BITS) -> list[int]:
+    """Masks of every choice of blocks - radius of the `blocks` bit blocks."""
+    cut = [range(bits * i // blocks, bits * (i + 1) // blocks) for i in range(blocks)]
     return [sum(1 << i for part in some for i in part) for some in combinations(cut, blocks - radius)]
 
 
+def stripe_masks(level: int, radius: int, bits: int = BITS) -> list[int]:
+    """radius + 1 masks that share out the bits, otherwise at each level: two fingerprints within the radius agree under one of them."""
+    n = radius + 1
+    return [sum(1 << i for i in range(bits) if i // n**level % n == k) for k in range(n)]
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _under(masks: list[int]) -> Column:
+    """The fingerprint under each mask."""
+    return F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
+
+
+def _crowded(dealt: DataFrame) -> DataFrame:
+    return staged(dealt.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_MAX), "crowded")
+
+
 def shards(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(key, fp): every two fingerprints within the radius share a key. n: number of fingerprints.
+    """(key, fp): every two fingerprints within the radius share a key, and no key has more than SHARD_MAX of them. n: number of fingerprints.
 
     More rows take more blocks, whose keys have more bits, so that a shard stays
     small: 4 blocks give 4 keys of 16 bits, 5 give 10 of about 25, 6 give 20 of 32.
     """
     blocks = next(b for b in range(radius + 1, 12) if BITS * (b - radius) // b >= np.log2(max(n, 2)) - 6)
-    masks = block_masks(blocks, radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("j", "v"))
-    size = keyed.groupBy("j", "v").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_MAX)
-    # a crowded shard: the bits outside its mask, cut again, still agree in one block
-    inner = [F.array(*[F.lit(_signed(x)) for x in block_masks(radius + 1, radius, within=~m & (2**64 - 1))]) for m in masks]
-    cut_again = F.transform(F.element_at(F.array(*inner), F.col("j") + 1), lambda mask: F.col("fp").bitwiseAND(mask))
-    parts = F.when(F.col("size").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cut_again)
-    dealt = keyed.join(size, ["j", "v"], "left").select("fp", "j", "v", F.posexplode(parts).alias("jj", "vv"))
-    return dealt.select(F.xxhash64("j", "v", "jj", "vv").alias("key"), "fp")
+    dealt = distinct.select("fp", F.posexplode(_under(block_masks(blocks, radius))).alias("j", "v")).select(F.xxhash64("j", "v").alias("key"), "fp")
+    for level in range(LEVELS):
+        crowded = _crowded(dealt)
+        if crowded.isEmpty():
+            return dealt
+        parts = F.when(F.col("size").isNull(), F.array(F.lit(0).cast("long"))).otherwise(_under(stripe_masks(level, radius)))
+        again = dealt.join(crowded, "key", "left").select("fp", "key", "size", F.posexplode(parts).alias("j", "v"))
+        dealt = again.select(F.when(F.col("size").isNull(), F.col("key")).otherwise(F.xxhash64("key", "j", "v")).alias("key"), "fp")
+    crowded = _crowded(dealt)
+    if crowded.isEmpty():
+        return dealt
+    # every two chunks of a shard make a tree
+    chunks = F.ceil(2 * F.col("size") / SHARD_MAX * F.lit(1.25)).cast("long") + 1
+    own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("chunks"))
+    cut = dealt.join(crowded, "key", "left").withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("own", own)
+    others = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda i: i != F.col("own"))
+    )
+    paired = cut.select("key", "fp", "chunks", "own", F.explode(others).alias("other"))
+    both = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return paired.select(F.when(F.col("chunks") == 1, F.col("key")).otherwise(both).alias("key"), "fp")
 
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:

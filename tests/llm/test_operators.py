@@ -123,17 +123,23 @@ def test_simhash(spark):
     assert [r.component_id for r in repeated] == [1, 1, 1]
 
 
-def test_bk_tree_and_crowded_shards(spark, monkeypatch):
+@pytest.mark.parametrize(("levels", "crowd"), [(3, False), (0, True), (1, True), (3, True)])
+def test_bk_tree_and_crowded_shards(spark, monkeypatch, levels, crowd):
     rng = random.Random(7)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for f in list(fps):
         fps.add(f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    if crowd:  # a ball around one fingerprint: however often its shard is dealt again, most of it stays together
+        fps |= {min(fps) ^ (1 << i) ^ (1 << j) for i in range(9) for j in range(i)}
     fps = sorted(fps)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     want = {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
     tree = simhash.BKTree()
     assert {frozenset((a, b)) for a in fps for b in tree.add(a, 3)} == want
-    monkeypatch.setattr(simhash, "SHARD_MAX", 1)  # every shard is dealt again
+    monkeypatch.setattr(simhash, "SHARD_MAX", 16 if crowd else 1)  # shards are dealt again
     signed = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    sizes = Counter(r.key for r in simhash.shards(signed, len(fps)).collect())
+    assert max(sizes.values()) <= simhash.SHARD_MAX or not crowd
     found = shared.components(simhash.links(signed, len(fps)))
     root = {f: f for f in fps}
     for _ in range(6):
