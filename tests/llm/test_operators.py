@@ -1,5 +1,6 @@
 """The ten operators against brute force, the libraries and exact round trips, on small tables with awkward rows."""
 
+import math
 import random
 from collections import Counter
 
@@ -216,28 +217,67 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(docs_of(spark, rows), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    parts = decontaminate.contamination(docs_of(spark, rows), bench, most=2000).collect()
-    assert {(r.doc_id, r.item_id) for r in parts} == want
+    # the size of parts, and how many go in a pass, change nothing: not a score
+    for most, parts in ((1, 50), (2000, 2)):
+        again = decontaminate.contamination(docs_of(spark, rows), bench, most=most, parts=parts).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     assert decontaminate.contamination(docs_of(spark, rows), bench.where("false")).count() == 0
     assert decontaminate.contamination(docs_of(spark, []), bench).count() == 0
 
 
-def test_retrieval_equals_exhaustive_bm25():
+def entries_of(items):
+    df = Counter(t for _, text in items for w in decontaminate.units_of(text) for t in set(w))
+    sizes = [len(w) for _, text in items for w in decontaminate.units_of(text)]
+    return [decontaminate.Entry(i, text, {t: df[t] for t in decontaminate.words(text)}) for i, text in items], len(sizes), sum(sizes) / len(sizes)
+
+
+def brute_bm25(items, w):
+    """(item, start, score) of every passage against every unit."""
+    units = [(i, u) for i, text in items for u in decontaminate.units_of(text)]
+    mean = sum(len(u) for _, u in units) / len(units)
+    df = Counter(t for _, u in units for t in set(u))
+    out = set()
+    for item, u in units:
+        own = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(u) / mean)) for t, n in Counter(u).items()}
+        for s in range(0, max(1, len(w) - decontaminate.PASSAGE + decontaminate.STRIDE), decontaminate.STRIDE):
+            score = sum(own.get(t, 0.0) for t in set(w[s : s + decontaminate.PASSAGE])) / sum(own.values())
+            if score >= decontaminate.THRESHOLD:
+                out.add((item, s, round(score, 9)))
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 90, 900])
+def test_retrieval_equals_exhaustive_bm25(n):
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(200)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 50)))) for i in range(90)]
-    index = decontaminate.ItemIndex.build(items)
-    w = rng.choices(vocabulary, k=700) + items[3][1].split() + items[80][1].split()[:30]
-    want = set()
-    for s in range(0, max(1, len(w) - decontaminate.PASSAGE + decontaminate.STRIDE), decontaminate.STRIDE):
-        passage = set(w[s : s + decontaminate.PASSAGE])
-        score = Counter()
-        for t in passage:
-            for found in index.postings[index.term_row[t]].values() if t in index.term_row else ():
-                for u, x in found:
-                    score[u] += x
-        want |= {(index.unit_item[u], s) for u, x in score.items() if x >= decontaminate.THRESHOLD}
-    assert {(i, s) for i, hits in index.retrieve(w).items() for _, s in hits} == want
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 150)))) for i in range(n)]
+    entries, n_units, mean = entries_of(items)
+    w = rng.choices(vocabulary, k=700) + items[2][1].split() + items[n // 2][1].split()[:30]
+    want = brute_bm25(items, w)
+    assert want
+    for size in (n, 7):  # one index, or parts of seven items
+        got = set()
+        for lo in range(0, n, size):
+            index = decontaminate.ItemIndex(entries[lo : lo + size], n_units, mean)
+            got |= {(index.item[k], s, round(x, 9)) for k, hits in index.retrieve(w).items() for x, s in hits}
+        assert got == want
+
+
+def test_verification_equals_plain_counting():
+    rng = random.Random(18)
+    vocabulary = [f"v{i}" for i in range(40)]
+    for _ in range(300):
+        part, around = rng.choices(vocabulary, k=rng.randint(0, 9)), rng.choices(vocabulary, k=rng.randint(0, 60))
+        if part and rng.random() < 0.6:
+            at = rng.randrange(len(around) + 1)
+            around[at:at] = part[: rng.randint(1, len(part))]
+        n = min(5, len(part))
+        hay = "".join(f" {x} " for x in around)
+        runs = ["".join(f" {x} " for x in part[i : i + n]) for i in range(len(part) - n + 1)] if part else []
+        want = sum(r in hay for r in runs) / len(runs) if runs else 1.0
+        assert decontaminate.overlap(part, around) == want
+    assert decontaminate.question_answer("One two. Three four! Five six?") == (["one", "two", "three", "four"], ["five", "six"])
+    assert decontaminate.question_answer("a b c d e f") == (["a", "b", "c", "d"], ["e", "f"])
 
 
 # ---- 4 pieces
