@@ -5,13 +5,19 @@ vocabulary's pre-tokenizer drops white space and never joins across it, so a
 text's count is the sum over its words, and each distinct word is encoded once a
 worker (a bounded memo).
 
-A longer text is encoded in chunks of CHUNK characters that overlap. Both chunks
-give tokens with offsets; a splice is a position of the overlap after a blank
-(where the pre-tokenizer always cuts, whatever stands on either side) from which
-both chunks have the same next AGREE tokens. The count takes the first chunk's
-tokens before the splice and the second's after it. Where no position of the
-overlap agrees, the overlap doubles, at last to the whole rest of the text. A
-chunk's encoding is dropped once it is spliced, so memory holds two chunks.
+A longer text is encoded in chunks of CHUNK characters that overlap, with
+offsets. Their splice is a place of the overlap where both chunks start the same
+AGREE tokens: the count takes the first chunk's tokens before it and the second's
+from it on. Such a place is stable. A merge vocabulary's encoding of a word is the
+one sequence of which every two neighbours, merged by themselves, stay apart; all
+neighbours of the spliced sequence are neighbours in one of the chunks (the token
+after the splice is in both), so it is the encoding of the whole. That holds
+inside a word as well as after a blank, so texts without blanks are spliced too.
+Where the overlap has no such place, it widens, at last to the whole left chunk,
+and then the two are encoded as one, which doubles. A chunk's encoding is dropped once it is
+spliced, so memory holds two chunks.
+
+The vocabulary is checked on loading: its encodings must be cut at blanks.
 
 Defined results
 * Null and empty texts have 0 tokens and 0 bytes.
@@ -33,7 +39,7 @@ HUGE, CHUNK, OVERLAP, AGREE = 32_768, 16_384, 512, 4
 MEMO, LONG, LIMIT = 400_000, 64, 2048
 #: Blanks for Python and for the library's expressions alike; others stay inside a word and are left to the library.
 _WORDS = re.compile(r"[^ \t\n\r]+")
-_BLANKS = frozenset(" \t\n\r")
+_BLANKS = " \t\n\r"
 
 
 class Counts:
@@ -44,6 +50,11 @@ class Counts:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, int] = {}
+        for a, b in (("it'", "s"), ("ab", "cd"), ("1", "2"), ("漢", "字"), ("é", "e"), ("-", "-"), (".", "'ll")):
+            for blank in _BLANKS:
+                apart, whole = self.encode([a, b]), self.encode([a + blank + b])[0]
+                if apart[0].ids + apart[1].ids != whole.ids:
+                    raise ValueError("the vocabulary joins over blanks: words can't be counted apart")
 
     def encode(self, texts: list[str]):
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -71,40 +82,44 @@ class Counts:
         e = self.encode([text[start:end]])[0]
         return np.array(e.ids, dtype=np.int64), np.array([a for a, _ in e.offsets], dtype=np.int64) + start
 
-    def splice(self, text: str, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], start: int, end: int) -> int | None:
-        """A position in start..end, after a blank, from which both chunks go on with the same tokens; the last one, if any."""
+    def splice(self, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[int, int] | None:
+        """Where, in the left and in the right tokens, both go on with the same AGREE tokens: the middle one of such places."""
         (ids, at), (ids2, at2) = left, right
-        for p in range(end - 1, start, -1):
-            if text[p - 1] in _BLANKS and text[p] not in _BLANKS:
-                i, j = np.searchsorted(at, p), np.searchsorted(at2, p)
-                n = min(AGREE, len(at) - i)
-                if n and len(at2) - j >= n and at[i] == p and (at[i : i + n] == at2[j : j + n]).all() and (ids[i : i + n] == ids2[j : j + n]).all():
-                    return p
-        return None
+        _, i, j = np.intersect1d(at, at2, return_indices=True)
+        good = (i + AGREE <= len(at)) & (j + AGREE <= len(at2)) & (j > 0)
+        i, j = i[good], j[good]
+        for k in range(AGREE):
+            same = (at[i + k] == at2[j + k]) & (ids[i + k] == ids2[j + k])
+            i, j = i[same], j[same]
+        return (int(i[len(i) // 2]), int(j[len(j) // 2])) if len(i) else None
+
+    def rest(self, text: str, begin: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens from begin, where one starts, to stop: with words before begin, which may lie inside one."""
+        back = OVERLAP
+        while True:
+            ids, at = self.chunk(text, max(0, begin - back), stop)
+            k = int(np.searchsorted(at, begin))
+            if back >= begin or (k > 0 and k < len(at) and at[k] == begin):
+                return ids[k:], at[k:]
+            back *= 2
 
     def huge(self, text: str) -> int:
         total, begin, end = 0, 0, min(CHUNK, len(text))
         left = self.chunk(text, 0, end)
         while end < len(text):
-            overlap = OVERLAP
-            while True:
-                start = max(begin, end - overlap)
-                stop = min(len(text), max(end, start) + CHUNK)
+            stop, overlap, found = min(len(text), end + CHUNK), OVERLAP, None
+            while found is None and (start := end - overlap) > begin:
                 right = self.chunk(text, start, stop)
-                # the last word of the left chunk may be cut off: agreement must be reached before it
-                p = self.splice(text, left, right, start, end)
-                if p is not None:
-                    break
-                if start == begin:  # nothing to align: one chunk from the last splice on, wider
-                    left, end = self.chunk(text, begin, stop), stop
-                    break
-                overlap *= 2
-            if p is None:
+                found = self.splice(left, right)
+                overlap = 2 * overlap + 1  # an odd step: a text that repeats itself may need another start
+            if found is None:  # nothing to align: one chunk of both, and more of the text
+                end = min(len(text), end + max(CHUNK, end - begin))
+                left = self.rest(text, begin, end)
                 continue
-            total += int((left[1] < p).sum() - (left[1] < begin).sum())
-            keep = right[1] >= p
-            left, begin, end = (right[0][keep], right[1][keep]), p, stop
-        return total + int((left[1] >= begin).sum())
+            i, j = found
+            total += i
+            left, begin, end = (right[0][j:], right[1][j:]), int(right[1][j]), stop
+        return total + len(left[0])
 
     def count(self, texts: list[str | None]) -> list[int]:
         out = [0] * len(texts)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pandas as pd
@@ -416,8 +417,24 @@ def test_token_counts_equal_the_library(spark, texts, monkeypatch):
     monkeypatch.setattr(token_counts, "CHUNK", 400)
     monkeypatch.setattr(token_counts, "OVERLAP", 16)
     assert counts.count(some) == want
+    rng = random.Random(31)
+    odd = ["a" * 4001, "漢字仮名" * 700, "".join(rng.choices("漢字仮名交文書", k=3000)), "".join(rng.choices("abcdefgh", k=3000)), "😀" * 900, "-'s" * 900, "x'll" * 800, "it's" * 900, " " * 5000 + "end", "é" * 900, ("a\n" * 300 + "b" * 900) * 3]
+    odd += ["".join(rng.choice(" aab'sll.-é漢😀1") for _ in range(2500)) for _ in range(40)]
+    assert counts.count(odd) == [len(e.ids) for e in counts.encode(odd)]
     got = token_counts.token_counts(docs_of(spark, [(1, "é a"), (2, None), (1, "é a")]), P.path("word_bpe_49k.json")).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == [(1, 4, 2, False), (1, 4, 2, False), (2, 0, 0, False)]
+    assert token_counts.token_counts(docs_of(spark, []), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_huge_texts_without_blanks_take_linear_time():
+    counts = token_counts.Counts(P.path("word_bpe_49k.json"))
+    rng = random.Random(32)
+    for text in ("".join(rng.choices("漢字仮名交文書山川", k=1_000_000)), "".join(rng.choices("abcdefghijklmnop", k=1_000_000)), "ab" * 500_000):
+        start = time.time()
+        want = len(counts.encode([text])[0].ids)
+        whole, start = time.time() - start, time.time()
+        assert counts.count([text]) == [want]
+        assert time.time() - start < 4 * whole + 1
 
 
 # ---- 9 substring dedup
