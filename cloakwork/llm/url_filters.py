@@ -7,6 +7,7 @@ against the intervals that hold at its fetch time, for each pattern that its URL
 can match: the host and every parent domain, and the host with each leading part
 of the path.
 
+All joins are shuffled: both their sides grow with the captures or the lists.
 Intervals are cut at month ends and joined on (pattern, month). A host with many
 captures is thereby spread over months, and a capture meets the intervals of one
 month, not a pattern's whole history. What the joins give is bounded: captures
@@ -31,8 +32,6 @@ from pyspark.sql import Window as W
 
 from cloakwork.llm.shared import staged
 
-#: Parents of a host, and leading parts of a path, that a pattern can name.
-MAX_PARTS = 127
 _URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)(?::\d*)?([^?#]*)"
 
 
@@ -47,11 +46,11 @@ def patterns(url: Column) -> Column:
     h = host(url)
     labels = F.split(h, r"\.")
     parents = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_PARTS))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     steps = F.split(F.regexp_extract(url, _URL, 2), "/")
     paths = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(steps), F.lit(MAX_PARTS))), lambda i: F.concat(h, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))
+        F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(h, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))
     )
     whole = F.concat(h, F.regexp_extract(url, _URL, 2))
     # a path's last part is a page, or empty after a final slash: both forms can be named
@@ -59,15 +58,27 @@ def patterns(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """pattern, category, valid_from, valid_to (null: still holds). entries: pattern, category, day, action ('add' or 'remove')."""
-    # one row a day before the window: what a pattern gathers in a task is bounded by days
+    """pattern, category, valid_from, valid_to (null: still holds). entries: pattern, category, day, action ('add' or 'remove').
+
+    A pattern's history isn't gathered in a task: its days follow each other within
+    a month, and the last one of a month is followed by the first of the next month
+    that has any, which a window over one row a month tells.
+    """
+    # one row a day before the windows
     daily = (
         entries.where("pattern is not null and category is not null and day is not null")
         .groupBy(F.lower("pattern").alias("pattern"), "category", F.col("day").cast("date").alias("valid_from"))
         .agg(F.max((F.col("action") == "remove").cast("int")).alias("removed"))
+        .withColumn("month", F.trunc("valid_from", "month"))
     )
-    order = W.partitionBy("pattern", "category").orderBy("valid_from")
-    return daily.withColumn("valid_to", F.lead("valid_from").over(order)).where("removed = 0").select("pattern", "category", "valid_from", "valid_to")
+    within = W.partitionBy("pattern", "category", "month").orderBy("valid_from")
+    months = daily.groupBy("pattern", "category", "month").agg(F.min("valid_from").alias("first"))
+    following = months.withColumn("following", F.lead("first").over(W.partitionBy("pattern", "category").orderBy("month"))).drop("first")
+    ended = daily.withColumn("next", F.lead("valid_from").over(within)).where("removed = 0")
+    known = ended.where("next is not null").withColumn("valid_to", F.col("next"))
+    last = ended.where("next is null").join(following.hint("merge"), ["pattern", "category", "month"]).withColumn("valid_to", F.col("following"))
+    columns = ["pattern", "category", "valid_from", "valid_to"]
+    return known.select(columns).unionByName(last.select(columns))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -89,7 +100,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     pairs = asked.select(F.explode("patterns").alias("pattern"), "day").where("day is not null")
     days = pairs.distinct().withColumn("month", F.trunc("day", "month"))
     active = (
-        days.join(months, ["pattern", "month"])
+        days.hint("merge").join(months, ["pattern", "month"])
         .where("valid_from <= day and (valid_to is null or day < valid_to)")
         .groupBy("pattern", "day")
         .agg(F.count("*").alias("n"), F.min("category").alias("category"))
@@ -97,20 +108,20 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     active = staged(active, "active")
     met = (
         asked.select("capture_id", "url", "fetched", "day", F.explode("patterns").alias("pattern"))
-        .join(active, ["pattern", "day"])
+        .join(active.hint("merge"), ["pattern", "day"])
         .groupBy("capture_id", "url", "fetched")
         .agg(F.sum("n").alias("n_active"), F.max(F.struct(F.length("pattern").alias("l"), "pattern", "category")).alias("best"))
     )
     met = met.withColumnsRenamed({"capture_id": "_id", "url": "_url", "fetched": "_at"})
     same = F.col("capture_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")) & F.col("fetched").eqNullSafe(F.col("_at"))
-    return asked.join(met, same, "left").select(
+    return asked.join(met.hint("merge"), same, "left").select(
         "capture_id", "url", "fetched", F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
         F.col("best.pattern").alias("pattern"), F.col("best.category").alias("category"),
     )
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """The captures of `pages`, which has no fetch time: one minute after another from 2024-01-01, in the order of page_id, over a year."""
+    """The captures of `pages`, which has no fetch time: 97 minutes from 2024-01-01 for each page_id, over and over within a year."""
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(pmod(page_id * 97, 366 * 1440) as int))")
     return pages.select(F.col("page_id").alias("capture_id"), "url", at.alias("fetched"))
 
