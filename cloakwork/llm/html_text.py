@@ -8,9 +8,11 @@ aligned in columns, preformatted text as it stands.
 
 Hidden are head matter, scripts, styles, templates, data lists, what stands in
 for frames and media, drawing definitions, annotations of formulas, values of
-inputs that show none, elements with the hidden attribute, aria-hidden="true" or
-an inline display: none or visibility: hidden, and closed details but for their
-summary. Form fields give what they show: their value, or else their placeholder.
+inputs that show none, elements with the hidden attribute (unless they have a
+display), aria-hidden="true" or a display: none, and closed details but for their
+summary. visibility: hidden hides what doesn't say visible itself. Both are read
+from the element and from the page's style elements, where simple selectors (an
+element, .class, #id, or an element with one of these) tell them. Form fields give what they show: their value, or else their placeholder.
 The parts of a formula that stand over, under or beside each other get a blank
 between them, and so do the texts of a drawing.
 
@@ -61,9 +63,8 @@ ENDS = {
     "body": (frozenset(("head",)), frozenset()),
 }
 BOUNDS = frozenset("table td th caption html body button object".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -81,6 +82,70 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+class Markup:
+    """The tags of a page, one after the other. Every search goes on from where the last one of its kind ended, and is not tried
+    again once it has found nothing, so a page is read in linear time however its markup is broken."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.found: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """page.find(what, at), remembered: at never goes back."""
+        known = self.found.get(what, -2)
+        if known == -1 or known >= at:
+            return known
+        self.found[what] = known = self.page.find(what, at)
+        return known
+
+    def tag_end(self, at: int) -> int:
+        """The place of the '>' that ends a tag whose attributes start at at: not one in quotes that are closed. -1 if none does."""
+        page = self.page
+        while True:
+            end = self.find(">", at)
+            if end < 0:
+                return -1
+            quotes = [q for q in (self.find('"', at), self.find("'", at)) if 0 <= q < end]
+            if not quotes:
+                return end
+            q = min(quotes)
+            if page[at:q].rstrip().endswith("="):
+                close = page.find(page[q], q + 1) if self.closes(page[q], q) else -1
+                if close < 0:
+                    return end
+                at = close + 1
+            else:
+                at = q + 1
+
+    def closes(self, quote: str, at: int) -> bool:
+        """Is there another such quote after at? The last one of the page is found once."""
+        last = self.found.get(f"last {quote}")
+        if last is None:
+            last = self.found[f"last {quote}"] = self.page.rfind(quote)
+        return last > at
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, name (empty for comments and declarations), whether it is an end tag, and attributes of the next tag from at."""
+        page = self.page
+        while True:
+            start = self.find("<", at)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", False, ""
+            if page.startswith(("<!", "<?"), start):
+                end = self.find(">", start)
+                return start, end + 1 if end >= 0 else len(page), "", False, ""
+            m = _NAME.match(page, start)
+            if m:
+                end = self.tag_end(m.end())
+                if end < 0:
+                    return None  # no tag ends from here on: the rest is text
+                return start, end + 1, m[1].lower(), page[start + 1] == "/", page[m.end() : end]
+            at = start + 1
+
+
 def build(page: str) -> Node:
     root = Node("#root")
     open_: list[Node] = [root]
@@ -95,17 +160,20 @@ def build(page: str) -> Node:
         if s:
             open_[-1].children.append(entities.unescape(s))
 
+    markup = Markup(page)
+    raw_ends: dict[str, re.Pattern] = {}
+    unclosed: set[str] = set()
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = markup.next(at)
+        if found is None:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end, tag, closing, rest = found
+        text(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             for i in range(len(open_) - 1, 0, -1) if count[tag] > 0 else ():
                 if open_[i].tag == tag:
                     close(i)
@@ -130,26 +198,76 @@ def build(page: str) -> Node:
                 last = i
         if last is not None:
             close(last)
-        node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else None)
+        node = Node(tag, _attributes(rest) if rest.strip(" /") else None)
         open_[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "math", "path", "use") or count["svg"] > 0 or count["math"] > 0):
+        if tag in VOID or rest.endswith("/") and (tag in ("svg", "math", "path", "use") or count["svg"] > 0 or count["math"] > 0):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            raw = page[at : end.start() if end else len(page)]
+            ending = raw_ends.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I))
+            done = None if tag in unclosed else ending.search(page, at)
+            if done is None:
+                unclosed.add(tag)
+            raw = page[at : done.start() if done else len(page)]
             node.children.append(entities.unescape(raw) if tag == "textarea" else raw)
-            at = end.end() if end else len(page)
+            at = done.end() if done else len(page)
             continue
         open_.append(node)
         count[tag] += 1
     return root
 
 
-def visible(node: Node) -> bool:
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?\Z")
+_DISPLAY, _VISIBILITY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I), re.compile(r"(?:^|;)\s*visibility\s*:\s*([\w-]+)", re.I)
+
+
+def declared(style: str) -> dict[str, str]:
+    """display and visibility of a style; of several declarations the last."""
+    found = {"display": _DISPLAY.findall(style), "visibility": _VISIBILITY.findall(style)}
+    return {k: v[-1].lower() for k, v in found.items() if v}
+
+
+def style_rules(root: Node) -> dict[tuple[str, str, str], dict[str, str]]:
+    """(element or '', '.' or '#' or '', name) -> display and visibility, of the page's style elements: rules of simple selectors,
+    later ones over earlier. Selectors of other kinds, and rules for media, aren't read."""
+    rules: dict[tuple[str, str, str], dict[str, str]] = {}
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "style":
+            css = _COMMENT.sub(" ", "".join(node.children))
+            for rule in css.split("}") if "@" not in css else ():
+                selectors, _, body = rule.partition("{")
+                if found := declared(body):
+                    for one in selectors.split(","):
+                        m = _SIMPLE.match(one.strip())
+                        if m and m[0]:
+                            rules.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(found)
+        else:
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return rules
+
+
+def styled(node: Node, rules: dict[tuple[str, str, str], dict[str, str]]) -> dict[str, str]:
+    """display and visibility that rules and the element's own style give it: by element, class, id, then its own."""
+    a, out = node.attrs, {}
+    if rules:
+        names = [("", ""), *((".", c) for c in a.get("class", "").split()), *([("#", a["id"])] if "id" in a else [])]
+        for kind, name in names:
+            for tag in ("", node.tag):
+                if (tag or kind) and (found := rules.get((tag, kind, name))):
+                    out.update(found)
+    if "style" in a:
+        out.update(declared(a["style"]))
+    return out
+
+
+def gone(node: Node, style: dict[str, str]) -> bool:
+    """The element and all in it show nothing, whatever they say themselves."""
+    if node.tag in HIDDEN or style.get("display") == "none":
+        return True
     a = node.attrs
-    if node.tag in HIDDEN:
-        return False
-    return not a or not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and _UNSEEN.search(a["style"])))
+    return bool(a) and (("hidden" in a and "display" not in style) or a.get("aria-hidden", "").lower() == "true")
 
 
 def shown(field: Node) -> str:
@@ -252,6 +370,16 @@ def table_lines(rows: list[list[tuple[str, int, int]] | None]) -> list[str]:
     return [x for x in out if x.strip()]
 
 
+def seen_style(root: Node) -> bool:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "style":
+            return True
+        stack += [c for c in node.children if isinstance(c, Node)]
+    return False
+
+
 def render(root: Node) -> str:
     """The visible text. An explicit stack holds what is still to do: nodes, texts and closing actions."""
     out = Lines()
@@ -260,16 +388,28 @@ def render(root: Node) -> str:
     counters: list[int] = []
     outer: list[tuple[Lines, list[list[tuple[str, int, int]] | None]]] = []
     drawings = 0  # open svg elements
+    rules = style_rules(root) if seen_style(root) else {}
+    unseen = False  # visibility: hidden, of the element under way
     while stack:
         item = stack.pop()
         if callable(item):
             item()
             continue
         if isinstance(item, str):
-            out.inline(item)
+            if not unseen:
+                out.inline(item)
             continue
-        if not visible(item):
+        style = styled(item, rules) if rules or item.attrs else {}
+        if gone(item, style):
             continue
+        if "visibility" in style and (hide := style["visibility"] in ("hidden", "collapse")) != unseen:
+
+            def back(before=unseen) -> None:
+                nonlocal unseen
+                unseen = before
+
+            stack.append(back)
+            unseen = hide
         tag = item.tag
         later: list = list(reversed(item.children))
         if tag == "br":
@@ -294,6 +434,8 @@ def render(root: Node) -> str:
             for c in later if tag in APART else (later,):
                 stack += [" ", *(c if isinstance(c, list) else [c])]
             continue
+        if unseen and tag in ("input", "textarea", "img"):
+            continue
         if tag in ("input", "textarea"):
             lines = shown(item).split("\n")
             if len(lines) > 1:
@@ -306,7 +448,8 @@ def render(root: Node) -> str:
         if tag in ("option", "optgroup"):
             out.block(0)
             if item.attrs.get("label"):
-                out.inline(item.attrs["label"])
+                if not unseen:
+                    out.inline(item.attrs["label"])
                 if tag == "option":
                     later = []
                 else:
@@ -321,7 +464,7 @@ def render(root: Node) -> str:
             later = [c for c in later if isinstance(c, Node) and c.tag == "summary"]
         if tag == "pre":
             out.block(1)
-            out.whole(_plain(item).strip("\n").split("\n"))
+            out.whole(_plain(item, rules, unseen).strip("\n").split("\n"))
             out.block(1)
             continue
         if tag == "table":
@@ -419,18 +562,25 @@ def item_counts(counters: list[int], item: Node) -> bool:
     return True
 
 
-def _plain(node: Node) -> str:
-    out, stack = [], [node]
+def _plain(node: Node, rules: dict[tuple[str, str, str], dict[str, str]], unseen: bool) -> str:
+    out: list[str] = []
+    stack: list[tuple[Node | str, bool]] = [(c, unseen) for c in reversed(node.children)]
     while stack:
-        x = stack.pop()
+        x, hide = stack.pop()
         if isinstance(x, str):
-            out.append(x)
-        elif x.tag == "br":
+            out.append("" if hide else x)
+            continue
+        style = styled(x, rules) if rules or x.attrs else {}
+        if gone(x, style):
+            continue
+        if "visibility" in style:
+            hide = style["visibility"] in ("hidden", "collapse")
+        if x.tag == "br":
             out.append("\n")
-        elif x.tag in ("input", "textarea") and visible(x):
-            out.append(shown(x))
-        elif visible(x):
-            stack += reversed(x.children)
+        elif x.tag in ("input", "textarea"):
+            out.append("" if hide else shown(x))
+        else:
+            stack += [(c, hide) for c in reversed(x.children)]
     return "".join(out)
 
 

@@ -1,5 +1,6 @@
 """The ten operators against brute force, the libraries and exact round trips, on small tables with awkward rows."""
 
+import html.parser
 import math
 import random
 import time
@@ -354,6 +355,74 @@ def test_html_shows_formulas_drawings_fields_and_spanning_rows(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>z", "yes\n\nz"), ("<style>.x{display:none} #y , i { visibility : hidden }</style>a<b class='k x'>n</b><b id=y>n</b><i>n</i>c", "ac"),
+        ("<style>b.x{display:none}.x{color:red}</style><b class=x>n</b><i class=x>y</i>", "y"), ("<style>.x{display:none}</style><b class=x style='display:inline'>y</b>", "y"),
+        ("<style>.x{display:none} .x{display:block}</style><b class=x>y</b>", "y"), ("<style>p > b, .a .b {display:none}</style><p><b>y</b>", "y"), ("<style>/* .x{} */ .z{display:none}</style><pre>a<b class=z>n</b>c</pre>", "ac"),
+        ("<div hidden style='display:block'>y</div>", "y"), ("<style>{}}{b{display</style>t", "t"), ("<ul style='visibility:hidden'><li>n<li style='visibility:visible'>y</ul>", "- y"),
+        ("a <a b='c>d", "a d"), ("x<a title=it's>y</a>", "xy"), ("<a b = \"1>2\" c='3>4'>t</a>", "t"), ("a<b", "a<b"), ("<p title=\"a'b\">q</p>", "q"),
+    ],
+)
+def test_html_reads_styles_and_broken_tags(page, text):
+    assert html_text.extract(page) == text
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<a b='", '<a b="c', "<", "<!--", "<!", "<script>", "</p", "<style>", "<li", '<a b=">', "<a '>", "<td>", "<p>", "&", "&#", "<svg>", "<style>{"])
+def test_html_takes_linear_time(bad):
+    page = bad * (1_000_000 // len(bad))
+    start = time.time()
+    html_text.extract(page)
+    assert time.time() - start < 2 * (5 if bad.endswith(">") else 1)  # a million characters; whole tags make a tree
+
+
+class PlainWords(html.parser.HTMLParser):
+    """The words of a well-formed page, by the standard library's parser: another reading of what is hidden."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_text.VOID:
+            a = dict(attrs)
+            self.hidden.append(tag in ("script", "style", "head", "title", "template") or "hidden" in a or "none" in (a.get("style") or "") or bool(self.hidden and self.hidden[-1]))
+
+    def handle_endtag(self, tag):
+        if tag not in html_text.VOID and self.hidden:
+            self.hidden.pop()
+
+    def handle_data(self, data):
+        if not (self.hidden and self.hidden[-1]):
+            self.words += data.split()
+
+
+def test_html_words_of_generated_pages_like_the_standard_parser():
+    rng = random.Random(41)
+    numbers = iter(range(10**9))
+    words = lambda: " ".join(f"w{next(numbers)}" for _ in range(rng.randint(1, 4)))
+
+    def piece(depth):
+        kind = rng.choice(["text", "p", "div", "b", "ul", "table", "hidden", "script", "pre", "h2", "span", "none", "br", "comment"])
+        inner = lambda: "".join(piece(depth - 1) for _ in range(rng.randint(1, 3))) if depth else words()
+        if kind in ("div", "span", "b"):
+            return f"<{kind}> {inner()} </{kind}>"
+        if kind in ("p", "pre", "h2"):
+            return f"<{kind}>{words()} <i>{words()}</i></{kind}>"
+        return {
+            "text": lambda: f" {words()} ", "ul": lambda: "<ul>" + "".join(f"<li>{words()}</li>" for _ in range(3)) + "</ul>", "hidden": lambda: f"<div hidden>{inner()}</div>",
+            "table": lambda: "<table>" + "".join(f"<tr><td>{words()}</td><th colspan=2>{words()}</th></tr>" for _ in range(3)) + "</table>", "script": lambda: f"<script>{words()}</script>",
+            "none": lambda: f"<p style='display: none'>{words()}</p>", "br": lambda: "<br>", "comment": lambda: f"<!-- {words()} -->",
+        }[kind]()
+
+    for _ in range(200):
+        page = "<html><head><title>t</title></head><body>" + "".join(piece(3) for _ in range(4)) + "</body></html>"
+        plain = PlainWords()
+        plain.feed(page)
+        assert [x for x in html_text.extract(page).split() if x != "-"] == plain.words
+
+
 def test_html_depth_and_table(spark):
     assert html_text.extract("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
     pages = spark.createDataFrame([(1, "<p>a", "t"), (2, None, "t"), (1, "<p>a", "t"), (None, "b", "t")], "page_id long, html string, text string")
