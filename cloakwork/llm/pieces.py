@@ -215,3 +215,15 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), ids, ok], names=["doc_id", "n_pieces", "pieces", "decodes"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces int, pieces array<int>, decodes boolean")
+
+
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """One row per input row: doc_id, text. encoded: doc_id, pieces (null: the empty text; an id that isn't in the vocabulary stops the job)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(model)
+        for b in batches:
+            texts = [pieces.decode(x) if x is not None and len(x) else "" for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long"), F.col("pieces").cast("array<int>")).mapInArrow(run, "doc_id long, text string")

@@ -19,7 +19,7 @@ Defined results
 * No label at all, or labels of one class only: every score is that class's rate
   (0 without labels).
 * Repeated label rows of an id count once (the larger label); labels whose id has
-  no document, or a null, are left out.
+  no document, or a null, are left out. An id with several texts is one example.
 * Columns besides those named are ignored, whatever their names.
 """
 
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import staged, words
+from cloakwork.llm.shared import free_name, staged, words
 
 MAX_EXAMPLES, BLOCK, K = 4000, 64, 15
 #: Least chi-square (one degree of freedom) and examples of a term that goes with the label, and what other terms weigh.
@@ -192,8 +192,11 @@ def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str
     return found.pop("", 0), found
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> ToxicityIndex:
-    """docs: doc_id, text. labels: doc_id, label (0 or 1). Only the ids of labels are learnt from; docs also gives document frequencies."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, other: float = OTHER) -> ToxicityIndex:
+    """docs: doc_id, text. labels: doc_id, label (0 or 1). Only the ids of labels are learnt from; docs also gives document frequencies.
+
+    other: what terms weigh whose presence doesn't go with the label; with 1 the features are plain TF-IDF.
+    """
     known = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     # the bounded sample: twice as many ids, since some have no document
     pool = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_examples)
@@ -206,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         return ToxicityIndex(ids, ys, {}, base=float(ys[0]) if len(ids) else 0.0)
 
     n, pos = len(ids), float(ys.sum())
-    own = terms.where("tf > 0").dropDuplicates(["doc_id", "term"]).join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    # an id with several texts has the terms of all, each as often as the text does that has it most
+    own = terms.where("tf > 0").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
     # the examples' own terms, as codes: MAX_EXAMPLES texts at most
     held = own.select("doc_id", "term", "tf").toArrow().combine_chunks()
     place = {int(i): x for x, i in enumerate(ids)}
@@ -215,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     doc, count = np.array([place[i] for i in held["doc_id"].to_pylist()], dtype=np.int64), held["tf"].to_numpy()
     df, a = np.bincount(code, minlength=len(names)), np.bincount(code, ys[doc], minlength=len(names))
     chi2 = n * (a * n - df * pos) ** 2 / np.maximum(df * pos * (n - df) * (n - pos), 1.0)
-    share = np.where((df >= MIN_EXAMPLES) & (df < n) & (chi2 >= MIN_CHI2), 1.0, OTHER)
+    share = np.where((df >= MIN_EXAMPLES) & (df < n) & (chi2 >= MIN_CHI2), 1.0, other)
     total, seen = document_frequency(docs, names)
     idf = {t: float(x) * (math.log((1 + total) / (1 + seen.get(t, 0))) + 1) for t, x in zip(names, share)}
     index = ToxicityIndex(ids, ys, idf)
@@ -248,9 +252,11 @@ def scorer(index: ToxicityIndex, spark):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """docs with the columns tox_score and tox_evidence."""
+    """docs with the columns tox_score and tox_evidence (in place of any of these names)."""
     score = scorer(fit(docs, labels, max_examples), docs.sparkSession)
-    return docs.withColumn("_tox", score(F.col("text"))).withColumns({"tox_score": F.col("_tox.score"), "tox_evidence": F.col("_tox.evidence")}).drop("_tox")
+    found = free_name(docs, "tox")
+    scored = docs.withColumn(found, score(F.col("text")))
+    return scored.withColumns({"tox_score": F.col(found)["score"], "tox_evidence": F.col(found)["evidence"]}).drop(found)
 
 
 def held_out() -> Column:

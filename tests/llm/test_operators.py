@@ -190,6 +190,67 @@ def test_toxicity_held_out(spark):
     assert {r.tox_score for r in only} == {1.0}
 
 
+def brute_scores(rows, labels, other):
+    """fit and score in plain Python: every pair of texts, no index."""
+    tf = {i: Counter(shared.words(t)) for i, t in rows}
+    total, df = len(rows), Counter(t for c in tf.values() for t in c)
+    ids = [i for i, _ in labels]
+    y = dict(labels)
+    n, pos = len(ids), sum(y.values())
+    own = Counter(t for i in ids for t in tf[i])
+    with_label = Counter(t for i in ids if y[i] for t in tf[i])
+    idf = {}
+    for t, m in own.items():
+        a = with_label[t]
+        chi2 = n * (a * n - m * pos) ** 2 / max(m * pos * (n - m) * (n - pos), 1)
+        share = 1.0 if m >= 3 and m < n and chi2 >= 25 else other
+        idf[t] = share * (math.log((1 + total) / (1 + df[t])) + 1)
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * idf[t] for t, k in c.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    examples = {i: vector(tf[i]) for i in ids}
+    bare = [y[i] for i in ids if not examples[i]]
+    base = sum(bare) / len(bare) if bare else 0.0
+
+    def vote(v, skip=None):
+        found = sorted((-round(sum(x * e.get(t, 0.0) for t, x in v.items()), 12), k) for k, (i, e) in enumerate(examples.items()) if i != skip)
+        best = [(-s, ids[k]) for s, k in found if s < 0][:15]
+        return (0.5 * base + sum(s * s * y[i] for s, i in best)) / (0.5 + sum(s * s for s, _ in best)), [i for _, i in best]
+
+    some = [i for i in ids if examples[i]]
+    slope, shift = toxicity.calibrate(pd.Series([vote(examples[i], i)[0] for i in some]).to_numpy(), pd.Series([float(y[i]) for i in some]).to_numpy())
+    out = {}
+    for i, _ in rows:
+        v = vector(tf[i])
+        p, evidence = vote(v) if v else (0.0, [])
+        out[i] = (1 / (1 + math.exp(-(slope * p + shift))), evidence) if evidence else (base, [])
+    return out
+
+
+@pytest.mark.parametrize("other", [1.0, toxicity.OTHER])
+def test_fit_and_score_equal_brute_force(spark, other):
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    known = pd.read_parquet(f"{SMALL}/labels.parquet").groupby("doc_id").toxic.max().to_dict()
+    rows = list(zip(docs.doc_id.tolist(), docs.text)) + [(90_001, None), (90_002, ""), (90_003, "unseen")]
+    some = spark.createDataFrame([(i,) for i in known], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    labels = [(r.doc_id, int(known[r.doc_id])) for r in some if r.doc_id in set(docs.doc_id)]
+    index = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, label int"), other=other)
+    assert index.ids.tolist() == [i for i, _ in labels]
+    want = brute_scores(rows, labels, other)
+    for i, t in rows:
+        score, evidence = index.score(t)
+        assert evidence == want[i][1] and abs(score - want[i][0]) < 1e-6
+
+
+def test_toxicity_keeps_columns_and_takes_several_texts_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "vile words", "mine", 0.5), (1, "other words", "mine", 0.5), (2, "plain words", "mine", 0.5)], "doc_id long, text string, tox string, tox_score double")
+    got = toxicity.toxicity(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int"))
+    assert got.columns == ["doc_id", "text", "tox", "tox_score", "tox_evidence"] and {r.tox for r in got.collect()} == {"mine"}
+
+
 def test_toxicity_indexes_every_term(spark):
     rng = random.Random(12)
     rows = [(i, " ".join([f"only{i}", *rng.choices([f"word{j}" for j in range(200)], k=20), *(["vile"] * (i % 4 == 0))])) for i in range(200)]
@@ -298,6 +359,16 @@ def test_pieces_equal_the_library(texts):
     assert [mine.decode(x) for x in found] == [t or "" for t in some]
 
 
+def test_decode_table(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (7000, None), (7001, ""), (7002, "漢😀 two  blanks "), (1, texts[1])]
+    model = P.path("piece_bpe_32k.model")
+    encoded = pieces.encode(docs_of(spark, rows), model)
+    back = pieces.decode(encoded.withColumn("text", F.lit("clash")), model).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t or "") for i, t in rows)
+    assert pieces.decode(encoded.where("false"), model).count() == 0
+    assert [r.text for r in pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, pieces array<int>"), model).collect()] == [""]
+
+
 def test_encode_table(spark):
     got = {r.doc_id: r for r in pieces.encode(docs_of(spark, [(1, "Hello world"), (2, None), (3, ""), (1, "Hello world")]), P.path("piece_bpe_32k.model")).collect()}
     assert got[2].n_pieces == 0 and got[3].pieces == [] and all(r.decodes for r in got.values())
