@@ -5,13 +5,17 @@ Dice coefficient of at least t needs a * t / (2 - t) <= b <= a * (2 - t) / t, an
 at least t / (2 - t) * a bigrams in common. Templates that a text can't meet by
 these bounds are dropped before anything is compared. For the rest, passages
 start and end at words that begin or end a template bigram: widening a passage
-by words outside the template only lowers its coefficient.
+by words outside the template only lowers its coefficient. Starts are tried from
+the highest bound down (as if each shared bigram counted), until no bound exceeds
+the best coefficient found; what lies before and after that passage is searched
+again, so no more than one passage of each part is ever held.
 
 Defined results
 * One row per (document, match): of overlapping passages the one of the highest
   coefficient stays (then the longer, then the earlier, then the template by
   name). Null and empty texts match nothing.
-* Words are lower case, without punctuation; a copyright line isn't compared.
+* Words are lower case, without punctuation; lines that begin with a copyright
+  notice aren't compared. first_word and n_words count the words that are.
 * Repeated rows give repeated matches. Columns besides doc_id and text are ignored.
 """
 
@@ -22,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,8 +150,13 @@ TEMPLATES |= {k: t for k, t in _notices().items() if t not in TEMPLATES.values()
 TEMPLATES |= {f"{f.stem}-full": f.read_text("utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 
+_COPYRIGHT = re.compile(r"^[^\w\n(©]*(?:copyright\b|\(c\)|©)[^\n]*$", re.I | re.M)
+
+
 def normalise(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return _WORD.findall((_COPYRIGHT.sub("", text) if "opyright" in text or "OPYRIGHT" in text or "(" in text or "©" in text else text).lower())
 
 
 def bigrams(words: list[str]) -> list[tuple[str, str]]:
@@ -177,36 +187,53 @@ class Templates:
             if g in known:
                 for k in known[g]:
                     hits.setdefault(k, []).append(i)
-        low, high = self.threshold / (2 - self.threshold), (2 - self.threshold) / self.threshold
-        found = []
-        for k, at in hits.items():
-            a = self.grams[k]
-            size = a.total()
-            need, widest = -(-size * low // 1), int(size * high)
-            for x, start in enumerate(at):
-                end = start + widest
-                if x + need > len(at) or at[x + int(need) - 1] >= end:
-                    continue  # not enough shared bigrams within the largest size
-                common, left = 0, dict(a)
-                for y in range(x, len(at)):
-                    if at[y] >= end:
-                        break
-                    g = grams[at[y]]
-                    if left[g]:
-                        left[g] -= 1
-                        common += 1
-                    width = at[y] - start + 1
-                    d = 2 * common / (size + width)
-                    if width >= size * low and d >= self.threshold:
-                        found.append((-round(d, 12), -(width + 1), start, k))
-        taken: list[tuple[int, int]] = []
-        out = []
-        for d, n, start, k in sorted(found):
-            if all(start >= e or start - n <= s for s, e in taken):
-                taken.append((start, start - n))
+        low = self.threshold / (2 - self.threshold)
+        places = {k: np.array(at) for k, at in hits.items() if len(at) >= low * self.grams[k].total()}
+        out, parts = [], [(0, len(words))] if places else []
+        while parts:
+            lo, hi = parts.pop()
+            best = None
+            for k, at in places.items():
+                best = self.best(k, at[np.searchsorted(at, lo) : np.searchsorted(at, hi - 1)], grams, best)
+            if best is not None:
+                d, n, start, k = best
                 out.append((k, -d, start, -n))
+                parts += [(lo, start), (start - n, hi)]
         return sorted(out, key=lambda m: m[2])
 
+    def best(self, k: str, at: np.ndarray, grams: list[tuple[str, str]], best: tuple[float, int, int, str] | None) -> tuple[float, int, int, str] | None:
+        """The better of best and the best passage of template k with its bigrams at `at`: (-coefficient, -words, first word, template)."""
+        a = self.grams[k]
+        size = a.total()
+        low, high = self.threshold / (2 - self.threshold), (2 - self.threshold) / self.threshold
+        need, widest = int(-(-size * low // 1)), int(size * high)
+        if len(at) < need or need == 0:
+            return best
+        starts = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < widest)
+        ends = np.searchsorted(at, at[starts] + widest)
+        bounds = []
+        for x, end in zip(starts.tolist(), ends.tolist()):
+            width = at[x:end] - at[x] + 1
+            bound = 2 * np.minimum(np.arange(1, end - x + 1), size) / (size + width)
+            bounds.append(float(bound[width >= size * low].max(initial=0.0)))
+        for i in np.argsort(-np.array(bounds), kind="stable").tolist():
+            if bounds[i] < max(self.threshold, -best[0] if best else 0.0) - 1e-11:
+                break
+            x, common, left = int(starts[i]), 0, dict(a)
+            start = int(at[x])
+            for y in at[x : int(ends[i])].tolist():
+                g = grams[y]
+                if left[g]:
+                    left[g] -= 1
+                    common += 1
+                width = y - start + 1
+                d = 2 * common / (size + width)
+                if width >= size * low and d >= self.threshold:
+                    found = (-round(d, 12), -(width + 1), start, k)
+                    if best is None or found < best:
+                        best = found
+        return best
+
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence, dice, first_word, n_words. texts: the templates by name (TEMPLATES, if none are given)."""

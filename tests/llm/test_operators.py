@@ -546,6 +546,10 @@ def test_licences_tell_versions_and_whole_texts_apart():
     assert name("x Licensed under CC BY 3.0. y") == ["CC-BY-3.0"] and name("Licensed under CC BY-NC-ND 2.5.") == ["CC-BY-NC-ND-2.5"]
     for k in ("BSD-2-Clause-full", "BSD-3-Clause-text", "Unlicense-text", "GPL-2.0-later", "AGPL-3.0-later", "LGPL-2.1-later", "CC0-1.0-full"):
         assert name(f"before it {licences.TEMPLATES[k]} after it") == [k]
+    start = time.time()
+    assert name(licences.TEMPLATES["GPL-2.0-full"]) == ["GPL-2.0-full"] and name(licences.TEMPLATES["GPL-3.0-full"]) == ["GPL-3.0-full"]
+    assert time.time() - start < 4
+    assert index.matches("Copyright (c) 2020 A. Person\n(c) B\n  © C\nReleased under the MIT License.") == [("MIT", 1.0, 0, 5)]
 
 
 # ---- 8 token counts
