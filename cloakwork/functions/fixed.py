@@ -79,6 +79,8 @@ IPV6 = r"(?U)(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"
 URL_ANY = (
     r"(?iU)\bhttps?://(?:[^\s/@\"'<>]{1,128}@)?(?:\[[0-9a-f:.]+\]|[A-Za-z0-9](?:[A-Za-z0-9.-]{0,251}[A-Za-z0-9])?)(?::\d{1,5})?(?:[/?#][^\s\"'<>`]{0,2000})?"
 )
+#: %s: the suffixes, longest first
+INTERNAL_HOST = r"(?i)(?<![A-Za-z0-9.@_-])(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}(?:%s)(?![A-Za-z0-9_-]|\.[A-Za-z0-9])"
 INTERNAL_SUFFIXES = ("internal", "intranet", "corp", "lan", "local", "localdomain", "home.arpa", "cluster.local")
 
 # ---- fixed values: secrets and credentials
@@ -155,6 +157,55 @@ LOGIN_PAIR = (
     r"(?iU)(?<![A-Za-z0-9])(?:log-?in|credentials?|creds)[ \t]*(?:[:=]|->|=>)[ \t]*[A-Za-z_][\w.@\-]{1,40}[ \t]*[/|:][ \t]*([^\s\"',;`]{6,64})"
 )
 
+# ---- fixed values: rules (name, labels, score, how a candidate is known: keyed patterns hold their cue, proved values have a checksum or shape
+# that is evidence, cued ones need a cue nearby)
+RULES = (
+    ("payment_card", "CREDIT_CARD CVV CARD_EXPIRY", 0.98, "own"),
+    ("cvv_keyword", "CVV", 0.95, "keyed"),
+    ("expiry_keyword", "CARD_EXPIRY", 0.95, "keyed"),
+    ("iban", "IBAN", 0.98, "proved"),
+    ("swift_bic", "SWIFT_BIC", 0.9, "cued"),
+    ("aba_routing", "ABA_ROUTING", 0.95, "proved cued"),
+    ("bank_account", "BANK_ACCOUNT_NUMBER", 0.85, "keyed"),
+    ("crypto_btc", "CRYPTO_WALLET", 0.98, "proved"),
+    ("crypto_bech32", "CRYPTO_WALLET", 0.98, "proved"),
+    ("crypto_eth", "CRYPTO_WALLET", 0.8, "shape"),
+    ("ssn_dashed", "US_SSN", 0.93, "proved"),
+    ("ssn_bare", "US_SSN", 0.93, "proved cued"),
+    ("tax_id", "TAX_ID", 0.85, "keyed"),
+    ("mrn", "MEDICAL_RECORD_NUMBER", 0.85, "keyed"),
+    ("health_insurance", "HEALTH_INSURANCE_ID", 0.8, "keyed"),
+    ("email", "EMAIL", 0.99, "shape"),
+    ("phone_cued", "PHONE_NUMBER", 0.9, "cued"),
+    ("phone_e164", "PHONE_NUMBER", 0.7, "shape"),
+    ("phone_nanp", "PHONE_NUMBER", 0.7, "shape"),
+    ("ipv4", "IP_ADDRESS", 0.95, "shape"),
+    ("ipv6", "IP_ADDRESS", 0.9, "shape"),
+    ("internal_url", "INTERNAL_URL", 0.9, "shape"),
+    ("internal_hostname", "INTERNAL_HOSTNAME", 0.85, "shape"),
+    ("jwt", "AUTH_TOKEN", 0.98, "proved"),
+    ("bearer", "AUTH_TOKEN", 0.9, "keyed"),
+    ("basic_auth", "AUTH_TOKEN", 0.92, "keyed"),
+    ("google_oauth", "AUTH_TOKEN", 0.95, "shape"),
+    ("pem_private_key", "PRIVATE_KEY", 0.99, "proved"),
+    ("pem_truncated", "PRIVATE_KEY", 0.9, "shape"),
+    ("connection_uri", "CONNECTION_STRING", 0.93, "shape"),
+    ("connection_kv", "CONNECTION_STRING", 0.9, "whole"),
+    ("password_kv", "PASSWORD", 0.88, "keyed"),
+    ("aws_secret_kv", "CLOUD_SECRET", 0.95, "keyed"),
+    ("azure_secret_kv", "CLOUD_SECRET", 0.92, "keyed"),
+    ("generic_secret_kv", "API_KEY CLOUD_SECRET", 0.8, "keyed"),
+    ("aws_secret_proximity", "CLOUD_SECRET", 0.9, "own"),
+    ("recovery_codes", "RECOVERY_CODE", 0.9, "own"),
+    ("seed_phrase", "SECRET", 0.92, "keyed"),
+    ("seed_token", "SECRET", 0.85, "keyed"),
+    ("password_intl", "PASSWORD", 0.85, "keyed"),
+    ("login_pair", "PASSWORD", 0.85, "keyed"),
+    ("ssh_user", "USERNAME", 0.9, "own"),
+    ("deny_terms", "DENY_TERM", 1.0, "whole"),
+)
+KEY_SIGNATURE_SCORE = 0.98
+
 # ---- fixed values: what validators compare with
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
@@ -238,6 +289,12 @@ ROUTING = (
     ("INTERNAL_HOSTNAME", "REDACT", "HIGH", "INFRASTRUCTURE", True),
     ("URL", "KEEP", "LOW", "INFRASTRUCTURE", False),
 )
+ACTION_WORDS = {
+    "MASK": "FAKER", "FAKER": "FAKER", "PSEUDONYMIZE": "FAKER", "REDACT": "REDACT", "REDACTION": "REDACT", "KEEP": "KEEP", "NONE": "KEEP", "BLOCK": "BLOCK", "REJECTION": "BLOCK",
+}
+STORE_WORDS = {"STORE": True, "STORE_FOR_DEMASKING": True, "TRUE": True, "YES": True, "1": True, "NO_STORE": False, "FALSE": False, "NO": False, "0": False}
+RISKS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+CATEGORIES = ("PII", "CREDENTIAL", "FINANCIAL", "HEALTH", "GOV_ID", "INFRASTRUCTURE", "UNKNOWN")
 ALIASES = {"SSN": "US_SSN", "CARD_NUMBER": "CREDIT_CARD", "SECRET": "CLOUD_SECRET", "ACCESS_TOKEN": "AUTH_TOKEN"}
 IP_LABELS = ("IP_ADDRESS", "IPV4", "IPV6")
 

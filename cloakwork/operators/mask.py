@@ -66,21 +66,22 @@ def surrogate(label: Column, real: Column, h: Column) -> Column:
 
 def wanted(merged: DataFrame, conv: str, text: str, policy: Policy) -> DataFrame:
     """Rows (conv, label, real, action) of the values that a vault has to hold."""
-    one = merged.where(~F.exists("merged", lambda m: m["action"] == RANK["BLOCK"])).select(F.col(conv).cast("string").alias("conv_id"), text, F.explode("merged").alias("m"))
+    one = merged.where(~blocks(F.col(text), F.col("merged"), policy)).select(F.col(conv).cast("string").alias("conv_id"), text, F.explode("merged").alias("m"))
     real = F.substring(F.col(text), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
     held = (F.col("m.action") == RANK["FAKER"]) | ((F.col("m.action") == RANK["REDACT"]) & policy.stored(F.col("m.label")))
     return one.where(held).select("conv_id", F.col("m.label").alias("label"), real.alias("real"), F.col("m.action").alias("action"))
 
 
-def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: DataFrame | None = None, ttl: int = TTL_SECONDS) -> DataFrame:
+def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: DataFrame | None = None, ttl: int = TTL_SECONDS, cap: int = MAX_PER_CONVERSATION) -> DataFrame:
     """The vault with the values added: conv_id, label, real, fake, idx, expires_at (epoch seconds). Values that a live entry
-    holds keep it. Each (conversation, label, value) has one fake, and each fake of a conversation one value."""
+    holds keep it. Each (conversation, label, value) has one fake, and each fake of a conversation one value. Values beyond a
+    conversation's cap get no entry: they are redacted for good."""
     now = F.unix_timestamp() if now is None else now
     v = values.groupBy("conv_id", "label", "real").agg(F.max("action").alias("action")).withColumn("idx", index_of(key, F.col("label"), F.col("real")))
-    live = None
+    held = None
     if vault is not None:
-        live = vault.where(F.col("expires_at") > now).select("conv_id", "label", "real", "fake", "idx", "expires_at")
-        v = v.join(live.select("conv_id", "idx"), ["conv_id", "idx"], "left_anti")
+        held = live(vault, now).select("conv_id", "label", "real", "fake", "idx", "expires_at")
+        v = v.join(held.select("conv_id", "idx"), ["conv_id", "idx"], "left_anti")
     h = F.sha2(F.concat_ws("\u0001", "conv_id", "idx"), 256)
     base = F.when(F.col("action") == RANK["FAKER"], surrogate(F.col("label"), F.col("real"), h)).otherwise(
         F.concat(F.lit("[[REDACTED:"), F.col("label"), F.lit(":"), F.substring(h, 1, 8), F.lit("]]"))
@@ -88,16 +89,24 @@ def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: Data
     v = v.withColumns({"base": base, "_h": h})
     taken = F.row_number().over(W.partitionBy("conv_id", "base").orderBy("idx"))
     used = v.withColumn("_n", taken)
-    if live is not None:
-        old = live.select("conv_id", F.col("fake").alias("base"), F.lit(1).alias("_old"))
+    if held is not None:
+        old = held.select("conv_id", F.col("fake").alias("base"), F.lit(1).alias("_old"))
         used = used.join(old, ["conv_id", "base"], "left").withColumn("_n", F.col("_n") + F.coalesce("_old", F.lit(0)))
     # a second value of the same candidate takes more of its digest
     more = F.when(F.col("base").startswith("[["), F.concat(F.lit("[[REDACTED:"), F.col("label"), F.lit(":"), F.substring("_h", 1, 16), F.lit("]]"))).otherwise(
         F.concat(F.col("base"), F.lit(" "), F.substring("_h", 9, 8))
     )
     fake = F.when((F.col("_n") == 1) & (F.col("base") != F.col("real")), F.col("base")).otherwise(more)
-    fresh = used.select("conv_id", "label", "real", fake.alias("fake"), "idx", (now + ttl).cast("double").alias("expires_at"))
-    return fresh if live is None else live.unionByName(fresh)
+    fresh = used.withColumn("fake", fake)
+    # a full conversation takes no more entries; none that it holds is lost
+    room = F.lit(cap)
+    if held is not None:
+        counts = held.groupBy("conv_id").agg(F.count("*").alias("_held"))
+        fresh, room = fresh.join(counts, "conv_id", "left"), F.lit(cap) - F.coalesce(F.col("_held"), F.lit(0))
+    turn = F.row_number().over(W.partitionBy("conv_id").orderBy("idx"))
+    fresh = fresh.withColumn("_turn", turn).where(F.col("_turn") <= room)
+    fresh = fresh.select("conv_id", "label", "real", "fake", "idx", (now + ttl).cast("double").alias("expires_at"))
+    return fresh if held is None else held.unionByName(fresh)
 
 
 def sealed(vault: DataFrame, key: bytes) -> DataFrame:
@@ -110,9 +119,8 @@ def unsealed(stored: DataFrame, key: bytes) -> DataFrame:
 
 
 def live(vault: DataFrame, now: Column) -> DataFrame:
-    """Entries that haven't expired, at most MAX_PER_CONVERSATION of a conversation (the newest)."""
-    n = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("expires_at"), "fake"))
-    return vault.where(F.col("expires_at") > now).withColumn("_n", n).where(F.col("_n") <= MAX_PER_CONVERSATION).drop("_n")
+    """Entries that haven't expired."""
+    return vault.where(F.col("expires_at") > now)
 
 
 def redacted(text: Column, merged: Column) -> Column:
@@ -123,28 +131,52 @@ def redacted(text: Column, merged: Column) -> Column:
     return splice(text, edits)
 
 
+def checked(text: Column, merged: Column) -> Column:
+    """merged, if its spans lie in the text, in order and apart; anything else is an error."""
+    after_last = lambda m, i: F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["end"])
+    good = F.transform(merged, lambda m, i: (m["start"] >= after_last(m, i)) & (m["start"] < m["end"]) & (m["end"] <= F.length(text)))
+    return F.when(F.coalesce(F.forall(good, lambda g: F.coalesce(g, F.lit(False))), F.lit(True)), merged).otherwise(F.raise_error(F.lit("spans must lie in the text, in order and apart")))
+
+
+def blocks(text: Column, merged: Column, policy: Policy) -> Column:
+    """Does a span stop the text, by the action it was merged with or by the policy's for its label and value?"""
+    value = lambda m: F.substring(text, m["start"] + 1, m["end"] - m["start"])
+    return F.exists(merged, lambda m: (m["action"] == RANK["BLOCK"]) | (policy.rank_of(m["label"], value(m)) == RANK["BLOCK"]))
+
+
 def mask(merged: DataFrame, key_col: str, conv: str, vault: DataFrame, text: str = "text", policy: Policy = Policy()) -> DataFrame:
     """key, masked_text (null if blocked), blocked, infos: array<struct<label,action,start,end,masked_start,masked_end,stored>>.
 
     merged has the column of that name. A value without an entry, or whose fake
-    the text holds already, becomes [REDACTED:LABEL].
+    the text holds already, becomes [REDACTED:LABEL]. Only values meet the vault:
+    the texts themselves are joined once, with what became of their spans.
     """
-    blocked = F.exists("merged", lambda m: m["action"] == RANK["BLOCK"])
-    rows = merged.select(F.col(key_col), F.col(conv).cast("string").alias("conv_id"), text, F.posexplode("merged").alias("pos", "m")).where(F.col("m.action") != RANK["BLOCK"])
+    sound = checked(F.col(text), F.col("merged"))
+    # explode_outer: the spans are computed once, and texts without any have no row
+    rows = merged.select(F.col(key_col), F.col(conv).cast("string").alias("conv_id"), text, F.posexplode_outer(sound).alias("pos", "m")).where(F.col("m").isNotNull())
     real = F.substring(F.col(text), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
-    rows = rows.withColumns({"real": real, "label": F.col("m.label")})
+    rows = rows.where(~F.col("m.action").isin(RANK["KEEP"], RANK["BLOCK"])).select(
+        key_col, "conv_id", F.col("m.label").alias("label"), real.alias("real"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.action").alias("rank")
+    )
     found = rows.join(vault.select("conv_id", "label", "real", "fake"), ["conv_id", "label", "real"], "left")
-    usable = F.col("fake").isNotNull() & ~F.col(text).contains(F.col("fake")) & ((F.col("m.action") == RANK["FAKER"]) | policy.stored(F.col("label")))
-    plain = F.concat(F.lit("[REDACTED:"), F.col("label"), F.lit("]"))
-    edit = F.struct(
-        F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.when(usable, F.col("fake")).otherwise(plain).alias("replacement"), F.col("label").alias("label"),
-        F.when(usable & (F.col("m.action") == RANK["FAKER"]), "FAKER").otherwise("REDACT").alias("action"), usable.alias("stored"),
-    )
+    allowed = (F.col("rank") == RANK["FAKER"]) | policy.stored(F.col("label"))
+    edit = F.struct("start", "end", F.when(allowed, F.col("fake")).alias("fake"), "label", (F.col("rank") == RANK["FAKER"]).alias("faker"))
     edits = found.groupBy(key_col).agg(F.sort_array(F.collect_list(edit)).alias("edits"))
+    blocked = F.coalesce(blocks(F.col(text), F.col("merged"), policy), F.lit(False))
     out = merged.select(key_col, text, blocked.alias("blocked")).join(edits, key_col, "left")
-    none = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("replacement"), F.lit("").alias("label"), F.lit("").alias("action"), F.lit(False).alias("stored"))), 1, 0)
-    out = out.withColumn("edits", F.coalesce("edits", none))
-    return out.select(key_col, F.when(~F.col("blocked"), splice(F.col(text), F.col("edits"))).alias("masked_text"), "blocked", masked_offsets(F.col("edits")).alias("infos"))
+
+    def settled(e: Column) -> Column:
+        usable = e["fake"].isNotNull() & ~F.contains(F.col(text), e["fake"])
+        plain = F.concat(F.lit("[REDACTED:"), e["label"], F.lit("]"))
+        return F.struct(
+            e["start"].alias("start"), e["end"].alias("end"), F.when(usable, e["fake"]).otherwise(plain).alias("replacement"), e["label"].alias("label"),
+            F.when(usable & e["faker"], "FAKER").otherwise("REDACT").alias("action"), usable.alias("stored"),
+        )
+
+    none = "array<struct<start:int,end:int,replacement:string,label:string,action:string,stored:boolean>>"
+    out = out.withColumn("edits", F.coalesce(F.transform("edits", settled), F.array().cast(none)))
+    infos = F.when(~F.col("blocked"), masked_offsets(F.col("edits"))).otherwise(F.slice(masked_offsets(F.col("edits")), 1, 0))
+    return out.select(key_col, F.when(~F.col("blocked"), splice(F.col(text), F.col("edits"))).alias("masked_text"), "blocked", infos.alias("infos"))
 
 
 def masked_offsets(edits: Column) -> Column:

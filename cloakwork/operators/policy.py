@@ -12,8 +12,6 @@ from cloakwork.functions import fixed
 from cloakwork.functions import validators as V
 
 RANK = {a: i for i, a in enumerate(fixed.ACTIONS)}
-#: Words that an override may use for an action.
-SYNONYMS = {"MASK": "REDACT", "PSEUDONYMIZE": "FAKER", "ALLOW": "KEEP", **{a: a for a in fixed.ACTIONS}}
 STRATEGY = {"KEEP": "keep", "FAKER": "pseudonymize", "REDACT": "redact", "BLOCK": "block"}
 
 
@@ -30,6 +28,14 @@ DEFAULTS = {label: Entry(action, risk, category, store) for label, action, risk,
 CRITICAL = frozenset(k for k, e in DEFAULTS.items() if e.risk == "CRITICAL" and e.category == "CREDENTIAL")
 
 
+def _word(known: dict, word: object, what: str):
+    """What a word of a config stands for, in any case."""
+    found = None if word is None else known.get(str(word).strip().upper())
+    if found is None:
+        raise ValueError(f"{what}: {word!r} isn't known")
+    return found
+
+
 def canonical(label: str) -> str:
     key = label.strip().upper()
     return fixed.ALIASES.get(key, key)
@@ -51,15 +57,18 @@ class Policy:
         table = dict(self.table)
         for label, change in changes.items():
             key = canonical(label)
-            change = {"action": change} if isinstance(change, str) else change
-            action = SYNONYMS.get(str(change.get("action", "")).strip().upper())
-            if action is None:
-                raise ValueError(f"{label}: no such action: {change.get('action')!r}")
+            if not key:
+                raise ValueError("a label is needed")
+            change = {"action": change} if isinstance(change, str) else dict(change)
+            action = _word(fixed.ACTION_WORDS, change.get("action"), f"{label}: action")
             if action == "KEEP" and key in CRITICAL:
                 raise ValueError(f"{label}: a critical secret can't be kept")
-            old = table.get(key, Entry("REDACT"))
-            store = change["storage"] == "STORE_FOR_DEMASKING" if "storage" in change else old.store
-            table[key] = Entry(action, change.get("risk_level", old.risk), change.get("entity_category", old.category), store)
+            old = table.get(key) or DEFAULTS.get(key) or Entry(action, "MEDIUM", "UNKNOWN", action == "FAKER")
+            given = lambda name, words, stays: stays if change.get(name) is None else _word(words, change[name], f"{label}: {name}")
+            table[key] = Entry(
+                action, given("risk_level", dict(zip(fixed.RISKS, fixed.RISKS)), old.risk), given("entity_category", dict(zip(fixed.CATEGORIES, fixed.CATEGORIES)), old.category),
+                given("storage", fixed.STORE_WORDS, old.store),
+            )
         return Policy(table, self.default)
 
     @staticmethod
@@ -132,6 +141,11 @@ def route(entities: DataFrame, policy: Policy = Policy(), label_col: str = "labe
     return e.withColumn("strategy", F.try_element_at(strategy, F.col("action"))).drop(*table.columns)
 
 
+def should_block(actions: Column) -> Column:
+    """Does an array of actions stop its text? One BLOCK is enough."""
+    return F.coalesce(F.exists(actions, lambda a: a == "BLOCK"), F.lit(False))
+
+
 def parse_min_scores(text: str) -> dict[str, float]:
     """{label: score} or {"min_scores": {...}}; critical labels are left out, since they have no floor."""
     found = json.loads(text)

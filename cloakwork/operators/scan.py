@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +30,16 @@ ODD = (
 )
 
 
-def normalised(text: str) -> tuple[str, list[int]]:
-    """The text in compatibility form, character by character, and where each character came from."""
-    out, index = [], []
-    for i, c in enumerate(text):
-        if c in DROPPED:
-            continue
-        for x in "-" if c in DASHES else unicodedata.normalize("NFKC", c):
-            out.append(x)
-            index.append(i)
-    return "".join(out), index
+@lru_cache(maxsize=65_536)
+def plain(char: str) -> str:
+    """What a character counts as: its compatibility form, with one kind of dash; nothing for those that are dropped."""
+    return "" if char in DROPPED else unicodedata.normalize("NFKC", char).translate(dict.fromkeys(map(ord, DASHES), "-"))
+
+
+def normalised(text: str) -> tuple[str, np.ndarray]:
+    """The text of plain characters, and the place in text that each of them came from."""
+    parts = list(map(plain, text))
+    return "".join(parts), np.repeat(np.arange(len(parts), dtype=np.int32), list(map(len, parts)))
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("index", T.ArrayType(T.IntegerType()))]))

@@ -296,10 +296,10 @@ def routing_risk_summary(spark, d):
     return _routed(spark, d).groupBy("action", "risk", "category").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT CASE WHEN canonical = 'EMAIL' THEN 'BLOCK' WHEN canonical = 'PERSON' THEN 'REDACT' ELSE action END AS action, count(*) AS n FROM {ROUTED_SQL} GROUP BY ALL")
+@query(f"SELECT CASE canonical WHEN 'EMAIL' THEN 'BLOCK' WHEN 'PERSON' THEN 'REDACT' WHEN 'IBAN' THEN 'FAKER' WHEN 'ADDRESS' THEN 'KEEP' ELSE action END AS action, count(*) AS n FROM {ROUTED_SQL} GROUP BY ALL")
 def policy_snapshot_apply(spark, d):
-    """A snapshot of two changes; every other label is at its default."""
-    return _routed(spark, d, policy.Policy.snapshot({"EMAIL": "BLOCK", "PERSON": "MASK"})).groupBy("action").agg(F.count("*").alias("n"))
+    """A snapshot of four changes; every other label is at its default."""
+    return _routed(spark, d, policy.Policy.snapshot({"EMAIL": "rejection", "PERSON": "Redaction", "IBAN": "MASK", "ADDRESS": "none"})).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -7,6 +7,8 @@ one file at a time.
 
 from __future__ import annotations
 
+import codecs
+import contextlib
 import csv
 import io
 import re
@@ -22,7 +24,11 @@ from cloakwork.operators.residual import residual_scan
 
 SEGMENT = "path string, key string, text string, context string"
 MAX_HEADER, MAX_PART = 80, 50_000_000
-BINARY_EXTENSIONS = "pdf docx xlsx pptx doc xls png jpg jpeg gif bmp webp tif tiff zip".split()
+#: Names that claim a binary format, and names of texts.
+BINARY_EXTENSIONS, TEXT_EXTENSIONS = "pdf docx xlsx".split(), "txt md csv log py js json tsv".split()
+#: Byte order marks and their encodings, and the encodings tried where there is none.
+MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+UNMARKED = ("utf-8", "cp1252", "latin-1")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,13 +37,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def frozen(files: DataFrame, digests: DataFrame) -> DataFrame:
     """files whose SHA-256 is the listed one (path, sha256); any other stops the job."""
-    j = files.join(F.broadcast(digests), "path", "left")
+    j = files.join(digests, "path", "left")
     same = F.sha2("content", 256).eqNullSafe(F.lower("sha256"))
     return j.where(F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("not the frozen file: "), F.col("path"))).cast("boolean"))).drop("sha256")
 
 
 def file_type(content: Column, path: Column) -> Column:
-    """pdf, docx, xlsx, image, text or unknown, by content; a binary extension on other content is unknown."""
+    """pdf, docx, xlsx, image, text or unknown, by content; a binary extension on other content is unknown. Texts have a byte order
+    mark, or no NUL and a text's extension, or are UTF-8 as far as a sample goes."""
     head = F.hex(F.substring(content, 1, 12))
     # names of a package's parts stand in its bytes as they are
     names = F.decode(content, "ISO-8859-1")
@@ -45,29 +52,22 @@ def file_type(content: Column, path: Column) -> Column:
     start = F.substring(content, 1, 4096)
     # a character that is cut at the end of the sample isn't an error
     utf8 = F.exists(F.array(*[F.lit(i) for i in range(4)]), lambda i: ((i == 0) | (F.length(content) > 4096)) & F.is_valid_utf8(F.substring(start, F.lit(1), F.greatest(F.length(start) - i, F.lit(0))).cast("string")))
-    return (
-        F.when(head.startswith("25504446"), "pdf")
-        .when(head.startswith("504B0304"), F.when(names.contains("word/document.xml"), "docx").when(names.contains("xl/workbook.xml"), "xlsx").otherwise("unknown"))
-        .when(head.startswith("D0CF11E0"), "unknown")
-        .when(head.rlike("^(89504E47|FFD8FF|47494638|424D|49492A00|4D4D002A)") | (head.startswith("52494646") & head.endswith("57454250")), "image")
-        .when(ext.isin(*BINARY_EXTENSIONS), "unknown")
-        .when(F.decode(start, "ISO-8859-1").contains("\0"), "unknown")
-        .when(utf8, "text")
-        .otherwise("unknown")
-    )
+    package = F.when(names.contains("word/document.xml"), "docx").when(names.contains("xl/workbook.xml"), "xlsx").otherwise("unknown")
+    image = head.rlike("^(89504E470D0A1A0A|FFD8FF|47494638|424D|49492A00|4D4D002A)") | (head.startswith("52494646") & (ext == "webp"))
+    kinds = (
+        (head.startswith("25504446"), "pdf"), (head.rlike("^504B(0304|0506)"), package), (head.startswith("D0CF11E0"), "unknown"), (image, "image"), (ext.isin(*BINARY_EXTENSIONS), "unknown"),
+        (head.rlike("^(EFBBBF|FFFE|FEFF)"), "text"), (F.decode(start, "ISO-8859-1").contains("\0"), "unknown"), (ext.isin(*TEXT_EXTENSIONS) | utf8, "text"),
+    )
+    return F.coalesce(*[F.when(test, kind) for test, kind in kinds], F.lit("unknown"))
 
 
 def decoded(data: bytes) -> tuple[str, str]:
-    """A text and its encoding: by byte order mark, else UTF-8, Windows-1252, Latin-1."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if data.startswith(mark):
-            return data.decode(name, "replace"), name
-    for name in ("utf-8", "cp1252"):
-        try:
+    """A text and its encoding: that of its byte order mark, which must hold, or the first that fits. UnicodeDecodeError if none does."""
+    marked = [name for mark, name in MARKS if data.startswith(mark)][:1]
+    for name in marked or UNMARKED:
+        with contextlib.suppress(UnicodeDecodeError):
             return data.decode(name), name
-        except UnicodeDecodeError:
-            pass
-    return data.decode("latin-1"), "latin-1"
+    raise UnicodeDecodeError(marked[0], data, 0, len(data), "not what its mark says")
 
 
 def text_segments(files: DataFrame) -> DataFrame:

@@ -132,4 +132,4 @@ def endpoint_stream(heartbeats: DataFrame, late: str = LATE) -> DataFrame:
 
 def with_current_policy(entities: DataFrame, policy: DataFrame) -> DataFrame:
     """Stream-static join: the policy table (tens of rows) is read again each micro-batch."""
-    return entities.join(F.broadcast(policy), "label", "left")
+    return entities.join(policy, "label", "left")

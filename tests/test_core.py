@@ -52,7 +52,7 @@ def test_recognizers(scanned):
     got = {i: set() for i in range(len(CASES))}
     for r in scan.explode_spans(scanned, ["id"]).collect():
         got[r.id].add((r.label, r.value))
-    wrong = {CASES[i][0]: (got[i], want) for i, (_, want) in enumerate(CASES) if not got[i] >= want or (not want and got[i])}
+    wrong = {CASES[i][0]: (got[i], want) for i, (_, want) in enumerate(CASES) if got[i] != want}
     assert not wrong
 
 
@@ -103,6 +103,36 @@ def test_block_stops_a_text(spark):
     assert r.blocked and r.masked_text is None
 
 
+def test_mask_checks_order_and_the_routing_of_each_span(spark):
+    p = policy.Policy().override({"EMAIL": "BLOCK"})
+    text = "to a@example.com now"
+    one = lambda a, b, label="EMAIL", action=1: (a, b, label, action, 0.9, 0, ["s"], [label])
+    frame = lambda spans: spark.createDataFrame([(1, "c", text, spans)], f"id long, conv string, text string, merged array<{merge.MERGED}>")
+    vault = mask.assign(mask.wanted(frame([one(3, 16)]), "conv", "text", policy.Policy()), b"k")
+    # merged before the policy changed: the action is FAKER, but the policy blocks
+    r = mask.mask(frame([one(3, 16)]), "id", "conv", vault, policy=p).first()
+    assert r.blocked and r.masked_text is None and r.infos == [] and mask.wanted(frame([one(3, 16)]), "conv", "text", p).count() == 0
+    assert mask.mask(frame([one(3, 16)]), "id", "conv", vault).first().masked_text != text
+    for wrong in ([one(3, 16), one(5, 9)], [one(5, 9), one(3, 4)], [one(3, 99)], [one(4, 4)]):
+        with pytest.raises(Exception, match="in order and apart"):
+            mask.mask(frame(wrong), "id", "conv", vault).collect()
+
+
+def test_a_full_conversation_takes_no_more_entries(spark):
+    values = spark.createDataFrame([("c", "EMAIL", f"a{i}@x.org", 1) for i in range(5)] + [("d", "EMAIL", "b@x.org", 1)], "conv_id string, label string, real string, action int")
+    now = F.lit(1000).cast("long")
+    first = mask.assign(values, b"k", now=now, cap=3).cache()
+    assert sorted(r.conv_id for r in first.collect()) == ["c", "c", "c", "d"]
+    more = mask.assign(values, b"k", now=now, vault=first, cap=4)
+    kept = {(r.conv_id, r.real, r.fake) for r in more.collect()}
+    assert len(kept) == 5 and {(r.conv_id, r.real, r.fake) for r in first.collect()} <= kept
+
+
+def test_dashes_of_compatibility_forms(spark):
+    d = scan.scan(spark.createDataFrame([(i, f"ssn 078{c}05{c}1120") for i, c in enumerate("-‐–−﹘︱︲﹣－")], "id long, text string"), config=Config(enabled_labels=frozenset({"US_SSN"})))
+    assert {r.id for r in scan.explode_spans(d, ["id"]).collect()} == set(range(9))
+
+
 def test_merge_property(spark):
     rng = random.Random(7)
     labels = ["EMAIL", "URL", "PASSWORD", "PERSON", "NEW"]
@@ -159,6 +189,18 @@ def test_hmac_and_policy(spark):
     with pytest.raises(ValueError):
         policy.Policy(default="KEEP")
     assert policy.Policy.from_json('{"OVERRIDES": {"ssn": "faker"}}').table["US_SSN"].action == "FAKER"
+    words = {"mask": "FAKER", "Pseudonymize": "FAKER", "REDACTION": "REDACT", " none ": "KEEP", "rejection": "BLOCK", "BLOCK": "BLOCK"}
+    assert {w: policy.Policy().override({"URL": w}).table["URL"].action for w in words} == words
+    for wrong in ("ALLOW", "", {"storage": "STORE"}, {"action": "MASK", "storage": "maybe"}, {"action": "MASK", "risk_level": "odd"}):
+        with pytest.raises(ValueError):
+            policy.Policy().override({"URL": wrong})
+    with pytest.raises(ValueError):
+        policy.Policy().override({" ": "MASK"})
+    with pytest.raises(ValueError):
+        policy.Policy().override({"SECRET": "none"})
+    own = policy.Policy().override({"CUSTOM": {"action": "REDACT", "storage": "yes", "risk_level": "high"}, "OTHER": "MASK", "EMAIL": "REDACT"}).table
+    assert own["CUSTOM"] == policy.Entry("REDACT", "HIGH", "UNKNOWN", True) and own["OTHER"] == policy.Entry("FAKER", "MEDIUM", "UNKNOWN", True) and own["EMAIL"] == policy.Entry("REDACT", "HIGH", "PII", True)
+    assert spark.range(1).select(policy.should_block(F.array(F.lit("KEEP"), F.lit("BLOCK"))).alias("x"), policy.should_block(F.array(F.lit("KEEP"))).alias("y")).first()[:] == (True, False)
     assert policy.parse_min_scores('{"min_scores": {"EMAIL": 0.5, "PASSWORD": 0.9}}') == {"EMAIL": 0.5}
 
 
@@ -185,10 +227,19 @@ def test_audit_validation_and_slots(spark):
 
 
 def test_file_kinds_and_cells(spark):
-    rows = [("a.pdf", b"%PDF-1.7"), ("b.txt", "é text".encode()), ("c.pdf", b"plain"), ("d.png", b"\x89PNG\r\n"), ("e.bin", b"a\0b"), ("f.docx", b"PK\x03\x04..word/document.xml"), ("g.txt", b"\xff\xfe\xfa")]
+    rows = [
+        ("a.pdf", b"%PDF-1.7"), ("b.txt", "é text".encode()), ("c.pdf", b"plain"), ("d.png", b"\x89PNG\r\n\x1a\n"), ("e.bin", b"a\0b"), ("f.docx", b"PK\x03\x04..word/document.xml"), ("g.txt", b"\xff\xfe\xfa"),
+        ("h.txt", "caf\u00e9".encode("latin-1")), ("i.dat", "caf\u00e9 x".encode("latin-1")), ("j.bin", "wide".encode("utf-16")), ("k.txt", b"a\0b"), ("l.xlsx", b"PK\x05\x06..xl/workbook.xml"), ("m.zip", b"PK\x05\x06.."),
+        ("n.dat", b"x" * 4095 + "\u00e9".encode()), ("o.webp", b"RIFFxxxxWEBP"), ("p.dat", b"RIFF plain"), ("q.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), ("r", b""),
+    ]
     d = spark.createDataFrame(rows, "path string, content binary")
     kinds = {r.path: r.k for r in d.select("path", files.file_type(F.col("content"), F.col("path")).alias("k")).collect()}
-    assert kinds == {"a.pdf": "pdf", "b.txt": "text", "c.pdf": "unknown", "d.png": "image", "e.bin": "unknown", "f.docx": "docx", "g.txt": "unknown"}
+    assert kinds == {"a.pdf": "pdf", "b.txt": "text", "c.pdf": "unknown", "d.png": "image", "e.bin": "unknown", "f.docx": "docx", "g.txt": "text", "h.txt": "text", "i.dat": "unknown", "j.bin": "text",
+                     "k.txt": "unknown", "l.xlsx": "xlsx", "m.zip": "unknown", "n.dat": "text", "o.webp": "image", "p.dat": "text", "q.doc": "unknown", "r": "text"}
+    assert files.decoded(b"\xef\xbb\xbfa") == ("a", "utf-8-sig") and files.decoded("é".encode("utf-16")) == ("é", "utf-16") and files.decoded("é".encode("utf-32"))[1] == "utf-32"
+    assert files.decoded("é".encode()) == ("é", "utf-8") and files.decoded(b"\x93q\x94") == ("“q”", "cp1252") and files.decoded(b"\x81\xe9") == ("\x81é", "latin-1")
+    with pytest.raises(UnicodeDecodeError):
+        files.decoded(b"\xff\xfe\xfa")
     cells = files.cell_segments(spark.createDataFrame([("t.csv", b'Name,Card\n"a, b",42\n')], "path string, content binary")).collect()
     assert [(r.key, r.text, r.context) for r in cells] == [("0:0", "Name", ""), ("0:1", "Card", ""), ("1:0", "a, b", "Name: "), ("1:1", "42", "Card: ")]
 
