@@ -173,11 +173,12 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 
 def bootstrap(cases: DataFrame, id_col: str, hit: str, total: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """2.5 and 97.5 % points of sum(hit) / sum(total) under resampling: Poisson weights from a hash of (id, resample), so each
+    """2.5 and 97.5 % points of sum(hit) / sum(total) under resampling: Poisson weights from a digest of (id, resample), so each
     case is read once and only sums are shuffled."""
-    u = lambda i: F.pmod(F.xxhash64(F.col(id_col), i, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    digest = lambda i: F.md5(F.concat_ws(":", F.col(id_col).cast("string"), i.cast("string"), F.lit(str(seed))))
+    u = lambda i: F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("double") / 4294967296.0
     cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581]
-    weight = lambda i: sum(((u(i) >= c).cast("int") for c in cuts), F.lit(0))
+    weight = lambda i: let(u(i), lambda x: sum(((x >= c).cast("int") for c in cuts), F.lit(0)))
     rows = cases.select(hit, total, F.explode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: F.struct(i.alias("i"), weight(i).alias("w")))).alias("x"))
     each = rows.groupBy("x.i").agg((F.sum(F.col("x.w") * F.col(hit)) / F.sum(F.col("x.w") * F.col(total))).alias("r"))
     return each.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))

@@ -16,6 +16,7 @@ from cloakwork.functions.positions import matches, splice
 from cloakwork.operators import audit, detect, evaluate, mask, merge, policy, residual, scan, texts
 from cloakwork.operators.recognizers import Config, registry
 from cloakwork.operators.tables import exploded, materialised, spread
+from cloakwork.plans import planted
 from cloakwork.sources import files, requests
 
 QUERIES: dict = {}
@@ -42,14 +43,14 @@ def _quoted(s: str) -> str:
 
 
 def sql_spans(pattern: str, source: str = "documents", key: str = "doc_id", text: str = "text", guard: str | None = None) -> str:
-    """SQL for (key, start, end, value) of a pattern's matches, by the lengths of matches and gaps."""
+    """SQL for (key, start, end, value) of a pattern's matches, by the lengths of matches and gaps, in texts that match the guard."""
     p = _quoted(pattern)
     return f"""
         (SELECT k, s AS "start", s + length(v) AS "end", v AS value FROM (
             SELECT {key} AS k, h[i] AS v,
                    (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0))::INT AS s
             FROM (SELECT {key}, h, g, unnest(range(1, len(h) + 1)) AS i FROM (
-                SELECT {key}, regexp_extract_all({text}, {p}) AS h, string_split_regex({text}, {p}) AS g FROM {source} WHERE regexp_matches({text}, {p})))))"""
+                SELECT {key}, regexp_extract_all({text}, {p}) AS h, string_split_regex({text}, {p}) AS g FROM {source} WHERE regexp_matches({text}, {_quoted(guard or pattern)})))))"""
 
 
 def span_rows(df: DataFrame, key: str, pattern: str, text: str = "text", group: int = 0) -> DataFrame:
@@ -88,7 +89,7 @@ def card_brand_counts(spark, d):
 
 IPV4_TOKEN = r"[0-9A-Za-z_.À-ÖØ-öø-ÿ]+"
 IPV4_SHAPE = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.?$"
-IPV4_SQL = f"""(SELECT k, "start", "start" + length(rtrim(value, '.')) AS "end", rtrim(value, '.') AS value FROM {sql_spans(IPV4_TOKEN)} WHERE regexp_matches(value, '{IPV4_SHAPE}'))"""
+IPV4_SQL = f"""(SELECT k, "start", "start" + length(rtrim(value, '.')) AS "end", rtrim(value, '.') AS value FROM {sql_spans(IPV4_TOKEN, guard=r"[0-9][.][0-9]{1,3}[.][0-9]")} WHERE regexp_matches(value, '{IPV4_SHAPE}'))"""
 IPV4_N = "(split_part(value, '.', 1)::BIGINT * 16777216 + split_part(value, '.', 2)::BIGINT * 65536 + split_part(value, '.', 3)::BIGINT * 256 + split_part(value, '.', 4)::BIGINT)"
 
 
@@ -154,13 +155,93 @@ def token_entropy(spark, d):
     return _spans_of_source(spark, d, "generic_secret_kv").select("doc_id", F.round(V.entropy(F.col("value")), 6).alias("bits"))
 
 
-@query()
+#: The documents' numbers are written one way, which both patterns of uncued phones match; of two equal spans the first source stays.
+PHONE_SQL = f"""(SELECT k, "start", "end", value FROM {sql_spans(r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}")})"""
+
+
+@query(f"""SELECT k AS doc_id, "start", "end", 'PHONE_NUMBER' AS label, 0.7::DOUBLE AS score, 'tier1.phone_e164' AS source, value FROM {PHONE_SQL}""")
 def phone_spans(spark, d):
     chosen = [r for r in registry(Config(uncued_phones=True)) if r.name.startswith("phone")]
     found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=chosen)
     return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "label", "score", F.col("source"), "value")
 
 
+CARD_SQL = f"""(SELECT k, "start", "end", value FROM (SELECT *, length(value) AS n, value[1:2]::INT AS p2, value[1:3]::INT AS p3, value[1:4]::INT AS p4, value[1:6]::INT AS p6 FROM {DIGITS}
+    WHERE length(value) BETWEEN 13 AND 19) WHERE {LUHN} AND ({BRAND}) IS NOT NULL)"""
+#: Addresses that aren't loopback, unspecified, multicast, broadcast or a netmask.
+_PARTS = "list_transform(string_split(value, '.'), lambda x: x::INT)"
+HOSTS_SQL = f"""(SELECT k, "start", "end", value FROM (SELECT *, {IPV4_N} AS n FROM {IPV4_SQL}) WHERE NOT {_sql_blocks(("127.0.0.0/8", "0.0.0.0/32", "224.0.0.0/4", "255.255.255.255/32"))}
+    AND NOT ({_PARTS}[1] = 255 AND list_has_all([0, 128, 192, 224, 240, 248, 252, 254, 255], {_PARTS}) AND {_PARTS} = list_reverse_sort({_PARTS})))"""
+#: What the documents hold that a rule finds, by the SQL of each.
+SPANS_SQL = "(" + " UNION ALL ".join(
+    f"""SELECT k AS doc_id, {start}::INT AS "start", {end}::INT AS "end", '{label}' AS label, {score}::DOUBLE AS score, 'tier1.{source}' AS source, {proof} AS validated, {cue} AS context, {value} AS value FROM {sql}"""
+    for sql, label, score, source, proof, cue, start, end, value in (
+        (EMAIL_SQL, "EMAIL", 0.99, "email", "NULL::BOOLEAN", "false", '"start"', '"end"', "value"),
+        (HOSTS_SQL, "IP_ADDRESS", 0.95, "ipv4", "NULL::BOOLEAN", "false", '"start"', '"end"', "value"),
+        (CARD_SQL, "CREDIT_CARD", 0.98, "payment_card", "true", "false", '"start"', '"end"', "value"),
+        (PHONE_SQL, "PHONE_NUMBER", 0.7, "phone_e164", "NULL::BOOLEAN", "false", '"start"', '"end"', "value"),
+        (TOKEN_SQL, "API_KEY", 0.8, "generic_secret_kv", "NULL::BOOLEAN", "true", '("end" - 41)', '("end" - 1)', "value[-41:-2]"),
+    )
+) + ")"
+#: They don't overlap: merged, each stays, but for those that are kept (public addresses).
+MERGED_SQL = f"""(SELECT doc_id, "start", "end", label, CASE WHEN label IN ('EMAIL', 'PHONE_NUMBER') THEN 1 ELSE 2 END::INT AS action, score, (CASE WHEN validated THEN 2 WHEN context THEN 1 ELSE 0 END)::INT AS evidence,
+    [source] AS sources, [label] AS labels, value FROM (SELECT *, CASE WHEN label = 'IP_ADDRESS' THEN {IPV4_N} END AS n FROM {SPANS_SQL}) WHERE label <> 'IP_ADDRESS' OR NOT ({IPV4_GLOBAL}))"""
+
+
+def spliced_sql(edits: str) -> str:
+    """SQL for doc_id and text with edits (doc_id, start, end, replacement) of the documents."""
+    return f"""(SELECT d.doc_id, CASE WHEN e.doc_id IS NULL THEN d.text ELSE e.head || substr(d.text, e.last + 1) END AS text FROM documents d LEFT JOIN (
+        SELECT doc_id, string_agg(substr(text, before + 1, "start" - before) || replacement, '' ORDER BY "start") AS head, max("end") AS last FROM (
+            SELECT e.*, d.text, coalesce(lag(e."end") OVER (PARTITION BY doc_id ORDER BY e."start"), 0) AS before FROM {edits} e JOIN documents d USING (doc_id)) GROUP BY doc_id) e ON e.doc_id = d.doc_id)"""
+
+
+REDACTED_SQL = f"""(SELECT doc_id, "start", "end", '[REDACTED:' || label || ']' AS replacement FROM {MERGED_SQL})"""
+
+
+# ---------------------------------------------------------------- values planted by rule
+def _planted(spark, d) -> DataFrame:
+    """A text a row of events, with a value of one rule or a look-alike in it."""
+    return table(spark, d, "events").select("event_id", F.expr(planted.text_sql()).alias("text"))
+
+
+def _planted_scan(spark, d) -> DataFrame:
+    return scan.scan(spread(_planted(spark, d)), config=Config(uncued_phones=True, deny_terms=(planted.TERM,)))
+
+
+@query(planted.expected_sql())
+def planted_spans(spark, d):
+    """Every rule on texts that hold its values and look-alikes: all that it finds, and nothing else."""
+    found = scan.explode_spans(_planted_scan(spark, d), ["event_id"])
+    return found.select("event_id", "start", "end", "label", "source", "score", "value")
+
+
+def _planted_merged(spark, d) -> DataFrame:
+    return _planted_scan(spark, d).withColumn("merged", merge.merge(F.col("text"), F.col("spans")))
+
+
+@query(planted.masked_sql())
+def planted_masked(spark, d):
+    """The planted values merged and redacted, and what the policy makes of each label."""
+    return _planted_merged(spark, d).select("event_id", mask.redacted(F.col("text"), F.col("merged")).alias("masked_text"), F.transform("merged", lambda m: m["action"]).cast("string").alias("actions"))
+
+
+@query(planted.restored_sql())
+def planted_restored(spark, d):
+    """The planted values masked with a vault and restored: what the policy stores comes back, the rest stays redacted."""
+    m = materialised(_planted_merged(spark, d).select("event_id", F.concat(F.lit("c"), F.pmod("event_id", F.lit(97))).alias("conv"), "text", "merged"))
+    vault = materialised(mask.assign(mask.wanted(m, "conv", "text", policy.Policy()), KEY, now=F.lit(1_700_000_000).cast("long")))
+    masked = mask.mask(m, "event_id", "conv", vault)
+    back = mask.restore(masked.join(m.select("event_id", "conv"), "event_id"), "event_id", "conv", vault)
+    stored = masked.select("event_id", F.size(F.filter("infos", lambda i: i["stored"])).alias("n_stored"))
+    return back.join(stored, "event_id").select("event_id", "restored_text", "n_stored")
+
+
+@query(planted.residual_sql())
+def planted_residual(spark, d):
+    """What the residual scan finds in the planted texts as they are: all its kinds."""
+    return exploded(_planted(spark, d), residual.residual_scan(F.col("text")), "f", "event_id").select("event_id", "f.type", "f.start", "f.end")
+
+
 # ---------------------------------------------------------------- scan, merge, mask
 def _scanned(spark, d) -> DataFrame:
     return scan.scan(spread(table(spark, d, "documents").select("doc_id", "source", "text")), config=Config(uncued_phones=True))
@@ -170,23 +251,23 @@ def _merged(spark, d) -> DataFrame:
     return _scanned(spark, d).withColumn("merged", merge.merge(F.col("text"), F.col("spans")))
 
 
-@query()
+@query(f"SELECT * FROM {SPANS_SQL}")
 def all_spans(spark, d):
     """Every recognizer over every document."""
     return scan.explode_spans(_scanned(spark, d).drop("source"), ["doc_id"])
 
 
-@query()
+@query(f"SELECT * EXCLUDE (value) FROM {MERGED_SQL}")
 def merged_spans(spark, d):
     return exploded(_merged(spark, d), "merged", "m", "doc_id").select("doc_id", "m.*")
 
 
-@query()
+@query(f"SELECT doc_id, text AS masked_text FROM {spliced_sql(REDACTED_SQL)}")
 def masked_documents(spark, d):
     return _merged(spark, d).select("doc_id", mask.redacted(F.col("text"), F.col("merged")).alias("masked_text"))
 
 
-@query()
+@query(f"""SELECT label, action, count(*) AS spans, sum("end" - "start")::BIGINT AS chars, count(*) AS safe FROM {MERGED_SQL} GROUP BY 1, 2""")
 def masked_summary(spark, d):
     """Flagship: spans found, merged and masked; per label how many, and what the residual scan still finds."""
     m = _merged(spark, d).withColumn("masked", mask.redacted(F.col("text"), F.col("merged")))
@@ -234,19 +315,44 @@ def _held(spark, d):
     return merged, materialised(vault)
 
 
-@query()
+def _blob(b: bytes) -> str:
+    return "'" + "".join(f"\\x{x:02X}" for x in b) + "'::BLOB"
+
+
+_INNER, _OUTER = (_blob(bytes(b ^ pad for b in KEY.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+_HEX = "('0x' || substr(h, {}, 6))::BIGINT"
+_NAME = "[" + ", ".join(f"'{x.lower()}'" for x in mask.FIRST) + "]"
+HELD_SQL = f"""(SELECT doc_id, "start", "end", label, action, value, source || '-' || (doc_id % 64) AS conv_id FROM {MERGED_SQL} JOIN (SELECT doc_id, source FROM documents) USING (doc_id))"""
+#: E-mail addresses and phone numbers are what the policy stores of the documents' values.
+VAULT_SQL = f"""(SELECT conv_id, label, value, CASE WHEN n = 1 AND base <> value THEN base ELSE base || ' ' || substr(h, 9, 8) END AS fake, idx, {1_700_000_000 + mask.TTL_SECONDS}::DOUBLE AS expires_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, base ORDER BY idx) AS n FROM (
+        SELECT *, CASE label WHEN 'EMAIL' THEN {_NAME}[({_HEX.format(9)} % {len(mask.FIRST)} + 1)::INT] || '.' || substr(h, 1, 8) || '@masked.example'
+               ELSE '+1 555 ' || lpad(({_HEX.format(1)} % 1000)::VARCHAR, 3, '0') || ' ' || lpad(({_HEX.format(7)} % 10000)::VARCHAR, 4, '0') END AS base
+        FROM (SELECT *, sha256(conv_id || chr(1) || idx) AS h FROM (
+            SELECT DISTINCT conv_id, label, value, sha256({_OUTER} || unhex(sha256({_INNER} || encode(label) || '\x00'::BLOB || encode(value)))) AS idx FROM {HELD_SQL} WHERE action = 1)))))"""
+
+
+@query(f"SELECT conv_id, label, fake, idx, expires_at FROM {VAULT_SQL}")
 def conversation_surrogates(spark, d):
     _, vault = _held(spark, d)
     return vault.select("conv_id", "label", "fake", "idx", "expires_at")
 
 
-@query()
+EDITS_SQL = f"""(SELECT doc_id, "start", "end", label, fake IS NOT NULL AS stored, coalesce(fake, '[REDACTED:' || label || ']') AS replacement FROM {HELD_SQL} LEFT JOIN {VAULT_SQL} USING (conv_id, label, value))"""
+
+
+@query(
+    f"""WITH e AS MATERIALIZED (SELECT * FROM {EDITS_SQL}), o AS (SELECT *, "start" + sum(length(replacement) - ("end" - "start")) OVER (PARTITION BY doc_id ORDER BY "start") - (length(replacement) - ("end" - "start")) AS pos FROM e),
+    i AS (SELECT doc_id, '[' || string_agg('{{"label":"' || label || '","action":"' || CASE WHEN stored THEN 'FAKER' ELSE 'REDACT' END || '","start":' || "start" || ',"end":' || "end" || ',"masked_start":' || pos::INT || ',"masked_end":' || (pos + length(replacement))::INT
+        || ',"stored":' || stored || '}}', ',' ORDER BY "start") || ']' AS infos FROM o GROUP BY 1)
+    SELECT t.doc_id, t.text AS masked_text, false AS blocked, coalesce(i.infos, '[]') AS infos FROM {spliced_sql("(SELECT * FROM e)")} t LEFT JOIN i USING (doc_id)"""
+)
 def masked_with_vault(spark, d):
     merged, vault = _held(spark, d)
-    return mask.mask(merged, "doc_id", "conv", vault)
+    return mask.mask(merged, "doc_id", "conv", vault).withColumn("infos", F.to_json("infos"))
 
 
-@query("SELECT doc_id, true AS safe FROM documents")
+@query(f"""SELECT doc_id, text AS restored_text, true AS safe FROM {spliced_sql(f"(SELECT * FROM {REDACTED_SQL} JOIN (SELECT doc_id, label, " + chr(34) + "start" + chr(34) + f" FROM {MERGED_SQL}) USING (doc_id, " + chr(34) + "start" + chr(34) + ") WHERE label NOT IN ('EMAIL', 'PHONE_NUMBER'))")}""")
 def demask_roundtrip(spark, d):
     """Masked texts restored: all that the vault holds comes back, and what isn't stored stays redacted."""
     merged, vault = _held(spark, d)
@@ -255,12 +361,13 @@ def demask_roundtrip(spark, d):
     lost = masked.select(
         "doc_id", "text", F.transform(F.filter("infos", lambda i: ~i["stored"]), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), F.concat(F.lit("[REDACTED:"), i["label"], F.lit("]")).alias("replacement"))).alias("edits")
     )
-    return lost.join(back, "doc_id").select("doc_id", (splice(F.col("text"), F.col("edits")) == F.col("restored_text")).alias("safe"))
+    return lost.join(back, "doc_id").select("doc_id", "restored_text", (splice(F.col("text"), F.col("edits")) == F.col("restored_text")).alias("safe"))
 
 
-RESIDUAL_CARDS = f"""SELECT k AS doc_id, 'CREDIT_CARD' AS type, "start", "end" FROM (SELECT *, length(value) AS n, value[1:2]::INT AS p2, value[1:3]::INT AS p3, value[1:4]::INT AS p4 FROM {DIGITS}
-    WHERE length(value) BETWEEN 13 AND 19) WHERE {LUHN} AND ((value[1] = '4' AND n IN (13, 16, 19)) OR (n = 16 AND (p2 BETWEEN 51 AND 55 OR p4 BETWEEN 2221 AND 2720)) OR (n = 15 AND p2 IN (34, 37))
+ISSUER = """((value[1] = '4' AND n IN (13, 16, 19)) OR (n = 16 AND (p2 BETWEEN 51 AND 55 OR p4 BETWEEN 2221 AND 2720)) OR (n = 15 AND p2 IN (34, 37))
     OR (n BETWEEN 16 AND 19 AND (p4 = 6011 OR p2 IN (62, 65) OR p3 BETWEEN 644 AND 649)) OR (n BETWEEN 14 AND 19 AND (p3 BETWEEN 300 AND 305 OR p2 IN (36, 38, 39))) OR (n BETWEEN 16 AND 19 AND p4 BETWEEN 3528 AND 3589))"""
+RESIDUAL_CARDS = f"""SELECT k AS doc_id, 'CREDIT_CARD' AS type, "start", "end" FROM (SELECT *, length(value) AS n, value[1:2]::INT AS p2, value[1:3]::INT AS p3, value[1:4]::INT AS p4 FROM {DIGITS}
+    WHERE length(value) BETWEEN 13 AND 19) WHERE {LUHN} AND {ISSUER}"""
 
 
 @query(RESIDUAL_CARDS)
@@ -405,7 +512,12 @@ def calls_in_window(spark, d):
     return audit.recent_calls(audit_events(spark, d), "conversation_id").select("id", "n_recent")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT conversation_id AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY conversation_id ORDER BY ts) AS n FROM {AUDIT_SQL}),
+    r AS (SELECT key, n, t, true AS allowed, [t] AS held FROM c WHERE n = 1 UNION ALL SELECT key, n, t, len(held) < 5, CASE WHEN len(held) < 5 THEN list_append(held, t) ELSE held END
+          FROM (SELECT c.key, c.n, c.t, list_filter(r.held, lambda x: x > c.t - 3600) AS held FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1))
+    SELECT key, t, allowed FROM r"""
+)
 def rate_limited_calls(spark, d):
     from cloakwork.streaming.streams import replay_limits
 
@@ -520,12 +632,22 @@ def threshold_sweep(spark, d):
     return evaluate.threshold_sweep(_cases(spark, d), SWEEP)
 
 
-@query()
+@query(
+    f"""SELECT p.label, count(*) FILTER (g.label = p.label) AS tp, count(*) FILTER (g.label <> p.label) AS nested, count(*) FILTER (false) AS mism, count(*) FILTER (g.k IS NULL) AS fp
+    FROM {PRED_SQL} p LEFT JOIN {GOLD_SQL} g ON g.k = p.k AND g."start" = p."start" GROUP BY 1"""
+)
 def overlap_classes(spark, d):
     return evaluate.overlap_classes(_cases(spark, d))
 
 
-@query()
+CUTS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581)
+
+
+@query(
+    f"""WITH c AS MATERIALIZED (SELECT k, sum(chars) AS chars, sum(hit) AS hit FROM {LEAK_SQL} GROUP BY 1), u AS (SELECT i, chars, hit, ('0x' || substr(md5(k || ':' || i || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM c, range(1, 1001) t(i)),
+    w AS (SELECT i, chars, hit, {" + ".join(f"(u >= {x})::INT" for x in CUTS)} AS w FROM u), r AS (SELECT i, sum(w * hit) / sum(w * chars)::DOUBLE AS r FROM w GROUP BY 1)
+    SELECT quantile_cont(r, 0.025) AS low, quantile_cont(r, 0.975) AS high FROM r"""
+)
 def bootstrap_recall(spark, d):
     s = evaluate.scored(_cases(spark, d)).select("doc_id", F.aggregate("leaks", F.lit(0), lambda a, x: a + x["hit"]).alias("hit"), F.aggregate("leaks", F.lit(0), lambda a, x: a + x["chars"]).alias("chars"))
     return evaluate.bootstrap(s.where("chars > 0"), "doc_id", "hit", "chars")
@@ -571,7 +693,12 @@ def text_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", V.text_key(F.col("text")).alias("key"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS s, CASE WHEN 6000 >= length(text) THEN length(text) ELSE CASE WHEN regexp_matches(substr(text, 3001, 3000), '\s') THEN 3000 + length(regexp_extract(substr(text, 3001, 3000), '(?s)^.*\s')) ELSE 6000 END END AS e
+        FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, text, b, CASE WHEN b + 6000 >= length(text) THEN length(text) ELSE b + CASE WHEN regexp_matches(substr(text, b + 3001, 3000), '\s') THEN 3000 + length(regexp_extract(substr(text, b + 3001, 3000), '(?s)^.*\s')) ELSE 6000 END END
+        FROM (SELECT doc_id, text, greatest(e - 200, s + 1) AS b FROM w WHERE e < length(text)))
+    SELECT doc_id, s::INT AS "start", e::INT AS "end" FROM w"""
+)
 def text_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.inline(texts.windows(F.col("text"))))
 
@@ -588,7 +715,19 @@ def csv_header_context(spark, d):
     return files.with_headers(cells, "doc_id").select("doc_id", "row", "col", "text", "context")
 
 
-@query()
+RAW_RUNS = sql_spans("[0-9](?:[ -]?[0-9])*", "(SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages)", "page_id")
+
+
+#: A run of too many digits is one of groups: each that is long enough counts by itself.
+RAW_GROUPS = sql_spans("[0-9]+", f"""(SELECT k || ':' || "start" AS rk, value AS text FROM {RAW_RUNS} WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) > 19)""", "rk")
+RAW_CANDIDATES = f"""(SELECT k, "start", "end", regexp_replace(value, '[^0-9]', '', 'g') AS value FROM {RAW_RUNS}
+    UNION ALL SELECT split_part(k, ':', 1)::BIGINT, split_part(k, ':', 2)::INT + "start", split_part(k, ':', 2)::INT + "end", value FROM {RAW_GROUPS})"""
+
+
+@query(
+    f"""SELECT k AS page_id, 'CREDIT_CARD' AS type, "start", "end", 'Luhn-valid card survived' AS reason FROM (SELECT *, length(value) AS n, value[1:2]::INT AS p2, value[1:3]::INT AS p3, value[1:4]::INT AS p4 FROM {RAW_CANDIDATES}
+        WHERE length(value) BETWEEN 13 AND 19) WHERE {LUHN} AND {ISSUER}"""
+)
 def html_raw_scan(spark, d):
     return files.raw_scan(table(spark, d, "pages"), ["page_id"], "html")
 
