@@ -9,8 +9,8 @@ units, counted once with Spark, however the index is cut.
 
 Every document is cut into overlapping passages of PASSAGE words, and every
 passage queries the index. Coarse bounds, summed for all passages of a text at
-once, drop those that can reach no unit. The others go through the postings by
-WAND: cursors in the order of their next unit, the pivot where their largest
+once, and then finer ones of its distinct words, drop those that can reach no
+unit. The others go through the postings by WAND: cursors in the order of their next unit, the pivot where their largest
 weights add up to the threshold, a check of the pivot's block, and skips to the
 pivot or past the block. Every unit above the threshold is retrieved.
 
@@ -41,7 +41,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -53,8 +53,10 @@ from cloakwork.llm.shared import discard, staged, words
 K1, B = 1.2, 0.75
 #: A passage is two strides.
 UNIT, STRIDE, PASSAGE, THRESHOLD = 64, 32, 64, 0.4
-#: Units of a block, coarse blocks at most, and words of a run.
-BLOCK, MAX_COARSE, RUN = 8, 64, 5
+#: Units of a block of postings, and words of a run.
+BLOCK, RUN = 8, 5
+#: Blocks of the coarse bounds, and cells of the fine ones: these have as many blocks as that allows, at most one a unit.
+COARSE, FINE_CELLS = 128, 16 << 20
 QUESTION, ANSWER, QUESTION_ALONE = 0.6, 0.6, 0.8
 INDEX_BYTES, PARTS = 16 << 20, 4
 #: Scores this far below the threshold are still compared one by one: sums in another order differ by less.
@@ -122,13 +124,13 @@ class ItemIndex:
         self.first = array("q", [0, *np.cumsum(counts).tolist()])
         self.most = [0.0] * len(self.row)
         self.block_most: dict[tuple[int, int], float] = {}
-        coarse = max(BLOCK, -(-len(units) // MAX_COARSE))
-        # the last row is for words that no unit has
-        self.bounds = np.zeros((len(self.row) + 1, max(1, -(-len(units) // coarse))), dtype=np.float32)
+        size = max(1, -(-len(units) // max(COARSE, FINE_CELLS // (len(self.row) + 1))))
+        self.fine = np.zeros((max(1, len(self.row)), max(1, -(-len(units) // size))), dtype=np.float32)
         for r, u, x in found:
             self.most[r] = max(self.most[r], x)
             self.block_most[r, u // BLOCK] = max(self.block_most.get((r, u // BLOCK), 0.0), x)
-            self.bounds[r, u // coarse] = max(self.bounds[r, u // coarse], x)
+            self.fine[r, u // size] = max(self.fine[r, u // size], x)
+        self.bounds = np.maximum.reduceat(self.fine, np.arange(0, self.fine.shape[1], -(-self.fine.shape[1] // COARSE)), axis=1)
 
     def wand(self, rows: list[int], threshold: float) -> list[tuple[int, float]]:
         """(unit, score) of the units that the terms in rows (each once) cover by the threshold."""
@@ -179,26 +181,30 @@ class ItemIndex:
 
     def retrieve(self, w: list[str], threshold: float = THRESHOLD) -> dict[int, list[tuple[float, int]]]:
         """entry -> (score, start) of the passages of the words w that retrieve one of its units."""
-        none = len(self.row)
-        get = self.row.get
-        rows = np.array([get(x, none) for x in w], dtype=np.int64)
+        size = len(self.row)
+        rows = np.fromiter(map(self.row.get, w, repeat(-1)), dtype=np.int64, count=len(w))
         found: dict[int, list[tuple[float, int]]] = {}
-        if not (rows != none).any():
-            return found
-        for lo in range(0, len(w), 1024 * STRIDE):  # a long document in pieces, each with the words that its last passage needs
-            part = rows[lo : lo + 1024 * STRIDE + PASSAGE - STRIDE]
-            strides = np.add.reduceat(self.bounds[part], np.arange(0, len(part), STRIDE), axis=0)
-            n = min(1024, max(1, len(strides) - 1))
-            bound = strides[:n].astype(np.float64)
-            bound[: len(strides) - 1] += strides[1 : n + 1]
-            s = np.arange(lo, lo + n * STRIDE, STRIDE)
-            e = np.minimum(s + PASSAGE, len(w))
-            for p in np.flatnonzero((bound >= threshold - SLACK).any(axis=1)):
-                # a word that repeats counts once: a tighter bound, of the passages that are left
-                distinct = [r for r in set(rows[s[p] : e[p]].tolist()) if r != none]
-                if (self.bounds[distinct].sum(axis=0) >= threshold - SLACK).any():
-                    for u, x in self.wand(distinct, threshold):
-                        found.setdefault(self.unit_entry[u], []).append((x, int(s[p])))
+        known = np.flatnonzero(rows >= 0)
+        n_strides = -(-len(w) // STRIDE)
+        n_passages = max(1, n_strides - 1)
+        for lo in range(0, n_passages if len(known) else 0, 1024):  # a long document in pieces, each with the words that its last passage needs
+            n = min(1024, n_passages - lo)
+            some = known[np.searchsorted(known, lo * STRIDE) : np.searchsorted(known, (lo + n + 1) * STRIDE)]
+            # the words of each stride, once each
+            stride, row = np.divmod(np.unique((some // STRIDE - lo) * size + rows[some]), size)
+            if not len(stride):
+                continue
+            first = np.flatnonzero(np.append(True, stride[1:] != stride[:-1]))
+            sums = np.zeros((n + 1, self.bounds.shape[1]))
+            sums[stride[first]] = np.add.reduceat(self.bounds[row], first, axis=0)
+            near = np.flatnonzero(((sums[:-1] + sums[1:]) >= threshold - SLACK).any(axis=1))
+            ends = np.searchsorted(stride, np.append(near, near + 2))
+            for p, i, j in zip(near.tolist(), ends[: len(near)].tolist(), ends[len(near) :].tolist()):
+                # a word of both strides counts once: a tighter bound, of the passages that are left
+                distinct = np.unique(row[i:j])
+                if (self.fine[distinct].sum(axis=0) >= threshold - SLACK).any():
+                    for u, x in self.wand(distinct.tolist(), threshold):
+                        found.setdefault(self.unit_entry[u], []).append((x, (lo + p) * STRIDE))
         return found
 
     def check(self, text: str | None) -> list[tuple[int, float, float, float]]:
