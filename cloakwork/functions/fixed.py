@@ -351,3 +351,31 @@ LABEL_CLASSES = {
     "date": ("date of birth", "sensitive date", "date", "date time"),
     "phone": ("phone number", "phone"),
 }
+
+# ---- fixed values: the archived bank (label, pattern, check), looser than the rules above
+BANK = (
+    ("EMAIL", r"\b[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\b", ""),
+    ("USERNAME", r"@[A-Za-z0-9._]{3,30}\b", ""),
+    ("DATE_OF_BIRTH", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4})\b", ""),
+    ("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b|\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", ""),
+    ("POSTAL_ADDRESS", r"\b\d{1,5}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,4}\s+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Court|Ct|Parkway|Pkwy|Plaza|Square|Sq)\.?,?\s+[A-Z][a-zA-Z]+(?:,\s*[A-Z]{2,3})?\s+\d{5}(?:-\d{4})?", ""),
+    ("US_SSN", r"\b\d{3}-\d{2}-\d{4}\b", "ssn"),
+    ("EGYPTIAN_NATIONAL_ID", r"\b[23]\d{13}\b", "egyptian"),
+    ("PASSPORT_NUMBER", r"\b(?:[A-Z]{1,2}\d{7,8}|\d{8,9})\b(?=\s|$|[.,;!?])", ""),
+    ("DRIVER_LICENSE", r"\b(?:[A-Z]\d{7}|\d{4}\s\d{4}\s\d{4}|\d{8,9}|[A-Z]{2}\d{6})\b", ""),
+    ("TAX_ID", r"\b\d{2}-\d{7}\b|\b[A-Z]{2}\d{8,12}\b|\bGB\d{9}\b|\b[A-Z]{5}\d{4}[A-Z]\b|\b\d{2}[A-Z]{5}\d{4}[A-Z]\d\b", ""),
+    ("NATIONAL_ID_OTHER", r"\b[A-Z]{2}\d{6}[A-Z]\b|\b\d{4}\s\d{4}\s\d{4}\b|\b\d{8}[A-Z]\b|\b[12]\d{12}\d{2}\b|\b\d{11}\b", ""),
+    ("CREDIT_CARD", r"\b(?:\d{4}[\s-]?){3,4}\d{1,4}\b|\b\d{13,19}\b", "luhn"),
+    ("CVV", r"(?i)\b(?:cvv|cvc|security\s+code|cv2|csc)\s*[:=]?\s*\d{3,4}\b", ""),
+    ("CARD_EXPIRY", r"(?i)\b(?:expir(?:y|es|ation)?|valid\s+thru|exp)\s*[:=]?\s*(?:0[1-9]|1[0-2])[/\-](?:\d{2}|\d{4})\b", ""),
+    ("IBAN", r"\b[A-Z]{2}\d{2}(?:\s?\d{4}){2,7}\s?\d{1,4}\b", "iban"),
+    ("SWIFT_BIC", r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", "swift"),
+    ("ABA_ROUTING", r"\b\d{9}\b", "aba"),
+    ("BANK_ACCOUNT_NUMBER", r"\b\d{8,18}\b(?=\s|$|[.,;!?])", ""),
+    ("CRYPTO_WALLET", r"\b(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-z0-9]{39,59})\b|\b0x[0-9a-fA-F]{40}\b", "wallet"),
+    ("EMPLOYEE_ID", r"\b(?:EMP-|EID-|E-|Badge\s*#|Payroll\s+ID:\s*|employee\s+(?:id|number)\s*[:=]?\s*)\d{3,8}\b", ""),
+    ("TICKET_ID", r"\b(?:Issue\s+#|Ticket\s+#)?[A-Z]{2,10}-\d{2,6}\b", ""),
+    ("PROJECT_CODE_NAME", r"\b(?:Project|Operation|Initiative)\s+[A-Z][a-zA-Z]+\b|\b[A-Z]{3,5}-\d{4}\b", ""),
+    ("INTERNAL_HOSTNAME", r"\b[a-z0-9]+(?:-[a-z0-9]+)*\.(?:internal|corp|local|priv|intranet)(?:\.[a-z]+)*\b|\b[a-z0-9]+-[a-z0-9]+-\d+\.[a-z]+\.[a-z]+\b", ""),
+    ("INTERNAL_URL", r"\bhttps?://(?:[a-z0-9-]+\.)+(?:internal|corp|local|priv|intranet)(?::\d+)?(?:/[^\s]*)?\b|\bhttps?://[a-z0-9-]+\.internal\.[a-z]+(?::\d+)?(?:/[^\s]*)?\b", ""),
+)

@@ -149,3 +149,29 @@ def callers(calls: DataFrame, register: DataFrame, key: str = "api_key") -> Data
     Hashes of a register are unique, so no call is doubled."""
     known = register.where("active").drop("active")
     return calls.withColumn("key_hash", F.sha2(F.col(key), 256)).join(known, "key_hash").drop("key_hash", key)
+
+
+def utc(stamp: Column) -> Column:
+    """A timestamp of an ISO text; one without a zone is in UTC."""
+    return F.try_to_timestamp(F.when(stamp.rlike(r"(?i)(?:Z|[+-]\d{2}:?\d{2})$"), stamp).otherwise(F.concat(stamp, F.lit("Z"))))
+
+
+def relative(at: Column, now: Column) -> Column:
+    """'just now', '5m ago', '2h ago' or '3d ago'."""
+    m = F.floor((F.unix_micros(now) - F.unix_micros(at)) / 60_000_000).cast("long")
+    h = F.floor(m / 60).cast("long")
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return F.when(m < 1, "just now").when(m < 60, ago(m, "m")).when(h < 24, ago(h, "h")).otherwise(ago(F.floor(h / 24).cast("long"), "d"))
+
+
+def fleet_versions(heartbeats: DataFrame, now: Column) -> DataFrame:
+    """version, endpoints, stale: how many endpoints run each version."""
+    return endpoints(heartbeats, now).groupBy("version").agg(F.count("*").alias("endpoints"), F.count_if("stale").alias("stale"))
+
+
+def scan_summary(windows: DataFrame) -> DataFrame:
+    """windows_total, processed, skipped, infer_avg_ms, infer_max_ms of a model's windows (processed, ms)."""
+    ms = F.when(F.col("processed"), F.col("ms"))
+    return windows.agg(
+        F.count("*").alias("windows_total"), F.count_if("processed").alias("processed"), F.count_if(~F.col("processed")).alias("skipped"), F.bround(F.avg(ms), 1).alias("infer_avg_ms"), F.max(ms).alias("infer_max_ms")
+    )

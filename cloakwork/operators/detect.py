@@ -6,15 +6,17 @@ the job. Everything but found_everywhere() stays in the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.positions import let
 from cloakwork.operators.recognizers import SPAN, SPANS, Recognizer
 from cloakwork.operators.tables import exploded
-from cloakwork.operators.texts import occurrences
+from cloakwork.operators.texts import occurrences, windows
 
 OK, FAILED, TIMEOUT, UNAVAILABLE, INVALID = "ok", "failed", "timeout", "unavailable", "invalid_output"
 
@@ -75,7 +77,7 @@ def dictionary(entries: list[tuple[str, str, float, list[str]]]) -> list[Recogni
 
 
 def entities_of(reply: Column, text: Column, label_of=lambda label: F.upper(F.translate(label, " -", "__"))) -> Column:
-    """struct<spans,unlocated> of a model's reply {"entities": {label: [value or object]}}.
+    """struct<spans,unlocated> of a model's reply {"entities": {label: [value or object]}}, or {label: [value or object]} alone.
 
     An object has text, confidence or score (0.5 if neither is a number) and
     perhaps offsets, which hold if the text has the value there; otherwise every
@@ -83,7 +85,8 @@ def entities_of(reply: Column, text: Column, label_of=lambda label: F.upper(F.tr
     of another shape, or null, has no spans.
     """
     item = "text string, confidence string, score string, start string, start_char string, end string, end_char string"
-    groups = F.map_entries(F.from_json(reply, "struct<entities:map<string,array<string>>>")["entities"])
+    bare = F.map_filter(F.from_json(reply, "map<string,array<string>>"), lambda k, v: v.isNotNull())
+    groups = F.map_entries(F.coalesce(F.from_json(reply, "struct<entities:map<string,array<string>>>")["entities"], bare))
     told = F.flatten(
         F.transform(groups, lambda g: F.transform(F.coalesce(g["value"], F.array().cast("array<string>")), lambda v: F.struct(g["key"].alias("label"), F.when(v.startswith("{"), F.from_json(v, item)).otherwise(F.from_json(F.to_json(F.struct(v.alias("text"))), item)).alias("x"))))
     )
@@ -123,3 +126,47 @@ def canonical_of(label: Column, mapping: dict[str, str]) -> Column:
     low = F.lower(F.trim(label))
     fits = lambda k: low.startswith(k[:-1].lower()) if k.endswith("*") else low == k.lower()
     return F.coalesce(*[F.when(fits(k), v.upper()) for k, v in mapping.items()], F.lit(None).cast("string"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model behind the scan. load() is called once a worker and gives a function of (texts, labels) that returns, for each text, a reply
+    as entities_of() reads it, or None where it failed or ran out of time. Without load the model is unavailable, which coverage() tells."""
+
+    name: str
+    labels: tuple[str, ...]
+    load: Callable[[], Callable[[list[str], list[str]], list[str | None]]] | None = None
+    size: int = 6000
+    overlap: int = 200
+
+
+def model_report(docs: DataFrame, model: Model, text_col: str = "text", critical: bool = False, column: str = "report") -> DataFrame:
+    """docs with the model's report: its spans of all windows of the text, in the text's offsets. A window that fails makes the text's status
+    'failed', but never stops the job; what other windows gave isn't kept then."""
+    text = F.col(text_col)
+    if model.load is None:
+        nothing = F.lit(None).cast(SPANS)
+        return docs.withColumn(column, report(model.name, list(model.labels), critical, nothing, text, available=F.lit(False)))
+    load, labels = model.load, list(model.labels)
+
+    @F.pandas_udf("array<string>")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = load()
+        for some in batches:
+            asked = [list(w) if w is not None else [] for w in some]
+            flat = [x for w in asked for x in w]
+            told = iter(predict(flat, labels) if flat else [])
+            yield pd.Series([[next(told) for _ in w] for w in asked])
+
+    cut = windows(text, model.size, model.overlap)
+    pieces = lambda ws: F.transform(ws, lambda w: F.substring(text, w["start"] + 1, w["end"] - w["start"]))
+    windowed = docs.withColumn("_w", cut).withColumn("_r", ask(pieces(F.col("_w"))))
+
+    def moved(r: Column, i: Column) -> Column:
+        w = F.get("_w", i)
+        found = entities_of(r, F.substring(text, w["start"] + 1, w["end"] - w["start"]))["spans"]
+        return F.transform(found, lambda x: x.withField("start", x["start"] + w["start"]).withField("end", x["end"] + w["start"]))
+
+    failed = F.exists("_r", lambda r: r.isNull())
+    spans = F.when(~F.coalesce(failed, F.lit(True)), F.array_distinct(F.flatten(F.transform("_r", moved))))
+    return windowed.withColumn(column, report(model.name, labels, critical, spans, text)).drop("_w", "_r")

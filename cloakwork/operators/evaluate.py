@@ -7,12 +7,15 @@ tag or threshold, with partial aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.functions.fixed import LABEL_CLASSES
 from cloakwork.functions.positions import let
-from cloakwork.functions.validators import wilson
+from cloakwork.functions.validators import text_key, wilson
 
 
 def meets(a: Column, b: Column) -> Column:
@@ -172,15 +175,21 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.get(s, F.least(F.size(s) - 1, F.floor(F.lit(q) * F.size(s)).cast("int")))
 
 
-def bootstrap(cases: DataFrame, id_col: str, hit: str, total: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """2.5 and 97.5 % points of sum(hit) / sum(total) under resampling: Poisson weights from a digest of (id, resample), so each
-    case is read once and only sums are shuffled."""
+def resampled(cases: DataFrame, id_col: str, hit: str, total: str, by: list[str] | None = None, resamples: int = 1000, seed: int = 7) -> DataFrame:
+    """i, r: sum(hit) / sum(total) of each resample (of each group): Poisson weights from a digest of (id, resample), so each case is
+    read once and only sums are shuffled."""
     digest = lambda i: F.md5(F.concat_ws(":", F.col(id_col).cast("string"), i.cast("string"), F.lit(str(seed))))
     u = lambda i: F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("double") / 4294967296.0
     cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581]
     weight = lambda i: let(u(i), lambda x: sum(((x >= c).cast("int") for c in cuts), F.lit(0)))
-    rows = cases.select(hit, total, F.explode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: F.struct(i.alias("i"), weight(i).alias("w")))).alias("x"))
-    each = rows.groupBy("x.i").agg((F.sum(F.col("x.w") * F.col(hit)) / F.sum(F.col("x.w") * F.col(total))).alias("r"))
+    keys = by or []
+    rows = cases.select(*keys, hit, total, F.explode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: F.struct(i.alias("i"), weight(i).alias("w")))).alias("x"))
+    return rows.groupBy(*keys, "x.i").agg(F.try_divide(F.sum(F.col("x.w") * F.col(hit)), F.sum(F.col("x.w") * F.col(total))).alias("r"))
+
+
+def bootstrap(cases: DataFrame, id_col: str, hit: str, total: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
+    """2.5 and 97.5 % points of sum(hit) / sum(total) under resampling."""
+    each = resampled(cases, id_col, hit, total, None, resamples, seed)
     return each.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
 
 
@@ -219,3 +228,102 @@ def best_model(table: DataFrame, models: list[str], combined: str, slack: float
     others = F.greatest(*[f1[m] for m in models if m != combined], F.lit(0.0))
     best = F.coalesce(*[F.when(f1[m] == top, m) for m in models])
     return table.withColumns({"best": best, "starred": (f1[combined] >= others - slack) & (f1[combined] > 0)})
+
+
+# ---- from predictions of a model to a report
+def above_floor(preds: Column, floors: dict[str, float], default: float = 0.3) -> Column:
+    """Predictions of at least their label's floor; '*' names the floor of labels that aren't listed."""
+    table = F.create_map(*[F.lit(x) for k, v in floors.items() for x in (k, float(v))]) if floors else None
+    other = F.lit(float(floors.get("*", default)))
+    floor = (lambda p: F.coalesce(F.try_element_at(table, p["label"]), other)) if table is not None else (lambda p: other)
+    return F.filter(preds, lambda p: p["score"] >= floor(p))
+
+
+def with_predictions(cases: DataFrame, preds: DataFrame) -> DataFrame:
+    """cases with the predictions of a table (key, preds) that names texts by their digest; texts without any have none. Spans that
+    don't lie in their text are left out, and scores are held between 0 and 1."""
+    n = F.length("text")
+    inside = F.filter("preds", lambda p: (p["start"] >= 0) & (p["start"] < p["end"]) & (p["end"] <= n))
+    held = F.transform(inside, lambda p: p.withField("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p["score"]))))
+    keyed = preds.select(F.col("key").alias("_key"), F.col("preds"))
+    out = cases.withColumn("_key", text_key(F.col("text"))).join(keyed, "_key", "left").drop("_key")
+    return out.withColumn("preds", F.coalesce(held, F.slice(held, 1, 0), F.array().cast(preds.schema["preds"].dataType)))
+
+
+def latency(timed: DataFrame, ms: str = "ms", chars: str = "chars") -> DataFrame:
+    """p50, p95, max and ms_per_kb of a table of times: nearest ranks from the counts of distinct values, so nothing is gathered."""
+    counts = timed.where(F.col(ms).isNotNull()).groupBy(F.col(ms).alias("v")).agg(F.count("*").alias("n"), F.sum(F.col(chars)).alias("chars"))
+    total = counts.agg(F.sum("n").alias("total"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("n")).alias("all_ms"), F.sum("chars").alias("all_chars"))
+    # running counts by ranges of values: every range's sum first, then within it
+    ranged = counts.withColumn("part", F.floor(F.log2(F.greatest(F.col("v"), F.lit(1e-6))) * 4))
+    before = ranged.groupBy("part").agg(F.sum("n").alias("m")).withColumn("below", F.sum("m").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).drop("m")
+    upto = ranged.join(before, "part").withColumn("to", F.coalesce("below", F.lit(0)) + F.sum("n").over(W.partitionBy("part").orderBy("v")))
+    rank = lambda q: F.least(F.col("total") - 1, F.floor(F.lit(q) * F.col("total")))
+    at = lambda q: F.min(F.when(F.col("to") > rank(q), F.col("v")))
+    out = upto.crossJoin(F.broadcast(total)).groupBy("total", "max", "all_ms", "all_chars").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return out.select(F.bround("p50", 3).alias("p50"), F.bround("p95", 3).alias("p95"), F.bround("max", 3).alias("max"), F.bround(F.try_divide(F.col("all_ms"), F.col("all_chars") / 1000), 3).alias("ms_per_kb"))
+
+
+def report(s: DataFrame, timed: DataFrame | None = None) -> DataFrame:
+    """section, key, metric, value: totals by mode, leak recall over all, by label and by tag with its interval, clean texts, gold out of
+    scope, and latency where times are given."""
+
+    def rows(df: DataFrame, section: str, key: str | None = None) -> DataFrame:
+        metrics = [c for c in df.columns if c != key]
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        name = F.col(key) if key else F.lit("")
+        return df.select(F.lit(section).alias("section"), name.alias("key"), F.explode(pairs).alias("p")).select("section", "key", "p.metric", "p.value")
+
+    scope = s.agg(F.coalesce(F.sum("out_of_scope"), F.lit(0)).alias("out_of_scope_gold_spans"))
+    parts = [
+        rows(totals(s), "mode", "mode"), rows(leak_recall(s), "leak"), rows(per_label(s), "label", "label"), rows(leak_recall(s, "label"), "label_leak", "label"), rows(leak_recall(s, "tag"), "tag_leak", "tag"),
+        rows(benign(s), "benign"), rows(scope, "scope"),
+    ]
+    if timed is not None:
+        parts.append(rows(latency(timed), "latency"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Rows of a file of examples, in a fixed order.
+MAX_EXAMPLES = 500
+
+
+def examples(s: DataFrame, id_col: str, k: int = MAX_EXAMPLES) -> tuple[DataFrame, DataFrame]:
+    """The first k gold spans that aren't covered whole, and the first k predictions on texts without gold: reports for people to read."""
+    cut = lambda a, b: F.substring(F.col("text"), F.greatest(a, F.lit(0)) + 1, b - F.greatest(a, F.lit(0)))
+    gold = s.select(id_col, "text", F.explode(F.arrays_zip("gold", "leaks")).alias("z")).where("z.leaks.hit < z.leaks.chars")
+    g = F.col("z.gold")
+    misses = gold.select(F.col(id_col).alias("id"), g["label"].alias("label"), g["start"].alias("start"), cut(g["start"], g["end"]).alias("text"), F.col("z.leaks.hit").alias("covered_chars"), F.col("z.leaks.chars").alias("of"), cut(g["start"] - 30, g["end"] + 30).alias("context"))
+    p = F.col("p")
+    wrong = s.where(F.size("gold") == 0).select(id_col, "text", F.explode("preds").alias("p")).select(F.col(id_col).alias("id"), p["label"].alias("label"), p["start"].alias("start"), cut(p["start"], p["end"]).alias("text"))
+    return misses.orderBy("id", "start", "label").limit(k), wrong.orderBy("id", "start", "label").limit(k)
+
+
+def write_reports(s: DataFrame, id_col: str, folder: str, timed: DataFrame | None = None) -> None:
+    """report, overlap, misses and false_positives as JSON lines in a folder."""
+    misses, wrong = examples(s, id_col)
+    for name, df in {"report": report(s, timed), "overlap": overlap_classes(s), "misses": misses, "false_positives": wrong}.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def markdown(table: DataFrame, title: str, k: int = MAX_EXAMPLES) -> str:
+    """A small table for people to read; rows in the order of its first columns."""
+    names = table.columns
+    say = lambda v: "" if v is None else f"{v:g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names)]
+    return "\n".join(lines + ["| " + " | ".join(map(say, r)) + " |" for r in table.orderBy(*names).limit(k).collect()])
+
+
+def kill_test(models: DataFrame, id_col: str, label: str, least_f1: float) -> DataFrame:
+    """model, f1, low, high, passes: each model's F1 of one label (cases with a column model), with an interval by resampling cases."""
+    own = lambda spans: F.filter(spans, lambda x: x["label"] == label)
+    tp = greedy_matches(own("preds"), own("gold"), True)
+    counts = models.select("model", id_col, tp.alias("tp"), (F.size(own("preds")) + F.size(own("gold"))).alias("n"))
+    whole = counts.groupBy("model").agg(F.coalesce(F.try_divide(2 * F.sum("tp"), F.sum("n")), F.lit(0.0)).alias("f1"))
+    draws = resampled(counts.withColumn("hit", 2 * F.col("tp")), id_col, "hit", "n", ["model"]).groupBy("model").agg(F.bround(F.percentile("r", 0.025), 3).alias("low"), F.bround(F.percentile("r", 0.975), 3).alias("high"))
+    return whole.join(draws, "model", "left").select("model", F.bround("f1", 3).alias("f1"), "low", "high", (F.bround("f1", 3) >= least_f1).alias("passes"))
+
+
+def combined(cases: DataFrame, members: dict[str, str]) -> DataFrame:
+    """cases of which preds are those of several columns together: {column: name of its source}."""
+    return cases.withColumn("preds", F.array_distinct(F.concat(*[F.transform(c, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["label"].alias("label"), p["score"].alias("score"))) for c in members])))

@@ -204,3 +204,50 @@ def restore(masked: DataFrame, key_col: str, conv: str, vault: DataFrame, text:
     out = masked.select(key_col, text).join(edits, key_col, "left")
     done = let(F.col("edits"), lambda e: splice(F.col(text), e))
     return out.select(key_col, F.when(F.col("edits").isNull(), F.col(text)).otherwise(done).alias("restored_text"), F.coalesce(F.size("edits"), F.lit(0)).alias("n_restored"))
+
+
+# ---- the vault as those who restore see it
+def items(vault: DataFrame, conv_id: str, now: Column) -> DataFrame:
+    """fake, real of a conversation's live entries."""
+    return live(vault, now).where(F.col("conv_id") == conv_id).select("fake", "real")
+
+
+def cleared(vault: DataFrame, conv_ids: list[str]) -> DataFrame:
+    """The vault without some conversations."""
+    return vault.where(~F.col("conv_id").isin(*conv_ids))
+
+
+def versions(vault: DataFrame, now: Column) -> DataFrame:
+    """conv_id, version: how often the conversation's entries changed: each that came, and each time when some expired."""
+    gone = F.count_distinct(F.when(F.col("expires_at") <= now, F.col("expires_at")))
+    return vault.groupBy("conv_id").agg((F.count("*") + gone).alias("version"))
+
+
+def mapping(vault: DataFrame, asked: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """For calls (conv_id, since_version): conv_id, version (-1 for an unknown one), changed, entries (fake, real) where it changed; and
+    the audit events of those that got any: counts, never values."""
+    held = live(vault, now).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("fake", "real"))).alias("entries"))
+    known = asked.join(versions(vault, now), "conv_id", "left").join(held, "conv_id", "left").withColumn("version", F.coalesce("version", F.lit(-1)))
+    changed = ~F.col("since_version").eqNullSafe(F.col("version"))
+    none = F.slice(F.array(F.struct(F.lit("").alias("fake"), F.lit("").alias("real"))), 1, 0)
+    out = known.select("conv_id", "version", changed.alias("changed"), F.when(changed, F.coalesce("entries", none)).otherwise(none).alias("entries"))
+    events = out.where(F.size("entries") > 0).select(F.lit("demask").alias("event_type"), "conv_id", F.size("entries").alias("entity_count"))
+    return out, events
+
+
+def originals_left(text: Column, entries: Column) -> Column:
+    """How many values of a vault's entries (array of fake, real) the text still has; not those that are part of their fake."""
+    return F.size(F.filter(entries, lambda e: F.contains(text, e["real"]) & ~F.contains(e["fake"], e["real"])))
+
+
+def response(scanned: DataFrame, key: str) -> DataFrame:
+    """key, entities_found and entities_types of the raw spans, and the counts by label of the merged ones, for the audit: scanned has
+    both arrays."""
+    labels = lambda c: F.transform(c, lambda x: x["label"])
+    counts = lambda c: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(labels(c))), lambda x: F.struct(x.alias("label"), F.size(F.filter(labels(c), lambda y: y == x)).alias("n"))))
+    return scanned.select(key, F.size("spans").alias("entities_found"), F.array_sort(F.array_distinct(labels("spans"))).alias("entity_types"), counts("merged").alias("audit_counts"))
+
+
+def upsert(vault: DataFrame, folder: str) -> None:
+    """A vault written through: its conversations' partitions take the place of the old ones, all at once; others stay."""
+    vault.write.option("partitionOverwriteMode", "dynamic").partitionBy("conv_id").mode("overwrite").parquet(folder)

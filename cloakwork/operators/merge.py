@@ -26,7 +26,7 @@ def evidence(validated: Column, context: Column) -> Column:
 
 def snapped(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """Start and end widened to whole words where they cut through one."""
-    left = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), rf"{_WORD}+$", 0))
+    left = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), rf"{_WORD}+\z", 0))
     right = F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), rf"^{_WORD}+", 0))
     first, last = F.substring(text, start + 1, F.lit(1)), F.substring(text, end, F.lit(1))
     return (

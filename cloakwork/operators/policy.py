@@ -185,3 +185,26 @@ def _whole_org():
     from pyspark.sql import Window
 
     return Window.partitionBy("org_id")
+
+
+#: Terms and domains of a tenant, and what may be done with images.
+MAX_TERMS, MAX_DOMAINS, IMAGES = 500, 100, ("default", "block", "warn")
+_HOST = r"^(?=.{1,253}$)[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*$"
+
+
+def tenant_configs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Configurations (org_id, deny_terms, tenant_domains, image_policy) as they are kept, and those that are wrong with the reason.
+    Terms are trimmed, 2 to 100 printable characters, the first of those that differ only in case; domains are lower case, without
+    a leading '*.', each once."""
+    terms = F.transform(F.coalesce("deny_terms", F.array().cast("array<string>")), F.trim)
+    domains = F.transform(F.coalesce("tenant_domains", F.array().cast("array<string>")), lambda d: F.ltrim(F.regexp_replace(F.lower(F.trim(d)), r"^\*\.", ""), F.lit(".")))
+    good_term = lambda t: F.length(t).between(2, 100) & ~t.rlike(r"[\x00-\x1f\x7f]")
+    low = F.transform(terms, F.lower)
+    kept = F.filter(terms, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    images = F.coalesce("image_policy", F.lit("default"))
+    reason = (
+        F.when(F.size(terms) > MAX_TERMS, "too many terms").when(F.size(domains) > MAX_DOMAINS, "too many domains").when(~F.forall(terms, good_term), "term")
+        .when(~F.forall(domains, lambda d: d.rlike(_HOST)), "domain").when(~images.isin(*IMAGES), "image_policy")
+    )
+    told = rows.select("org_id", kept.alias("deny_terms"), F.array_distinct(domains).alias("tenant_domains"), images.alias("image_policy"), reason.alias("reason"))
+    return told.where("reason is null").drop("reason"), told.where("reason is not null").select("org_id", "reason")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
-from cloakwork.functions.positions import let, matches, running_sum
+from cloakwork.functions.positions import let, matches, running_sum, splice
 
 
 def signal_counts(text: Column) -> Column:
@@ -45,16 +49,31 @@ def values_of(spans: DataFrame) -> DataFrame:
     return spans.where(((F.instr("value", " ") > 0) & (n >= 8)) | (n >= 14)).select("value").distinct()
 
 
-#: Excluded values are looked for by their first characters.
-ANCHOR = 8
+#: Excluded values are looked for by their first characters. Values of at most so many characters in all are sent to the tasks.
+ANCHOR, MAX_SENT = 8, 8_000_000
 
 
 def holding(texts: DataFrame, values: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, value) of the texts that hold a value; texts without a key can't be named and are left out.
 
-    The distinct runs of ANCHOR characters of a text, cut out in one pass, are joined with the values' first characters; only
-    the pairs that are left meet the text again and are compared, so texts and values are never all paired.
+    Values that are few are sent to the tasks, and each text is searched where it is. More of them are joined by their first ANCHOR
+    characters with the distinct runs of that length of the texts; only the pairs that are left meet the text again and are compared.
     """
+    size = values.agg(F.coalesce(F.sum(F.length("value") + 16), F.lit(0))).first()[0]
+    if size <= MAX_SENT:
+        sent = texts.sparkSession.sparkContext.broadcast(sorted(r["value"] for r in values.where("value is not null").collect()))
+
+        @F.pandas_udf("array<string>")
+        def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            wanted: dict[str, list[str]] = {}
+            for v in sent.value:
+                wanted.setdefault(v[:ANCHOR], []).append(v)
+            anchors = re.compile("(?=(" + "|".join(map(re.escape, sorted(wanted))) + "))", re.S) if wanted else None
+            for some in batches:
+                heads = [set(anchors.findall(t)) if anchors and t else () for t in some]
+                yield pd.Series([[v for h in sorted(hs) for v in wanted[h] if v in t] for hs, t in zip(heads, some)])
+
+        return texts.where(F.col(key).isNotNull()).select(key, F.explode(held(F.col(text_col))).alias("value")).distinct()
     v = values.select("value", F.substring("value", 1, ANCHOR).alias("_a"))
     runs = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{ANCHOR}}}))"), F.lit(1)))
     near = texts.select(key, F.explode(runs).alias("_a")).join(v, "_a").select(key, "value").distinct()
@@ -79,8 +98,11 @@ def windows(text: Column, size: int = 6000, overlap: int = 200) -> Column:
 
 
 def occurrences(text: Column, value: Column) -> Column:
-    """Word-bounded occurrences of a value, which may differ by row; if none, whatever the case."""
-    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), value, F.lit(r"\E(?!\w)"))
+    """Occurrences of a value, which may differ by row, not inside a word where the value's edge is one; if none, whatever the case; if
+    none still, whatever blanks stand between its words."""
+    edge = lambda pattern, guard: F.when(value.rlike(pattern), guard).otherwise("")
+    quoted = lambda v: F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    bounded = lambda flags, body: F.concat(F.lit(flags), edge(r"^[\p{L}\p{N}_]", r"(?<!\w)"), body, edge(r"[\p{L}\p{N}_]$", r"(?!\w)"))
 
     def place(pattern: Column) -> Column:
         hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
@@ -89,8 +111,61 @@ def occurrences(text: Column, value: Column) -> Column:
             lambda s: F.transform(s["h"], lambda h, i: F.struct((F.get(s["e"], i) - F.length(h)).alias("start"), F.get(s["e"], i).alias("end"))),
         )
 
-    exact = place(quoted)
-    return F.when(F.size(exact) > 0, exact).otherwise(place(F.concat(F.lit("(?iu)"), quoted)))
+    def first(tries: list[Column]) -> Column:
+        if len(tries) == 1:
+            return place(tries[0])
+        return let(place(tries[0]), lambda found: F.when(F.size(found) > 0, found).otherwise(first(tries[1:])))
+
+    words = F.filter(F.split(value, r"\s+", -1), lambda w: w != "")
+    loose = F.array_join(F.transform(words, quoted), "\\s*")
+    return F.when(F.trim(value) != "", first([bounded("(?U)", quoted(value)), bounded("(?iuU)", quoted(value)), bounded("(?iuU)", loose)]))
+
+
+def hard_case(case_keys: Column, category: Column, tags: Column, hard: frozenset[str] = frozenset({"hard", "wrapped", "obfuscated"})) -> Column:
+    """Is a case one of the hard ones: by a key of its own that isn't empty (hard_case), by its category, or by a tag?"""
+    named = F.coalesce(F.trim(case_keys) != "", F.lit(False))
+    return named | F.coalesce(F.lower(category).contains("hard"), F.lit(False)) | F.coalesce(F.exists(tags, lambda t: F.lower(t).isin(*hard)), F.lit(False))
+
+
+def filled(template: Column, values: Column) -> Column:
+    """struct<text, spans> of a template with <<slot>>s and a map slot -> struct<value, label, tier>: the text with the values in it, and
+    where they lie; a slot without a label (or a value) makes no span. Null if a slot isn't in the map."""
+    found = matches(template, r"<<[A-Za-z0-9_]+>>")
+    slot = lambda m: F.substring(m["value"], F.lit(3), F.length(m["value"]) - 4)
+
+    def build(ms: Column) -> Column:
+        sizes = F.transform(ms, lambda m: F.length(F.try_element_at(values, slot(m))["value"]) - F.length(m["value"]))
+
+        def placed(m: Column, i: Column) -> Column:
+            shift = F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
+            v = F.try_element_at(values, slot(m))
+            return F.struct((m["start"] + shift).alias("start"), (m["start"] + shift + F.length(v["value"])).alias("end"), v["label"].alias("label"), v["tier"].alias("tier"))
+
+        edits = F.transform(ms, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.try_element_at(values, slot(m))["value"].alias("replacement")))
+        spans = F.filter(F.transform(ms, placed), lambda x: x["label"].isNotNull() & (x["start"] < x["end"]))
+        known = F.forall(edits, lambda e: e["replacement"].isNotNull())
+        return F.when(known, F.struct(splice(template, edits).alias("text"), spans.alias("spans")))
+
+    return let(found, build)
+
+
+def entity_chunks(words: Column, most: int = 8, size: int = 6) -> Column:
+    """An entity of more than `most` words as even pieces of at most `size` words; a shorter one as it is. words: its words."""
+    n = F.size(words)
+    pieces = F.ceil(n / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.slice(words, F.floor(i * n / pieces).cast("int") + 1, (F.floor((i + 1) * n / pieces) - F.floor(i * n / pieces)).cast("int")))
+    return F.transform(F.when(n > most, cut).otherwise(F.array(words)), lambda w: F.array_join(w, " "))
+
+
+def training_rows(made: DataFrame, excluded: DataFrame, labels: list[str], lower_share: float = 0.06) -> DataFrame:
+    """input, output (JSON: {"entities": {label: [value]}}) of generated rows (text, spans of label and value): each text once, none that equals
+    an excluded one (text), long values in pieces, labels without a value as empty lists, and a share of the texts in lower case."""
+    once = leak_guard(made.dropDuplicates(["text"]), excluded)
+    low = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("double") / 4294967296.0 < lower_share
+    said = lambda t: F.when(low, F.lower(t)).otherwise(t)
+    values = lambda label: F.array_distinct(F.flatten(F.transform(F.filter("spans", lambda s: s["label"] == label), lambda s: entity_chunks(F.split(said(s["value"]), " ", -1)))))
+    entities = F.create_map(*[x for label in labels for x in (F.lit(label), values(label))])
+    return once.select(said(F.col("text")).alias("input"), F.to_json(F.struct(entities.alias("entities"))).alias("output"))
 
 
 def clip(span_start: Column, span_end: Column, piece_start: Column, piece_end: Column) -> Column:

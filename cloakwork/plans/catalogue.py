@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions import fixed
 from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
-from cloakwork.operators import audit, detect, evaluate, mask, merge, policy, residual, scan, texts
+from cloakwork.operators import audit, detect, evaluate, mask, merge, policy, residual, scan, segments, texts
 from cloakwork.operators.recognizers import Config, registry
 from cloakwork.operators.tables import exploded, materialised, spread
 from cloakwork.plans import planted
@@ -364,6 +364,17 @@ def demask_roundtrip(spark, d):
     return lost.join(back, "doc_id").select("doc_id", "restored_text", (splice(F.col("text"), F.col("edits")) == F.col("restored_text")).alias("safe"))
 
 
+@query(f"SELECT doc_id, string_agg(text, chr(10) ORDER BY k) AS masked_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT doc_id, text FROM {spliced_sql('(SELECT doc_id, ' + chr(34) + 'start' + chr(34) + ', ' + chr(34) + 'end' + chr(34) + ', replacement FROM ' + EDITS_SQL + ')')})) GROUP BY 1")
+def masked_lines(spark, d):
+    """Each document as a file whose lines are segments: masked in batches, edited line by line."""
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat_ws("-", "source", F.pmod("doc_id", F.lit(64))).alias("conv"), "text"))
+    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.cast("string").alias("key"), line.alias("text"), F.lit("").alias("context")))
+    files_ = docs.select("path", "conv", lines.alias("segments"))
+    edits, _ = segments.segment_edits(files_, "path", "conv", KEY, config=Config(uncued_phones=True), now=F.lit(1_700_000_000).cast("long"))
+    done = files_.join(edits.select(F.col("key").alias("path"), "edits"), "path")
+    return done.select(F.col("path").cast("long").alias("doc_id"), F.array_join(segments.applied(F.col("segments"), F.col("edits")), "\n").alias("masked_text"))
+
+
 ISSUER = """((value[1] = '4' AND n IN (13, 16, 19)) OR (n = 16 AND (p2 BETWEEN 51 AND 55 OR p4 BETWEEN 2221 AND 2720)) OR (n = 15 AND p2 IN (34, 37))
     OR (n BETWEEN 16 AND 19 AND (p4 = 6011 OR p2 IN (62, 65) OR p3 BETWEEN 644 AND 649)) OR (n BETWEEN 14 AND 19 AND (p3 BETWEEN 300 AND 305 OR p2 IN (36, 38, 39))) OR (n BETWEEN 16 AND 19 AND p4 BETWEEN 3528 AND 3589))"""
 RESIDUAL_CARDS = f"""SELECT k AS doc_id, 'CREDIT_CARD' AS type, "start", "end" FROM (SELECT *, length(value) AS n, value[1:2]::INT AS p2, value[1:3]::INT AS p3, value[1:4]::INT AS p4 FROM {DIGITS}

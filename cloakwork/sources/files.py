@@ -170,7 +170,7 @@ def office_segments(files: DataFrame) -> DataFrame:
 
 
 def package_parts(files: DataFrame) -> DataFrame:
-    """(path, part, size, text) of a package's textual parts; parts over MAX_PART have null text."""
+    """(path, part, size, text) of a package's parts; those that aren't text, or are over MAX_PART, have null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,8 +180,8 @@ def package_parts(files: DataFrame) -> DataFrame:
                     continue
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for i in z.infolist():
-                        if re.search(r"\.(?:xml|rels|vml|txt|html?)$", i.filename):
-                            out.append((path, i.filename, i.file_size, z.read(i).decode("utf-8", "replace") if i.file_size <= MAX_PART else None))
+                        textual = re.search(r"\.(?:xml|rels|vml|txt|html?)$", i.filename) and i.file_size <= MAX_PART
+                        out.append((path, i.filename, i.file_size, z.read(i).decode("utf-8", "replace") if textual else None))
             yield pd.DataFrame(out, columns=["path", "part", "size", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, part string, size long, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from cloakwork.operators import audit
 
 LATE = "10 minutes"
+#: The state store of streams with states of their own: the default one holds a single state a key.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_states(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+    """A stream's rows by key through a processor with states; the session's streams take the store that these need."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
 
 
 def audit_windows(events: DataFrame, window: str = "10 seconds", late: str = LATE) -> DataFrame:
@@ -69,9 +78,7 @@ class RateLimiter(StatefulProcessor):
 
 def rate_limited(calls: DataFrame, limit: int = 100, seconds: int = 600) -> DataFrame:
     """key, t (epoch seconds), allowed of a stream of calls (key, t)."""
-    return calls.groupBy("key").transformWithStateInPandas(
-        RateLimiter(limit, seconds), outputStructType="key string, t double, allowed boolean", outputMode="Append", timeMode="None"
-    )
+    return with_states(calls, "key", RateLimiter(limit, seconds), "key string, t double, allowed boolean")
 
 
 def replay_limits(calls: DataFrame, limit: int = 100, seconds: int = 600) -> DataFrame:
@@ -120,9 +127,7 @@ class VaultState(StatefulProcessor):
 
 def vault_stream(entries: DataFrame, ttl_seconds: int = 24 * 3600) -> DataFrame:
     """conv_id, idx, fake, reused of a stream of proposed entries (conv_id, idx, fake)."""
-    return entries.groupBy("conv_id").transformWithStateInPandas(
-        VaultState(ttl_seconds * 1000), outputStructType="conv_id string, idx string, fake string, reused boolean", outputMode="Append", timeMode="ProcessingTime"
-    )
+    return with_states(entries, "conv_id", VaultState(ttl_seconds * 1000), "conv_id string, idx string, fake string, reused boolean", "ProcessingTime")
 
 
 def endpoint_stream(heartbeats: DataFrame, late: str = LATE) -> DataFrame:
@@ -130,6 +135,98 @@ def endpoint_stream(heartbeats: DataFrame, late: str = LATE) -> DataFrame:
     return heartbeats.withWatermark("ts", late).groupBy("endpoint").agg(F.max("ts").alias("last_seen"), F.max_by("version", "ts").alias("version"))
 
 
-def with_current_policy(entities: DataFrame, policy: DataFrame) -> DataFrame:
-    """Stream-static join: the policy table (tens of rows) is read again each micro-batch."""
-    return entities.join(policy, "label", "left")
+def with_current_policy(entities: DataFrame, policy: DataFrame, version: int | None = None) -> DataFrame:
+    """Stream-static join: the policy table is read again each micro-batch. version: only entries of later ones than that count, as for a
+    caller who has that version already."""
+    newer = policy if version is None else policy.where(F.col("version") > version)
+    return entities.join(newer, "label", "left")
+
+
+def polled_stats(events: DataFrame) -> DataFrame:
+    """Events and entities by type from the start of the stream, for complete output: each poll is the whole table."""
+    return events.groupBy("event_type").agg(F.count("*").alias("events"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("entities"))
+
+
+class ReplyState(StatefulProcessor):
+    """Restores a reply that comes in pieces. What may be the start of a fake is held back until more comes, or the reply ends."""
+
+    def __init__(self, longest: int):
+        self.longest = longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "text string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        text = self.held.get()[0] if self.held.exists() else ""
+        for pdf in rows:
+            for piece, last, fakes in pdf.sort_values("seq")[["piece", "last", "fakes"]].itertuples(index=False):
+                known = dict(zip(fakes["fake"], fakes["real"])) if isinstance(fakes, dict) else {f["fake"]: f["real"] for f in fakes}
+                text += piece
+                done, text = restored_so_far(text, known, bool(last))
+                yield pd.DataFrame({"reply": [key[0]], "text": [done]})
+        self.held.update((text,))
+
+    def close(self) -> None:
+        pass
+
+
+def restored_so_far(text: str, known: dict[str, str], last: bool) -> tuple[str, str]:
+    """(restored, held back): fakes become their values, the longest first, not inside a word; the end of the text that may still become a
+    fake, or go on as a word, is held back."""
+    keep = len(text)
+    if not last and known:
+        longest = max(map(len, known))
+        for at in range(max(0, len(text) - longest), len(text)):
+            if any(f.startswith(text[at:]) for f in known):
+                keep = at
+                break
+        # a fake that ends here may turn out to be part of a longer word
+    word = lambda c: c.isalnum() or c == "_"
+    guarded = [(r"(?<!\w)" if word(f[0]) else "") + re.escape(f) + (r"(?!\w)" if word(f[-1]) else "") for f in sorted(known, key=lambda f: (-len(f), f))]
+    if not guarded:
+        return text, ""
+    return re.sub("|".join(guarded), lambda m: known[m[0]], text[:keep]), text[keep:]
+
+
+def restored_replies(pieces: DataFrame, longest: int = 256) -> DataFrame:
+    """reply, text of a stream of pieces (reply, seq, piece, last, fakes: array of fake and real): joined in order, the texts are the restored
+    reply."""
+    return with_states(pieces, "reply", ReplyState(longest), "reply string, text string")
+
+
+class TabState(StatefulProcessor):
+    """One vault a conversation of a tab: known by the server's id once there is one, before that pending under a new one. What came first
+    is kept, one call after the other."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "server string", "vault string")
+        self.now = handle.getValueState("now", "pending string, last string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pending, last = self.now.get() if self.now.exists() else (None, None)
+        for pdf in rows:
+            out = []
+            for call, server in pdf.sort_values("call")[["call", "server"]].itertuples(index=False):
+                server = server if isinstance(server, str) and server else None
+                if server is not None and self.known.containsKey((server,)):
+                    vault = self.known.getValue((server,))[0]
+                elif server is not None:
+                    vault = pending or last or f"conv_{server}"
+                    pending = None
+                    self.known.updateValue((server,), (vault,))
+                else:
+                    vault = pending or last
+                    if vault is None:
+                        vault = pending = f"new_{key[0]}_{call}"
+                last = vault
+                out.append((key[0], call, vault))
+            yield pd.DataFrame(out, columns=["tab", "call", "vault"])
+        self.now.update((pending, last))
+
+    def close(self) -> None:
+        pass
+
+
+def resolved_vaults(calls: DataFrame) -> DataFrame:
+    """tab, call, vault of a stream of calls (tab, call: a number in order, server: the server's id of the conversation or null)."""
+    return with_states(calls, "tab", TabState(), "tab string, call long, vault string")
