@@ -196,7 +196,7 @@ def tenant_configs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Configurations (org_id, deny_terms, tenant_domains, image_policy) as they are kept, and those that are wrong with the reason.
     Terms are trimmed, 2 to 100 printable characters, the first of those that differ only in case; domains are lower case, without
     a leading '*.', each once."""
-    terms = F.transform(F.coalesce("deny_terms", F.array().cast("array<string>")), F.trim)
+    terms = F.transform(F.coalesce("deny_terms", F.array().cast("array<string>")), lambda t: F.trim(t))
     domains = F.transform(F.coalesce("tenant_domains", F.array().cast("array<string>")), lambda d: F.ltrim(F.regexp_replace(F.lower(F.trim(d)), r"^\*\.", ""), F.lit(".")))
     good_term = lambda t: F.length(t).between(2, 100) & ~t.rlike(r"[\x00-\x1f\x7f]")
     low = F.transform(terms, F.lower)

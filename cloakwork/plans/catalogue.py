@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions import fixed
 from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
-from cloakwork.operators import audit, detect, evaluate, mask, merge, policy, residual, scan, segments, texts
+from cloakwork.operators import audit, bank, detect, evaluate, mask, merge, policy, residual, scan, segments, texts
 from cloakwork.operators.recognizers import Config, registry
 from cloakwork.operators.tables import exploded, materialised, spread
 from cloakwork.plans import planted
@@ -867,3 +867,170 @@ def callers_by_key(spark, d):
     register = table(spark, d, "customer").select(F.sha2(key("c_custkey"), 256).alias("key_hash"), (F.col("c_acctbal") >= 0).alias("active"), F.col("c_mktsegment").alias("org"))
     calls = table(spark, d, "orders").select(key("o_custkey").alias("api_key"))
     return audit.callers(calls, register).groupBy("org").agg(F.count("*").alias("calls"))
+
+
+# ---------------------------------------------------------------- reports, models, vault views and small rules
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS metric, {x}::DOUBLE AS value FROM (SELECT list_sort(list(ms)) AS l, sum(ms) AS total, sum(chars) AS chars FROM (SELECT latency_ms AS ms, entity_count * 100 AS chars FROM {AUDIT_SQL} WHERE latency_ms IS NOT NULL))"""
+        for m, x in (("p50", "l[least(len(l), floor(0.5 * len(l)) + 1)::INT]"), ("p95", "l[least(len(l), floor(0.95 * len(l)) + 1)::INT]"), ("max", "l[len(l)]"), ("ms_per_kb", "round_even(total / (chars / 1000.0), 3)"))
+    )
+)
+def latency_report(spark, d):
+    """Latency of the audit events by nearest rank, and for a thousand characters."""
+    e = audit_events(spark, d).select(F.col("latency_ms").alias("ms"), (F.col("entity_count") * 100).alias("chars")).where("ms is not null")
+    one = evaluate.latency(e)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])).alias("x")).select("x.*")
+
+
+TOTALS_SQL = " UNION ALL ".join(f"SELECT mode AS key, '{m}' AS metric, {m}::DOUBLE AS value FROM t" for m in ("tp", "fp", "fn", "precision", "recall", "f1"))
+
+
+@query(
+    f"""WITH s AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM {STRICT_SQL}), t AS (SELECT 'strict' AS mode, tp, fp, fn, {PRF.format(n=4, p="precision", r="recall", f="f1")} FROM s), x AS ({TOTALS_SQL}),
+    l AS (SELECT {LEAK_AGG} FROM {LEAK_SQL})
+    SELECT 'mode' AS section, key, metric, value FROM x UNION ALL SELECT 'leak', '', 'gold_chars', gold_chars FROM l UNION ALL SELECT 'leak', '', 'covered_chars', covered_chars FROM l UNION ALL SELECT 'leak', '', 'char_recall', char_recall FROM l
+    UNION ALL SELECT 'scope', '', 'out_of_scope_gold_spans', 0"""
+)
+def evaluation_report(spark, d):
+    """Of the assembled report: strict totals, leak recall and what was out of scope."""
+    r = evaluate.report(evaluate.scored(_cases(spark, d)))
+    return r.where("(section = 'mode' and key = 'strict') or (section = 'leak' and metric in ('gold_chars', 'covered_chars', 'char_recall')) or section = 'scope'")
+
+
+@query(f"""SELECT g.k AS id, g.label, g."start", substr(text, g."start" + 1, chars) AS text, hit AS covered_chars, chars AS "of" FROM (SELECT g.k, g.label, g."start", g."end" - g."start" AS chars, CASE WHEN p.k IS NULL THEN 0 ELSE g."end" - g."start" END AS hit
+    FROM {GOLD_SQL} g LEFT JOIN {PRED_SQL} p ON g.k = p.k AND g."start" = p."start") g JOIN documents ON doc_id = g.k WHERE hit < chars ORDER BY id, "start", label LIMIT 500""")
+def report_misses(spark, d):
+    """The first missed spans, as the report lists them."""
+    misses, _ = evaluate.examples(evaluate.scored(_cases(spark, d)), "doc_id")
+    return misses.drop("context")
+
+
+@query(
+    f"""WITH p AS (SELECT *, CASE label WHEN 'LONG' THEN 0.9 ELSE 0.2 END AS floor FROM {PRED_SQL}) SELECT doc_id, count(p.k) AS n FROM documents LEFT JOIN p ON p.k = doc_id AND p.score >= p.floor GROUP BY 1"""
+)
+def predictions_above_floor(spark, d):
+    """Predictions of a table, joined with the texts by their digest, of at least their label's floor ('*' for others)."""
+    cases = _cases(spark, d)
+    told = cases.select(V.text_key(F.col("text")).alias("key"), "preds").dropDuplicates(["key"])
+    joined = evaluate.with_predictions(cases.drop("preds"), told)
+    return joined.select("doc_id", F.size(evaluate.above_floor(F.col("preds"), {"LONG": 0.9, "*": 0.2})).cast("long").alias("n"))
+
+
+@query(
+    f"""WITH m AS (SELECT unnest(['half', 'whole']) AS model), p AS (SELECT model, k, "start", label FROM m JOIN {PRED_SQL} ON model = 'whole' OR "start" % 2 = 0), c AS (SELECT model, count(*) FILTER (g.k = p.k) AS tp, count(p.k) AS np FROM p LEFT JOIN {GOLD_SQL} g ON g.k = p.k AND g."start" = p."start" AND g.label = p.label
+        WHERE p.label = 'LONG' GROUP BY 1), n AS (SELECT count(*) AS ng FROM {GOLD_SQL} WHERE label = 'LONG')
+    SELECT model, round_even(2 * tp / (np + ng)::DOUBLE, 3) AS f1, round_even(2 * tp / (np + ng)::DOUBLE, 3) >= 0.8 AS passes FROM c, n"""
+)
+def model_kill_test(spark, d):
+    """Two models' F1 of a label against the least that is asked."""
+    c = _cases(spark, d)
+    half = c.withColumn("preds", F.filter("preds", lambda p: p["start"] % 2 == 0))
+    both = c.withColumn("model", F.lit("whole")).unionByName(half.withColumn("model", F.lit("half")))
+    return evaluate.kill_test(both, "doc_id", "LONG", 0.8).select("model", "f1", "passes")
+
+
+@query(f"""SELECT conv_id, count(*) + CASE WHEN sum(CASE WHEN label = 'EMAIL' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS version, count(*) FILTER (label <> 'EMAIL') AS n_live FROM {VAULT_SQL} GROUP BY 1""")
+def vault_versions(spark, d):
+    """Versions and live entries of conversations of which the e-mail addresses have expired."""
+    now = F.lit(1_700_000_000 + mask.TTL_SECONDS).cast("double")
+    vault = _held(spark, d)[1].withColumn("expires_at", F.when(F.col("label") == "EMAIL", F.col("expires_at")).otherwise(F.col("expires_at") + 60))
+    live = mask.live(vault, now).groupBy("conv_id").agg(F.count("*").alias("n_live"))
+    return mask.versions(vault, now).join(live, "conv_id", "left").select("conv_id", "version", F.coalesce("n_live", F.lit(0)).alias("n_live"))
+
+
+@query(f"""SELECT conv_id, count(*) AS version, conv_id NOT LIKE '%1' AS changed, CASE WHEN conv_id LIKE '%1' THEN 0 ELSE count(*) END::INT AS n_entries FROM {VAULT_SQL} GROUP BY 1""")
+def vault_mapping(spark, d):
+    """What callers get who have a version already: nothing where it is the present one."""
+    vault, now = _held(spark, d)[1], F.lit(1_700_000_000).cast("double")
+    asked = mask.versions(vault, now).select("conv_id", F.when(F.col("conv_id").endswith("1"), F.col("version")).alias("since_version"))
+    out, _ = mask.mapping(vault, asked, now)
+    return out.select("conv_id", "version", "changed", F.size("entries").alias("n_entries"))
+
+
+@query(f"""SELECT doc_id, count(s.label)::INT AS entities_found, coalesce(array_to_string(list_sort(list(DISTINCT s.label)), ','), '') AS entity_types FROM documents LEFT JOIN {SPANS_SQL} s USING (doc_id) GROUP BY 1""")
+def mask_responses(spark, d):
+    """What a caller is told of each text: of all that was found, kept values too."""
+    return mask.response(_merged(spark, d), "doc_id").select("doc_id", "entities_found", F.array_join("entity_types", ",").alias("entity_types"))
+
+
+@query(f"""SELECT doc_id, count(v.value)::INT AS n FROM {spliced_sql(REDACTED_SQL)} t LEFT JOIN (SELECT DISTINCT source || '-' || (doc_id % 64) AS conv_id, doc_id FROM documents) c USING (doc_id) LEFT JOIN {VAULT_SQL} v ON v.conv_id = c.conv_id AND contains(t.text, v.value) GROUP BY 1""")
+def originals_in_masked(spark, d):
+    """Values of a conversation's vault that its redacted texts still have."""
+    merged, vault = _held(spark, d)
+    entries = vault.groupBy(F.col("conv_id").alias("conv")).agg(F.collect_list(F.struct("fake", "real")).alias("entries"))
+    redacted = merged.select("doc_id", "conv", mask.redacted(F.col("text"), F.col("merged")).alias("t")).join(entries, "conv", "left")
+    return redacted.select("doc_id", F.coalesce(mask.originals_left(F.col("t"), F.col("entries")), F.lit(0)).alias("n"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago FROM (SELECT id, (floor((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts)) / 60000000.0))::BIGINT AS m FROM {AUDIT_SQL})"""
+)
+def relative_times(spark, d):
+    now = F.lit("2024-03-01 00:00:00Z").cast("timestamp")
+    return audit_events(spark, d).select("id", audit.relative(audit.utc(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), now).alias("ago"))
+
+
+@query(
+    """SELECT c_mktsegment || (c_custkey % 50) AS org_id, count(DISTINCT lower(c_name)) AS n_terms FROM customer GROUP BY 1"""
+)
+def tenant_terms(spark, d):
+    """Deny terms of tenants, each in two spellings: the first one stays."""
+    rows = table(spark, d, "customer").groupBy(F.concat("c_mktsegment", (F.col("c_custkey") % 50).cast("string")).alias("org_id")).agg(F.flatten(F.collect_list(F.array(F.concat(F.lit(" "), "c_name"), F.upper("c_name")))).alias("deny_terms"))
+    good, _ = policy.tenant_configs(rows.withColumns({"tenant_domains": F.array(F.lit("*.Corp.example.com")), "image_policy": F.lit(None).cast("string")}))
+    return good.where(F.get("tenant_domains", 0) == "corp.example.com").select("org_id", F.size("deny_terms").cast("long").alias("n_terms"))
+
+
+@query(
+    """SELECT conv_id, turn, 'Dear ' || text || ', order ' || (conv_id * 7 + turn) || '.' AS text, 5::INT AS s1, (5 + length(text))::INT AS e1, (13 + length(text))::INT AS s2, (13 + length(text) + length((conv_id * 7 + turn)::VARCHAR))::INT AS e2 FROM conversations WHERE length(text) > 0"""
+)
+def filled_templates(spark, d):
+    """Templates filled with values of each row, and where these lie."""
+    value = lambda v, label: F.struct(v.alias("value"), F.lit(label).alias("label"), F.lit(1).alias("tier"))
+    c = table(spark, d, "conversations").where("length(text) > 0")
+    slots = F.create_map(F.lit("who"), value(F.col("text"), "PERSON"), F.lit("no"), value((F.col("conv_id") * 7 + F.col("turn")).cast("string"), "ORDER"))
+    made = c.select("conv_id", "turn", texts.filled(F.lit("Dear <<who>>, order <<no>>."), slots).alias("f"))
+    span = lambda i: F.get("f.spans", i)
+    return made.select("conv_id", "turn", "f.text", span(0)["start"].alias("s1"), span(0)["end"].alias("e1"), span(1)["start"].alias("s2"), span(1)["end"].alias("e2"))
+
+
+@query(
+    """SELECT item_id, n, CASE WHEN n > 8 THEN ceil(n / 6.0) ELSE 1 END::BIGINT AS chunks FROM (SELECT item_id, len(string_split(text, ' ')) AS n FROM benchmark)"""
+)
+def entity_chunk_counts(spark, d):
+    """Long values cut into even pieces of whole words, which together are the value."""
+    b = table(spark, d, "benchmark").withColumn("w", F.split("text", " ", -1)).withColumn("c", texts.entity_chunks(F.col("w")))
+    return b.where(F.array_join("c", " ") == F.col("text")).select("item_id", F.size("w").cast("long").alias("n"), F.size("c").cast("long").alias("chunks"))
+
+
+BANK_DIGITS = f"""(SELECT k, "start", "end", value FROM {sql_spans("[A-Za-z0-9_]+", guard="[23][0-9]{13}")} WHERE regexp_matches(value, '^[23][0-9]{{13}}$'))"""
+
+
+@query(
+    f"""SELECT k AS doc_id, "start", "end", value FROM {BANK_DIGITS} WHERE try_cast((CASE value[1] WHEN '2' THEN '19' ELSE '20' END) || value[2:3] || '-' || value[4:5] || '-' || value[6:7] AS DATE) IS NOT NULL"""
+)
+def egyptian_id_spans(spark, d):
+    """A rule of the archived bank with its check."""
+    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=bank.bank_rules(frozenset({"EGYPTIAN_NATIONAL_ID"})))
+    return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "value")
+
+
+@query(f"""SELECT event_id, (length({planted.N}::VARCHAR) + 6)::INT AS "start", 'TICKET_ID' AS label FROM events UNION ALL SELECT event_id, (length({planted.N}::VARCHAR) + 18)::INT, 'IP_ADDRESS' FROM events""")
+def bank_spans(spark, d):
+    """Ticket numbers and hardware addresses by the archived bank."""
+    hx = lambda i: F.substring(F.md5(F.col("event_id").cast("string")), i, 2)
+    text = F.concat(F.col("event_id").cast("string"), F.lit(". See ABC-"), F.lpad((F.col("event_id") % 1000).cast("string"), 4, "7"), F.lit(" at "), F.lit("0a:"), hx(1), F.lit(":"), hx(3), F.lit(":"), hx(5), F.lit(":"), hx(7), F.lit(":0f now"))
+    found = scan.scan(spread(table(spark, d, "events").select("event_id", text.alias("text"))), recognizers=bank.bank_rules(frozenset({"TICKET_ID", "IP_ADDRESS"})))
+    return scan.explode_spans(found, ["event_id"]).select("event_id", "start", "label")
+
+
+@query("SELECT lang, count(*) AS texts, count(*) AS degraded FROM documents GROUP BY 1")
+def missing_model_coverage(spark, d):
+    """A model that isn't there: every text is degraded, none is lost."""
+    docs = detect.model_report(table(spark, d, "documents").select("lang", "text"), detect.Model("none", ("PERSON",)))
+    return docs.groupBy("lang").agg(F.count("*").alias("texts"), F.count_if(detect.coverage(F.array("report"))["degraded"]).alias("degraded"))
+
+
+@query("SELECT version, count(*) AS endpoints, count(*) FILTER (stale) AS stale FROM (SELECT arg_max(version, ts) AS version, max(ts) < TIMESTAMP '" + NOW + f"' - INTERVAL 300 SECONDS AS stale FROM {AUDIT_SQL} GROUP BY endpoint) GROUP BY 1")
+def fleet_versions(spark, d):
+    return audit.fleet_versions(audit_events(spark, d), F.lit(NOW).cast("timestamp_ntz"))
