@@ -35,7 +35,9 @@ def spread(table: DataFrame) -> DataFrame:
     dealt anew, so that its work isn't one task's. A table of many files has tasks enough and isn't shuffled.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    # the files of a large table aren't listed: it has parts enough
+    few = table.rdd.getNumPartitions() < 4 * cores and len(table.inputFiles()) < cores
+    return table.repartition(cores) if few else table
 
 
 def exploded(df: DataFrame, array: str | Column, name: str, *keep: str | Column) -> DataFrame:

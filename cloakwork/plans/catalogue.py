@@ -14,7 +14,7 @@ from cloakwork.functions import fixed
 from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
 from cloakwork.operators import audit, bank, detect, evaluate, mask, merge, policy, residual, scan, segments, texts
-from cloakwork.operators.recognizers import Config, registry
+from cloakwork.operators.recognizers import SPANS, Config, registry
 from cloakwork.operators.tables import exploded, materialised, spread
 from cloakwork.plans import planted
 from cloakwork.sources import files, requests
@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, dealt over the cores where they lie in few files: what follows is work on texts."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -65,7 +70,7 @@ LUHN = "(list_sum(list_transform(range(0, length(value)), lambda i: CASE WHEN i
 
 @query(f'SELECT k AS doc_id, "start", "end", value FROM {DIGITS} WHERE length(value) BETWEEN 13 AND 19')
 def digit_run_spans(spark, d):
-    return span_rows(table(spark, d, "documents"), "doc_id", r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+    return span_rows(documents(spark, d, "doc_id", "text"), "doc_id", r"(?<![0-9])[0-9]{13,19}(?![0-9])")
 
 
 @query(f'SELECT k AS doc_id, "start", "end", value, {LUHN} AS luhn FROM {DIGITS} WHERE length(value) BETWEEN 13 AND 19')
@@ -129,7 +134,7 @@ def email_spans(spark, d):
 
 def _label_spans(spark, d, *labels: str, **config) -> DataFrame:
     """Scanned spans of some labels: only their recognizers are in the plan."""
-    found = scan.scan(table(spark, d, "documents").select("doc_id", "text", "source"), config=Config(enabled_labels=frozenset(labels), **config))
+    found = scan.scan(documents(spark, d, "doc_id", "text", "source"), config=Config(enabled_labels=frozenset(labels), **config))
     return scan.explode_spans(found, ["doc_id", "source"])
 
 
@@ -143,7 +148,7 @@ def secret_kv_spans(spark, d):
 
 def _spans_of_source(spark, d, name: str) -> DataFrame:
     chosen = [r for r in registry() if r.name == name]
-    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=chosen)
+    found = scan.scan(documents(spark, d, "doc_id", "text"), recognizers=chosen)
     return scan.explode_spans(found, ["doc_id"])
 
 
@@ -162,7 +167,7 @@ PHONE_SQL = f"""(SELECT k, "start", "end", value FROM {sql_spans(r"[+]1 [(][0-9]
 @query(f"""SELECT k AS doc_id, "start", "end", 'PHONE_NUMBER' AS label, 0.7::DOUBLE AS score, 'tier1.phone_e164' AS source, value FROM {PHONE_SQL}""")
 def phone_spans(spark, d):
     chosen = [r for r in registry(Config(uncued_phones=True)) if r.name.startswith("phone")]
-    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=chosen)
+    found = scan.scan(documents(spark, d, "doc_id", "text"), recognizers=chosen)
     return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "label", "score", F.col("source"), "value")
 
 
@@ -244,7 +249,7 @@ def planted_residual(spark, d):
 
 # ---------------------------------------------------------------- scan, merge, mask
 def _scanned(spark, d) -> DataFrame:
-    return scan.scan(spread(table(spark, d, "documents").select("doc_id", "source", "text")), config=Config(uncued_phones=True))
+    return scan.scan(documents(spark, d, "doc_id", "source", "text"), config=Config(uncued_phones=True))
 
 
 def _merged(spark, d) -> DataFrame:
@@ -279,7 +284,7 @@ def masked_summary(spark, d):
 @query(f"SELECT doc_id, regexp_replace(text, {_quoted(EMAIL_TOKEN)}, '[REDACTED:EMAIL]', 'g') AS masked_text FROM documents")
 def masked_emails(spark, d):
     chosen = registry(Config(enabled_labels=frozenset({"EMAIL"})))
-    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=chosen)
+    found = scan.scan(documents(spark, d, "doc_id", "text"), recognizers=chosen)
     merged = found.withColumn("merged", merge.merge(F.col("text"), F.col("spans"), snap=False))
     return merged.select("doc_id", mask.redacted(F.col("text"), F.col("merged")).alias("masked_text"))
 
@@ -384,7 +389,7 @@ RESIDUAL_CARDS = f"""SELECT k AS doc_id, 'CREDIT_CARD' AS type, "start", "end" F
 @query(RESIDUAL_CARDS)
 def residual_findings(spark, d):
     """What the residual scan finds in the documents as they are."""
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d, "doc_id", "text")
     return exploded(docs, residual.residual_scan(F.col("text")), "f", "doc_id").select("doc_id", "f.type", "f.start", "f.end")
 
 
@@ -571,7 +576,7 @@ PRED_SQL = f"""(SELECT k, "start", "end", CASE WHEN length(value) >= 16 THEN 'LO
 
 def _cases(spark, d) -> DataFrame:
     """Gold: digit runs of four or more. Predictions: runs of three or more but five, with another border between labels."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "text", matches(F.col("text"), NUMBER).alias("m"))
+    docs = documents(spark, d, "doc_id", "source", "text").withColumn("m", matches(F.col("text"), NUMBER))
     n = lambda x: F.length(x["value"])
     gold = F.transform(F.filter("m", lambda x: n(x) >= 4), lambda x: F.struct(x["start"], x["end"], F.when(n(x) >= 13, "LONG").otherwise("SHORT").alias("label"), F.lit(1).alias("tier")))
     preds = F.transform(F.filter("m", lambda x: (n(x) >= 3) & (n(x) != 5)), lambda x: F.struct(x["start"], x["end"], F.when(n(x) >= 16, "LONG").otherwise("SHORT").alias("label"), (n(x) / 20.0).alias("score")))
@@ -684,7 +689,7 @@ def prompt_category(spark, d):
 
 @query(f"SELECT {CATEGORY_SQL} AS category, count(*) AS n FROM (SELECT {COUNTS} FROM (SELECT lower(text) AS low FROM documents)) GROUP BY 1")
 def category_distribution(spark, d):
-    return table(spark, d, "documents").groupBy(texts.prompt_category(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
+    return documents(spark, d, "text").groupBy(texts.prompt_category(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM benchmark)")
@@ -711,7 +716,7 @@ def text_keys(spark, d):
     SELECT doc_id, s::INT AS "start", e::INT AS "end" FROM w"""
 )
 def text_windows(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.inline(texts.windows(F.col("text"))))
+    return documents(spark, d, "doc_id", "text").select("doc_id", F.inline(texts.windows(F.col("text"))))
 
 
 @query(
@@ -784,7 +789,7 @@ NAMES = [("short", "PERSON", 0.9, ["Orre", "Eriner", "Eren"]), ("long", "ORGANIZ
 )
 def dictionary_entities(spark, d):
     """The stand-in for a model: words of a dictionary."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d, "doc_id", "text")
     found = docs.withColumn("spans", scan.raw_spans(F.col("text"), detect.dictionary(NAMES)))
     return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "label", "score", "value")
 
@@ -792,7 +797,7 @@ def dictionary_entities(spark, d):
 @query()
 def window_entities(spark, d):
     """Long capitalised words as a model would report them for windows of a text; each at its best score wherever the text has it."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d, "doc_id", "text")
     pieces = exploded(docs, texts.windows(F.col("text"), 600, 60), "w", "doc_id", "text")
     told = pieces.select("doc_id", F.regexp_extract_all(F.substring(F.col("text"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")), F.lit("[A-Z][a-z]{11,}"), F.lit(0)).alias("e"))
     words, n = exploded(told, "e", "entity", "doc_id"), F.length("entity")
@@ -811,7 +816,7 @@ def detector_coverage(spark, d):
     in_time = n * F.lit(0.09) / 1000 <= detect.Budget(0.2, 0.05, 0.6).seconds(n)
     spans = scan.raw_spans(text, [r for r in registry() if r.name == "ipv4"])
     first = detect.report("rules", ["A", "B"], True, spans, text, in_time=in_time)
-    second = detect.report("model", ["B", "C"], False, F.array().cast(scan.SPANS), text, available=F.col("lang") == "en")
+    second = detect.report("model", ["B", "C"], False, F.array().cast(SPANS), text, available=F.col("lang") == "en")
     c = table(spark, d, "documents").select("lang", "text").withColumn("c", detect.coverage(F.array(first, second)))
     return c.groupBy("lang").agg(F.count("*").alias("texts"), F.count_if("c.degraded").alias("degraded"), F.count_if("c.blocked").alias("blocked"), F.sum(F.size("c.uncovered")).alias("uncovered_labels"))
 
@@ -1011,7 +1016,7 @@ BANK_DIGITS = f"""(SELECT k, "start", "end", value FROM {sql_spans("[A-Za-z0-9_]
 )
 def egyptian_id_spans(spark, d):
     """A rule of the archived bank with its check."""
-    found = scan.scan(table(spark, d, "documents").select("doc_id", "text"), recognizers=bank.bank_rules(frozenset({"EGYPTIAN_NATIONAL_ID"})))
+    found = scan.scan(documents(spark, d, "doc_id", "text"), recognizers=bank.bank_rules(frozenset({"EGYPTIAN_NATIONAL_ID"})))
     return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "value")
 
 
