@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Marked words, and pairs of pieces, that a worker remembers: bounds its memory.
-MEMO, PAIRS = 500_000, 1_000_000
+MEMO, PAIRS = 200_000, 300_000
 #: Documents whose words are sorted together.
 DOCS = 1024
 #: A word longer than this is encoded but not remembered.

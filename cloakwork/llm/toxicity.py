@@ -26,13 +26,14 @@ Defined results
 from __future__ import annotations
 
 import math
-from array import array
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,42 +47,43 @@ DENSE = 4
 PRIOR_WEIGHT = 0.5
 
 
-@dataclass
 class ToxicityIndex:
-    """Bounded by MAX_EXAMPLES and their texts, whatever the corpus holds."""
-
-    ids: np.ndarray  # example ids, in index order
-    labels: np.ndarray
-    idf: dict[str, float]
-    base: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
-    rows: dict[str, int] = field(default_factory=dict)  # terms that have postings
-    n_blocks: int = 0
-
-    def vector(self, tf: dict[str, int]) -> dict[str, float]:
-        idf = self.idf
-        v = {t: (1 + math.log(n)) * idf[t] if n > 1 else idf[t] for t, n in tf.items() if t in idf}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def build(self, vectors: list[dict[str, float]]) -> None:
-        """Rare terms as postings; terms that one example in DENSE has as columns of each block, with their largest weights."""
-        row, example, weight = array("i"), array("i"), array("d")
-        for i, v in enumerate(vectors):
-            row.extend([self.rows.setdefault(t, len(self.rows)) for t in v])
-            example.extend([i] * len(v))
-            weight.extend(v.values())
-        r, w = np.array(row, dtype=np.int64), np.array(weight)
-        self.weigh = np.array([self.idf[t] for t in self.rows])
+    """Bounded by MAX_EXAMPLES and their texts, whatever the corpus holds. terms: those of the examples, weigh: their weights.
+
+    Everything but the terms is in arrays, so that the driver holds no object a posting.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[str], weigh: np.ndarray, base: float = 0.0):
+        self.ids, self.labels = ids, labels  # of the examples, in index order
+        self.rows = {t: i for i, t in enumerate(terms)}
+        self.weigh = weigh
+        self.base, self.slope, self.shift = base, 1.0, 0.0
+        self.n_blocks = 0
+
+    def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the terms that are indexed, and their weights, of length one together."""
+        rows = self.rows
+        found = sorted((rows[t], n) for t, n in tf.items() if t in rows)
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        r, n = np.array(found, dtype=np.int64).T
+        x = (1 + np.log(n)) * self.weigh[r]
+        return r, x / math.sqrt(x @ x)
+
+    def build(self, example: np.ndarray, r: np.ndarray, w: np.ndarray) -> None:
+        """Of postings (example, row, weight) in the order of examples and rows: rare terms as lists; terms that one example in DENSE has
+        as columns of each block, with their largest weights."""
+        n = len(self.ids)
         # short texts have the large weights: they share blocks, and don't loosen the bounds of others
-        self.example = np.argsort([-max(v.values(), default=0.0) for v in vectors], kind="stable")
-        place = np.empty(len(vectors), dtype=np.int64)
-        place[self.example] = np.arange(len(vectors))
-        p = place[np.array(example, dtype=np.int64)]
-        self.n_blocks = -(-len(vectors) // BLOCK)
+        most = np.zeros(n)
+        np.maximum.at(most, example, w)
+        self.example = np.argsort(-most, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[self.example] = np.arange(n)
+        p = place[example]
+        self.n_blocks = -(-n // BLOCK)
         df = np.bincount(r, minlength=len(self.rows))
-        self.column = np.where(df * DENSE >= len(vectors), np.cumsum(df * DENSE >= len(vectors)) - 1, -1)  # of the common terms
+        self.column = np.where(df * DENSE >= n, np.cumsum(df * DENSE >= n) - 1, -1)  # of the common terms
         common = self.column[r] >= 0
         self.dense = np.zeros((self.n_blocks, BLOCK, int(self.column.max(initial=-1)) + 1))
         self.dense[p[common] // BLOCK, p[common] % BLOCK, self.column[r[common]]] = w[common]
@@ -91,15 +93,10 @@ class ToxicityIndex:
         self.place, self.weight = p[by], w[by]
         self.first = np.searchsorted(r[by], np.arange(len(self.rows) + 1))
 
-    def nearest(self, q: dict[str, float], k: int = K, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, index) of the k best examples of cosine over 0, best first. skip: an example left out."""
-        found = [(self.rows[t], x) for t, x in q.items() if t in self.rows]
-        if not found:
-            return []
-        return self.search(np.array([i for i, _ in found]), np.array([x for _, x in found]), k, skip)
-
     def search(self, r: np.ndarray, x: np.ndarray, k: int = K, skip: int = -1) -> list[tuple[float, int]]:
-        """nearest() of the terms in rows r, of weights x."""
+        """(cosine, index) of the k best examples of cosine over 0 with the terms in rows r of weights x, best first. skip: an example left out."""
+        if not len(r):
+            return []
         column = self.column[r]
         rare = column < 0
         p, y = ranges(self.first[r[rare]], self.first[r[rare] + 1], x[rare])
@@ -134,15 +131,7 @@ class ToxicityIndex:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """The score, and the ids of the neighbours that voted."""
-        if not self.idf:
-            return self.base, []
-        rows = self.rows
-        terms = [(rows[t], n) for t, n in Counter(words(text)).items() if t in rows]
-        if not terms:
-            return self.base, []
-        r, n = np.array(terms, dtype=np.int64).T
-        x = (1 + np.log(n)) * self.weigh[r]
-        found = self.search(r, x / math.sqrt(x @ x))
+        found = self.search(*self.vector(Counter(words(text)))) if self.n_blocks else []
         if not found:
             return self.base, []
         return self.calibrated(self.vote(found)), [int(self.ids[i]) for _, i in found]
@@ -174,9 +163,9 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "label", "term", "tf"])
 
 
-def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """Documents in all, and those that have each of the given terms (those of the examples): one row a task and term is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+def document_frequency(docs: DataFrame, terms: pa.Array) -> tuple[int, np.ndarray]:
+    """Documents in all, and how many have each of the given terms (those of the examples): one row a task and term is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms.to_pylist()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -186,10 +175,14 @@ def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str
                 seen.update(sent.value.intersection(words(text)))
         yield pd.DataFrame(list(seen.items()), columns=["term", "n"])
 
-    counted = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    sums = counted.toArrow()
-    found = dict(zip(sums["term"].to_pylist(), sums["n"].to_pylist()))
-    return found.pop("", 0), found
+    sums = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()  # workers are used again, and would keep it
+    at = pc.index_in(sums["term"].combine_chunks(), value_set=terms)
+    n = sums["n"].to_numpy()
+    out = np.zeros(len(terms), dtype=np.int64)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    out[at.drop_null().to_numpy()] = n[known]
+    return int(n[~known].sum()), out
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, other: float = OTHER) -> ToxicityIndex:
@@ -203,41 +196,44 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ot
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(pool), "doc_id")
     terms = staged(texts.mapInPandas(_terms, "doc_id long, label int, term string, tf int"), "terms")
     chosen = terms.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    examples = [(r["doc_id"], r["label"]) for r in chosen.collect()]
-    ids, ys = np.array([i for i, _ in examples], dtype=np.int64), np.array([y for _, y in examples], dtype=float)
+    examples = chosen.toArrow()
+    ids, ys = examples["doc_id"].to_numpy(), examples["label"].to_numpy().astype(float)
     if not len(ids) or ys.min() == ys.max():
-        return ToxicityIndex(ids, ys, {}, base=float(ys[0]) if len(ids) else 0.0)
+        return ToxicityIndex(ids, ys, [], np.zeros(0), base=float(ys[0]) if len(ids) else 0.0)
 
     n, pos = len(ids), float(ys.sum())
     # an id with several texts has the terms of all, each as often as the text does that has it most
     own = terms.where("tf > 0").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
-    # the examples' own terms, as codes: MAX_EXAMPLES texts at most
-    held = own.select("doc_id", "term", "tf").toArrow().combine_chunks()
-    place = {int(i): x for x, i in enumerate(ids)}
+    # the examples' own terms, as codes in the terms' order: MAX_EXAMPLES texts at most
+    held = own.toArrow()
     coded = held["term"].combine_chunks().dictionary_encode()
-    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    doc, count = np.array([place[i] for i in held["doc_id"].to_pylist()], dtype=np.int64), held["tf"].to_numpy()
+    order = pc.sort_indices(coded.dictionary)
+    names, rank = coded.dictionary.take(order), np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    code = rank[coded.indices.to_numpy()]
+    doc = pc.index_in(held["doc_id"].combine_chunks(), value_set=pa.array(ids)).to_numpy().astype(np.int64)
+    by = np.lexsort((code, doc))  # the same sums in every run
+    code, doc, count = code[by], doc[by], held["tf"].to_numpy()[by]
+    del held, coded, order, rank, by
     df, a = np.bincount(code, minlength=len(names)), np.bincount(code, ys[doc], minlength=len(names))
     chi2 = n * (a * n - df * pos) ** 2 / np.maximum(df * pos * (n - df) * (n - pos), 1.0)
     share = np.where((df >= MIN_EXAMPLES) & (df < n) & (chi2 >= MIN_CHI2), 1.0, other)
     total, seen = document_frequency(docs, names)
-    idf = {t: float(x) * (math.log((1 + total) / (1 + seen.get(t, 0))) + 1) for t, x in zip(names, share)}
-    index = ToxicityIndex(ids, ys, idf)
-    tf: list[dict[str, int]] = [{} for _ in ids]
-    for d, c, m in sorted(zip(doc.tolist(), code.tolist(), count.tolist()), key=lambda x: (x[0], names[x[1]])):  # the same sums in every run
-        tf[d][names[c]] = m
-    vectors = [index.vector(x) for x in tf]
-    bare = np.array([not v for v in vectors])
+    weigh = share * (np.log((1 + total) / (1 + seen)) + 1)
+    index = ToxicityIndex(ids, ys, names.to_pylist(), weigh)
+    w = (1 + np.log(count)) * weigh[code]
+    w /= np.sqrt(np.bincount(doc, w * w, minlength=n))[doc]
+    index.build(doc, code, w)
+    ends = np.searchsorted(doc, np.arange(n + 1)).tolist()
+    bare = np.diff(ends) == 0
     index.base = float(ys[bare].mean()) if bare.any() else 0.0
-    index.build(vectors)
-    votes = np.array([index.vote(index.nearest(v, skip=i)) for i, v in enumerate(vectors)])
+    votes = np.array([index.vote(index.search(code[i:j], w[i:j], skip=k)) for k, (i, j) in enumerate(zip(ends, ends[1:]))])
     index.slope, index.shift = calibrate(votes[~bare], ys[~bare]) if (~bare).any() else (1.0, 0.0)
     return index
 
 
-def scorer(index: ToxicityIndex, spark):
-    """A column function text -> struct(score, evidence): evidence holds the ids of the examples that voted."""
-    sent = spark.sparkContext.broadcast(index)
+def scorer(sent: Broadcast) -> Callable[[Column], Column]:
+    """A column function text -> struct(score, evidence) of a broadcast index: evidence holds the ids of the examples that voted."""
 
     @F.pandas_udf("struct<score: double, evidence: array<long>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -245,15 +241,12 @@ def scorer(index: ToxicityIndex, spark):
             out = [sent.value.score(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in out], "evidence": [e for _, e in out]})
 
-    def column(text: Column) -> Column:
-        return score(text)
-
-    return column
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """docs with the columns tox_score and tox_evidence (in place of any of these names)."""
-    score = scorer(fit(docs, labels, max_examples), docs.sparkSession)
+    score = scorer(docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples)))
     found = free_name(docs, "tox")
     scored = docs.withColumn(found, score(F.col("text")))
     return scored.withColumns({"tox_score": F.col(found)["score"], "tox_evidence": F.col(found)["evidence"]}).drop(found)

@@ -28,8 +28,11 @@ TOXIC = 0.5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
-    score = scorer(fit(docs.select("doc_id", "text"), labels), spark)
-    return docs.where(score(F.col("text"))["score"] < TOXIC)
+    rows, row = keyed(docs)
+    sent = spark.sparkContext.broadcast(fit(rows.select("doc_id", "text"), labels))
+    gone = staged(rows.where(scorer(sent)(F.col("text"))["score"] >= TOXIC).select(row), "toxic")
+    sent.destroy()  # the workers of later stages are the same ones, and would keep it
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:

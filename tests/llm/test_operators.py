@@ -162,15 +162,17 @@ def test_components_of_long_chain_and_hub(spark):
 # ---- 1 toxicity
 def test_nearest_equals_brute_force():
     rng = random.Random(1)
-    terms = [f"t{i}" for i in range(40)]
-    index = toxicity.ToxicityIndex(ids=pd.Series(range(500)).to_numpy(), labels=pd.Series([i % 2 for i in range(500)]).to_numpy(), idf={t: 1 + i / 10 for i, t in enumerate(terms)})
+    terms = [f"t{i:02}" for i in range(40)]
+    index = toxicity.ToxicityIndex(pd.Series(range(500)).to_numpy(), pd.Series([i % 2 for i in range(500)]).to_numpy(), terms, pd.Series([1 + i / 10 for i in range(40)]).to_numpy())
     vectors = [index.vector(Counter(rng.choices(terms, k=rng.randint(0, 6)))) for _ in range(500)]
-    index.build(vectors)
+    flat = [(i, r, x) for i, (rs, xs) in enumerate(vectors) for r, x in zip(rs.tolist(), xs.tolist())]
+    index.build(*(pd.Series(c).to_numpy() for c in zip(*flat)))
+    held = [dict(zip(rs.tolist(), xs.tolist())) for rs, xs in vectors]
     for _ in range(100):
-        q = index.vector(Counter(rng.choices([*terms, "unknown"], k=rng.randint(0, 8))))
-        scores = [(sum(x * v.get(t, 0) for t, x in q.items()), i) for i, v in enumerate(vectors)]
+        r, x = index.vector(Counter(rng.choices([*terms, "unknown"], k=rng.randint(0, 8))))
+        scores = [(sum(y * v.get(t, 0) for t, y in zip(r.tolist(), x.tolist())), i) for i, v in enumerate(held)]
         want = sorted(((-round(s, 12), i) for s, i in scores if s > 0))[: toxicity.K]
-        assert [i for _, i in index.nearest(q)] == [i for _, i in want]
+        assert [i for _, i in index.search(r, x)] == [i for _, i in want]
 
 
 def test_toxicity_held_out(spark):
