@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.llm import byte_bpe
 from cloakwork.llm.decontaminate import contamination
 from cloakwork.llm.exact_dedup import dedup_table
 from cloakwork.llm.html_text import extraction
@@ -75,11 +76,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, apart=True)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return byte_bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_exact_dedup, op3_decontaminate, op4_sentencepiece, op5_url_filters,
         op6_html_extraction, op7_licence_scan, op8_token_counts, op9_substring_dedup, op10_simhash,
+        op11_byte_bpe,
     )
 }
 
