@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakwork.functions.positions import let
 from cloakwork.llm.shared import discard, staged
 from cloakwork.llm.skew import join_heavy
 from cloakwork.operators.tables import spread
@@ -49,33 +50,38 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(low, "\n"), lambda x: F.trim(F.regexp_replace(x, SEPARATORS, " "))), lambda x: x != "")
 
 
+def spans(items: Column, k: int) -> Column:
+    """The runs of k items of an array that has so many. items is a variable: the array is read for each run."""
+    return F.transform(F.sequence(F.lit(1), F.size(items) - (k - 1)), lambda i: F.slice(items, i, k))
+
+
 def runs(words: Column, n: int) -> Column:
     """All runs of 1 to n of the words, joined by one space; repeats stay."""
-    out = words
-    for k in range(2, n + 1):
-        longer = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i, k=k: F.array_join(F.slice(words, i, F.lit(k)), " "))
-        out = F.concat(out, F.when(F.size(words) >= k, longer).otherwise(F.array().cast("array<string>")))
-    return out
+    none = F.array().cast("array<string>")
+
+    def longer(w: Column, k: int) -> Column:
+        return F.when(F.size(w) >= k, F.transform(spans(w, k), lambda s: F.array_join(s, " "))).otherwise(none)
+
+    return words if n == 1 else let(words, lambda w: F.concat(w, *[longer(w, k) for k in range(2, n + 1)]))
 
 
 def crossing(lines: Column, n: int) -> Column:
     """The runs of 2 to n words that lie in more than one line. Of a long line only the ends are looked at: the words between them are a gap."""
-    gap = F.lit(None).cast("string")
+    none = F.array().cast("array<string>")
 
     def ends(line: Column, number: Column) -> Column:
-        words = F.split(line, " ")
-        cut = F.concat(F.slice(words, 1, n - 1), F.array(gap), F.slice(words, -(n - 1), n - 1))
-        kept = F.when(F.size(words) > 2 * (n - 1), cut).otherwise(words)
-        return F.transform(kept, lambda w: F.struct(w.alias("w"), number.alias("line")))
-
-    words = F.flatten(F.transform(lines, ends))
-    out = F.array().cast("array<string>")
-    for k in range(2, n + 1):
-        spans = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i, k=k: F.slice(words, i, F.lit(k)))
-        over = F.filter(spans, lambda s: (s[0]["line"] != F.element_at(s, -1)["line"]) & ~F.exists(s, lambda x: x["w"].isNull()))
-        joined = F.transform(over, lambda s: F.array_join(F.transform(s, lambda x: x["w"]), " "))
-        out = F.concat(out, F.when(F.size(words) >= k, joined).otherwise(F.array().cast("array<string>")))
-    return out
+        def cut(words: Column) -> Column:
+            short = F.concat(F.slice(words, 1, n - 1), F.array(F.lit(None).cast("string")), F.slice(words, -(n - 1), n - 1))
+            return F.transform(F.when(F.size(words) > 2 * (n - 1), short).otherwise(words), lambda w: F.struct(w.alias("w"), number.alias("line")))
+
+        return let(F.split(line, " "), cut)
+
+    def over(words: Column, k: int) -> Column:
+        apart = F.filter(spans(words, k), lambda s: (s[0]["line"] != F.element_at(s, -1)["line"]) & ~F.exists(s, lambda x: x["w"].isNull()))
+        joined = F.transform(apart, lambda s: F.array_join(F.transform(s, lambda x: x["w"]), " "))
+        return F.when(F.size(words) >= k, joined).otherwise(none)
+
+    return let(F.flatten(F.transform(lines, ends)), lambda words: F.concat(none, *[over(words, k) for k in range(2, n + 1)]))
 
 
 def bucket(feature: Column, buckets: int) -> Column:
