@@ -28,8 +28,9 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -146,14 +147,26 @@ class Markup:
             at = start + 1
 
 
+#: What of a page is laid out: so many levels of indented blocks, tables in tables, and columns of a table. What goes beyond is shown
+#: without; the text is the same.
+DEEP, DEEP_TABLES, COLUMNS = 64, 16, 200
+CLOSES_CELLS = frozenset({"table", "tr", "td", "th", "body", "html", *ROWS})
+
+
 def build(page: str) -> Node:
     root = Node("#root")
     open_: list[Node] = [root]
-    count: Counter[str] = Counter()  # open elements by tag: nothing is searched for that isn't open
+    places: dict[str, list[int]] = {}  # of the open elements, by tag: none is searched for
     at = 0
 
+    def last(tag: str) -> int:
+        """The place of the innermost open element of that tag, 0 if there is none."""
+        found = places.get(tag)
+        return found[-1] if found else 0
+
     def close(i: int) -> None:
-        count.subtract(n.tag for n in open_[i:])
+        for node in open_[i:]:
+            places[node.tag].pop()
         del open_[i:]
 
     def text(s: str) -> None:
@@ -174,33 +187,22 @@ def build(page: str) -> Node:
         if not tag:
             continue
         if closing:
-            for i in range(len(open_) - 1, 0, -1) if count[tag] > 0 else ():
-                if open_[i].tag == tag:
-                    close(i)
-                    break
-                if open_[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "body", "html", *ROWS):
-                    break  # an end tag doesn't close a cell that it doesn't name
+            i = last(tag)
+            # an end tag doesn't close a cell that it doesn't name
+            if i and (tag in CLOSES_CELLS or i > max(last("td"), last("th"), last("table"))):
+                close(i)
             continue
         ended, barrier = ENDS.get(tag, (frozenset(), frozenset()))
-        if tag in BLOCK and tag not in ("html", "body"):
-            # a block ends an open paragraph of the same cell
-            for i in range(len(open_) - 1, 0, -1) if count["p"] > 0 else ():
-                if open_[i].tag in BOUNDS:
-                    break
-                if open_[i].tag == "p":
-                    close(i)
-                    break
-        last = None
-        for i in range(len(open_) - 1, 0, -1) if any(count[t] > 0 for t in ended) else ():
-            if open_[i].tag in barrier:
-                break
-            if open_[i].tag in ended:
-                last = i
-        if last is not None:
-            close(last)
+        if tag in BLOCK and tag not in ("html", "body") and (i := last("p")) and i > max(map(last, BOUNDS)):
+            close(i)  # a block ends an open paragraph of the same cell
+        if any(places.get(t) for t in ended):
+            bound = max(map(last, barrier), default=0)
+            after = [p[j] for t in ended if (p := places.get(t)) and (j := bisect_right(p, bound)) < len(p)]
+            if after:
+                close(min(after))
         node = Node(tag, _attributes(rest) if rest.strip(" /") else None)
         open_[-1].children.append(node)
-        if tag in VOID or rest.endswith("/") and (tag in ("svg", "math", "path", "use") or count["svg"] > 0 or count["math"] > 0):
+        if tag in VOID or rest.endswith("/") and (tag in ("svg", "math", "path", "use") or last("svg") or last("math")):
             continue
         if tag in RAW:
             ending = raw_ends.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I))
@@ -211,11 +213,12 @@ def build(page: str) -> Node:
             node.children.append(entities.unescape(raw) if tag == "textarea" else raw)
             at = done.end() if done else len(page)
             continue
+        places.setdefault(tag, []).append(len(open_))
         open_.append(node)
-        count[tag] += 1
     return root
 
 
+_CSS_MARK, _AT_RULE = re.compile(r"[{};@]"), re.compile(r"\s*@")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?\Z")
 _DISPLAY, _VISIBILITY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I), re.compile(r"(?:^|;)\s*visibility\s*:\s*([\w-]+)", re.I)
@@ -227,6 +230,30 @@ def declared(style: str) -> dict[str, str]:
     return {k: v[-1].lower() for k, v in found.items() if v}
 
 
+def plain_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a sheet's rules. An at-rule, with its block, is passed over."""
+    start, body, passed, depth, seen = 0, -1, False, 0, -1
+    for m in _CSS_MARK.finditer(css):
+        c = m[0]
+        if passed:
+            depth += (c == "{") - (c == "}")
+            if depth <= 0 and c in "};":
+                passed, depth, start = False, 0, m.end()
+        elif body >= 0:
+            if c == "}":
+                yield css[start : body - 1], css[body : m.start()]
+                body, start = -1, m.end()
+        elif c == "@":
+            if seen < start:  # looked at once a rule
+                seen, passed = start + 1, _AT_RULE.match(css, start) is not None
+        elif c == "{":
+            body = m.end()
+        else:
+            start = m.end()
+    if body >= 0:
+        yield css[start : body - 1], css[body:]
+
+
 def style_rules(root: Node) -> dict[tuple[str, str, str], dict[str, str]]:
     """(element or '', '.' or '#' or '', name) -> display and visibility, of the page's style elements: rules of simple selectors,
     later ones over earlier. Selectors of other kinds, and rules for media, aren't read."""
@@ -236,8 +263,7 @@ def style_rules(root: Node) -> dict[tuple[str, str, str], dict[str, str]]:
         node = stack.pop()
         if node.tag == "style":
             css = _COMMENT.sub(" ", "".join(node.children))
-            for rule in css.split("}") if "@" not in css else ():
-                selectors, _, body = rule.partition("{")
+            for selectors, body in plain_rules(css):
                 if found := declared(body):
                     for one in selectors.split(","):
                         m = _SIMPLE.match(one.strip())
@@ -267,6 +293,8 @@ def gone(node: Node, style: dict[str, str]) -> bool:
     if node.tag in HIDDEN or style.get("display") == "none":
         return True
     a = node.attrs
+    if node.tag == "dialog" and "open" not in a and "display" not in style:
+        return True
     return bool(a) and (("hidden" in a and "display" not in style) or a.get("aria-hidden", "").lower() == "true")
 
 
@@ -313,9 +341,9 @@ class Lines:
             if self.lines:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            lead = "".join(self.prefix)
+            lead = "".join(self.prefix[:DEEP])
             if self.marker is not None and self.prefix:
-                lead = "".join(self.prefix[:-1]) + self.marker
+                lead = "".join(self.prefix[: min(len(self.prefix) - 1, DEEP)]) + self.marker
                 self.marker = None
             self.lines.append(lead + "".join(self.now))
             self.now = []
@@ -333,39 +361,38 @@ class Lines:
 
 
 def table_lines(rows: list[list[tuple[str, int, int]] | None]) -> list[str]:
-    """Cells (text of one or more lines, columns and rows spanned) aligned by column, two blanks between. None parts groups of rows, which no cell spans."""
+    """Cells (text of one or more lines, columns and rows spanned) aligned by column, two blanks between. None parts groups of rows, which
+    no cell spans. Cells beyond the last of COLUMNS follow each other without being aligned."""
     grid: list[list[tuple[list[str], int, int]]] = []
-    widths: dict[int, int] = {}
-    taken: dict[int, int] = {}  # columns under a spanning cell: rows left
-    for row in rows:
+    widths = [0] * COLUMNS
+    until = [0] * COLUMNS  # the last row that a spanning cell takes of each column
+    for n, row in enumerate(rows):
         if row is None:
-            taken = {}
+            until = [0] * COLUMNS
             continue
         cells, col = [], 0
-        below = {c: n - 1 for c, n in taken.items() if n > 1}
         for text, span, down in row:
-            while col in taken:
+            while col < COLUMNS and until[col] > n:
                 col += 1
-            parts = text.split("\n") if text else [""]
-            cells.append((parts, col, span))
-            if span == 1:
-                widths[col] = max(widths.get(col, 0), max(map(width, parts)))
+            parts, end = text.split("\n") if text else [""], min(col + span, COLUMNS)
+            cells.append((parts, col, end))
+            if span == 1 and col < COLUMNS:
+                widths[col] = max(widths[col], max(map(width, parts)))
             if down > 1:
-                below.update(dict.fromkeys(range(col, col + span), down - 1))
-            col += span
-        taken = below
+                until[col:end] = [n + down] * (end - col)
+            col = end
         grid.append(cells)
+    left = [0, *accumulate(w + 2 for w in widths)]
     out = []
     for cells in grid:
         for k in range(max((len(p) for p, _, _ in cells), default=0)):
             line, due, at = [], 0, 0
-            for parts, col, span in cells:
-                due += sum(widths.get(c, 0) + 2 for c in range(at, col))
-                at = col + span
+            for parts, col, end in cells:
+                due += left[col] - left[at]
+                at = end
                 piece = parts[k] if k < len(parts) else ""
-                room = sum(widths.get(c, 0) + 2 for c in range(col, col + span))
                 line.append(" " * due + piece)
-                due = max(room - width(piece), 2)
+                due = max(left[end] - left[col] - width(piece), 2)
             out.append("".join(line).rstrip())
     return [x for x in out if x.strip()]
 
@@ -387,7 +414,7 @@ def render(root: Node) -> str:
     stack: list = [root]
     counters: list[int] = []
     outer: list[tuple[Lines, list[list[tuple[str, int, int]] | None]]] = []
-    drawings = 0  # open svg elements
+    drawings = flat = 0  # open svg elements, and tables too deep to be laid out
     rules = style_rules(root) if seen_style(root) else {}
     unseen = False  # visibility: hidden, of the element under way
     while stack:
@@ -467,6 +494,24 @@ def render(root: Node) -> str:
             out.whole(_plain(item, rules, unseen).strip("\n").split("\n"))
             out.block(1)
             continue
+        if tag == "table" and len(outer) >= DEEP_TABLES:
+            flat += 1
+            out.block(0)
+
+            def flat_done() -> None:
+                nonlocal flat
+                flat -= 1
+                out.block(0)
+
+            stack += [flat_done, *later]
+            continue
+        if flat and (tag == "tr" or tag in ROWS or tag in CELLS):
+            if tag in CELLS:
+                stack += [" ", *later]
+            else:
+                out.block(0)
+                stack += [lambda: out.block(0), *later]
+            continue
         if tag == "table":
             out.block(1)
             held, rows = out, []

@@ -22,8 +22,10 @@ Defined results
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -189,49 +191,62 @@ class Templates:
                     hits.setdefault(k, []).append(i)
         low = self.threshold / (2 - self.threshold)
         places = {k: np.array(at) for k, at in hits.items() if len(at) >= low * self.grams[k].total()}
-        out, parts = [], [(0, len(words))] if places else []
-        while parts:
-            lo, hi = parts.pop()
-            best = None
-            for k, at in places.items():
-                best = self.best(k, at[np.searchsorted(at, lo) : np.searchsorted(at, hi - 1)], grams, best)
-            if best is not None:
-                d, n, start, k = best
+        # best first: a start waits under its bound until it is looked at, then under the best passage that it has room for
+        queue = [(-bound - 1e-11, 0, int(at[x]), k, x) for k, at in places.items() for x, bound in self.bounds(k, at)]
+        heapify(queue)
+        firsts, ends, out = [], [], []  # of the passages taken, in order
+        while queue:
+            d, n, start, k, x = heappop(queue)
+            i = bisect_right(firsts, start)
+            if i and ends[i - 1] > start:
+                continue
+            room = firsts[i] if i < len(firsts) else len(words)
+            if n and start - n <= room:
+                firsts.insert(i, start)
+                ends.insert(i, start - n)
                 out.append((k, -d, start, -n))
-                parts += [(lo, start), (start - n, hi)]
+            elif (found := self.best(k, places[k], x, room, grams)) is not None:
+                heappush(queue, (*found, start, k, x))
         return sorted(out, key=lambda m: m[2])
 
-    def best(self, k: str, at: np.ndarray, grams: list[tuple[str, str]], best: tuple[float, int, int, str] | None) -> tuple[float, int, int, str] | None:
-        """The better of best and the best passage of template k with its bigrams at `at`: (-coefficient, -words, first word, template)."""
-        a = self.grams[k]
-        size = a.total()
+    def bounds(self, k: str, at: np.ndarray) -> list[tuple[int, float]]:
+        """The places in `at` where a passage of template k may start, and the most that it can reach: each of its bigrams counted as common."""
+        size = self.grams[k].total()
         low, high = self.threshold / (2 - self.threshold), (2 - self.threshold) / self.threshold
         need, widest = int(-(-size * low // 1)), int(size * high)
-        if len(at) < need or need == 0:
-            return best
-        starts = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < widest)
-        ends = np.searchsorted(at, at[starts] + widest)
-        bounds = []
-        for x, end in zip(starts.tolist(), ends.tolist()):
-            width = at[x:end] - at[x] + 1
-            bound = 2 * np.minimum(np.arange(1, end - x + 1), size) / (size + width)
-            bounds.append(float(bound[width >= size * low].max(initial=0.0)))
-        for i in np.argsort(-np.array(bounds), kind="stable").tolist():
-            if bounds[i] < max(self.threshold, -best[0] if best else 0.0) - 1e-11:
+        most = np.zeros(len(at))
+        if not need or len(at) < need:
+            return []
+        j = need - 1
+        while j < len(at):
+            width = at[j:] - at[: len(at) - j] + 1
+            fits = width <= widest
+            if not fits.any():
                 break
-            x, common, left = int(starts[i]), 0, dict(a)
-            start = int(at[x])
-            for y in at[x : int(ends[i])].tolist():
-                g = grams[y]
-                if left[g]:
-                    left[g] -= 1
-                    common += 1
-                width = y - start + 1
-                d = 2 * common / (size + width)
-                if width >= size * low and d >= self.threshold:
-                    found = (-round(d, 12), -(width + 1), start, k)
-                    if best is None or found < best:
-                        best = found
+            bound = np.where(fits & (width >= size * low), 2 * min(j + 1, size) / (size + width), 0.0)
+            np.maximum(most[: len(bound)], bound, out=most[: len(bound)])
+            j += 1
+        good = np.flatnonzero(most >= self.threshold - 1e-11)
+        return list(zip(good.tolist(), most[good].tolist()))
+
+    def best(self, k: str, at: np.ndarray, x: int, room: int, grams: list[tuple[str, str]]) -> tuple[float, int] | None:
+        """(-coefficient, -words) of the best passage of template k that starts with the bigram at[x] and ends before the word room."""
+        a = self.grams[k]
+        size, common, left, best = a.total(), 0, {}, None
+        low, high = self.threshold / (2 - self.threshold), (2 - self.threshold) / self.threshold
+        start = int(at[x])
+        last = min(start + int(size * high), room - 1)
+        for y in at[x : np.searchsorted(at, last)].tolist():
+            g = grams[y]
+            if (n := left.get(g, a[g])) > 0:
+                left[g] = n - 1
+                common += 1
+            width = y - start + 1
+            d = 2 * common / (size + width)
+            if width >= size * low and d >= self.threshold:
+                found = -round(d, 12), -(width + 1)
+                if best is None or found < best:
+                    best = found
         return best
 
 

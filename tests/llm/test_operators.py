@@ -451,6 +451,35 @@ def test_html_takes_linear_time(bad):
     assert time.time() - start < 2 * (5 if bad.endswith(">") else 1)  # a million characters; whole tags make a tree
 
 
+def test_html_of_deep_and_wide_tables_takes_linear_time():
+    n = 1_000_000
+    pages = {
+        "nested": "<table><tr><td>x" * (n // 16), "second column": "<table><tr><td>x<td>" * (n // 20), "stray": "<i><table><td>" + "<b>" * (n // 8) + "</i>" * (n // 8) + "y",
+        "rows": "<table>" + "<tr><td rowspan=60000>a" * (n // 23), "columns": "<table><tr>" + "<td colspan=1000>a" * (n // 18), "quotes": "<blockquote>q" * (n // 13), "lists": "<ul><li>q" * (n // 9),
+        "sheet": "<style>" + "a@" * (n // 2) + "</style>t", "at": "<style>" + "@media x{" * (n // 9) + "</style>t", "p": "<p><table><td>" * (n // 14) + "y", "rules": "<style>" + "@a;b{}" * (n // 6) + "</style>t",
+    }
+    for name, page in pages.items():
+        start = time.time()
+        text = html_text.extract(page)
+        assert time.time() - start < 10, name
+        words = PlainWords()
+        if name not in ("sheet", "at", "rules"):
+            words.feed(page)
+            assert [w for w in text.split() if w != "-"] == words.words, name
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>@charset 'utf-8'; .x{display:none}</style><b class=x>n</b>y", "y"), ("<style>@media print { .y{display:none} p{color:red} } .x{display:none}</style><b class=x>n</b><b class=y>y</b>", "y"),
+        ("<style>.x{display:none}@font-face{font-family:a}</style><b class=x>n</b>y", "y"), ("<style>@import 'a';@supports (a){@media b{.y{display:none}}}.x{display:none</style><b class=x>n</b><b class=y>y</b>", "y"),
+        ("<dialog>n</dialog><dialog open>y</dialog>", "y"), ("<i><table><td><b>a</i>b</td></table>", "ab"), ("<table><tr><td>a<b>b</td><td>c</table>", "ab  c"),
+    ],
+)
+def test_html_reads_sheets_with_at_rules_and_closed_dialogs(page, text):
+    assert html_text.extract(page) == text
+
+
 class PlainWords(html.parser.HTMLParser):
     """The words of a well-formed page, by the standard library's parser: another reading of what is hidden."""
 
@@ -555,6 +584,39 @@ def test_licences_tell_versions_and_whole_texts_apart():
 
 
 # ---- 8 token counts
+def test_licences_of_many_notices_take_linear_time():
+    known = licences.Templates(licences.TEMPLATES)
+    one = "Licensed under CC BY 4.0. some other words stand here now\n"
+    start = time.time()
+    found = known.matches(one * (1_000_000 // len(one)))
+    assert time.time() - start < 15
+    assert len(found) == 1_000_000 // len(one) and {(k, d) for k, d, _, _ in found} == {("CC-BY-4.0", 1.0)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_licence_passages_equal_the_best_of_every_passage(seed):
+    rng = random.Random(seed)
+    texts = {f"t{i}": " ".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9))) for i in range(6)}
+    known = licences.Templates(texts, 0.75)
+    for _ in range(25):
+        words = [rng.choice("abcde") for _ in range(rng.randrange(2, 45))]
+        grams = licences.bigrams(words)
+        ways = []
+        for k, grams_of in known.grams.items():
+            for start in range(len(grams)):
+                for end in range(start, len(grams)):
+                    # a passage starts and ends with a bigram of its template
+                    if grams[start] in grams_of and grams[end] in grams_of and end - start + 1 >= grams_of.total() * 0.75 / 1.25:
+                        d = licences.dice(Counter(grams[start : end + 1]), grams_of)
+                        if d >= 0.75:
+                            ways.append((-round(d, 12), -(end - start + 2), start, k))
+        want = []
+        for d, n, start, k in sorted(ways):
+            if all(start >= s + m or s >= start - n for _, _, s, m in want):
+                want.append((k, -d, start, -n))
+        assert known.matches(" ".join(words)) == sorted(want, key=lambda m: m[2])
+
+
 def test_token_counts_equal_the_library(spark, texts, monkeypatch):
     counts = token_counts.Counts(P.path("word_bpe_49k.json"))
     some = [*texts, None, "", " \n", "a<|endoftext|>b <|startoftext|>", "é é", "a\x1cb\x85c", "x" * 5000, "it's we'll 12 345", "　wide　"]
