@@ -32,9 +32,10 @@ Defined results
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from cloakwork.operators.tables import spread
 
 #: States, pairs of tokens and pieces that a worker keeps: bounds its memory.
-STATES, PAIRS, MEMO, MOVES = 120_000, 400_000, 200_000, 200_000
+STATES, PAIRS, MEMO, MOVES = 200_000, 250_000, 120_000, 100_000
 #: A longer piece or part is encoded but not remembered.
 LONG = 64
 #: Blanks and what follows them up to the next; and white space of another kind before a blank, of which a match may take both.
@@ -94,7 +95,7 @@ class Ranks:
             elif len(halves := self.merged(token, 2)) == 2 and self.merged(token) == [rank]:  # else no merging ends in it
                 self.halves[rank] = (halves[0], halves[1])
                 self._grow(token, rank)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.states: dict[tuple[int, tuple[Path, ...]], State] = {}
         self.start = self._state(NONE, ((ROOT, ()),))
         self.longest_wait = 0
@@ -123,11 +124,11 @@ class Ranks:
         self.ends[node] = rank
 
     def may_follow(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 24 | b)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._stay_apart(a, b)
+            known = self.pairs[a << 24 | b] = self._stay_apart(a, b)
         return known
 
     def _stay_apart(self, a: int, b: int) -> bool:
@@ -170,7 +171,7 @@ class Ranks:
                 paths.append((node, given))
             if whole is None and (token := ends[node]) != NONE:
                 before = given[-1] if given else state.last
-                ok = before == NONE or pairs.get((before, token))
+                ok = before == NONE or pairs.get(before << 24 | token)
                 if self.may_follow(before, token) if ok is None else ok:
                     whole = (*given, token)
         paths.append((ROOT, whole))
@@ -335,6 +336,15 @@ class Encoder:
             memo[part] = ids
 
     def encode(self, texts: list[str | None]) -> list[array]:
+        collecting = gc.isenabled()
+        gc.disable()  # many small tuples, and states that are taken apart when they are dropped
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[array]:
         out = []
         for text in texts:
             ids = array("i")
@@ -363,14 +373,13 @@ def decoder(path: str) -> Decoder:
     return Decoder({rank: token for token, rank in ranks_of(path).items()})
 
 
-def encode(docs: DataFrame, path: str, pattern: str, apart: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids of each text, split by pattern (a regular expression without groups) and encoded by the ranks in path.
+Batches = Iterator[pa.RecordBatch]
 
-    apart: no match of the pattern holds white space after another character, and none looks back. Texts are then cut before
-    blanks first, and each distinct part is split and encoded once a worker.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encoding(path: str, pattern: str, apart: bool) -> Callable[[Batches], Batches]:
+    """Batches of (doc_id, text) to (doc_id, n_tokens, ids)."""
+
+    def run(batches: Batches) -> Batches:
         known = encoder(path, pattern, apart)
         for b in batches:
             for lo in range(0, b.num_rows, DOCS):
@@ -381,24 +390,50 @@ def encode(docs: DataFrame, path: str, pattern: str, apart: bool = False) -> Dat
                 ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (doc_id, ids) with decoded, the bytes of the tokens, and text, their characters; null ids give the empty text."""
+def decoding(path: str) -> Callable[[Batches], Batches]:
+    """Batches with the column ids to the same with decoded and text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         known = decoder(path)
         for b in batches:
             for lo in range(0, b.num_rows, DOCS):
                 part = b.slice(lo, DOCS)
-                lists = part.column(1)
-                found = [np.asarray(x.values if x.is_valid else [], np.int32) for x in lists]
+                found = [np.asarray(x.values if x.is_valid else [], np.int32) for x in part.column("ids")]
                 texts = [known.text(x) for x in found]
                 # without U+FFFD all characters were whole, and their bytes are those of the tokens
                 data = [t.encode() if "\ufffd" not in t else known.data(x) for t, x in zip(texts, found)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.array(data, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded", "text"]
-                )
+                columns = [*part.columns, pa.array(data, pa.binary()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "decoded", "text"])
+
+    return run
+
+
+IDS, DECODED = "doc_id long, n_tokens long, ids array<int>", "decoded binary, text string"
+
+
+def read(docs: DataFrame) -> DataFrame:
+    return spread(docs.select(F.col("doc_id").cast("long"), "text"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, apart: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids of each text, split by pattern (a regular expression without groups) and encoded by the ranks in path.
+
+    apart: no match of the pattern holds white space after another character, and none looks back. Texts are then cut before
+    blanks first, and each distinct part is split and encoded once a worker.
+    """
+    return read(docs).mapInArrow(encoding(path, pattern, apart), IDS)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded (doc_id, ids) with decoded, the bytes of the tokens, and text, their characters; null ids give the empty text."""
+    ids = encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
+    return ids.mapInArrow(decoding(path), f"doc_id long, ids array<int>, {DECODED}")
+
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary, text string")
+def round_trip(docs: DataFrame, path: str, pattern: str, apart: bool = False) -> DataFrame:
+    """What encode() gives with what decode() gives for it: in one worker, so that ids aren't sent out and back in between."""
+    there, back = encoding(path, pattern, apart), decoding(path)
+    return read(docs).mapInArrow(lambda batches: back(there(batches)), f"{IDS}, {DECODED}")

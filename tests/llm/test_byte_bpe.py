@@ -88,6 +88,8 @@ def test_tables(spark):
     assert got == sorted((i or 0, lib.encode_ordinary(t or ""), len(lib.encode_ordinary(t or ""))) for i, t, _ in rows)
     back = sorted((r.doc_id or 0, r.text, bytes(r.decoded)) for r in byte_bpe.decode(encoded, path).collect())
     assert back == sorted((i or 0, t or "", (t or "").encode()) for i, t, _ in rows)
+    both = sorted((r.doc_id or 0, list(r.ids), r.n_tokens, r.text) for r in byte_bpe.round_trip(docs, path, P.PATTERN, True).collect())
+    assert both == sorted((*g, t or "") for g, (_, t, _) in zip(sorted(got), sorted(rows, key=lambda r: (r[0] or 0, lib.encode_ordinary(r[1] or "")))))
     assert byte_bpe.decode(byte_bpe.encode(docs.limit(0), path, P.PATTERN), path).count() == 0
     cut = spark.createDataFrame([(1, [lib.encode_single_token(b"\xc3")]), (2, None)], "doc_id long, ids array<long>")
     assert sorted((r.doc_id, r.text, bytes(r.decoded)) for r in byte_bpe.decode(cut, path).collect()) == [(1, "�", b"\xc3"), (2, "", b"")]
