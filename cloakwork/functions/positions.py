@@ -3,6 +3,11 @@
 Spark gives the strings of all matches and the strings between them; their
 lengths, summed up, are the positions. Offsets are half-open and count code
 points.
+
+Spark's arrays can't be added to in place, and a string is counted from its start
+to reach a character. So sums run within blocks of an array, blocks of blocks and
+so on, and pieces of a text are cut from its blocks: the work grows with the number
+of matches or edits, and with the length of the text, not with their product.
 """
 
 from __future__ import annotations
@@ -10,18 +15,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements of an array that are summed one after the other; characters of a text's block.
+RUN, BLOCK = 128, 2048
+
 
 def let(value: Column, body) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sum(steps: Column) -> Column:
-    """Inclusive running sums of an array of ints."""
+def _short_sum(steps: Column) -> Column:
     empty = F.array().cast("array<int>")
     return F.aggregate(steps, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
 
 
+def running_sum(steps: Column) -> Column:
+    """Inclusive running sums of an array of ints: within blocks of RUN elements, and of the blocks' sums."""
+
+    def in_blocks(s: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / RUN).cast("int")), lambda i: _short_sum(F.slice(s, i * RUN + 1, F.lit(RUN))))
+        return let(blocks, lambda parts: let(_short_sum(F.transform(parts, lambda p: F.element_at(p, -1))), lambda sums: moved(parts, sums)))
+
+    def moved(parts: Column, sums: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, i: let(F.coalesce(F.get(sums, i - 1), F.lit(0)), lambda start: F.transform(p, lambda x: x + start))))
+
+    return let(steps, lambda s: F.when(F.size(s) <= RUN, _short_sum(s)).otherwise(in_blocks(s)))
+
+
+def sums_before(steps: Column) -> Column:
+    """The sum of the elements before each: 0 first."""
+    return let(running_sum(steps), lambda sums: F.transform(sums, lambda _, i: F.coalesce(F.get(sums, i - 1), F.lit(0))))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start,end,value,hit>> of the non-overlapping matches. With a group, value is that group, which must end
     the match; hit is the whole match. The pattern must not match the empty string."""
@@ -53,12 +78,27 @@ def after(text: Column, end: Column, n: int) -> Column:
     return F.substring(text, end + 1, F.lit(n))
 
 
+def blocks_of(text: Column) -> Column:
+    """text in pieces of BLOCK characters; an array of the text itself where it is short."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in blocks."""
+    a, z = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    head = F.substring(F.get(blocks, a), start - a * BLOCK + 1, F.least(end - start, F.lit(BLOCK)))
+    tail = F.substring(F.get(blocks, z), F.lit(1), end - z * BLOCK)
+    middle = F.when(z - a > 1, F.array_join(F.slice(blocks, a + 2, z - a - 1), "")).otherwise("")
+    return F.when(end <= start, "").when(a == z, head).otherwise(F.concat(head, middle, tail))
+
+
 def splice(text: Column, edits: Column) -> Column:
     """text with edits, an array of disjoint struct<start,end,replacement> in order."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    kept_from = lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1)["end"])
 
-    def step(acc: Column, e: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, e["start"] - acc["at"])
-        return F.struct(e["end"].alias("at"), F.concat(acc["parts"], F.array(kept, e["replacement"])).alias("parts"))
+    def spliced(s: Column) -> Column:
+        parts = F.transform(s["e"], lambda x, i: F.concat(cut(s["b"], kept_from(s["e"], i), x["start"]), x["replacement"]))
+        rest = cut(s["b"], F.coalesce(F.try_element_at(s["e"], F.lit(-1))["end"], F.lit(0)), s["n"])
+        return F.concat(F.array_join(parts, ""), rest)
 
-    return F.aggregate(edits, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(F.struct(blocks_of(text).alias("b"), edits.alias("e"), F.length(text).alias("n")), spliced)

@@ -8,27 +8,21 @@ has; everything else is done in the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloakwork.functions.positions import let, matches, splice
+from cloakwork.functions.positions import let, splice, sums_before
+from cloakwork.operators.fakes import restore  # noqa: F401
 from cloakwork.operators.policy import RANK, Policy
-from cloakwork.operators.tables import exploded
 
 TTL_SECONDS = 24 * 3600
 MAX_PER_CONVERSATION = 100_000
 FIRST = "Avery Blake Casey Devon Ellis Finley Gray Harper Indigo Jules Kendall Logan Morgan Noel Oakley Parker".split()
 LAST = "Ashdown Birch Calder Dunmore Easton Farrow Garland Holt Ingram Jarrow Kestrel Larkin Marlow Norwood Orchard Pemberton".split()
 CITY = "Alderton Brackwell Coldharbour Dunhollow Eastmere Fairholt Greyford Highcombe".split()
-#: What a surrogate or placeholder looks like: restoring extracts these shapes and looks them up.
-SHAPES = (
-    r"\[\[REDACTED:[A-Z0-9_]+:[0-9a-f]{4,16}\]\]|[a-z]+\.[0-9a-f]{8}@masked\.example|\+1 555 [0-9]{3} [0-9]{4}|"
-    rf"(?:{'|'.join(FIRST)})(?: (?:{'|'.join(LAST)}))?(?: [0-9a-f]{{8}})?|(?:{'|'.join(CITY)})(?: [0-9a-f]{{8}})?|"
-    r"(?:user|org|value)-[0-9a-f]{8}|[0-9]{1,2} (?:Larch|Maple|Rowan|Willow) Lane(?: [0-9a-f]{8})?|19[5-9][0-9]-0[1-9]-[12][0-9](?: [0-9a-f]{8})?"
-)
-RESTORE = rf"(?U)(?<!\w)(?:{SHAPES})(?!\w)|{SHAPES.split('|')[0]}"
-
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """Hex HMAC of a binary column, for a key of at most 64 bytes."""
@@ -72,10 +66,10 @@ def wanted(merged: DataFrame, conv: str, text: str, policy: Policy) -> DataFrame
     return one.where(held).select("conv_id", F.col("m.label").alias("label"), real.alias("real"), F.col("m.action").alias("action"))
 
 
-def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: DataFrame | None = None, ttl: int = TTL_SECONDS, cap: int = MAX_PER_CONVERSATION) -> DataFrame:
+def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: DataFrame | None = None, ttl: int = TTL_SECONDS, cap: int = MAX_PER_CONVERSATION, provider: Callable[[Column, Column, Column], Column] = surrogate) -> DataFrame:
     """The vault with the values added: conv_id, label, real, fake, idx, expires_at (epoch seconds). Values that a live entry
     holds keep it. Each (conversation, label, value) has one fake, and each fake of a conversation one value. Values beyond a
-    conversation's cap get no entry: they are redacted for good."""
+    conversation's cap get no entry: they are redacted for good. provider: label, value and a hex digest to a fake of any shape."""
     now = F.unix_timestamp() if now is None else now
     v = values.groupBy("conv_id", "label", "real").agg(F.max("action").alias("action")).withColumn("idx", index_of(key, F.col("label"), F.col("real")))
     held = None
@@ -83,7 +77,7 @@ def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: Data
         held = live(vault, now).select("conv_id", "label", "real", "fake", "idx", "expires_at")
         v = v.join(held.select("conv_id", "idx"), ["conv_id", "idx"], "left_anti")
     h = F.sha2(F.concat_ws("\u0001", "conv_id", "idx"), 256)
-    base = F.when(F.col("action") == RANK["FAKER"], surrogate(F.col("label"), F.col("real"), h)).otherwise(
+    base = F.when(F.col("action") == RANK["FAKER"], provider(F.col("label"), F.col("real"), h)).otherwise(
         F.concat(F.lit("[[REDACTED:"), F.col("label"), F.lit(":"), F.substring(h, 1, 8), F.lit("]]"))
     )
     v = v.withColumns({"base": base, "_h": h})
@@ -181,29 +175,16 @@ def mask(merged: DataFrame, key_col: str, conv: str, vault: DataFrame, text: str
 
 def masked_offsets(edits: Column) -> Column:
     """Where each replacement lies in the masked text: the running difference of lengths."""
-    grown = lambda e: F.length(e["replacement"]) - (e["end"] - e["start"])
 
-    def one(e: Column, i: Column) -> Column:
-        delta = F.aggregate(F.slice(edits, 1, i), F.lit(0), lambda a, x: a + grown(x))
+    def one(e: Column, delta: Column) -> Column:
+        start = e["start"] + delta
         return F.struct(
-            e["label"].alias("label"), e["action"].alias("action"), e["start"].alias("start"), e["end"].alias("end"), (e["start"] + delta).alias("masked_start"),
-            (e["start"] + delta + F.length(e["replacement"])).alias("masked_end"), e["stored"].alias("stored"),
+            e["label"].alias("label"), e["action"].alias("action"), e["start"].alias("start"), e["end"].alias("end"), start.alias("masked_start"),
+            (start + F.length(e["replacement"])).alias("masked_end"), e["stored"].alias("stored"),
         )
 
-    return F.transform(edits, one)
-
-
-def restore(masked: DataFrame, key_col: str, conv: str, vault: DataFrame, text: str = "masked_text") -> DataFrame:
-    """key, restored_text, n_restored. What has a surrogate's shape is looked up in the conversation's vault: one row a shape
-    found, joined on (conversation, fake), so texts and fakes of a conversation are never paired."""
-    rows = exploded(masked, matches(F.col(text), RESTORE), "m", F.col(key_col), F.col(conv).cast("string").alias("conv_id"))
-    found = rows.select(key_col, "conv_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("fake")).join(
-        vault.select("conv_id", "fake", "real"), ["conv_id", "fake"]
-    )
-    edits = found.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("real").alias("replacement")))).alias("edits"))
-    out = masked.select(key_col, text).join(edits, key_col, "left")
-    done = let(F.col("edits"), lambda e: splice(F.col(text), e))
-    return out.select(key_col, F.when(F.col("edits").isNull(), F.col(text)).otherwise(done).alias("restored_text"), F.coalesce(F.size("edits"), F.lit(0)).alias("n_restored"))
+    grown = lambda all_: F.transform(all_, lambda e: F.length(e["replacement"]) - (e["end"] - e["start"]))
+    return let(edits, lambda all_: let(sums_before(grown(all_)), lambda deltas: F.transform(all_, lambda e, i: one(e, F.get(deltas, i)))))
 
 
 # ---- the vault as those who restore see it

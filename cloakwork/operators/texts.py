@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
-from cloakwork.functions.positions import let, matches, running_sum, splice
+from cloakwork.functions.positions import let, matches, running_sum, splice, sums_before
 
 
 def signal_counts(text: Column) -> Column:
@@ -136,13 +136,13 @@ def filled(template: Column, values: Column) -> Column:
     def build(ms: Column) -> Column:
         sizes = F.transform(ms, lambda m: F.length(F.try_element_at(values, slot(m))["value"]) - F.length(m["value"]))
 
-        def placed(m: Column, i: Column) -> Column:
-            shift = F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
+        def placed(m: Column, shift: Column) -> Column:
             v = F.try_element_at(values, slot(m))
             return F.struct((m["start"] + shift).alias("start"), (m["start"] + shift + F.length(v["value"])).alias("end"), v["label"].alias("label"), v["tier"].alias("tier"))
 
         edits = F.transform(ms, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.try_element_at(values, slot(m))["value"].alias("replacement")))
-        spans = F.filter(F.transform(ms, placed), lambda x: x["label"].isNotNull() & (x["start"] < x["end"]))
+        every = let(sums_before(sizes), lambda shifts: F.transform(ms, lambda m, i: placed(m, F.get(shifts, i))))
+        spans = F.filter(every, lambda x: x["label"].isNotNull() & (x["start"] < x["end"]))
         known = F.forall(edits, lambda e: e["replacement"].isNotNull())
         return F.when(known, F.struct(splice(template, edits).alias("text"), spans.alias("spans")))
 
@@ -208,14 +208,14 @@ def marked_prompt(text: Column, labels: list[str]) -> Column:
     """`[[LABEL|value]]` markup: struct<text, spans>, null if a label isn't known."""
     found = matches(text, r"\[\[[^|\[\]]+\|[^\[\]]*\]\]")
 
-    def one(m: Column, i: Column, ms: Column) -> Column:
-        head = lambda x: F.length(F.regexp_extract(x["value"], r"^\[\[[^|]+\|", 0))
-        shrink = F.aggregate(F.slice(ms, 1, i), F.lit(0), lambda a, x: a + head(x) + 2)
+    head = lambda x: F.length(F.regexp_extract(x["value"], r"^\[\[[^|]+\|", 0))
+
+    def one(m: Column, shrink: Column) -> Column:
         start = m["start"] - shrink
         n = F.length(m["value"]) - head(m) - 2
         return F.struct(start.alias("start"), (start + n).alias("end"), F.regexp_extract(m["value"], r"^\[\[([^|]+)\|", 1).alias("label"))
 
-    spans = let(found, lambda ms: F.transform(ms, lambda m, i: one(m, i, ms)))
+    spans = let(found, lambda ms: let(sums_before(F.transform(ms, lambda x: head(x) + 2)), lambda shrunk: F.transform(ms, lambda m, i: one(m, F.get(shrunk, i)))))
     plain = F.regexp_replace(text, r"\[\[[^|\[\]]+\|([^\[\]]*)\]\]", "$1")
     out = F.struct(plain.alias("text"), spans.alias("spans"))
     return F.when(F.forall(spans, lambda s: s["label"].isin(*labels)), out)

@@ -24,6 +24,11 @@ ORACLES: dict[str, str] = {}
 KEY = b"a key for tests: another is given"
 
 
+def fixed_list(values) -> str:
+    """SQL for a list of plain words."""
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -357,16 +362,33 @@ def masked_with_vault(spark, d):
     return mask.mask(merged, "doc_id", "conv", vault).withColumn("infos", F.to_json("infos"))
 
 
-@query(f"""SELECT doc_id, text AS restored_text, true AS safe FROM {spliced_sql(f"(SELECT * FROM {REDACTED_SQL} JOIN (SELECT doc_id, label, " + chr(34) + "start" + chr(34) + f" FROM {MERGED_SQL}) USING (doc_id, " + chr(34) + "start" + chr(34) + ") WHERE label NOT IN ('EMAIL', 'PHONE_NUMBER'))")}""")
+@query(f"""SELECT doc_id, text AS restored_text, n AS n_restored FROM {spliced_sql(f"(SELECT * FROM {REDACTED_SQL} JOIN (SELECT doc_id, label, " + chr(34) + "start" + chr(34) + f" FROM {MERGED_SQL}) USING (doc_id, " + chr(34) + "start" + chr(34) + ") WHERE label NOT IN ('EMAIL', 'PHONE_NUMBER'))")}
+    JOIN (SELECT doc_id, count(*) FILTER (label IN ('EMAIL', 'PHONE_NUMBER')) AS n FROM documents LEFT JOIN {MERGED_SQL} USING (doc_id) GROUP BY doc_id) USING (doc_id)""")
 def demask_roundtrip(spark, d):
     """Masked texts restored: all that the vault holds comes back, and what isn't stored stays redacted."""
     merged, vault = _held(spark, d)
-    masked = mask.mask(merged, "doc_id", "conv", vault).join(merged.select("doc_id", "conv", "text", "merged"), "doc_id")
-    back = mask.restore(masked.select("doc_id", "conv", "masked_text"), "doc_id", "conv", vault)
-    lost = masked.select(
-        "doc_id", "text", F.transform(F.filter("infos", lambda i: ~i["stored"]), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), F.concat(F.lit("[REDACTED:"), i["label"], F.lit("]")).alias("replacement"))).alias("edits")
-    )
-    return lost.join(back, "doc_id").select("doc_id", "restored_text", (splice(F.col("text"), F.col("edits")) == F.col("restored_text")).alias("safe"))
+    masked = mask.mask(merged, "doc_id", "conv", vault).select("doc_id", "masked_text").join(merged.select("doc_id", "conv"), "doc_id")
+    return mask.restore(masked, "doc_id", "conv", vault).select("doc_id", "restored_text", F.col("n_restored").cast("long").alias("n_restored"))
+
+
+@query(f"""
+    WITH c AS (SELECT c_custkey AS k, c_name AS name, 'Account ' || c_custkey AS account, {fixed_list(mask.FIRST)}[c_custkey % 16 + 1] AS f, {fixed_list(mask.LAST)}[(c_custkey + 1) % 16 + 1] AS other FROM customer)
+    SELECT c.k AS c_custkey, account || ' said so. ' || c.name || ', ' || f || 'son and x' || f || ' met ' || c.name || ' ' || other || ' in ' || t.name || ' Hall 20240101; ' || c.name || '_no ' || c.name || '_no ("' || account || '").' AS restored_text,
+           7 AS n_restored FROM c JOIN (SELECT k, name FROM c) t ON t.k = c.k - c.k % 16 + c.k % 8""")
+def restored_names(spark, d):
+    """Fakes of any shape beside words of their own pools: the longest at a place, whole words only."""
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod("c_custkey", F.lit(n)) + 1).cast("int"))
+    c = table(spark, d, "customer").select(
+        "c_custkey", (F.col("c_custkey") - F.pmod("c_custkey", F.lit(16))).cast("string").alias("conv"), "c_name", F.concat(F.lit("Account "), F.col("c_custkey").cast("string")).alias("account"), pick(mask.FIRST, 16).alias("f"), pick(mask.LAST, 16).alias("l"), pick(mask.LAST[1:] + mask.LAST[:1], 16).alias("other"), pick(mask.CITY, 8).alias("city"),
+    )
+    pair = lambda fake, real: F.struct(fake.alias("fake"), real.alias("real"))
+    named = pair(F.col("f"), F.col("c_name")), pair(F.concat_ws(" ", "f", "l"), F.col("account")), pair(F.concat(F.col("f"), F.lit("_no")), F.concat(F.col("c_name"), F.lit("_no")))
+    towns = F.when(F.pmod("c_custkey", F.lit(16)) < 8, pair(F.col("city"), F.concat(F.col("c_name"), F.lit(" Hall"))))
+    vault = exploded(c, F.array(*named, towns), "e", F.col("conv").alias("conv_id")).select("conv_id", "e.fake", "e.real")
+    said = F.concat(
+        "f", F.lit(" "), "l", F.lit(" said so. "), "f", F.lit(", "), "f", F.lit("son and x"), "f", F.lit(" met "), "f", F.lit(" "), "other", F.lit(" in "), "city", F.lit(" 20240101; "), "f", F.lit("_no "), "f", F.lit('_no ("'), "f", F.lit(" "), "l", F.lit('").')
+    )
+    return mask.restore(c.select("c_custkey", "conv", said.alias("masked_text")), "c_custkey", "conv", vault).withColumn("n_restored", F.col("n_restored").cast("long"))
 
 
 @query(f"SELECT doc_id, string_agg(text, chr(10) ORDER BY k) AS masked_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT doc_id, text FROM {spliced_sql('(SELECT doc_id, ' + chr(34) + 'start' + chr(34) + ', ' + chr(34) + 'end' + chr(34) + ', replacement FROM ' + EDITS_SQL + ')')})) GROUP BY 1")

@@ -2,15 +2,17 @@
 
 import hmac
 import ipaddress
+import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.functions import validators as V
-from cloakwork.functions.positions import matches, splice
-from cloakwork.operators import audit, detect, evaluate, mask, merge, policy, residual, scan, texts
+from cloakwork.functions.positions import matches, running_sum, splice
+from cloakwork.operators import audit, detect, evaluate, fakes, mask, merge, policy, residual, scan, texts
 from cloakwork.operators.recognizers import SPANS, Config, folded, registry
 from cloakwork.plans import catalogue
 from cloakwork.sources import files, requests
@@ -340,3 +342,64 @@ def test_bootstrap_recall_takes_all_resamples(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "bootstrap", lambda *a, resamples=1000, **k: taken.append(resamples))
     catalogue.QUERIES["bootstrap_recall"](spark, SMALL)
     assert taken == [1000]
+
+
+def test_positions_and_splices_of_a_million_hits(spark):
+    n = 1_000_000
+    text = "".join(f"w{i % 97} " for i in range(n))
+    row = spark.createDataFrame([(text,)], "t string")
+    edits = lambda m: F.transform(m, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("ab").alias("replacement"), F.lit("L").alias("label"), F.lit("REDACT").alias("action"), F.lit(True).alias("stored")))
+    start = time.time()
+    found = row.select(matches(F.col("t"), "w[0-9]+").alias("m"), "t").cache()
+    last = found.select(F.size("m"), F.element_at("m", -1)["start"], F.element_at("m", 500_001)["end"]).first()
+    assert tuple(last) == (n, len(text) - len(f"w{(n - 1) % 97} "), sum(len(f"w{i % 97} ") for i in range(500_001)) - 1)
+    assert time.time() - start < 40
+    start = time.time()
+    done = found.select(splice(F.col("t"), edits(F.col("m"))).alias("s"), F.element_at(mask.masked_offsets(edits(F.col("m"))), -1)["masked_end"].alias("e")).first()
+    assert done.s == "ab " * n and done.e == 3 * n - 1
+    assert time.time() - start < 40
+    found.unpersist()
+
+
+def test_splices_in_long_texts_equal_pythons(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("aé漢\U0001f600\n ") for _ in range(rng.choice([0, 5, 2048, 2049, 9000])))
+        at = sorted(rng.sample(range(len(text) + 1), min(len(text), 2 * rng.randrange(8)) // 2 * 2))
+        rows.append((i, text, [(a, b, rng.choice(["", "x", "yy"])) for a, b in zip(at[::2], at[1::2])]))
+    df = spark.createDataFrame(rows, "i int, t string, e array<struct<start:int,end:int,replacement:string>>")
+    for r in df.select("i", splice(F.col("t"), F.col("e")).alias("s")).collect():
+        want, at = "", 0
+        for a, b, new in rows[r.i][2]:
+            want, at = want + rows[r.i][1][at:a] + new, b
+        assert r.s == want + rows[r.i][1][at:]
+    sums = spark.createDataFrame([(list(range(k)),) for k in (0, 1, 128, 129, 5000)], "a array<int>").select(running_sum(F.col("a")).alias("s")).collect()
+    assert [r.s for r in sums] == [list(itertools.accumulate(range(k))) for k in (0, 1, 128, 129, 5000)]
+
+
+def test_restoring_fakes_of_any_shape(spark):
+    vault = spark.createDataFrame(
+        [("c", "Max Fake", "Real Long"), ("c", "Max", "Real"), ("c1", "Zed1", "John Smith"), ("c1", "[[X]]", "secret"), ("d", "Bob", "B"), ("d", "", "nothing"), (None, "N", "null")], "conv_id string, fake string, real string"
+    )
+    rows = [
+        (1, "c", "Max Fake and Max", "Real Long and Real"), (2, "c1", "Zed10 xZed1 Zed1.", "Zed10 xZed1 John Smith."), (3, "c1", "a[[X]]b", "asecretb"), (4, "c", "Zed1", "Zed1"),
+        (5, "c", None, None), (6, "zz", "Max", "Max"), (7, "d", "Bob Bobby Bob_ (Bob)", "B Bobby Bob_ (B)"), (8, "c", "", ""), (9, None, "N", "null"), (None, "c", "Max", "Real"),
+    ]
+    df = spark.createDataFrame([(a, b, c) for a, b, c, _ in rows], "id long, conv string, masked_text string")
+    got = {r.id: r.restored_text for r in mask.restore(df, "id", "conv", vault).collect()}
+    assert got == {a: d for a, _, _, d in rows}
+
+
+def test_restoring_equals_the_longest_of_all_fakes_at_each_place(spark, monkeypatch):
+    monkeypatch.setattr(fakes, "PART_TEXTS", 20)
+    rng = random.Random(10)
+    word = lambda k: "".join(rng.choice("ab_ .") for _ in range(rng.randrange(1, k)))
+    entries = {c: {word(5): f"<{i}>" for i in range(6)} for c in "xyz"}
+    rows = [(i, "x" if i < 150 else rng.choice("yz"), word(30)) for i in range(200)]
+    vault = spark.createDataFrame([(c, f, r) for c, e in entries.items() for f, r in e.items()], "conv_id string, fake string, real string")
+    for r in mask.restore(spark.createDataFrame(rows, "id long, conv string, masked_text string"), "id", "conv", vault).collect():
+        known = entries[rows[r.id][1]]
+        one = lambda f: (r"(?<!\w)" if f[0].isalnum() or f[0] == "_" else "") + re.escape(f) + (r"(?!\w)" if f[-1].isalnum() or f[-1] == "_" else "")
+        want = re.subn("|".join(one(f) for f in sorted(known, key=len, reverse=True)), lambda m: known[m[0]], rows[r.id][2])
+        assert (r.restored_text, r.n_restored) == want
