@@ -7,8 +7,8 @@ the label count OTHER of that. Examples lie in blocks of BLOCK, by weight, with
 largest weight of each common term in each block. A query adds up the postings of
 its rare terms, bounds every block by these sums and the largest weights of its
 common terms, visits blocks from the highest bound down and stops when no bound
-exceeds the K-th best cosine: the same neighbours as by brute force. Terms that no example has would scale all cosines
-of a text alike, and are left out of its norm. Votes weighted by
+exceeds the K-th best cosine: the same neighbours as by brute force. Terms that no example has
+count in a text's norm, as terms of one document (which is what most of them are). Votes weighted by
 similarity, and PRIOR_WEIGHT votes at the base rate of examples without evidence,
 give a raw score; a logistic fit of leave-one-out votes calibrates it.
 
@@ -58,17 +58,20 @@ class ToxicityIndex:
         self.rows = {t: i for i, t in enumerate(terms)}
         self.weigh = weigh
         self.base, self.slope, self.shift = base, 1.0, 0.0
+        self.unseen = 0.0  # what a term weighs that no example has
         self.n_blocks = 0
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of the terms that are indexed, and their weights, of length one together."""
+        """The rows of the terms that are indexed, and their weights. Together with the terms that no example has they are of length one."""
         rows = self.rows
         found = sorted((rows[t], n) for t, n in tf.items() if t in rows)
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         r, n = np.array(found, dtype=np.int64).T
         x = (1 + np.log(n)) * self.weigh[r]
-        return r, x / math.sqrt(x @ x)
+        unseen = np.array([n for t, n in tf.items() if t not in rows], dtype=np.int64)
+        y = (1 + np.log(unseen)) * self.unseen
+        return r, x / math.sqrt(x @ x + y @ y)
 
     def build(self, example: np.ndarray, r: np.ndarray, w: np.ndarray) -> None:
         """Of postings (example, row, weight) in the order of examples and rows: rare terms as lists; terms that one example in DENSE has
@@ -221,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ot
     total, seen = document_frequency(docs, names)
     weigh = share * (np.log((1 + total) / (1 + seen)) + 1)
     index = ToxicityIndex(ids, ys, names.to_pylist(), weigh)
+    index.unseen = other * (math.log((1 + total) / 2) + 1)
     w = (1 + np.log(count)) * weigh[code]
     w /= np.sqrt(np.bincount(doc, w * w, minlength=n))[doc]
     index.build(doc, code, w)

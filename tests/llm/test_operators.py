@@ -201,7 +201,7 @@ def brute_scores(rows, labels, other):
     n, pos = len(ids), sum(y.values())
     own = Counter(t for i in ids for t in tf[i])
     with_label = Counter(t for i in ids if y[i] for t in tf[i])
-    idf = {}
+    idf, unseen = {}, other * (math.log((1 + total) / 2) + 1)
     for t, m in own.items():
         a = with_label[t]
         chi2 = n * (a * n - m * pos) ** 2 / max(m * pos * (n - m) * (n - pos), 1)
@@ -209,7 +209,7 @@ def brute_scores(rows, labels, other):
         idf[t] = share * (math.log((1 + total) / (1 + df[t])) + 1)
 
     def vector(c):
-        v = {t: (1 + math.log(k)) * idf[t] for t, k in c.items() if t in idf}
+        v = {t: (1 + math.log(k)) * idf.get(t, unseen) for t, k in c.items()}  # all terms of the text, also those of no example
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()} if norm else {}
 
@@ -253,6 +253,17 @@ def test_toxicity_keeps_columns_and_takes_several_texts_of_an_id(spark):
     assert got.columns == ["doc_id", "text", "tox", "tox_score", "tox_evidence"] and {r.tox for r in got.collect()} == {"mine"}
 
 
+def test_one_word_of_a_long_text_is_not_its_score(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices([f"word{j}" for j in range(100)], k=10) + ["vile"] * (i % 5 == 0))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, label int")
+    index = toxicity.fit(docs_of(spark, rows), labels)
+    long = " ".join(f"fresh{i}" for i in range(10_000))
+    assert index.score("vile")[0] > 0.9 and index.score(f"vile {long}")[0] < 0.5
+    (r, x), (r2, x2) = index.vector({"vile": 1}), index.vector(Counter(f"vile {long}".split()))
+    assert x[0] == 1.0 and r2.tolist() == r.tolist() and x2[0] < 0.2
+
+
 def test_toxicity_indexes_every_term(spark):
     rng = random.Random(12)
     rows = [(i, " ".join([f"only{i}", *rng.choices([f"word{j}" for j in range(200)], k=20), *(["vile"] * (i % 4 == 0))])) for i in range(200)]
