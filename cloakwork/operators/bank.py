@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed as P
 from cloakwork.functions import validators as V
+from cloakwork.operators.describing import quickly
 from cloakwork.operators.merge import evidence
 from cloakwork.operators.recognizers import Recognizer
 

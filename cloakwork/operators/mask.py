@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.functions.positions import let, splice, sums_before
+from cloakwork.operators.describing import quickly
 from cloakwork.operators.fakes import restore  # noqa: F401
 from cloakwork.operators.policy import RANK, Policy
 
@@ -66,6 +67,7 @@ def wanted(merged: DataFrame, conv: str, text: str, policy: Policy) -> DataFrame
     return one.where(held).select("conv_id", F.col("m.label").alias("label"), real.alias("real"), F.col("m.action").alias("action"))
 
 
+@quickly
 def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: DataFrame | None = None, ttl: int = TTL_SECONDS, cap: int = MAX_PER_CONVERSATION, provider: Callable[[Column, Column, Column], Column] = surrogate) -> DataFrame:
     """The vault with the values added: conv_id, label, real, fake, idx, expires_at (epoch seconds). Values that a live entry
     holds keep it. Each (conversation, label, value) has one fake, and each fake of a conversation one value. Values beyond a
@@ -117,6 +119,7 @@ def live(vault: DataFrame, now: Column) -> DataFrame:
     return vault.where(F.col("expires_at") > now)
 
 
+@quickly
 def redacted(text: Column, merged: Column) -> Column:
     """text with [REDACTED:LABEL] for every merged span: no vault, no shuffle."""
     edits = F.transform(
@@ -138,6 +141,7 @@ def blocks(text: Column, merged: Column, policy: Policy) -> Column:
     return F.exists(merged, lambda m: (m["action"] == RANK["BLOCK"]) | (policy.rank_of(m["label"], value(m)) == RANK["BLOCK"]))
 
 
+@quickly
 def mask(merged: DataFrame, key_col: str, conv: str, vault: DataFrame, text: str = "text", policy: Policy = Policy()) -> DataFrame:
     """key, masked_text (null if blocked), blocked, infos: array<struct<label,action,start,end,masked_start,masked_end,stored>>.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.functions.positions import let
+from cloakwork.operators.describing import quickly
 from cloakwork.operators.policy import Policy
 
 MERGED = "struct<start:int,end:int,label:string,action:int,score:double,evidence:int,sources:array<string>,labels:array<string>>"
@@ -35,6 +36,7 @@ def snapped(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     )
 
 
+@quickly
 def merge(text: Column, spans: Column, policy: Policy = Policy(), snap: bool = True, min_scores: Mapping[str, float] | None = None) -> Column:
     """array<MERGED> in order, disjoint. Kept labels and unproved spans under their label's floor are left out before they can
     widen anything; touching spans stay apart. A span that ends after the text raises an error."""

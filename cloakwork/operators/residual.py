@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
 from cloakwork.functions.positions import matches
+from cloakwork.operators.describing import quickly
 
 FINDING = "struct<type:string,start:int,end:int,reason:string>"
 
@@ -31,6 +32,7 @@ def _sum97(v: Column) -> Column:
     return F.aggregate(digits, F.lit(0), lambda a, d: ((a * F.when(d > 9, 100).otherwise(10) + d) % 97).cast("int"))
 
 
+@quickly
 def residual_scan(text: Column) -> Column:
     """array<FINDING>; never the value. Empty: nothing was left."""
     none = F.array().cast(f"array<{FINDING}>")

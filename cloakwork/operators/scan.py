@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.functions.positions import let
+from cloakwork.operators.describing import quickly
 from cloakwork.operators.recognizers import Config, Recognizer, folded, no_spans, registry, spans_of
 from cloakwork.operators.tables import exploded
 
@@ -42,11 +43,55 @@ def normalised(text: str) -> tuple[str, np.ndarray]:
     return "".join(parts), np.repeat(np.arange(len(parts), dtype=np.int32), list(map(len, parts)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("index", T.ArrayType(T.IntegerType()))]))
-def _normalise(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        done = [normalised(t) if t is not None else (None, None) for t in texts]
-        yield pd.DataFrame({"text": [t for t, _ in done], "index": [i for _, i in done]})
+#: Bits of the word index; of more rules several share one, and run if a word of any of them is there.
+BITS = 62
+
+
+@lru_cache(maxsize=4)
+def word_index(words: tuple[tuple[str, int], ...]):
+    """An automaton of all rules' words in lower case: one pass over a text finds them all. Each word has the bits of its rules."""
+    import ahocorasick
+
+    bits: dict[str, int] = {}
+    for word, bit in words:
+        bits[word.lower()] = bits.get(word.lower(), 0) | 1 << bit
+    found = ahocorasick.Automaton()
+    for word, of_rules in bits.items():
+        found.add_word(word, of_rules)
+    found.make_automaton()
+    return found, reduce(int.__or__, bits.values())
+
+
+def hinted(text: str, index) -> int:
+    """The bits of the rules that have a word in the text."""
+    if index is None:
+        return 0
+    automaton, all_bits = index
+    out = 0
+    low = text.lower() if text.isascii() else text.translate(_I).lower()
+    for _, bits in automaton.iter(low):
+        out |= bits
+        if out == all_bits:
+            break
+    return out
+
+
+_I = {0x130: "i", 0x131: "i"}  # as recognizers.folded has them
+READ = T.StructType([T.StructField("text", T.StringType()), T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("hints", T.LongType())])
+
+
+@lru_cache(maxsize=64)
+def reader(words: tuple[tuple[str, int], ...]):
+    """(odd text or null, text) to the plain form of an odd text with its index, and the hints of every text's plain form."""
+
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        index = word_index(words) if words else None
+        for odd, texts in batches:
+            plain_ = [normalised(t) if t is not None else (None, None) for t in odd]
+            hints = [0 if t is None else hinted(t if p is None else p, index) for t, (p, _) in zip(texts, plain_)]
+            yield pd.DataFrame({"text": [t for t, _ in plain_], "index": [i for _, i in plain_], "hints": hints})
+
+    return F.pandas_udf(read, READ)
 
 
 def collapse(spans: Column) -> Column:
@@ -66,8 +111,11 @@ def collapse(spans: Column) -> Column:
     )
 
 
-def raw_spans(text: Column, recognizers: list[Recognizer], low: Column | None = None) -> Column:
-    return collapse(F.flatten(F.array(*[spans_of(text, r, low) for r in recognizers])))
+@quickly
+def raw_spans(text: Column, recognizers: list[Recognizer], low: Column | None = None, hints: Column | None = None, name: str | None = None) -> Column:
+    """The spans of all recognizers. hints: bit i % BITS is set where the text has a word of rule i. name: of text's column, if it is one."""
+    has = lambda i: None if hints is None else hints.bitwiseAND(F.lit(1 << i % BITS)) != 0
+    return collapse(F.flatten(F.array(*[spans_of(text, r, low, has(i) if r.words else None, name) for i, r in enumerate(recognizers)])))
 
 
 def mapped_back(spans: Column, index: Column) -> Column:
@@ -78,21 +126,26 @@ def mapped_back(spans: Column, index: Column) -> Column:
 
 @lru_cache(maxsize=16)
 def _spans_column(recognizers: tuple[Recognizer, ...], gateway: int) -> Column:
-    """The spans of the column _t, _low being its lower case. Some fifty recognizers are thousands of calls to the JVM, so the column is kept for later scans."""
-    return raw_spans(F.col("_t"), list(recognizers), F.col("_low"))
+    """The spans of the column _t, _low being its lower case and _hints its hints. Some fifty recognizers are thousands of calls to the
+    JVM, so the column is kept for later scans. They are the body of one lambda: an expression of that size is too large to be
+    compiled, and each task would try; so the rest of the plan compiles, and of the rules only those run that have a word in the text."""
+    return let(F.lit(0), lambda _: raw_spans(F.col("_t"), list(recognizers), F.col("_low"), F.col("_hints"), "_t"))
 
 
+@quickly
 def scan(docs: DataFrame, text_col: str = "text", config: Config = Config(), recognizers: list[Recognizer] | None = None) -> DataFrame:
     """docs with the column spans: array<SPAN>. A null text has no spans; texts of any length are scanned whole.
 
-    One pass: texts with odd characters get their normal form in Python, of all
-    other rows only a null goes there.
+    One pass: in Python each text's words are looked up in an index of all rules' words, and texts with odd characters get their
+    normal form; rules are native.
     """
     chosen = tuple(registry(config) if recognizers is None else recognizers)
     text = F.col(text_col)
-    n = docs.withColumn("_n", _normalise(F.when(text.rlike(ODD), text))).withColumn("_t", F.coalesce("_n.text", text_col)).withColumn("_low", folded(F.col("_t")))
+    words = tuple((w, i % BITS) for i, r in enumerate(chosen) for w in r.words)
+    read = docs.withColumn("_n", reader(words)(F.when(text.rlike(ODD), text), text))
+    n = read.withColumns({"_t": F.coalesce("_n.text", text_col), "_hints": F.col("_n.hints")}).withColumn("_low", folded(F.col("_t")))
     found = F.when(text.isNull(), no_spans()).otherwise(_spans_column(chosen, id(docs.sparkSession.sparkContext._gateway)))
-    return n.withColumn("spans", mapped_back(found, F.col("_n.index"))).drop("_n", "_t", "_low")
+    return n.withColumn("spans", mapped_back(found, F.col("_n.index"))).drop("_n", "_t", "_low", "_hints")
 
 
 def explode_spans(scanned: DataFrame, keys: list[str], text_col: str = "text", spans_col: str = "spans") -> DataFrame:

@@ -14,6 +14,7 @@ from cloakwork.functions import fixed
 from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
 from cloakwork.operators import audit, bank, detect, evaluate, mask, merge, policy, residual, scan, segments, texts
+from cloakwork.operators.describing import quickly
 from cloakwork.operators.recognizers import SPANS, Config, registry
 from cloakwork.operators.tables import exploded, materialised, spread
 from cloakwork.plans import planted
@@ -31,7 +32,7 @@ def fixed_list(values) -> str:
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = quickly(f)
         if sql:
             ORACLES[f.__name__] = sql
         return f
