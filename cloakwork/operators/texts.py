@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
 from cloakwork.functions.positions import let, matches, running_sum, splice, sums_before
+from cloakwork.operators.tables import exploded
 
 
 def signal_counts(text: Column) -> Column:
@@ -49,35 +50,90 @@ def values_of(spans: DataFrame) -> DataFrame:
     return spans.where(((F.instr("value", " ") > 0) & (n >= 8)) | (n >= 14)).select("value").distinct()
 
 
-#: Excluded values are looked for by their first characters. Values of at most so many characters in all are sent to the tasks.
-ANCHOR, MAX_SENT = 8, 8_000_000
+#: Excluded values are looked for by their first characters. Values of at most so many characters in all are sent to the tasks; a
+#: filter of hashes has at most 2 to the power of FILTER_BITS bits for each length of anchors.
+ANCHOR, MAX_SENT, FILTER_BITS = 8, 8_000_000, 29
+_BASE, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
+
+
+def rolled(text: str, n: int) -> np.ndarray:
+    """A hash of every run of n characters of a text: a polynomial of the characters, all at once."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(len(c) - n + 1, 0), np.uint64)
+    for k in range(n):
+        h *= _BASE
+        h += c[k : k + len(h)]
+    h ^= h >> np.uint64(29)
+    return h * _MIX
+
+
+class AnchorFilter:
+    """Which runs of characters may be anchors: a bit a hash, for each length of anchors. Its size is bounded, whatever the values."""
+
+    def __init__(self, bits: int, words: dict[int, np.ndarray]):
+        self.shift, self.words = np.uint64(64 - bits), words
+
+    def may_start(self, text: str) -> Iterator[str]:
+        """The distinct runs of the text that may be anchors."""
+        for n, words in self.words.items():
+            place = rolled(text, n) >> self.shift
+            hits = np.flatnonzero(words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+            yield from {text[i : i + n] for i in hits.tolist()}
+
+
+def anchor_filter(values: DataFrame, bits: int) -> AnchorFilter:
+    """Of a table of values. Bits are set where the values are and joined a word at a time; the driver gets the words that have any."""
+    shift = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            heads = {v[:ANCHOR] for v in pdf["value"]}
+            places = [(len(h), int(rolled(h, len(h))[0] >> shift)) for h in heads]
+            yield pd.DataFrame([(n, p >> 6, np.uint64(1 << (p & 63)).astype(np.int64)) for n, p in places], columns=["n", "word", "bit"])
+
+    rows = values.select("value").mapInPandas(run, "n int, word long, bit long").groupBy("n", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    n, word, of_word = (rows[c].to_numpy() for c in ("n", "word", "bits"))
+    words = {}
+    for k in np.unique(n).tolist():
+        words[k] = np.zeros(1 << bits - 6, np.uint64)
+        words[k][word[n == k]] = of_word[n == k].astype(np.uint64)
+    return AnchorFilter(bits, words)
 
 
 def holding(texts: DataFrame, values: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, value) of the texts that hold a value; texts without a key can't be named and are left out.
+    """(key, value) of the texts that hold a value; texts without a key can't be named and are left out. Null and empty values are in none.
 
-    Values that are few are sent to the tasks, and each text is searched where it is. More of them are joined by their first ANCHOR
-    characters with the distinct runs of that length of the texts; only the pairs that are left meet the text again and are compared.
+    Hashes of the values' first characters make a filter that is sent; of a text's runs of characters only those that pass it go on.
+    Values that are few are sent too, and compared where the text is. More of them are joined by their anchors; only the pairs that
+    are left meet the text again and are compared.
     """
-    size = values.agg(F.coalesce(F.sum(F.length("value") + 16), F.lit(0))).first()[0]
+    values = values.where("value <> ''")
+    size, count = values.agg(F.coalesce(F.sum(F.length("value") + 16), F.lit(0)), F.count("*")).first()
+    bits = min(max(int(16 * count).bit_length(), 12), FILTER_BITS)
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(anchor_filter(values, bits))
+    named = texts.where(F.col(key).isNotNull())
     if size <= MAX_SENT:
-        sent = texts.sparkSession.sparkContext.broadcast(sorted(r["value"] for r in values.where("value is not null").collect()))
+        heads: dict[str, list[str]] = {}
+        for v in sorted(r["value"] for r in values.distinct().collect()):
+            heads.setdefault(v[:ANCHOR], []).append(v)
+        known = spark.sparkContext.broadcast(heads)
 
         @F.pandas_udf("array<string>")
         def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            wanted: dict[str, list[str]] = {}
-            for v in sent.value:
-                wanted.setdefault(v[:ANCHOR], []).append(v)
-            anchors = re.compile("(?=(" + "|".join(map(re.escape, sorted(wanted))) + "))", re.S) if wanted else None
             for some in batches:
-                heads = [set(anchors.findall(t)) if anchors and t else () for t in some]
-                yield pd.Series([[v for h in sorted(hs) for v in wanted[h] if v in t] for hs, t in zip(heads, some)])
-
-        return texts.where(F.col(key).isNotNull()).select(key, F.explode(held(F.col(text_col))).alias("value")).distinct()
-    v = values.select("value", F.substring("value", 1, ANCHOR).alias("_a"))
-    runs = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{ANCHOR}}}))"), F.lit(1)))
-    near = texts.select(key, F.explode(runs).alias("_a")).join(v, "_a").select(key, "value").distinct()
-    hit = texts.select(key, text_col).join(near, key).where(F.contains(F.col(text_col), F.col("value")))
+                yield pd.Series([[v for h in sent.value.may_start(t) for v in known.value.get(h, ()) if v in t] if t else [] for t in some])
+
+        return exploded(named, held(F.col(text_col)), "value", key).distinct()
+
+    @F.pandas_udf("array<string>")
+    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([list(sent.value.may_start(t)) if t else [] for t in some])
+
+    v = values.select("value", F.substring("value", 1, ANCHOR).alias("_a")).distinct()
+    near = exploded(named, starts(F.col(text_col)), "_a", key).join(v, "_a").select(key, "value").distinct()
+    hit = named.select(key, text_col).join(near, key).where(F.contains(F.col(text_col), F.col("value")))
     return hit.select(key, "value").distinct()
 
 

@@ -176,3 +176,23 @@ def test_latency_of_few_values(spark, n):
     got = evaluate.latency(t).collect()
     values = [float(i * i) for i in range(n)]
     assert [tuple(r)[:3] for r in got] == ([(values[min(n - 1, n // 2)], values[min(n - 1, int(0.95 * n))], values[-1])] if n else [])
+
+
+@pytest.mark.parametrize("sent", [8_000_000, 0])
+def test_held_values_equal_a_search_of_every_value(spark, monkeypatch, sent):
+    monkeypatch.setattr(texts, "MAX_SENT", sent)
+    rng = random.Random(sent + 1)
+    word = lambda k: "".join(rng.choice("abé漢\U0001f600 ") for _ in range(rng.randrange(1, k)))
+    rows = [(i, word(120)) for i in range(150)] + [(200, None), (201, ""), (None, "abcdefgh")]
+    known = [t[a : a + rng.randrange(1, 30)] for _, t in rows[:40] for a in [rng.randrange(len(t))]] + [word(14) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "k long, text string")
+    got = texts.holding(docs, spark.createDataFrame([(v,) for v in [*known, "", None]], "value string"), "k").collect()
+    assert sorted(map(tuple, got)) == sorted({(k, v) for k, t in rows if k is not None and t for v in known if v and v in t})
+    assert texts.holding(docs, spark.createDataFrame([], "value string"), "k").count() == 0
+
+
+def test_rolled_hashes_tell_runs_apart():
+    text = "".join(random.Random(4).choice("abcdefgh") for _ in range(50_000))
+    hashes = texts.rolled(text, 8)
+    runs = [text[i : i + 8] for i in range(len(text) - 7)]
+    assert len(hashes) == len(runs) and len(set(hashes.tolist())) == len(set(runs)) and texts.rolled("abc", 8).size == 0
