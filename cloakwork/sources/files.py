@@ -14,7 +14,6 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,17 +69,6 @@ def decoded(data: bytes) -> tuple[str, str]:
     raise UnicodeDecodeError(marked[0], data, 0, len(data), "not what its mark says")
 
 
-def text_segments(files: DataFrame) -> DataFrame:
-    """One segment a text file, with its encoding as the key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [decoded(c) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "key": [e for _, e in found], "text": [t for t, _ in found], "context": None})
-
-    return files.select("path", "content").mapInPandas(run, SEGMENT)
-
-
 def cells(text: str, separator: str = ",") -> list[tuple[int, int, str]]:
     """(row, column, cell) of separated values, quotes understood."""
     return [(r, c, cell) for r, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=separator)) for c, cell in enumerate(row)]
@@ -109,66 +97,6 @@ def with_headers(cells_: DataFrame, file_col: str = "path") -> DataFrame:
     return cells_.join(top, [file_col, "col"], "left").withColumn("context", F.when((F.col("row") > 0) & (F.col("header") != ""), F.concat("header", F.lit(": "))).otherwise(""))
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def docx_paragraphs(data: bytes) -> list[tuple[str, str]]:
-    """(part:number, text) of the paragraphs of body, headers and footers; tables and boxes are paragraphs too."""
-    out = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in sorted(n for n in z.namelist() if re.fullmatch(r"word/(?:document|header\d*|footer\d*)\.xml", n)):
-            root = ElementTree.fromstring(z.read(name))
-            for i, p in enumerate(root.iter(f"{_W}p")):
-                text = "".join({"t": x.text or "", "tab": "\t", "br": "\n"}.get(x.tag.removeprefix(_W), "") for x in p.iter() if x.tag.startswith(_W))
-                if text:
-                    out.append((f"{name}:{i}", text))
-    return out
-
-
-def xlsx_cells(data: bytes) -> list[tuple[str, str]]:
-    """(sheet part!cell, text) of string and number cells, and comments."""
-    out = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-            for c in ElementTree.fromstring(z.read(name)).iter(f"{_S}c"):
-                v, kind = c.find(f"{_S}v"), c.get("t")
-                text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if kind == "inlineStr" else (v.text or "") if v is not None else ""
-                if kind == "s" and text:
-                    text = shared[int(text)]
-                elif kind is None and re.fullmatch(r"-?\d+\.0+", text):
-                    text = text.partition(".")[0]
-                if text:
-                    out.append((f"{name}!{c.get('r')}", text))
-        for name in sorted(n for n in names if re.fullmatch(r"xl/comments\d*\.xml", n)):
-            for c in ElementTree.fromstring(z.read(name)).iter(f"{_S}comment"):
-                out.append((f"{name}!{c.get('ref')}", "".join(t.text or "" for t in c.iter(f"{_S}t"))))
-    return out
-
-
-def office_segments(files: DataFrame) -> DataFrame:
-    """Segments of word processor and spreadsheet packages. A package that can't be read gives one segment with key 'error'."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        word = "word/document.xml" in z.namelist()
-                    found = docx_paragraphs(content) if word else xlsx_cells(content)
-                    out += [(path, k, t, "") for k, t in found]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as e:
-                    out.append((path, "error", type(e).__name__, ""))
-            yield pd.DataFrame(out, columns=["path", "key", "text", "context"])
-
-    return files.select("path", "content").mapInPandas(run, SEGMENT)
-
-
 def package_parts(files: DataFrame) -> DataFrame:
     """(path, part, size, text) of a package's parts; those that aren't text, or are over MAX_PART, have null text."""
 
@@ -216,12 +144,3 @@ def raw_text(markup: Column) -> Column:
 def raw_scan(parts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """keys and findings: the residual scan of markup without its tags."""
     return parts.select(*keys, F.explode(residual_scan(raw_text(F.coalesce(text_col, F.lit(""))))).alias("f")).select(*keys, "f.*")
-
-
-def file_status(kind: Column, blocked: Column, has_text: Column, degraded: Column, strict: Column, leaks: Column, images: str = "default") -> Column:
-    """What becomes of a file, by the first gate that it doesn't pass."""
-    image = {"warn": "passed with warning"}.get(images, "blocked: image")
-    return (
-        F.when(kind == "unknown", "blocked: unknown type").when(kind == "image", image).when(blocked, "blocked: uninspected content").when(~has_text, "blocked: no text")
-        .when(degraded & strict, "blocked: degraded").when(leaks > 0, "deleted: residual leak").otherwise("masked")
-    )

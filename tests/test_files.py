@@ -137,3 +137,26 @@ def test_policy_blocks_a_file(spark):
     assert {r.path: (r.status, r.output) for r in done.collect()} == {"a.txt": ("blocked: policy", None), "b.txt": ("masked", bytearray(b"nothing here"))} and vault.count() == 0
     strict, _ = pipeline.masked_files(files, "conv", b"k", config=Config(enabled_labels=frozenset({"EMAIL"})), strict=True, degraded=F.col("path") == "b.txt")
     assert {r.path: r.status for r in strict.collect()} == {"a.txt": "masked", "b.txt": "blocked: degraded"}
+
+
+def test_packages_lose_what_names_people():
+    parts = {
+        "[Content_Types].xml": '<Types><Override PartName="/word/people.xml" ContentType="x"/><Override PartName="/word/document.xml" ContentType="y"/></Types>',
+        "_rels/.rels": '<Relationships><Relationship Id="a" Target="docProps/thumbnail.jpeg"/><Relationship Id="b" Target="word/document.xml"/></Relationships>',
+        "word/_rels/document.xml.rels": '<Relationships><Relationship Id="a" Target="people.xml"/><Relationship Id="b" Target="/word/people.xml"/><Relationship Id="c" Target="people.xml" TargetMode="External"/></Relationships>',
+        "word/document.xml": '<w:document><w:ins w:author="Ann" w:initials="A">text</w:ins></w:document>', "word/people.xml": "<p>Ann</p>", "docProps/thumbnail.jpeg": "jpeg",
+        "docProps/core.xml": "<c><dc:creator x='1'>Ann</dc:creator><dc:title>T</dc:title><cp:revision>2</cp:revision></c>", "docProps/app.xml": "<Company>Ann Ltd</Company>", "xl/comments1.xml": "<author>Ann</author><t>note</t>",
+    }
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    new, notes = office.scrubbed(data.getvalue())
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        got = {n: z.read(n).decode() for n in z.namelist()}
+    assert notes == ["app_properties_removed", "review_author_names_removed", "reviewer_list_removed", "thumbnail_removed"]
+    assert set(parts) - set(got) == {"word/people.xml", "docProps/thumbnail.jpeg"} and not any("Ann" in body for body in got.values())
+    assert got["[Content_Types].xml"] == '<Types><Override PartName="/word/document.xml" ContentType="y"/></Types>'
+    assert got["_rels/.rels"] == '<Relationships><Relationship Id="b" Target="word/document.xml"/></Relationships>'
+    assert got["word/_rels/document.xml.rels"] == '<Relationships><Relationship Id="c" Target="people.xml" TargetMode="External"/></Relationships>'
+    assert got["docProps/core.xml"] == "<c><dc:creator></dc:creator><dc:title></dc:title><cp:revision>2</cp:revision></c>" and "<t>note</t>" in got["xl/comments1.xml"]
