@@ -231,8 +231,3 @@ def response(scanned: DataFrame, key: str) -> DataFrame:
     labels = lambda c: F.transform(c, lambda x: x["label"])
     counts = lambda c: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(labels(c))), lambda x: F.struct(x.alias("label"), F.size(F.filter(labels(c), lambda y: y == x)).alias("n"))))
     return scanned.select(key, F.size("spans").alias("entities_found"), F.array_sort(F.array_distinct(labels("spans"))).alias("entity_types"), counts("merged").alias("audit_counts"))
-
-
-def upsert(vault: DataFrame, folder: str) -> None:
-    """A vault written through: its conversations' partitions take the place of the old ones, all at once; others stay."""
-    vault.write.option("partitionOverwriteMode", "dynamic").partitionBy("conv_id").mode("overwrite").parquet(folder)

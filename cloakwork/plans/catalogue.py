@@ -7,16 +7,18 @@ it against brute force.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
 from cloakwork.functions import validators as V
 from cloakwork.functions.positions import matches, splice
-from cloakwork.operators import audit, bank, detect, evaluate, mask, merge, policy, residual, scan, segments, texts
+from cloakwork.operators import audit, bank, detect, evaluate, mask, merge, policy, residual, scan, segments, texts, vault_store
 from cloakwork.operators.describing import quickly
 from cloakwork.operators.recognizers import SPANS, Config, registry
-from cloakwork.operators.tables import exploded, materialised, spread
+from cloakwork.operators.tables import exploded, materialised, shared_dir, spread
 from cloakwork.plans import planted
 from cloakwork.sources import files, requests
 
@@ -392,6 +394,29 @@ def restored_names(spark, d):
     return mask.restore(c.select("c_custkey", "conv", said.alias("masked_text")), "c_custkey", "conv", vault).withColumn("n_restored", F.col("n_restored").cast("long"))
 
 
+@query("""
+    WITH e AS (
+        SELECT 'c' || c_custkey % 97 AS conv_id, c_name AS real, c_custkey AS k,
+               CASE WHEN c_custkey % 5 = 0 THEN 'h' WHEN c_custkey % 3 = 0 THEN 'g' ELSE 'f' END || c_custkey AS fake,
+               (CASE WHEN c_custkey % 5 = 0 THEN 9000 WHEN c_custkey % 3 = 0 THEN 5000 ELSE 1000 END + c_custkey)::DOUBLE AS expires_at FROM customer)
+    SELECT conv_id, real, fake, expires_at FROM e WHERE expires_at > 1200 AND conv_id <> 'c13'""")
+def vault_snapshots(spark, d):
+    """A vault in files: three batches, the last under a new index key, then what has expired and a conversation taken out."""
+    store = vault_store.VaultStore(spark, f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}", KEY[:32])
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.pmod("c_custkey", F.lit(97)).cast("string")).alias("conv_id"), F.lit("PERSON").alias("label"), F.col("c_name").alias("real"), F.col("c_custkey").alias("k"))
+
+    def batch(rows: DataFrame, letter: str, start: int, key: bytes) -> DataFrame:
+        fake, until = F.concat(F.lit(letter), F.col("k").cast("string")), (F.col("k") + start).cast("double")
+        return rows.select("conv_id", "label", "real", fake.alias("fake"), mask.index_of(key, F.col("label"), F.col("real")).alias("idx"), until.alias("expires_at"))
+
+    store.merge(batch(c, "f", 1000, KEY))
+    store.merge(batch(c.where("k % 3 = 0"), "g", 5000, KEY))
+    store.reindexed(KEY[::-1])
+    store.merge(batch(c.where("k % 5 = 0"), "h", 9000, KEY[::-1]))
+    store.purge(F.lit(1200), ["c13"])
+    return store.read().select("conv_id", "real", "fake", "expires_at")
+
+
 @query(f"SELECT doc_id, string_agg(text, chr(10) ORDER BY k) AS masked_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT doc_id, text FROM {spliced_sql('(SELECT doc_id, ' + chr(34) + 'start' + chr(34) + ', ' + chr(34) + 'end' + chr(34) + ', replacement FROM ' + EDITS_SQL + ')')})) GROUP BY 1")
 def masked_lines(spark, d):
     """Each document as a file whose lines are segments: masked in batches, edited line by line."""

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cloakwork.operators import audit, bank, detect, evaluate, mask, policy, scan, texts
+from cloakwork.operators import audit, bank, detect, evaluate, mask, policy, scan, texts, vault_store
 from cloakwork.operators.recognizers import SPANS
 from cloakwork.sources import requests
 
@@ -164,10 +164,6 @@ def test_policy_audit_and_vault(spark, tmp_path):
     out, events = mask.mapping(vault, asked, at)
     assert sorted((r.conv_id, r.version, r.changed, [tuple(e) for e in r.entries]) for r in out.collect()) == [("c", 3, False, []), ("c", 3, True, [("f2", "r2")]), ("d", 1, False, []), ("x", -1, True, [])]
     assert [tuple(r) for r in events.collect()] == [("demask", "c", 1)] and [tuple(r) for r in mask.items(vault, "d", at).collect()] == [("f3", "r3")] and mask.cleared(vault, ["c"]).count() == 1
-    folder = str(tmp_path / "vault")
-    mask.upsert(vault, folder)
-    mask.upsert(vault.where("conv_id = 'd'").withColumn("fake", F.lit("new")), folder)
-    assert {(r.conv_id, r.fake) for r in spark.read.parquet(folder).collect()} == {("c", "f1"), ("c", "f2"), ("d", "new")}
 
 
 @pytest.mark.parametrize("n", [0, 1, 7])
@@ -196,3 +192,42 @@ def test_rolled_hashes_tell_runs_apart():
     hashes = texts.rolled(text, 8)
     runs = [text[i : i + 8] for i in range(len(text) - 7)]
     assert len(hashes) == len(runs) and len(set(hashes.tolist())) == len(set(runs)) and texts.rolled("abc", 8).size == 0
+
+
+ENTRY = "conv_id string, label string, real string, fake string, idx string, expires_at double"
+
+
+def test_vault_store_keeps_batches_whole(spark, tmp_path, monkeypatch):
+    seal, folder = b"s" * 16, f"file://{tmp_path}/vault"
+    store = vault_store.VaultStore(spark, folder, seal, buckets=8)
+    held = lambda s=store: sorted((r.conv_id, r.real, r.fake, r.expires_at) for r in s.read().collect())
+    batch = lambda rows, key=b"k": spark.createDataFrame([(c, "EMAIL", r, f, None, float(e)) for c, r, f, e in rows], ENTRY).withColumn("idx", mask.index_of(key, F.col("label"), F.col("real")))
+    assert held() == [] and store.merge(batch([(f"c{i}", f"r{i}", f"f{i}", 100) for i in range(40)] + [("c1", "r1", "late", 200)])) == 1
+    first = held()
+    assert len(first) == 40 and ("c1", "r1", "late", 200.0) in first
+    data = [p for p in (tmp_path / "vault").rglob("*.parquet")]
+    assert len(data) <= 8 and not any(b"r17" in p.read_bytes() for p in data)  # buckets, not conversations; values are sealed
+    # a batch rewrites the buckets that it touches
+    before = store.manifest()[1]
+    store.merge(batch([("c1", "r1", "new", 300)]))
+    after = store.manifest()[1]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert held() == sorted([e for e in first if e[0] != "c1"] + [("c1", "r1", "new", 300.0)])
+    # a writer that dies before its manifest changes nothing
+    whole = held()
+    with monkeypatch.context() as m:
+        m.setattr(store, "_place", lambda *_: (_ for _ in ()).throw(OSError("died")))
+        with pytest.raises(OSError):
+            store.merge(batch([("c2", "r2", "torn", 300)]))
+    assert held() == whole and held(vault_store.VaultStore(spark, folder, seal)) == whole
+    # two writers of one version: the second one fails
+    with pytest.raises(RuntimeError):
+        store._place(store.manifest()[0], {})
+    # another index key: entries are found by it, and not doubled
+    store.reindexed(b"other")
+    store.merge(batch([("c3", "r3", "again", 400)], b"other"))
+    assert held() == sorted([e for e in whole if e[0] != "c3"] + [("c3", "r3", "again", 400.0)])
+    store.purge(F.lit(150.0), ["c3"])
+    assert held() == [("c1", "r1", "new", 300.0)]
+    store.clean()
+    assert held() == [("c1", "r1", "new", 300.0)] and len(list((tmp_path / "vault").glob("manifest-*.json"))) == 2
