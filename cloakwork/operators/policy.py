@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
@@ -170,6 +171,28 @@ def change_log(old: DataFrame, new: DataFrame) -> DataFrame:
     return contract_differences(old, new).withColumnsRenamed({"local_action": "old_action", "cloud_action": "new_action"})
 
 
+def history(changes: DataFrame, keys: tuple[str, ...] = ("org_id", "label"), at: str = "at", order: str = "change_id") -> DataFrame:
+    """The versions of each key's action (keys, version, action, valid_from, valid_to): changes (keys, action, at, an order of those of one
+    time) that change nothing make no version. Null times are left out; valid_to is null for the last version."""
+    timed = changes.where(F.col(at).isNotNull())
+    of_key = W.partitionBy(*keys).orderBy(at, order)
+    changed = timed.withColumn("_before", F.lag("action").over(of_key)).withColumn("_n", F.row_number().over(of_key))
+    made = changed.where((F.col("_n") == 1) | ~F.col("action").eqNullSafe(F.col("_before")))
+    by_time = W.partitionBy(*keys).orderBy("_n")
+    return made.select(*keys, F.row_number().over(by_time).alias("version"), "action", F.col(at).alias("valid_from"), F.lead(at).over(by_time).alias("valid_to"))
+
+
+def in_force(events: DataFrame, versions: DataFrame, keys: tuple[str, ...] = ("org_id", "label"), at: str = "ts") -> DataFrame:
+    """events with version and action of the policy in force at their time (0 and null before the first one, and at no time). An as-of join:
+    a key's versions, which people make, are one array, so an event meets one row however many versions there are, and rows of a key with
+    many events can be split."""
+    one = F.struct("valid_from", "version", "action")
+    by_key = versions.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("_versions"))
+    joined = events.join(by_key, list(keys), "left")
+    last = F.try_element_at(F.filter("_versions", lambda v: v["valid_from"] <= F.col(at)), F.lit(-1))
+    return joined.withColumn("_last", last).withColumns({"version": F.coalesce("_last.version", F.lit(0)), "action": F.col("_last.action")}).drop("_versions", "_last")
+
+
 def seeded(existing: DataFrame, spark: SparkSession, org: str) -> DataFrame:
     """An organisation's policies (org_id, label, action, is_default) with the missing defaults added; nothing is overwritten.
     An old SSN row becomes US_SSN with its action, and default rows of address labels go."""

@@ -503,6 +503,21 @@ def audit_events(spark, d) -> DataFrame:
     )
 
 
+@query(f"""
+    WITH e AS (SELECT id, org_id, label, event_type, ts, ['KEEP', 'REDACT', 'FAKER', 'BLOCK'][id % 4 + 1] AS action FROM {AUDIT_SQL}),
+    c AS (SELECT *, lag(action) OVER (PARTITION BY org_id, label ORDER BY ts, id) AS before FROM e WHERE event_type = 'mask'),
+    v AS (SELECT *, row_number() OVER (PARTITION BY org_id, label ORDER BY ts, id) AS version FROM c WHERE action IS DISTINCT FROM before)
+    SELECT e.id, coalesce(max(v.version), 0)::INT AS version, arg_max(v.action, v.version) AS action
+    FROM e LEFT JOIN v ON v.org_id = e.org_id AND v.label = e.label AND v.ts <= e.ts GROUP BY e.id""")
+def policy_in_force(spark, d):
+    """Each audit event with the version of its organisation's policy for its label at that time."""
+    e = audit_events(spark, d).select("id", "org_id", F.map_keys("entity_types")[0].alias("label"), "event_type", "ts")
+    word = F.element_at(F.array(*[F.lit(a) for a in ("KEEP", "REDACT", "FAKER", "BLOCK")]), (F.pmod("id", F.lit(4)) + 1).cast("int"))
+    changes = e.where("event_type = 'mask'").select("org_id", "label", word.alias("action"), F.col("ts").alias("at"), F.col("id").alias("change_id"))
+    return policy.in_force(e, policy.history(changes)).select("id", "version", "action")
+
+
+
 @query(f"SELECT event_type, count(*) AS n FROM {AUDIT_SQL} GROUP BY 1")
 def audit_by_event_type(spark, d):
     return audit.by_event_type(audit_events(spark, d))

@@ -231,3 +231,16 @@ def test_vault_store_keeps_batches_whole(spark, tmp_path, monkeypatch):
     assert held() == [("c1", "r1", "new", 300.0)]
     store.clean()
     assert held() == [("c1", "r1", "new", 300.0)] and len(list((tmp_path / "vault").glob("manifest-*.json"))) == 2
+
+
+def test_policy_versions_and_what_was_in_force(spark):
+    changes = spark.createDataFrame(
+        [("o", "EMAIL", "REDACT", 10, 1), ("o", "EMAIL", "REDACT", 20, 2), ("o", "EMAIL", "KEEP", 30, 4), ("o", "EMAIL", "BLOCK", 30, 5), ("o", "EMAIL", "KEEP", None, 6), ("p", "EMAIL", "FAKER", 5, 7)],
+        "org_id string, label string, action string, at int, change_id int",
+    )
+    versions = policy.history(changes)
+    assert sorted(map(tuple, versions.where("org_id = 'o'").collect())) == [("o", "EMAIL", 1, "REDACT", 10, 30), ("o", "EMAIL", 2, "KEEP", 30, 30), ("o", "EMAIL", 3, "BLOCK", 30, None)]
+    events = spark.createDataFrame([(i, o, "EMAIL", t) for i, (o, t) in enumerate([("o", 9), ("o", 10), ("o", 29), ("o", 30), ("o", None), ("p", 99), ("q", 99)])], "id int, org_id string, label string, ts int")
+    got = {r.id: (r.version, r.action) for r in policy.in_force(events, versions).collect()}
+    assert got == {0: (0, None), 1: (1, "REDACT"), 2: (1, "REDACT"), 3: (3, "BLOCK"), 4: (0, None), 5: (1, "FAKER"), 6: (0, None)}
+    assert policy.in_force(events, policy.history(changes.limit(0))).where("version > 0").count() == 0
