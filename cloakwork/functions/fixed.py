@@ -379,3 +379,15 @@ BANK = (
     ("INTERNAL_HOSTNAME", r"\b[a-z0-9]+(?:-[a-z0-9]+)*\.(?:internal|corp|local|priv|intranet)(?:\.[a-z]+)*\b|\b[a-z0-9]+-[a-z0-9]+-\d+\.[a-z]+\.[a-z]+\b", ""),
     ("INTERNAL_URL", r"\bhttps?://(?:[a-z0-9-]+\.)+(?:internal|corp|local|priv|intranet)(?::\d+)?(?:/[^\s]*)?\b|\bhttps?://[a-z0-9-]+\.internal\.[a-z]+(?::\d+)?(?:/[^\s]*)?\b", ""),
 )
+
+# ---- fixed values: what a model's own labels are called here; any other label stays as it is
+MODEL_LABELS = {
+    "PERSON": "PERSON", "FULL_NAME": "PERSON", "FIRST_NAME": "PERSON", "MIDDLE_NAME": "PERSON", "LAST_NAME": "PERSON", "DATE_OF_BIRTH": "DATE_OF_BIRTH",
+    "ADDRESS": "ADDRESS", "STREET_ADDRESS": "ADDRESS", "CITY": "LOCATION", "STATE_OR_REGION": "LOCATION", "POSTAL_CODE": "LOCATION", "COUNTRY": "LOCATION",
+    "USERNAME": "USERNAME", "ORGANIZATION": "ORGANIZATION", "PASSWORD": "PASSWORD", "SECRET": "SECRET", "GOVERNMENT_ID": "GOVERNMENT_ID",
+    "NATIONAL_ID_NUMBER": "GOVERNMENT_ID", "PASSPORT_NUMBER": "PASSPORT_NUMBER", "DRIVERS_LICENSE_NUMBER": "DRIVERS_LICENSE_NUMBER",
+    "SENSITIVE_DATE": "SENSITIVE_DATE", "DATE": "DATE", "EMAIL": "EMAIL", "PHONE_NUMBER": "PHONE_NUMBER", "IP_ADDRESS": "IP_ADDRESS", "API_KEY": "API_KEY",
+    "ACCESS_TOKEN": "AUTH_TOKEN", "BANK_ACCOUNT": "BANK_ACCOUNT_NUMBER", "IBAN": "IBAN", "CARD_NUMBER": "CREDIT_CARD", "CARD_EXPIRY": "CARD_EXPIRY",
+    "CARD_CVV": "CVV", "ROUTING_NUMBER": "ABA_ROUTING", "TAX_ID": "TAX_ID", "RECOVERY_CODE": "RECOVERY_CODE", "ACCOUNT_ID": "ACCOUNT_ID",
+    "SENSITIVE_ACCOUNT_ID": "ACCOUNT_ID", "DOCUMENT_DATE": "SENSITIVE_DATE", "EXPIRATION_DATE": "SENSITIVE_DATE", "TRANSACTION_DATE": "SENSITIVE_DATE",
+}

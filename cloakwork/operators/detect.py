@@ -6,6 +6,7 @@ the job. Everything but found_everywhere() stays in the row.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -13,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions import fixed
 from cloakwork.functions.positions import let
 from cloakwork.operators.recognizers import SPAN, SPANS, Recognizer
-from cloakwork.operators.tables import exploded
+from cloakwork.operators.tables import exploded, free_name
 from cloakwork.operators.texts import occurrences, windows
 
 OK, FAILED, TIMEOUT, UNAVAILABLE, INVALID = "ok", "failed", "timeout", "unavailable", "invalid_output"
@@ -121,6 +123,12 @@ def found_everywhere(found: DataFrame, texts: DataFrame, key: str, text: str = "
     return exploded(rows, occurrences(F.col(text), F.col("entity")), "p", key, "label", "score").select(key, "p.start", "p.end", "label", "score")
 
 
+def mapped_label(label: Column, names: dict[str, str] = fixed.MODEL_LABELS) -> Column:
+    """The canonical label of a model's own, in any case and without blanks around it; one that isn't in the table stays, in upper case."""
+    up = F.upper(F.trim(label))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), up), up)
+
+
 def canonical_of(label: Column, mapping: dict[str, str]) -> Column:
     """The canonical label of a model's own: the first entry that equals it, or of "prefix*" starts it, in any case; else null."""
     low = F.lower(F.trim(label))
@@ -130,43 +138,92 @@ def canonical_of(label: Column, mapping: dict[str, str]) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """A model behind the scan. load() is called once a worker and gives a function of (texts, labels) that returns, for each text, a reply
-    as entities_of() reads it, or None where it failed or ran out of time. Without load the model is unavailable, which coverage() tells."""
+    """A model behind the scan. load() is called once a task and gives a function of (texts, labels) that returns, for each text, a reply
+    as entities_of() reads it, or None where it failed. Without load the model is unavailable, which coverage() tells; where load raises,
+    its rows are unavailable too. budget: the seconds that a text may take; without one all windows of a batch are asked at once."""
 
     name: str
     labels: tuple[str, ...]
     load: Callable[[], Callable[[list[str], list[str]], list[str | None]]] | None = None
     size: int = 6000
     overlap: int = 200
+    budget: Budget | None = None
+    clock: Callable[[], float] = time.perf_counter
+
+
+def replies_of(predict: Callable, labels: list[str], pieces: list[str]) -> list[str | None]:
+    """A reply for each piece; one that raises fails its pieces, never the job."""
+    try:
+        told = list(predict(pieces, labels))
+    except Exception:  # whatever a plugged-in model raises is a status of these rows
+        told = []
+    return told if len(told) == len(pieces) else [None] * len(pieces)
+
 
+def replies_in_time(predict: Callable, labels: list[str], pieces: list[str], seconds: float, clock: Callable[[], float]) -> tuple[list[str | None], list[float]]:
+    """Replies and milliseconds of the pieces that were begun before the time was over: the clock is read between pieces."""
+    begun, told, took = clock(), [], []
+    for piece in pieces:
+        at = clock()
+        if at - begun > seconds:
+            break
+        told += replies_of(predict, labels, [piece])
+        took.append((clock() - at) * 1000)
+    return told, took
 
-def model_report(docs: DataFrame, model: Model, text_col: str = "text", critical: bool = False, column: str = "report") -> DataFrame:
-    """docs with the model's report: its spans of all windows of the text, in the text's offsets. A window that fails makes the text's status
-    'failed', but never stops the job; what other windows gave isn't kept then."""
+
+def model_report(docs: DataFrame, model: Model, text_col: str = "text", critical: bool = False, column: str = "report", is_file: bool = False) -> DataFrame:
+    """docs with the model's report, its spans of all windows of the text in the text's offsets, and `<column>_windows`: array<struct<processed,
+    ms>>, a window each, for audit.scan_summary().
+
+    A window that fails makes the text's status 'failed' without spans. A text that runs out of time is a 'timeout' which keeps the spans of
+    the windows that were done. Neither stops the job. Null texts are 'failed', empty ones 'ok'.
+    """
     text = F.col(text_col)
     if model.load is None:
         nothing = F.lit(None).cast(SPANS)
-        return docs.withColumn(column, report(model.name, list(model.labels), critical, nothing, text, available=F.lit(False)))
-    load, labels = model.load, list(model.labels)
-
-    @F.pandas_udf("array<string>")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predict = load()
-        for some in batches:
+        none = F.array().cast("array<struct<processed:boolean,ms:double>>")
+        return docs.withColumns({column: report(model.name, list(model.labels), critical, nothing, text, available=F.lit(False)), f"{column}_windows": none})
+    load, labels, clock, bounded = model.load, list(model.labels), model.clock, model.budget is not None
+
+    @F.pandas_udf("struct<replies:array<string>,ms:array<double>,error:string>")
+    def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        try:
+            predict, error = load(), None
+        except Exception as e:  # whatever a model's load raises is a status of these rows
+            predict, error = None, f"load_failed:{type(e).__name__}"
+        for some, seconds in batches:
             asked = [list(w) if w is not None else [] for w in some]
-            flat = [x for w in asked for x in w]
-            told = iter(predict(flat, labels) if flat else [])
-            yield pd.Series([[next(told) for _ in w] for w in asked])
+            if predict is None:
+                answers = [([], [])] * len(asked)
+            elif bounded:
+                answers = [replies_in_time(predict, labels, w, s, clock) for w, s in zip(asked, seconds)]
+            else:
+                flat, at = [x for w in asked for x in w], clock()
+                told = iter(replies_of(predict, labels, flat) if flat else [])
+                mean = (clock() - at) * 1000 / max(1, len(flat))
+                answers = [([next(told) for _ in w], [mean] * len(w)) for w in asked]
+            yield pd.DataFrame({"replies": [r for r, _ in answers], "ms": [m for _, m in answers], "error": pd.Series([error] * len(asked), dtype="object")})
 
     cut = windows(text, model.size, model.overlap)
     pieces = lambda ws: F.transform(ws, lambda w: F.substring(text, w["start"] + 1, w["end"] - w["start"]))
-    windowed = docs.withColumn("_w", cut).withColumn("_r", ask(pieces(F.col("_w"))))
+    seconds = F.coalesce(model.budget.seconds(F.length(text), is_file), F.lit(0.0)) if bounded else F.lit(0.0)
+    named = {x: free_name(docs, x) for x in ("windows", "asked", "located", "full")}
+    ws, answer = F.col(named["windows"]), F.col(named["asked"])
+    windowed = docs.withColumn(named["windows"], cut).withColumn(named["asked"], ask.asNondeterministic()(pieces(ws), seconds.cast("double")))
 
     def moved(r: Column, i: Column) -> Column:
-        w = F.get("_w", i)
+        w = F.get(ws, i)
         found = entities_of(r, F.substring(text, w["start"] + 1, w["end"] - w["start"]))["spans"]
         return F.transform(found, lambda x: x.withField("start", x["start"] + w["start"]).withField("end", x["end"] + w["start"]))
 
-    failed = F.exists("_r", lambda r: r.isNull())
-    spans = F.when(~F.coalesce(failed, F.lit(True)), F.array_distinct(F.flatten(F.transform("_r", moved))))
-    return windowed.withColumn(column, report(model.name, labels, critical, spans, text)).drop("_w", "_r")
+    replies, done = answer["replies"], F.size(answer["replies"])
+    failed = F.exists(replies, lambda r: r.isNull()) | text.isNull()
+    spans = F.when(~F.coalesce(failed, F.lit(True)), F.array_distinct(F.flatten(F.transform(replies, moved))))
+    # columns of their own: what is named twice in one expression is computed twice
+    located = windowed.withColumn(named["located"], spans)
+    located = located.withColumn(named["full"], report(model.name, labels, critical, F.col(named["located"]), text, available=answer["error"].isNull()))
+    full = F.col(named["full"])
+    kept = F.when(answer["error"].isNull() & (done < F.size(ws)) & (full["status"] == OK), full.withField("status", F.lit(TIMEOUT))).otherwise(full)
+    told = F.transform(ws, lambda w, i: F.struct((i < done).alias("processed"), F.get(answer["ms"], i).alias("ms")))
+    return located.withColumns({column: kept, f"{column}_windows": told}).drop(*named.values())

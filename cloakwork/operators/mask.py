@@ -67,6 +67,16 @@ def wanted(merged: DataFrame, conv: str, text: str, policy: Policy) -> DataFrame
     return one.where(held).select("conv_id", F.col("m.label").alias("label"), real.alias("real"), F.col("m.action").alias("action"))
 
 
+def proposed(values: DataFrame, provider: Callable[[Column, Column, Column], Column] = surrogate) -> DataFrame:
+    """values (conv_id, label, real, action, idx) with base, the fake that each would have, and more, which takes more of its digest: for a
+    second value of the same base."""
+    h = F.sha2(F.concat_ws("\u0001", "conv_id", "idx"), 256)
+    plain = lambda n: F.concat(F.lit("[[REDACTED:"), F.col("label"), F.lit(":"), F.substring(h, 1, n), F.lit("]]"))
+    base = F.when(F.col("action") == RANK["FAKER"], provider(F.col("label"), F.col("real"), h)).otherwise(plain(8))
+    more = F.when(F.col("base").startswith("[["), plain(16)).otherwise(F.concat(F.col("base"), F.lit(" "), F.substring(h, 9, 8)))
+    return values.withColumn("base", base).withColumn("more", more)
+
+
 @quickly
 def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: DataFrame | None = None, ttl: int = TTL_SECONDS, cap: int = MAX_PER_CONVERSATION, provider: Callable[[Column, Column, Column], Column] = surrogate) -> DataFrame:
     """The vault with the values added: conv_id, label, real, fake, idx, expires_at (epoch seconds). Values that a live entry
@@ -78,21 +88,13 @@ def assign(values: DataFrame, key: bytes, now: Column | None = None, vault: Data
     if vault is not None:
         held = live(vault, now).select("conv_id", "label", "real", "fake", "idx", "expires_at")
         v = v.join(held.select("conv_id", "idx"), ["conv_id", "idx"], "left_anti")
-    h = F.sha2(F.concat_ws("\u0001", "conv_id", "idx"), 256)
-    base = F.when(F.col("action") == RANK["FAKER"], provider(F.col("label"), F.col("real"), h)).otherwise(
-        F.concat(F.lit("[[REDACTED:"), F.col("label"), F.lit(":"), F.substring(h, 1, 8), F.lit("]]"))
-    )
-    v = v.withColumns({"base": base, "_h": h})
+    v = proposed(v, provider)
     taken = F.row_number().over(W.partitionBy("conv_id", "base").orderBy("idx"))
     used = v.withColumn("_n", taken)
     if held is not None:
         old = held.select("conv_id", F.col("fake").alias("base"), F.lit(1).alias("_old"))
         used = used.join(old, ["conv_id", "base"], "left").withColumn("_n", F.col("_n") + F.coalesce("_old", F.lit(0)))
-    # a second value of the same candidate takes more of its digest
-    more = F.when(F.col("base").startswith("[["), F.concat(F.lit("[[REDACTED:"), F.col("label"), F.lit(":"), F.substring("_h", 1, 16), F.lit("]]"))).otherwise(
-        F.concat(F.col("base"), F.lit(" "), F.substring("_h", 9, 8))
-    )
-    fake = F.when((F.col("_n") == 1) & (F.col("base") != F.col("real")), F.col("base")).otherwise(more)
+    fake = F.when((F.col("_n") == 1) & (F.col("base") != F.col("real")), F.col("base")).otherwise(F.col("more"))
     fresh = used.withColumn("fake", fake)
     # a full conversation takes no more entries; none that it holds is lost
     room = F.lit(cap)

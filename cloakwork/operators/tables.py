@@ -44,3 +44,11 @@ def exploded(df: DataFrame, array: str | Column, name: str, *keep: str | Column)
     """A row for each element that isn't null. explode() makes a filter on the array's size, pushed down as far as it goes:
     a computed array is computed twice then. explode_outer() makes none."""
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

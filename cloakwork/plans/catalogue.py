@@ -7,6 +7,8 @@ it against brute force.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -772,12 +774,15 @@ def text_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", V.text_key(F.col("text")).alias("key"))
 
 
-@query(
-    r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS s, CASE WHEN 6000 >= length(text) THEN length(text) ELSE CASE WHEN regexp_matches(substr(text, 3001, 3000), '\s') THEN 3000 + length(regexp_extract(substr(text, 3001, 3000), '(?s)^.*\s')) ELSE 6000 END END AS e
-        FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, text, b, CASE WHEN b + 6000 >= length(text) THEN length(text) ELSE b + CASE WHEN regexp_matches(substr(text, b + 3001, 3000), '\s') THEN 3000 + length(regexp_extract(substr(text, b + 3001, 3000), '(?s)^.*\s')) ELSE 6000 END END
-        FROM (SELECT doc_id, text, greatest(e - 200, s + 1) AS b FROM w WHERE e < length(text)))
-    SELECT doc_id, s::INT AS "start", e::INT AS "end" FROM w"""
-)
+def windows_sql(size: int, overlap: int, source: str = "documents") -> str:
+    """SQL for (doc_id, text, s, e) of texts.windows()."""
+    half = size // 2
+    end = lambda at: rf"""CASE WHEN {at} + {size} >= length(text) THEN length(text) ELSE {at} + CASE WHEN regexp_matches(substr(text, {at} + {half + 1}, {size - half}), '\s') THEN {half} + length(regexp_extract(substr(text, {at} + {half + 1}, {size - half}), '(?s)^.*\s')) ELSE {size} END END"""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS s, {end(0)} AS e FROM {source} WHERE length(text) > 0
+        UNION ALL SELECT doc_id, text, b, {end("b")} FROM (SELECT doc_id, text, greatest(e - {overlap}, s + 1) AS b FROM w WHERE e < length(text)))"""
+
+
+@query(f'{windows_sql(6000, 200)} SELECT doc_id, s::INT AS "start", e::INT AS "end" FROM w')
 def text_windows(spark, d):
     return documents(spark, d, "doc_id", "text").select("doc_id", F.inline(texts.windows(F.col("text"))))
 
@@ -1099,6 +1104,44 @@ def missing_model_coverage(spark, d):
     return docs.groupBy("lang").agg(F.count("*").alias("texts"), F.count_if(detect.coverage(F.array("report"))["degraded"]).alias("degraded"))
 
 
+class Metered:
+    """A stand-in for a model that names whole numbers of four digits and more. Its clock is the characters it has read, so that what is done
+    in time is the same in every run."""
+
+    def __init__(self):
+        self.read = 0
+
+    def load(self):
+        return self.told
+
+    def clock(self) -> int:
+        return self.read
+
+    def told(self, pieces: list[str], labels: list[str]) -> list[str]:
+        self.read += sum(map(len, pieces))
+        return [json.dumps({"entities": {"account id": sorted(set(re.findall(r"(?<!\w)[0-9]{4,}(?!\w)", p)))}}) for p in pieces]
+
+
+LATE_BUDGET = detect.Budget(1500.0, 250.0, 4000.0)
+
+
+@query(
+    f"""{windows_sql(600, 60)}, o AS (SELECT doc_id, s, e, text, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i, coalesce(sum(e - s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+    t AS (SELECT *, before <= least({LATE_BUDGET.base} + n * {LATE_BUDGET.per_kchar} / 1000, {LATE_BUDGET.prompt_cap}) AS done, doc_id * 1000000 + i AS wid, substr(text, s + 1, e - s) AS piece FROM o),
+    f AS (SELECT wid // 1000000 AS doc_id, count(DISTINCT (t.s + x."start")) AS n_spans FROM t JOIN {sql_spans(chr(92) + "b[0-9]{4,}" + chr(92) + "b", "t", "wid", "piece")} x ON x.k = wid WHERE done GROUP BY 1),
+    c AS (SELECT doc_id, count(*) FILTER (done)::INT AS windows_done, count(*) FILTER (NOT done)::INT AS windows_skipped FROM t GROUP BY 1)
+    SELECT d.doc_id, CASE WHEN windows_skipped > 0 THEN 'timeout' ELSE 'ok' END AS status, coalesce(windows_done, 0) AS windows_done, coalesce(windows_skipped, 0) AS windows_skipped, coalesce(n_spans, 0)::INT AS n_spans
+    FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)"""
+)
+def partial_model_scan(spark, d):
+    """A model with a budget: the windows done in time and what they hold; the others are counted."""
+    meter = Metered()
+    model = detect.Model("numbers", ("ACCOUNT_ID",), meter.load, 600, 60, LATE_BUDGET, meter.clock)
+    out = detect.model_report(documents(spark, d, "doc_id", "text"), model)
+    done = F.size(F.filter("report_windows", lambda w: w["processed"]))
+    return out.select("doc_id", "report.status", done.alias("windows_done"), (F.size("report_windows") - done).alias("windows_skipped"), F.size(F.array_distinct(F.transform("report.spans", lambda s: s["start"]))).alias("n_spans"))
+
+
 @query("SELECT version, count(*) AS endpoints, count(*) FILTER (stale) AS stale FROM (SELECT arg_max(version, ts) AS version, max(ts) < TIMESTAMP '" + NOW + f"' - INTERVAL 300 SECONDS AS stale FROM {AUDIT_SQL} GROUP BY endpoint) GROUP BY 1")
 def fleet_versions(spark, d):
     return audit.fleet_versions(audit_events(spark, d), F.lit(NOW).cast("timestamp_ntz"))

@@ -130,6 +130,80 @@ def vault_stream(entries: DataFrame, ttl_seconds: int = 24 * 3600) -> DataFrame:
     return with_states(entries, "conv_id", VaultState(ttl_seconds * 1000), "conv_id string, idx string, fake string, reused boolean", "ProcessingTime")
 
 
+class TwoWayVault(StatefulProcessor):
+    """A conversation's vault both ways: value to fake and fake to value, how many entries expire when, and the time of the last row."""
+
+    def __init__(self, ttl: int, cap: int):
+        self.ttl, self.cap = ttl, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fakes = handle.getMapState("fakes", "idx string", "fake string, expires_at double")
+        self.owners = handle.getMapState("owners", "fake string", "idx string")
+        self.due = handle.getMapState("due", "expires_at double", "idx array<string>")
+        self.count = handle.getValueState("count", "n long, timer long")
+
+    def drop_expired(self, now: float) -> int:
+        """Frees the values and fakes whose time is over; how many. Each entry is dropped once, by the list of its own time."""
+        over = [at for (at,) in self.due.keys() if at <= now]
+        n = 0
+        for at in over:
+            for idx in self.due.getValue((at,))[0]:
+                fake = self.fakes.getValue((idx,))[0]
+                self.fakes.removeKey((idx,))
+                self.owners.removeKey((fake,))
+                n += 1
+            self.due.removeKey((at,))
+        return n
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, timer = self.count.get() if self.count.exists() else (0, 0)
+        seen: set[str] = set()  # bases that this batch has taken or passed over
+        for pdf in rows:
+            out = []
+            for t, idx, real, base, more in pdf.sort_values(["t", "idx"])[["t", "idx", "real", "base", "more"]].itertuples(index=False):
+                n -= self.drop_expired(t)
+                if self.fakes.containsKey((idx,)):
+                    out.append((key[0], idx, self.fakes.getValue((idx,))[0], True))
+                    continue
+                taken = base in seen or base == real or self.owners.containsKey((base,))
+                seen.add(base)
+                fake = more if taken else base
+                if n >= self.cap or self.owners.containsKey((fake,)):
+                    out.append((key[0], idx, None, False))
+                    continue
+                at = float(t + self.ttl)
+                self.fakes.updateValue((idx,), (fake, at))
+                self.owners.updateValue((fake,), (idx,))
+                self.due.updateValue((at,), ((list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []) + [idx],))
+                n += 1
+                out.append((key[0], idx, fake, False))
+            yield pd.DataFrame(out, columns=["conv_id", "idx", "fake", "reused"])
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + 2 * self.ttl * 1000
+        self.handle.registerTimer(timer)
+        self.count.update((n, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.fakes, self.owners, self.due, self.count):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def two_way_vault(proposals: DataFrame, ttl: int = 24 * 3600, cap: int = 100_000) -> DataFrame:
+    """conv_id, idx, fake, reused of a stream of mask.proposed() values with t, the epoch second of each.
+
+    A live value keeps its fake; no fake of a conversation is used twice, and both are free again once the entry has expired, at t + ttl by the
+    rows' own times. A conversation of `cap` live entries takes no more: fake is null, so the value is redacted for good. Rows of one time are
+    taken by idx, so that a batch gives what mask.assign() gives for it. A conversation without rows for twice the ttl is forgotten.
+    """
+    return with_states(proposals, "conv_id", TwoWayVault(ttl, cap), "conv_id string, idx string, fake string, reused boolean", "ProcessingTime")
+
+
 def endpoint_stream(heartbeats: DataFrame, late: str = LATE) -> DataFrame:
     """endpoint, last_seen and version of a heartbeat stream, for complete or update output."""
     return heartbeats.withWatermark("ts", late).groupBy("endpoint").agg(F.max("ts").alias("last_seen"), F.max_by("version", "ts").alias("version"))
@@ -142,6 +216,12 @@ def with_current_policy(entities: DataFrame, policy: DataFrame, version: int | N
     return entities.join(newer, "label", "left")
 
 
+def polled_hours(events: DataFrame, late: str = LATE) -> DataFrame:
+    """t, event_type, events, entities of each hour, for complete or update output: a poll of the time series."""
+    by = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+    return by.agg(F.count("*").alias("events"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("entities")).select(F.col("w.start").alias("t"), "event_type", "events", "entities")
+
+
 def polled_stats(events: DataFrame) -> DataFrame:
     """Events and entities by type from the start of the stream, for complete output: each poll is the whole table."""
     return events.groupBy("event_type").agg(F.count("*").alias("events"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("entities"))

@@ -2,12 +2,14 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.operators import audit, bank, detect, evaluate, mask, policy, scan, texts, vault_store
 from cloakwork.operators.recognizers import SPANS
+from cloakwork.operators.tables import exploded
 from cloakwork.sources import requests
 
 GOLD = "array<struct<start:int,end:int,label:string,tier:int>>"
@@ -73,6 +75,42 @@ def test_models_plug_in(spark):
     assert [(s.start, s.end, s.label) for s in bare] == [(3, 7, "ORG")]
 
 
+def test_a_slow_model_keeps_what_it_found_in_time(spark):
+    docs = spark.createDataFrame([(1, "Ann met Bob. " * 40), (2, "Ann"), (3, None), (4, "Ann fails " * 30), (5, "")], "id int, text string")
+
+    def load():
+        def predict(windows, labels):
+            if any("fails" in w for w in windows):
+                raise ValueError("no")
+            time.sleep(0.05)
+            return [json.dumps({"entities": {"person": ["Ann"]}}) for _ in windows]
+
+        return predict
+
+    slow = detect.Model("m", ("PERSON",), load, size=100, overlap=20, budget=detect.Budget(0.12, 0.0, 10.0))
+    got = detect.model_report(docs, slow).cache()
+    rows = {r.id: r for r in got.collect()}
+    one_, done = rows[1].report, [w.processed for w in rows[1].report_windows]
+    assert one_.status == "timeout" and 1 <= sum(done) <= 4 < len(done) and done == sorted(done, reverse=True)
+    assert {s.start for s in one_.spans} == {i for i in range(0, 520, 13) if i + 3 <= max(s.end for s in one_.spans)} and one_.spans
+    assert [rows[i].report.status for i in (2, 3, 4, 5)] == ["ok", "failed", "failed", "ok"] and rows[4].report.spans == []
+    told = audit.scan_summary(exploded(got.where("id in (1, 2)"), "report_windows", "w").select("w.*")).first()
+    assert told.windows_total == len(done) + 1 and told.processed == sum(done) + 1 and told.skipped == len(done) - sum(done) and told.infer_max_ms >= 50
+    covers = got.where("id = 1").select(detect.coverage(F.array("report")).alias("c")).first().c
+    assert covers.degraded and covers.uncovered == ["PERSON"]
+
+    def broken():
+        raise OSError("missing")
+
+    got.unpersist()
+    assert {r.status for r in detect.model_report(docs.where("id < 3"), detect.Model("m", ("PERSON",), broken)).select("report.status").collect()} == {"unavailable"}
+
+
+def test_labels_of_a_model(spark):
+    at = lambda x: one(spark, detect.mapped_label(F.lit(x)))
+    assert at(" first_name ") == "PERSON" and at("card_cvv") == "CVV" and at("New_Kind") == "NEW_KIND" and at(None) is None
+
+
 def test_occurrences(spark):
     at = lambda text, value: [(x.start, x.end) for x in one(spark, texts.occurrences(F.lit(text), F.lit(value))) or []]
     assert at("Ann, Annex ann", "Ann") == [(0, 3)] and at("ann x", "Ann") == [(0, 3)] and at("Ann  Lee\nann lee", "Ann Lee") == [(9, 16)] and at("Ann\nLee", "Ann Lee") == [(0, 7)]

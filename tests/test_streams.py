@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cloakwork.operators import mask
+from cloakwork.operators.policy import RANK
 from cloakwork.streaming import streams
 
 
@@ -58,6 +60,8 @@ def test_pushed_batches_and_polls(spark, source, tmp_path):
     assert sorted(map(sorted, sent.values())) == [[("fail_closed", 2), ("fail_closed", 2), ("mask", 2)], [("mask", 4)]]
     got = run(spark, streams.polled_stats(source(EVENT, batches)), "complete", tmp_path, "polls")
     assert {r.event_type: (r.events, r.entities) for r in got} == {"mask": (3, 6), "fail_closed": (2, 4)}
+    got = run(spark, streams.polled_hours(source(EVENT, batches)), "complete", tmp_path, "hours")
+    assert {(r.t.hour, r.event_type): r.events for r in got} == {(0, "mask"): 3, (0, "fail_closed"): 2}
 
 
 def test_rate_limits_like_the_replay(spark, source, tmp_path):
@@ -75,6 +79,45 @@ def test_first_fake_wins(spark, source, tmp_path):
     assert {tuple(r) for r in got} == {("c", "i1", "f1", False), ("c", "i2", "f2", False), ("c", "i1", "f1", True), ("d", "i1", "f3", False)}
 
 
+PROPOSAL = "conv_id string, t double, label string, real string, idx string, base string, more string"
+
+
+def proposals(spark, rows, pool):
+    """Rows (conv, t, real) with candidates from a pool so small that they meet."""
+    few = lambda label, real, h: F.concat(F.lit("f"), F.pmod(F.conv(F.substring(h, 1, 6), 16, 10).cast("long"), F.lit(pool)).cast("string"))
+    v = spark.createDataFrame([(c, float(t), "PERSON", r, 2) for c, t, r in rows], "conv_id string, t double, label string, real string, action int")
+    v = v.withColumn("action", F.lit(RANK["FAKER"])).withColumn("idx", mask.index_of(b"k", F.col("label"), F.col("real")))
+    return v, mask.proposed(v, few).select("conv_id", "t", "label", "real", "idx", "base", "more"), few
+
+
+def test_two_way_vault_like_assign(spark, source, tmp_path):
+    rng = random.Random(7)
+    batches = [[(rng.choice("cd"), t, f"n{rng.randrange(30)}") for _ in range(14)] for t in (100, 104, 108, 113, 119)]
+    want, vault = set(), None
+    made = []
+    for rows in batches:
+        v, p, few = proposals(spark, rows, 9)
+        made.append(p.collect())
+        now = F.lit(rows[0][1]).cast("long")
+        vault = spark.createDataFrame(mask.assign(v, b"k", now, vault, ttl=10, cap=12, provider=few).collect(), "conv_id string, label string, real string, fake string, idx string, expires_at double")
+        held = {(r.conv_id, r.idx): r.fake for r in vault.collect()}
+        want |= {(c, rows[0][1], i, held.get((c, i))) for c, i in {(r.conv_id, r.idx) for r in made[-1]}}
+    got = run(spark, streams.two_way_vault(source(PROPOSAL, made), 10, 12), "append", tmp_path, "two_way")
+    by_batch = {(c, t, i): f for c, t, i, f in want}
+    asked = [(r.conv_id, int(r.t), r.idx) for rows in made for r in rows]
+    assert sorted((r.conv_id, r.idx, str(r.fake)) for r in got) == sorted((c, i, str(by_batch[c, t, i])) for c, t, i in asked)
+    assert any(r.fake is None for r in got) and any(r.fake and " " in r.fake for r in got) and any(r.reused for r in got)
+
+
+def test_expired_slots_are_free_both_ways(spark, source, tmp_path):
+    row = lambda t, real, base: ("c", float(t), "PERSON", real, f"i-{real}", base, f"{base} more")
+    batches = [[row(0, "Ann", "Zed")], [row(4, "Bob", "Yan"), row(5, "Dan", "Zed")], [row(11, "Ann", "Other"), row(12, "Cat", "Zed"), row(13, "Bob", "New")]]
+    got = run(spark, streams.two_way_vault(source(PROPOSAL, batches), 10, 100), "append", tmp_path, "slots")
+    assert [(r.idx, r.fake, r.reused) for r in got] == [
+        ("i-Ann", "Zed", False), ("i-Bob", "Yan", False), ("i-Dan", "Zed more", False), ("i-Ann", "Other", False), ("i-Cat", "Zed", False), ("i-Bob", "Yan", True),
+    ]
+
+
 def test_heartbeats_and_policy(spark, source, tmp_path):
     beats = lambda *xs: [r[:] for r in spark.createDataFrame([(e, f"2024-01-01 00:{m:02}:00", v) for e, m, v in xs], "endpoint string, ts string, version string").withColumn("ts", F.to_timestamp("ts")).collect()]
     got = run(spark, streams.endpoint_stream(source("endpoint string, ts timestamp, version string", [beats(("a", 1, "v1"), ("b", 2, "v1")), beats(("a", 5, "v2"))])), "complete", tmp_path, "beats")
