@@ -30,12 +30,36 @@ def recent(events: DataFrame, org: str, now: Column, hours: int = 24, event_type
     """An organisation's newest events of the last hours."""
     if not (1 <= hours <= 720 and 1 <= limit <= 1000):
         raise ValueError("hours 1 to 720, limit 1 to 1000")
-    out = events.where((F.col("org_id") == org) & (F.col("ts") >= now - F.expr(f"interval {hours} hours")))
+    out = of_tenant(events, org).where(F.col("ts") >= now - F.expr(f"interval {hours} hours"))
     if event_type:
         out = out.where(F.col("event_type") == event_type)
     return out.orderBy(F.desc("ts"), "id").limit(limit)
 
 
+def of_tenant(table: DataFrame, org: str) -> DataFrame:
+    """An organisation's own rows: what every query of a tenant starts from. Rows without an organisation are nobody's."""
+    return table.where(F.col("org_id") == org)
+
+
+def endpoint_list(known: DataFrame, org: str, active_only: bool = False) -> DataFrame:
+    """An organisation's endpoints (org_id, endpoint, last_seen, is_active), those seen last first, never seen ones at the end."""
+    own = of_tenant(known, org)
+    return (own.where("is_active") if active_only else own).orderBy(F.desc_nulls_last("last_seen"), "endpoint")
+
+
+def newest(table: DataFrame, org: str, limit: int = 100, id_col: str = "id") -> DataFrame:
+    """An organisation's newest rows of a log, by id: policy changes, actions of administrators, the six newest events of an overview."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit 1 to 1000")
+    return of_tenant(table, org).orderBy(F.desc(id_col)).limit(limit)
+
+
+def by_severity(policies: DataFrame) -> DataFrame:
+    """Policies with the severest action first: block, redact, faker, keep; an unknown one counts as faker."""
+    order = F.create_map(*[x for i, a in enumerate(("block", "redact", "faker", "keep")) for x in (F.lit(a), F.lit(i))])
+    return policies.orderBy(F.coalesce(F.element_at(order, F.lower("action")), F.lit(2)), "label")
+
+
 def tenths(whole: Column) -> Column:
     """The mean of whole numbers to one place, halves up, computed in integers."""
     total, n = F.sum(whole.cast("long")), F.count(whole)

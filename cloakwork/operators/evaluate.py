@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions.fixed import LABEL_CLASSES
 from cloakwork.functions.positions import let
 from cloakwork.functions.validators import text_key, wilson
+from cloakwork.operators.tables import free_name
 
 
 def meets(a: Column, b: Column) -> Column:
@@ -50,6 +51,47 @@ def greedy_matches(preds: Column, gold: Column, need_label: bool) -> Column:
     return F.aggregate(preds, start, step, lambda acc: acc["tp"])
 
 
+BLOCK = 1 << 16
+
+
+def islands(spans: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """spans (key, start, end, ...) with island: spans of a key that meet, directly or by others between them, have the same one.
+
+    Spans lie in blocks of a text by their start, so that a text with most of the spans is many tasks' work: what a block has to know of those
+    before it, how far they reach and where the last island began, is one row a block. Spans that only share a start may share an island.
+    """
+    own = {x: free_name(spans, x) for x in ("block", "reach", "before", "begin", "first")}
+    b, reach, before, begin, first = own.values()
+    cut = spans.withColumn(b, F.floor(F.col("start") / block).cast("long"))
+    inside = W.partitionBy(key, b).orderBy("start", "end")
+    earlier = W.partitionBy(key).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    reaches = cut.groupBy(key, b).agg(F.max("end").alias(reach)).withColumn(before, F.max(reach).over(earlier)).drop(reach)
+    led = F.greatest(F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col(before))
+    marked = cut.join(reaches, [key, b]).withColumn(begin, F.when(led.isNull() | (F.col("start") >= led), F.col("start")))
+    begins = marked.groupBy(key, b).agg(F.max(begin).alias(first)).withColumn(first, F.max(first).over(earlier))
+    # spans of one start come in any order here, so each takes what any of them begins
+    so_far = W.partitionBy(key, b).orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow)
+    at = F.coalesce(F.max(begin).over(so_far), F.col(first))
+    return marked.join(begins, [key, b]).withColumn("island", at).drop(*own.values())
+
+
+def totals_of_spans(gold: DataFrame, preds: DataFrame, key: str) -> DataFrame:
+    """totals() of spans as rows: gold (key, start, end, label) and preds (key, start, end, label, pos: their order). A prediction can only
+    take gold of its own island, so each island is matched by itself, whatever the number of spans of a text."""
+    columns = [F.col(key), *[F.col(c).cast("int").alias(c) for c in ("start", "end")], F.col("label")]
+    both = gold.select(*columns, F.lit(None).cast("long").alias("pos"), F.lit(False).alias("pred")).unionByName(preds.select(*columns, F.col("pos").cast("long").alias("pos"), F.lit(True).alias("pred")))
+    span = F.struct("start", "end", "label")
+    of = lambda pred, order: F.transform(F.array_sort(F.collect_list(F.when(F.col("pred") == pred, F.struct(*order, span.alias("s"))))), lambda x: x["s"])
+    one = islands(both, key).groupBy(key, "island").agg(of(True, ["pos"]).alias("p"), of(False, ["start", "end", "label"]).alias("g"))
+    p, g = F.array_distinct("p"), F.array_distinct("g")
+    return totals(
+        one.select(
+            F.array_intersect(p, g).alias("strict_hits"), F.array_except(p, g).alias("strict_extra"), F.array_except(g, p).alias("strict_missed"), F.size("p").alias("n_preds"), F.size("g").alias("n_gold"),
+            greedy_matches(F.col("p"), F.col("g"), True).alias("overlap_tp"), greedy_matches(F.col("p"), F.col("g"), False).alias("agnostic_tp"),
+        )
+    )
+
+
 def covered(gold: Column, preds: Column) -> Column:
     """Characters of a gold span that predictions cover; overlapping predictions count once."""
     cut = F.filter(preds, lambda p: meets(p, gold))

@@ -205,6 +205,35 @@ def filled(template: Column, values: Column) -> Column:
     return let(found, build)
 
 
+def alias_table(weights: list[float]) -> tuple[list[float], list[int]]:
+    """For each of n choices the share of its 1/n that it keeps, and the choice that has the rest."""
+    if not weights or min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError("weights must not be negative, and one must be above zero")
+    n, total = len(weights), sum(weights)
+    left = [w * n / total for w in weights]
+    other = list(range(n))
+    kept = [1.0] * n
+    poor, rich = [i for i in range(n) if left[i] < 1], [i for i in range(n) if left[i] >= 1]
+    while poor and rich:
+        i, j = poor.pop(), rich[-1]
+        kept[i], other[i] = left[i], j
+        left[j] -= 1 - left[i]
+        if left[j] < 1:
+            poor.append(rich.pop())
+    return kept, other
+
+
+def weighted_choice(key: Column, weights: dict[str, float], seed: str = "") -> Column:
+    """One of the choices with a probability by its weight, drawn by a hash of seed and key: a row has the same one in every run and place."""
+    names = list(weights)
+    kept, other = alias_table(list(weights.values()))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    part = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("long")
+    slot = F.pmod(part(1), F.lit(len(names))).cast("int")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
+    return F.when(part(9) < F.floor(pick(kept, slot) * 4294967296.0), pick(names, slot)).otherwise(pick([names[i] for i in other], slot))
+
+
 def entity_chunks(words: Column, most: int = 8, size: int = 6) -> Column:
     """An entity of more than `most` words as even pieces of at most `size` words; a shorter one as it is. words: its words."""
     n = F.size(words)
@@ -284,13 +313,27 @@ def reidentification(vectors: DataFrame, queries: DataFrame, k: int = 3, salts:
     so a label with most of the rows fills no single task; every task keeps the k
     best of each query before anything is shuffled again. Neither side is broadcast.
     """
+    # a rank with a bound is cut in each task before the shuffle
+    return ranks(similarities(vectors, queries, salts)).where(F.col("rank") <= k).select("query_id", "label", "vec_id", "similarity", "rank")
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, salts: int = 16) -> DataFrame:
+    """query_id, label, vec_id, similarity (cosine) of a stated set of queries and all other vectors of their label."""
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     v = vectors.select("vec_id", "label", "embedding", norm("embedding").alias("_n"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("_salt"))
     q = queries.select("query_id", "label", "q", norm("q").alias("_qn"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    pairs = v.join(q, ["label", "_salt"]).where("vec_id <> query_id").select("query_id", "label", "vec_id", (dot / (F.col("_n") * F.col("_qn"))).alias("similarity"))
-    # a rank with a bound is cut in each task before the shuffle
-    return ranks(pairs).where(F.col("rank") <= k).select("query_id", "label", "vec_id", "similarity", "rank")
+    return v.join(q, ["label", "_salt"]).where("vec_id <> query_id").select("query_id", "label", "vec_id", (dot / (F.col("_n") * F.col("_qn"))).alias("similarity"))
+
+
+def reid_summary(found: DataFrame) -> DataFrame:
+    """label, n, survival_rate, top1, top3, mean_rank of re-identified entities (label, survived, rank from 1), and the same over all as
+    'overall'. Nothing for no rows."""
+    each = found.select(F.explode(F.array("label", F.lit("overall"))).alias("label"), "survived", "rank")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return each.groupBy("label").agg(
+        F.count("*").alias("n"), share(F.col("survived")).alias("survival_rate"), share(F.col("rank") == 1).alias("top1"), share(F.col("rank") <= 3).alias("top3"), F.avg("rank").alias("mean_rank")
+    )
 
 
 def ranks(vectors: DataFrame, w_key: str = "query_id") -> DataFrame:

@@ -668,6 +668,15 @@ def prf_totals(spark, d):
     return evaluate.totals(evaluate.scored(_cases(spark, d)))
 
 
+@query(ORACLES["prf_totals"])
+def prf_of_span_rows(spark, d):
+    """prf_totals with gold and predictions as tables of spans: matched by islands of spans that meet."""
+    m = exploded(documents(spark, d, "doc_id", "text"), matches(F.col("text"), NUMBER), "m", "doc_id")
+    n = F.length("m.value")
+    rows = lambda keep, border: m.where(keep).select("doc_id", "m.start", "m.end", F.when(n >= border, "LONG").otherwise("SHORT").alias("label"), F.col("m.start").alias("pos"))
+    return evaluate.totals_of_spans(rows(n >= 4, 13), rows((n >= 3) & (n != 5), 16), "doc_id")
+
+
 LEAK_SQL = f"""(SELECT g.k, g.label, g."end" - g."start" AS chars, CASE WHEN p.k IS NULL THEN 0 ELSE g."end" - g."start" END AS hit FROM {GOLD_SQL} g LEFT JOIN {PRED_SQL} p ON g.k = p.k AND g."start" = p."start")"""
 LEAK_AGG = "sum(chars)::BIGINT AS gold_chars, sum(hit)::BIGINT AS covered_chars, count(*) AS spans, count(*) FILTER (hit = 0) AS fully_missed, count(*) FILTER (hit > 0 AND hit < chars) AS partial, round_even(sum(hit) / sum(chars)::DOUBLE, 4) AS char_recall"
 
@@ -774,6 +783,20 @@ def text_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", V.text_key(F.col("text")).alias("key"))
 
 
+WEIGHTS = {"person": 14, "address": 8, "secret": 5, "lookalike": 6, "plain": 3}
+_KEPT, _OTHER = texts.alias_table(list(WEIGHTS.values()))
+_PART = "('0x' || substr(md5('made:' || c_custkey), {}, 8))::BIGINT"
+
+
+@query(
+    f"""SELECT c_custkey, CASE WHEN b < floor(({_KEPT}::DOUBLE[])[i] * 4294967296::DOUBLE) THEN {list(WEIGHTS)}[i] ELSE {[list(WEIGHTS)[j] for j in _OTHER]}[i] END AS template
+    FROM (SELECT c_custkey, ({_PART.format(1)} % {len(WEIGHTS)} + 1)::INT AS i, {_PART.format(9)} AS b FROM customer)"""
+)
+def weighted_templates(spark, d):
+    """A template for each customer, drawn by weight: the same one in every run."""
+    return table(spark, d, "customer").select("c_custkey", texts.weighted_choice(F.col("c_custkey"), WEIGHTS, "made").alias("template"))
+
+
 def windows_sql(size: int, overlap: int, source: str = "documents") -> str:
     """SQL for (doc_id, text, s, e) of texts.windows()."""
     half = size // 2
@@ -846,6 +869,23 @@ def reid_summary(spark, d):
     return best.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("rank") == 1) & (F.col("similarity") >= 0.5)).alias("top1"), F.round(F.avg("similarity"), 6).alias("mean"))
 
 
+@query(
+    f"""WITH f AS (SELECT label, arg_min(similarity, rank) >= 0.3 AS survived, min(rank) FILTER (vec_id % 20 = 1) AS own FROM {RANKED_SQL} GROUP BY label, query_id),
+    e AS (SELECT unnest([label::VARCHAR, 'overall']) AS label, survived, own AS rank FROM f WHERE own IS NOT NULL)
+    SELECT label, count(*) AS n, avg(survived::INT)::DOUBLE AS survival_rate, avg((rank = 1)::INT)::DOUBLE AS top1, avg((rank <= 3)::INT)::DOUBLE AS top3, avg(rank)::DOUBLE AS mean_rank FROM e GROUP BY 1"""
+)
+def reid_survival(spark, d):
+    """For each query the rank of the first vector of its own kind (id % 20 = 1) among all of its label, and whether anything is near at all."""
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    own = F.min(F.when(F.col("vec_id") % 20 == 1, F.struct(F.negate("similarity"), F.col("vec_id"))))
+    near = texts.similarities(v, q)
+    best = near.groupBy("query_id", "label").agg(F.max("similarity").alias("top"), own.alias("own")).where("own is not null")
+    ahead = near.join(best, ["query_id", "label"]).where(F.struct(F.negate("similarity"), F.col("vec_id")) <= F.col("own"))
+    found = ahead.groupBy("query_id", "label", "top").agg(F.count("*").alias("rank"))
+    return texts.reid_summary(found.select(F.col("label").cast("string").alias("label"), (F.col("top") >= 0.3).alias("survived"), "rank"))
+
+
 # ---------------------------------------------------------------- detectors, classes and callers
 NAMES = [("short", "PERSON", 0.9, ["Orre", "Eriner", "Eren"]), ("long", "ORGANIZATION", 0.25, ["Erachtz", "Enststung", "Enmentai"])]
 

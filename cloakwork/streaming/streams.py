@@ -101,48 +101,26 @@ def replay_limits(calls: DataFrame, limit: int = 100, seconds: int = 600) -> Dat
     return ordered.mapInPandas(run, "key string, t double, allowed boolean")
 
 
-class VaultState(StatefulProcessor):
-    """First writer wins: of each (conversation, label, value) the fake that came first, for ttl_ms."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fakes = handle.getMapState("fakes", "idx string", "fake string", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            out = []
-            for idx, fake in zip(pdf["idx"], pdf["fake"]):
-                if not self.fakes.containsKey((idx,)):
-                    self.fakes.updateValue((idx,), (fake,))
-                    out.append((key[0], idx, fake, False))
-                else:
-                    out.append((key[0], idx, self.fakes.getValue((idx,))[0], True))
-            yield pd.DataFrame(out, columns=["conv_id", "idx", "fake", "reused"])
-
-    def close(self) -> None:
-        pass
-
-
-def vault_stream(entries: DataFrame, ttl_seconds: int = 24 * 3600) -> DataFrame:
-    """conv_id, idx, fake, reused of a stream of proposed entries (conv_id, idx, fake)."""
-    return with_states(entries, "conv_id", VaultState(ttl_seconds * 1000), "conv_id string, idx string, fake string, reused boolean", "ProcessingTime")
-
-
 class TwoWayVault(StatefulProcessor):
-    """A conversation's vault both ways: value to fake and fake to value, how many entries expire when, and the time of the last row."""
+    """A conversation's vault both ways: value to fake and fake to value, how many entries it has, and the timer at which all have expired."""
 
     def __init__(self, ttl: int, cap: int):
         self.ttl, self.cap = ttl, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fakes = handle.getMapState("fakes", "idx string", "fake string, expires_at double")
+        self.fakes = handle.getMapState("fakes", "idx string", "fake string")
         self.owners = handle.getMapState("owners", "fake string", "idx string")
         self.due = handle.getMapState("due", "expires_at double", "idx array<string>")
         self.count = handle.getValueState("count", "n long, timer long")
 
+    def note_due(self, t: float | None, fresh: list[str]) -> None:
+        """The values that came at t expire together: one list, written once a batch."""
+        if fresh:
+            at = float(t + self.ttl)
+            held = list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
+            self.due.updateValue((at,), (held + fresh,))
+
     def drop_expired(self, now: float) -> int:
         """Frees the values and fakes whose time is over; how many. Each entry is dropped once, by the list of its own time."""
         over = [at for (at,) in self.due.keys() if at <= now]
@@ -158,11 +136,15 @@ class TwoWayVault(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, timer = self.count.get() if self.count.exists() else (0, 0)
+        before = timer
         seen: set[str] = set()  # bases that this batch has taken or passed over
         for pdf in rows:
-            out = []
+            out, last, fresh = [], None, []
             for t, idx, real, base, more in pdf.sort_values(["t", "idx"])[["t", "idx", "real", "base", "more"]].itertuples(index=False):
-                n -= self.drop_expired(t)
+                if t != last:
+                    self.note_due(last, fresh)
+                    fresh = []
+                    n, last, timer = n - self.drop_expired(t), t, max(timer, int((t + self.ttl) * 1000))
                 if self.fakes.containsKey((idx,)):
                     out.append((key[0], idx, self.fakes.getValue((idx,))[0], True))
                     continue
@@ -172,17 +154,17 @@ class TwoWayVault(StatefulProcessor):
                 if n >= self.cap or self.owners.containsKey((fake,)):
                     out.append((key[0], idx, None, False))
                     continue
-                at = float(t + self.ttl)
-                self.fakes.updateValue((idx,), (fake, at))
+                self.fakes.updateValue((idx,), (fake,))
                 self.owners.updateValue((fake,), (idx,))
-                self.due.updateValue((at,), ((list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []) + [idx],))
+                fresh.append(idx)
                 n += 1
                 out.append((key[0], idx, fake, False))
+            self.note_due(last, fresh)
             yield pd.DataFrame(out, columns=["conv_id", "idx", "fake", "reused"])
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = timerValues.getCurrentProcessingTimeInMs() + 2 * self.ttl * 1000
-        self.handle.registerTimer(timer)
+        if timer != before:
+            if before:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(timer)
         self.count.update((n, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -194,14 +176,16 @@ class TwoWayVault(StatefulProcessor):
         pass
 
 
-def two_way_vault(proposals: DataFrame, ttl: int = 24 * 3600, cap: int = 100_000) -> DataFrame:
-    """conv_id, idx, fake, reused of a stream of mask.proposed() values with t, the epoch second of each.
+def two_way_vault(proposals: DataFrame, ttl: int = 24 * 3600, cap: int = 100_000, late: str = LATE) -> DataFrame:
+    """conv_id, idx, fake, reused of a stream of mask.proposed() values with ts, the time of each.
 
-    A live value keeps its fake; no fake of a conversation is used twice, and both are free again once the entry has expired, at t + ttl by the
-    rows' own times. A conversation of `cap` live entries takes no more: fake is null, so the value is redacted for good. Rows of one time are
-    taken by idx, so that a batch gives what mask.assign() gives for it. A conversation without rows for twice the ttl is forgotten.
+    A live value keeps its fake: the first writer wins. No fake of a conversation is used twice, and both are free again once the entry has
+    expired, ttl seconds after it by the rows' own times. A conversation of `cap` live entries takes no more: fake is null, so the value is
+    redacted for good. Rows of one time are taken by idx, so that a batch gives what mask.assign() gives for it. A conversation is forgotten
+    once the watermark says that all its entries have expired. Rows later than the watermark have no answer, so their values stay redacted.
     """
-    return with_states(proposals, "conv_id", TwoWayVault(ttl, cap), "conv_id string, idx string, fake string, reused boolean", "ProcessingTime")
+    timed = proposals.withWatermark("ts", late).withColumn("t", F.unix_micros("ts") / 1e6)
+    return with_states(timed, "conv_id", TwoWayVault(ttl, cap), "conv_id string, idx string, fake string, reused boolean", "EventTime")
 
 
 def endpoint_stream(heartbeats: DataFrame, late: str = LATE) -> DataFrame:

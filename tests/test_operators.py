@@ -106,6 +106,66 @@ def test_a_slow_model_keeps_what_it_found_in_time(spark):
     assert {r.status for r in detect.model_report(docs.where("id < 3"), detect.Model("m", ("PERSON",), broken)).select("report.status").collect()} == {"unavailable"}
 
 
+def test_span_rows_match_like_arrays(spark):
+    rng = random.Random(11)
+    gold, preds = [], []
+    for k in range(40):
+        some = lambda n: [(a := rng.randrange(60), a + rng.randrange(1, 9), rng.choice("AB")) for _ in range(n)]
+        gold += [(k, *x) for x in some(rng.randrange(6))]
+        preds += [(k, *x, i) for i, x in enumerate(some(rng.randrange(6)))]
+    g = spark.createDataFrame(gold, "k int, start int, end int, label string")
+    p = spark.createDataFrame(preds, "k int, start int, end int, label string, pos int")
+    rows = [(str(k), "", [(*x[1:], 1) for x in sorted(gold) if x[0] == k], [(*x[1:4], 0.5) for x in preds if x[0] == k]) for k in range(40)]
+    cases = spark.createDataFrame(rows, f"id string, text string, gold {GOLD}, preds {PREDS}").withColumn("tags", F.array(F.lit("t")))
+    want = sorted(map(tuple, evaluate.totals(evaluate.scored(cases)).collect()))
+    assert sorted(map(tuple, evaluate.totals_of_spans(g, p, "k").collect())) == want
+    # islands are what a sweep over the sorted spans gives, whatever the blocks
+    for block in (4, 7, 1 << 16):
+        found = {}
+        for r in evaluate.islands(g, "k", block).collect():
+            found.setdefault((r.k, r.island), []).append((r.start, r.end))
+        for k in range(40):
+            reach, n = -1, 0
+            for _, a, b, _ in sorted(x for x in gold if x[0] == k):
+                n, reach = n + (a >= reach), max(reach, b)
+            assert n == sum(key[0] == k for key in found)
+    assert evaluate.totals_of_spans(g.limit(0), p.limit(0), "k").count() == 0
+
+
+def test_a_hundred_thousand_spans_in_one_text(spark):
+    one_text = spark.range(100_000).select(F.lit(1).alias("k"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 6).cast("int").alias("end"), F.lit("A").alias("label"), F.col("id").alias("pos"))
+    begun = time.time()
+    got = {r["mode"]: (r["tp"], r["fp"], r["fn"]) for r in evaluate.totals_of_spans(one_text.drop("pos"), one_text.withColumn("start", F.col("start") + (F.col("pos") % 2).cast("int")), "k").collect()}
+    assert got == {"strict": (50_000, 50_000, 50_000), "overlap": (100_000, 0, 0), "type_agnostic": (100_000, 0, 0)} and time.time() - begun < 60
+
+
+def test_weighted_choices(spark):
+    for weights in ([1.0], [0.0, 5.0], [14, 6, 6, 8, 3, 0.5]):
+        kept, other = texts.alias_table(weights)
+        shares = [sum(k for i, k in enumerate(kept) if i == j) + sum(1 - k for i, k in enumerate(kept) if other[i] == j) for j in range(len(weights))]
+        assert shares == pytest.approx([w * len(weights) / sum(weights) for w in weights])
+    with pytest.raises(ValueError):
+        texts.alias_table([0.0])
+    drawn = spark.range(20_000).select(texts.weighted_choice(F.col("id"), {"a": 1, "b": 3, "c": 0}, "s").alias("c")).groupBy("c").count().collect()
+    assert {r.c for r in drawn} == {"a", "b"} and abs(next(r["count"] for r in drawn if r.c == "a") - 5000) < 300
+
+
+def test_lists_of_a_tenant(spark):
+    seen = spark.createDataFrame([("o", "a", 5, True), ("o", "b", None, True), ("o", "c", 9, False), ("p", "d", 7, True)], "org_id string, endpoint string, last_seen int, is_active boolean")
+    assert [r.endpoint for r in audit.endpoint_list(seen, "o").collect()] == ["c", "a", "b"]
+    assert [r.endpoint for r in audit.endpoint_list(seen, "o", True).collect()] == ["a", "b"]
+    log = spark.createDataFrame([(i, "op"[i % 2]) for i in range(9)], "id int, org_id string")
+    assert [r.id for r in audit.newest(log, "o", 3).collect()] == [8, 6, 4]
+    with pytest.raises(ValueError):
+        audit.newest(log, "o", 0)
+    rules = spark.createDataFrame([("w", "keep"), ("x", "redact"), ("y", "BLOCK"), ("z", "other"), ("v", "faker")], "label string, action string")
+    assert [r.label for r in audit.by_severity(rules).collect()] == ["y", "x", "v", "z", "w"]
+    found = spark.createDataFrame([("P", True, 1), ("P", False, 4), ("Q", True, 3)], "label string, survived boolean, rank int")
+    assert {r.label: (r.n, r.survival_rate, r.top1, r.top3, r.mean_rank) for r in texts.reid_summary(found).where("label != 'Q'").collect()} == {
+        "P": (2, 0.5, 0.5, 0.5, 2.5), "overall": (3, pytest.approx(2 / 3), pytest.approx(1 / 3), pytest.approx(2 / 3), pytest.approx(8 / 3)),
+    }
+
+
 def test_labels_of_a_model(spark):
     at = lambda x: one(spark, detect.mapped_label(F.lit(x)))
     assert at(" first_name ") == "PERSON" and at("card_cvv") == "CVV" and at("New_Kind") == "NEW_KIND" and at(None) is None
