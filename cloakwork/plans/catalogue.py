@@ -1128,6 +1128,22 @@ def egyptian_id_spans(spark, d):
     return scan.explode_spans(found, ["doc_id"]).select("doc_id", "start", "end", "value")
 
 
+_PLANTED_ID = "(2 + event_id % 2)::VARCHAR || lpad((event_id % 100)::VARCHAR, 2, '0') || lpad((event_id % 14)::VARCHAR, 2, '0') || lpad((event_id % 33)::VARCHAR, 2, '0') || lpad((event_id % 10000000)::VARCHAR, 7, '0')"
+
+
+@query(
+    f"""SELECT event_id, (length(event_id::VARCHAR) + 8)::INT AS "start", (length(event_id::VARCHAR) + 22)::INT AS "end", value FROM (SELECT event_id, {_PLANTED_ID} AS value FROM events)
+    WHERE try_cast((CASE value[1] WHEN '2' THEN '19' ELSE '20' END) || value[2:3] || '-' || value[4:5] || '-' || value[6:7] AS DATE) IS NOT NULL"""
+)
+def planted_egyptian_ids(spark, d):
+    """The rule of the archived bank on a number a row of events: those whose date the calendar has, and no other."""
+    e = F.col("event_id")
+    digits = lambda n, width: F.lpad((e % n).cast("string"), width, "0")
+    text = F.concat(e.cast("string"), F.lit(". He is "), (e % 2 + 2).cast("string"), digits(100, 2), digits(14, 2), digits(33, 2), digits(10_000_000, 7), F.lit(", said they"))
+    found = scan.scan(spread(table(spark, d, "events").select("event_id", text.alias("text"))), recognizers=bank.bank_rules(frozenset({"EGYPTIAN_NATIONAL_ID"})))
+    return scan.explode_spans(found, ["event_id"]).select("event_id", "start", "end", "value")
+
+
 @query(f"""SELECT event_id, (length({planted.N}::VARCHAR) + 6)::INT AS "start", 'TICKET_ID' AS label FROM events UNION ALL SELECT event_id, (length({planted.N}::VARCHAR) + 18)::INT, 'IP_ADDRESS' FROM events""")
 def bank_spans(spark, d):
     """Ticket numbers and hardware addresses by the archived bank."""
