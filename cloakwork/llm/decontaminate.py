@@ -48,7 +48,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import discard, staged, words
+from cloakwork.llm.shared import discard, giving_back, no_rows, staged, words
 
 K1, B = 1.2, 0.75
 #: A passage is two strides.
@@ -258,11 +258,12 @@ def contamination(docs: DataFrame, items: DataFrame, most: int = INDEX_BYTES, pa
     """doc_id, item_id, score, question_overlap, answer_overlap, kind ('item', or 'question' if the answer is missing)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    out = spark.createDataFrame([], SCHEMA)
+    out = no_rows(spark, SCHEMA)
     indexes = index_parts(items, most)
     while some := list(islice(indexes, parts)):
         sent = [spark.sparkContext.broadcast(x) for x in some]
 
+        @giving_back
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 found = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"]) for part in sent for x in part.value.check(t)]

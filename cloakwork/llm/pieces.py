@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.llm.shared import giving_back
+
 MARK = "▁"
 #: Marked words, and pairs of pieces, that a worker remembers: bounds its memory.
 MEMO, PAIRS = 200_000, 300_000
@@ -146,15 +148,17 @@ class Pieces:
             last = word
         return found
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, text: str | None) -> list[str]:
         return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.cut(t or "") for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.words)
+        # a word of many texts is held once, not once a place: the memory that words leave behind lies among those that are remembered
+        once: dict[str, str] = {}
+        cut = [list(map(once.setdefault, ws, ws)) for ws in map(self.cut, texts)]
+        new = set(once).difference(self.words)
         if len(self.words) + len(new) > MEMO:
             self.words.clear()
-            new = set(chain.from_iterable(cut))
+            new = set(once)
         collecting = gc.isenabled()
         gc.disable()  # many small tuples and no cycles
         try:
@@ -201,6 +205,7 @@ def loaded(model: str) -> Pieces:
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """One row per input row: doc_id, n_pieces, pieces (array of ids), decodes (the pieces decode to the text: true but for texts with marks of their own)."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for b in batches:

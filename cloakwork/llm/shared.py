@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,21 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and at its end the memory that is free in the worker goes back to the machine: the same worker serves later
+    stages, and would keep what the largest of them took, text by text between what is remembered."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: a cut of lineage that outlives lost executors."""
     spark = df.sparkSession
@@ -37,6 +56,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table. createDataFrame([]) is read by Python workers of another kind, which executors hold beside those of the tasks."""
+    return spark.range(0).select(F.lit(None).cast(f"struct<{schema}>").alias("r")).select("r.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import components, staged
+from cloakwork.llm.shared import components, giving_back, staged
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 3, 64
 #: Fingerprints of a tree, and how often a crowded shard is dealt by more bits.
@@ -62,6 +62,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)

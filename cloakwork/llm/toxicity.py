@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import free_name, staged, words
+from cloakwork.llm.shared import free_name, giving_back, staged, words
 
 MAX_EXAMPLES, BLOCK, K = 4000, 64, 15
 #: Least chi-square (one degree of freedom) and examples of a term that goes with the label, and what other terms weigh.
@@ -45,6 +45,8 @@ MIN_CHI2, MIN_EXAMPLES, OTHER = 25.0, 3, 0.1
 #: A term that one example in DENSE has is common.
 DENSE = 4
 PRIOR_WEIGHT = 0.5
+#: Rows of terms that a worker gathers before it hands them on: a batch of texts has hundreds of times as many terms.
+TERM_ROWS = 20_000
 
 
 class ToxicityIndex:
@@ -160,32 +162,41 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[
     return float(w[0]), float(w[1])
 
 
+@giving_back
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["doc_id", "label", "term", "tf"]
     for pdf in batches:
-        out = [(i, y, t, n) for i, y, text in zip(pdf["doc_id"], pdf["label"], pdf["text"]) for t, n in (Counter(words(text)) or {"": 0}).items()]
-        yield pd.DataFrame(out, columns=["doc_id", "label", "term", "tf"])
+        out: list[tuple[int, int, str, int]] = []
+        for i, y, text in zip(pdf["doc_id"], pdf["label"], pdf["text"]):
+            out += [(i, y, t, n) for t, n in (Counter(words(text)) or {"": 0}).items()]
+            if len(out) >= TERM_ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
 
 def document_frequency(docs: DataFrame, terms: pa.Array) -> tuple[int, np.ndarray]:
-    """Documents in all, and how many have each of the given terms (those of the examples): one row a task and term is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms.to_pylist()))
+    """Documents in all, and how many have each of the given terms (those of the examples): one row a task and term is shuffled, a term as its number."""
+    size = len(terms)
+    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms.to_pylist())})
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        number, seen = sent.value.get, np.zeros(size + 1, dtype=np.int64)  # the last counts the documents
         for pdf in batches:
+            seen[size] += len(pdf)
             for text in pdf["text"]:
-                seen[""] += 1
-                seen.update(sent.value.intersection(words(text)))
-        yield pd.DataFrame(list(seen.items()), columns=["term", "n"])
+                found = set(map(number, words(text)))
+                found.discard(None)
+                seen[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": at, "n": seen[at]})
 
-    sums = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("text").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     sent.destroy()  # workers are used again, and would keep it
-    at = pc.index_in(sums["term"].combine_chunks(), value_set=terms)
-    n = sums["n"].to_numpy()
-    out = np.zeros(len(terms), dtype=np.int64)
-    known = at.is_valid().to_numpy(zero_copy_only=False)
-    out[at.drop_null().to_numpy()] = n[known]
-    return int(n[~known].sum()), out
+    out = np.zeros(size + 1, dtype=np.int64)
+    out[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    return int(out[size]), out[:size]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, other: float = OTHER) -> ToxicityIndex:
@@ -240,6 +251,7 @@ def scorer(sent: Broadcast) -> Callable[[Column], Column]:
     """A column function text -> struct(score, evidence) of a broadcast index: evidence holds the ids of the examples that voted."""
 
     @F.pandas_udf("struct<score: double, evidence: array<long>>")
+    @giving_back
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = [sent.value.score(t) for t in texts]

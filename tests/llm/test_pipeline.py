@@ -1,11 +1,15 @@
 """The pipeline on the smallest tables against a plain Python account of its stages."""
 
+import re
+import tracemalloc
+from pathlib import Path
+
 import pandas as pd
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from cloakwork.llm import decontaminate, simhash, toxicity
+from cloakwork.llm import decontaminate, pieces, shared, simhash, toxicity
 from tests.conftest import SMALL
 
 
@@ -73,3 +77,48 @@ def test_stages_judge_rows_without_an_id_and_rows_that_share_one(spark):
     assert clean == {rows[i] for i in (1, 3, 4, 5, 6)}
     once = {(r.doc_id, r.text) for r in cp.near_dedup_stage(spark, docs, SMALL).collect()}
     assert once == {rows[i] for i in (0, 1, 2, 3, 4, 6)}
+
+
+def test_a_word_of_many_texts_is_held_once():
+    coder = pieces.loaded(P.path("piece_bpe_32k.model"))
+    texts = [" ".join(f"word{i % 50}" for i in range(1000))] * 500
+    coder.encode_batch(texts[:1])
+    tracemalloc.start()
+    found = coder.encode_batch(texts)
+    peak = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in found)
+    tracemalloc.stop()
+    assert peak < 20_000_000  # half a million words, of some 80 bytes each
+
+
+def test_terms_of_a_batch_come_in_frames_of_bounded_size():
+    text = " ".join(f"term{i}" for i in range(1500))
+    batch = pd.DataFrame({"doc_id": range(200), "label": 1, "text": [text] * 199 + [""]})
+    sizes = [len(x) for x in toxicity._terms(iter([batch]))]
+    assert sum(sizes) == 199 * 1500 + 1 and max(sizes) < toxicity.TERM_ROWS + 1500
+
+
+def test_decontamination_starts_no_workers_of_another_kind(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("A text of some words.").alias("text"))
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    for some in (items, items.where("false")):
+        out = decontaminate.contamination(docs, some)
+        assert "ExistingRDD" not in out._jdf.queryExecution().toString()
+        assert out.collect() == [] and out.dtypes[:2] == [("doc_id", "bigint"), ("item_id", "bigint")]
+
+
+def test_a_worker_gives_back_what_a_task_took():
+    def anonymous():
+        return int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+
+    @shared.giving_back
+    def run(batches):
+        for n in batches:
+            taken = [bytes(1000) for _ in range(n)]
+            yield taken[-1]  # stays above all that goes
+
+    before = anonymous()
+    kept = []
+    for x in run(iter([150_000])):
+        kept.append(x)
+        assert anonymous() - before > 120
+    assert anonymous() - before < 60 and kept
