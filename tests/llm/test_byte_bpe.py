@@ -35,6 +35,46 @@ def test_ids_equal_the_library(file, apart, monkeypatch):
     assert own.ranks.longest_wait < 32
 
 
+def test_pieces_are_read_abreast(monkeypatch):
+    """Distinct words, which no memory of words helps with, cost a step for each place in the words and not one for each byte."""
+    rng, lib = random.Random(9), library(P.path(FILES[0]))
+    own = byte_bpe.Encoder(byte_bpe.ranks_of(P.path(FILES[0])), P.PATTERN, True)
+    words = sorted({"".join(rng.choices(["in", "er", "the", "ä", "ouß", "漢", "q"], k=rng.randrange(2, 9))) for _ in range(20_000)})
+    alone, compiled = [], []
+    read_on, move = byte_bpe.Ranks.read_on, byte_bpe.Ranks.move
+    monkeypatch.setattr(byte_bpe.Ranks, "read_on", lambda self, state, data: alone.append(len(data)) or read_on(self, state, data))
+    monkeypatch.setattr(byte_bpe.Ranks, "move", lambda self, state, byte: compiled.append(byte) or move(self, state, byte))
+    text = " ".join(words)
+    assert [list(x) for x in own.encode([text])] == [lib.encode_ordinary(text)]
+    assert sum(alone) < 500 and len(compiled) < len(text.encode()) / 2
+    # states that are dropped while pieces are read, down to one piece at a time; and pieces of which few or none are read abreast
+    for states, few in ((300, 1), (40, 1), (8, 2), (300, 16), (byte_bpe.STATES, 1 << 20)):
+        monkeypatch.setattr(byte_bpe, "STATES", states)
+        monkeypatch.setattr(byte_bpe, "FEW", few)
+        own = byte_bpe.Encoder(byte_bpe.ranks_of(P.path(FILES[0])), P.PATTERN, True)
+        some = [" ".join(words[k::40]) for k in range(3)]
+        assert [list(x) for x in own.encode(some)] == [lib.encode_ordinary(t) for t in some]
+
+
+def test_parts_of_all_kinds_are_split_as_one_text():
+    own, rng = byte_bpe.Encoder(byte_bpe.ranks_of(P.path(FILES[0])), P.PATTERN, True), random.Random(10)
+    lib = library(P.path(FILES[0]))
+    texts = ["".join(rng.choices([" ", "\n", "\t", "\x1c", "\u3000", "a", "it's", "1", "é", "漢", "."], k=rng.randrange(12))) for _ in range(4000)]
+    assert [list(x) for x in own.encode(texts)] == [lib.encode_ordinary(t) for t in texts]
+
+
+def test_texts_decoded_together_equal_pythons_decoder():
+    rank = byte_bpe.ranks_of(P.path(FILES[0]))
+    own, rng = byte_bpe.Decoder({r: t for t, r in rank.items()}), random.Random(11)
+    for _ in range(60):
+        raw = [bytes(rng.choices([0x61, 0x80, 0xC3, 0xA9, 0xE6, 0xBC, 0xA2, 0xEF, 0xBF, 0xBD], k=rng.randrange(6))) for _ in range(rng.randrange(30))]
+        raw += rng.choices(["é漢\ufffd".encode(), b"", "a漢".encode(), "漢".encode()[:2], "漢".encode()[2:]], k=8)
+        starts = np.cumsum([0, *map(len, raw)])
+        data, text = own.columns(np.array([rank[bytes([b])] for b in b"".join(raw)], np.int32), starts)
+        assert data.to_pylist() == raw and text.to_pylist() == [r.decode("utf-8", "replace") for r in raw]
+    assert [c.to_pylist() for c in own.columns(np.zeros(0, np.int32), np.zeros(3, np.int64))] == [[b"", b""], ["", ""]]
+
+
 def test_neighbours_equal_merging_by_hand():
     own, rng = byte_bpe.Ranks(byte_bpe.ranks_of(P.path(FILES[0]))), random.Random(5)
     tokens = [t for t in own.ends if t != byte_bpe.NONE]
