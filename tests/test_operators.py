@@ -342,3 +342,33 @@ def test_policy_versions_and_what_was_in_force(spark):
     got = {r.id: (r.version, r.action) for r in policy.in_force(events, versions).collect()}
     assert got == {0: (0, None), 1: (1, "REDACT"), 2: (1, "REDACT"), 3: (3, "BLOCK"), 4: (0, None), 5: (1, "FAKER"), 6: (0, None)}
     assert policy.in_force(events, policy.history(changes.limit(0))).where("version > 0").count() == 0
+
+
+def test_policy_in_force_is_that_of_long_histories(spark, capsys):
+    """Versions and events over many blocks of time against brute force: events far after the last version, at its very time, of no key and
+    of no time; and none reads its key's whole history."""
+    import bisect
+    import datetime
+
+    start = datetime.datetime(2024, 3, 30, 22)
+    tell = lambda m: None if m is None else start + datetime.timedelta(minutes=m)
+    made = {o: sorted({(i * i * 37 + seed) % 9000 for i in range(60)}) for o, seed in (("o", 1), ("p", 500), ("late", 8000))}
+    changes = [(o, "EMAIL", f"A{i}", tell(m), i) for o, ms in made.items() for i, m in enumerate(ms)]
+    wanted = {}
+    rows = []
+    for i in range(1500):
+        o, m = [("o", i * 7), ("p", made["p"][i % len(made["p"])]), ("late", i), ("none", i), (None, i), ("o", None)][i % 6]
+        rows.append((i, o, "EMAIL", tell(m), "own"))
+        n = 0 if m is None else bisect.bisect_right(made.get(o, []), m)
+        wanted[i] = (n, f"A{n - 1}" if n else None, "own")
+    for kind in ("timestamp", "timestamp_ntz"):
+        history = policy.history(spark.createDataFrame(changes, f"org_id string, label string, action string, at {kind}, change_id int"))
+        got = policy.in_force(spark.createDataFrame(rows, f"id int, org_id string, label string, ts {kind}, near string"), history)
+        assert {r.id: (r.version, r.action, r.near) for r in got.collect()} == wanted
+        assert got.columns == ["org_id", "label", "id", "ts", "near", "version", "action"]
+        got.explain()
+        assert "collect_list" not in capsys.readouterr().out
+    seconds = lambda rows, i: [(*r[:i], None if r[i] is None else (r[i] - start).total_seconds(), *r[i + 1 :]) for r in rows]
+    history = policy.history(spark.createDataFrame(seconds(changes, 3), "org_id string, label string, action string, at double, change_id int"))
+    got = policy.in_force(spark.createDataFrame(seconds(rows, 3) + [(9999, "o", "EMAIL", float("nan"), "own")], "id int, org_id string, label string, ts double, near string"), history)
+    assert {r.id: (r.version, r.action, r.near) for r in got.collect()} == wanted | {9999: (len(made["o"]), f"A{len(made['o']) - 1}", "own")}
