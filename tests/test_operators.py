@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from cloakwork.operators import audit, bank, detect, evaluate, mask, policy, scan, texts, vault_store
+from cloakwork.operators import audit, bank, detect, evaluate, mask, nearest, policy, scan, texts, vault_store
 from cloakwork.operators.recognizers import SPANS
 from cloakwork.operators.tables import exploded
 from cloakwork.sources import requests
@@ -372,3 +372,38 @@ def test_policy_in_force_is_that_of_long_histories(spark, capsys):
     history = policy.history(spark.createDataFrame(seconds(changes, 3), "org_id string, label string, action string, at double, change_id int"))
     got = policy.in_force(spark.createDataFrame(seconds(rows, 3) + [(9999, "o", "EMAIL", float("nan"), "own")], "id int, org_id string, label string, ts double, near string"), history)
     assert {r.id: (r.version, r.action, r.near) for r in got.collect()} == wanted | {9999: (len(made["o"]), f"A{len(made['o']) - 1}", "own")}
+
+
+def test_nearest_vectors_of_parts_are_those_of_all_pairs(spark):
+    """Ranks over many parts against brute force: copies of equal similarity by their ids, a vector that is its own query, nulls and vectors of
+    another size last, a zero vector (which is no number) first."""
+    import math
+
+    rng = random.Random(5)
+    shapes = [[rng.choice([-1.5, 0.25, 1.0, 3.0]) for _ in range(5)] for _ in range(9)]
+    rows = [(i, "few" if i % 11 == 0 else "many", None if i == 7 else [None, 1.0, 2.0, 3.0, 4.0] if i == 18 else [1.0, 2.0] if i == 29 else [0.0] * 5 if i == 41 else shapes[rng.randrange(9)]) for i in range(240)]
+    v = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    q = v.where("vec_id % 6 = 1").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return -math.inf
+        dot, x, y = 0.0, 0.0, 0.0
+        for s, t in zip(a, b):
+            dot, x, y = dot + s * t, x + s * s, y + t * t
+        return dot / (math.sqrt(x) * math.sqrt(y)) if x * y else math.inf
+
+    told = lambda s: None if s == -math.inf else "no number" if s == math.inf or math.isnan(s) else s
+    order = {i: sorted((-cosine(b, e), j) for j, other, b in rows if other == label and j != i) for i, label, e in rows if i % 6 == 1}
+    for k, part in ((3, 16), (9, 7), (3, 4096)):
+        got = texts.reidentification(v, q, k, part).collect()
+        found = {(r.query_id, r["rank"]): (r.vec_id, None if r.similarity is None else told(r.similarity)) for r in got}
+        assert found == {(i, n + 1): (j, told(-s)) for i, near in order.items() for n, (s, j) in enumerate(near[:k])} and len(got) == len(found)
+    first = {i: next((n + 1, near) for n, (_, j) in enumerate(near) if j % 20 == 13) for i, near in order.items() if any(j % 20 == 13 for _, j in near)}
+    for part in (16, 4096):
+        got = nearest.own_ranks(v.withColumn("own", F.col("vec_id") % 20 == 13), q, part).collect()
+        assert {r.query_id: (r["rank"], r.top) for r in got} == {i: (n, -near[0][0]) for i, (n, near) in first.items()} and len(got) == len(first)
+    small = nearest.compared(v, q, lambda left, right, rows, near, other: {"row": rows[:1], "most": [len(left)], "asked": [len(right)]}, "most long, asked long", part=16)
+    most = small.agg(F.max("most"), F.max("asked")).first()
+    assert most[0] < 48 and most[1] < 48
+    assert texts.reidentification(v.limit(0), q).count() == 0 and nearest.own_ranks(v.withColumn("own", F.lit(False)), q).count() == 0
