@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloakwork.functions.fixed import LABEL_CLASSES
-from cloakwork.functions.positions import let
+from cloakwork.functions.positions import let, running_max
 from cloakwork.functions.validators import text_key, wilson
 from cloakwork.operators.tables import free_name
 
@@ -38,17 +38,41 @@ def within_scope(preds: Column, gold: Column, tiers: list[int] | None) -> Column
     return F.filter(preds, lambda p: ~F.exists(gold, lambda g: ~F.coalesce(g["tier"], F.lit(1)).isin(*tiers) & meets(p, g)))
 
 
-def greedy_matches(preds: Column, gold: Column, need_label: bool) -> Column:
-    """How many predictions, in order, find a gold span that is still free."""
-    start = F.struct(F.sequence(F.lit(0), F.size(gold) - 1).alias("free"), F.lit(0).alias("tp"))
-    start = F.when(F.size(gold) > 0, start).otherwise(F.struct(F.array().cast("array<int>").alias("free"), F.lit(0).alias("tp")))
+#: Pairs of predictions and gold spans of a text up to which these are compared as they are, not by islands.
+FEW = 1024
 
-    def step(acc: Column, p: Column) -> Column:
-        fits = lambda i: meets(p, F.get(gold, i)) & ((p["label"] == F.get(gold, i)["label"]) if need_label else F.lit(True))
-        first = F.try_element_at(F.filter(acc["free"], fits), F.lit(1))
-        return F.when(first.isNull(), acc).otherwise(F.struct(F.filter(acc["free"], lambda i: i != first).alias("free"), (acc["tp"] + 1).alias("tp")))
 
-    return F.aggregate(preds, start, step, lambda acc: acc["tp"])
+def greedy_matches(preds: Column, gold: Column, need_label: bool) -> Column:
+    """How many predictions, in order, find a gold span that is still free, the first that they meet. Of many spans only those of an island, which
+    meet directly or by others between them, are compared."""
+
+    def of_few(p: Column, g: Column) -> Column:
+        start = F.struct(F.sequence(F.lit(0), F.size(g) - 1).alias("free"), F.lit(0).alias("tp"))
+        start = F.when(F.size(g) > 0, start).otherwise(F.struct(F.array().cast("array<int>").alias("free"), F.lit(0).alias("tp")))
+
+        def step(acc: Column, x: Column) -> Column:
+            fits = lambda i: meets(x, F.get(g, i)) & ((x["label"] == F.get(g, i)["label"]) if need_label else F.lit(True))
+            first = F.try_element_at(F.filter(acc["free"], fits), F.lit(1))
+            return let(first, lambda f: F.when(f.isNull(), acc).otherwise(F.struct(F.filter(acc["free"], lambda i: i != f).alias("free"), (acc["tp"] + 1).alias("tp"))))
+
+        return F.aggregate(p, start, step, lambda acc: acc["tp"])
+
+    def of_island(spans: Column) -> Column:
+        ordered = lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "start", "end", "label")])
+        own = lambda pred: F.array_sort(F.transform(F.filter(spans, lambda x: x["pred"] == pred), ordered))
+        return let(F.struct(own(True).alias("p"), own(False).alias("g")), lambda s: of_few(s["p"], s["g"]))
+
+    def of_many(p: Column, g: Column) -> Column:
+        row = lambda pred: lambda x, i: F.struct(*[x[c].cast("int").alias(c) for c in ("start", "end")], x["label"].alias("label"), F.lit(pred).alias("pred"), i.alias("pos"))
+        both = F.array_sort(F.concat(F.transform(p, row(True)), F.transform(g, row(False))))
+        reached = let(both, lambda s: F.struct(s.alias("s"), running_max(F.transform(s, lambda x: x["end"])).alias("reach")))
+        begins = lambda t: F.filter(F.sequence(F.lit(0), F.size(t["s"]) - 1), lambda i: (i == 0) | (F.get(t["s"], i)["start"] >= F.get(t["reach"], i - 1)))
+        cut = lambda s, at: F.transform(at, lambda a, k: of_island(F.slice(s, a + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - a)))
+        counts = let(reached, lambda t: let(begins(t), lambda at: cut(t["s"], at)))
+        return F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+
+    few = lambda s: F.size(s["p"]).cast("long") * F.size(s["g"]) <= FEW
+    return let(F.struct(preds.alias("p"), gold.alias("g")), lambda s: F.when(few(s), of_few(s["p"], s["g"])).otherwise(of_many(s["p"], s["g"])))
 
 
 BLOCK = 1 << 16
