@@ -418,3 +418,20 @@ def test_tokens_of_hex_digits_pass_the_gate(spark):
     low = ["4a5abe4c9a4fbebeb2f9e4a544952c4f4429be8f", "BD3B675538BD893053FFD2F3D8BFF7B33388F5F3"]
     no = ["deadbeef" * 5, "0" * 40, "abc0" * 10, low[0][:31]]
     assert found_in(spark, [f'token = "{v}"' for v in (*low, *no)]) == [{("API_KEY", "generic_secret_kv", v)} for v in low] + [set()] * len(no)
+
+
+def test_numbers_beside_other_numbers(spark):
+    """A number of country code 1 ends after ten digits, and a dotted address beside a card is neither its expiry nor a part of it."""
+    phone, own = "+1 (017) 555-2280", "phone_e164"
+    beside = ["92.65.19.71", "4024007103939509", "12", "3. Item", "555", "12.5.2020"]
+    got = found_in(spark, [f"on {phone} {x} to" for x in beside] + [f"on +1 (608) 555-2280 {x} to" for x in beside], uncued_phones=True)
+    phones = [{s for s in g if s[0] == "PHONE_NUMBER"} for g in got]
+    assert phones == [{("PHONE_NUMBER", own, phone)}] * len(beside) + [{("PHONE_NUMBER", own, "+1 (608) 555-2280")}] * len(beside)
+    assert found_in(spark, ["dial +49 30 1234567 now", "dial +1 555 12345"], uncued_phones=True) == [{("PHONE_NUMBER", own, "+49 30 1234567")}, {("PHONE_NUMBER", own, "+1 555 12345")}]
+    card, plain = ("CREDIT_CARD", "payment_card", "4024007103939509"), "4147779551631003"  # the second passes with a 254 after it
+    address = lambda v: ("IP_ADDRESS", "ipv4", v)
+    texts_ = [f"{card[2]} 12.59.8.7", f"9.8.7.12 {card[2]} 4.3.2.1", f"{plain} 254.1.2.3", f"{plain} 254", f"{card[2]} 12/59", f"{card[2]} 12.59", f"{card[2]} 12.59."]
+    dated = lambda v: {card, ("CARD_EXPIRY", "payment_card", v)}
+    assert found_in(spark, texts_) == [
+        {card, address("12.59.8.7")}, {card, address("9.8.7.12"), address("4.3.2.1")}, {address("254.1.2.3")}, {("CREDIT_CARD", "payment_card", f"{plain} 254")}, dated("12/59"), dated("12.59"), dated("12.59"),
+    ]
