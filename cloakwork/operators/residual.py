@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
-from cloakwork.functions.positions import matches
+from cloakwork.functions.positions import after, before, matches
 from cloakwork.operators.describing import quickly
 
 FINDING = "struct<type:string,start:int,end:int,reason:string>"
@@ -42,6 +42,17 @@ def residual_scan(text: Column) -> Column:
         d = F.regexp_replace(m["value"], "[^0-9]", "")
         return F.when(F.length(d).between(13, 19), F.call_function("luhn_check", d) & _issuer(d)).otherwise(False)
 
+    def in_long_run(m: Column) -> Column:
+        """Is m among numbers, single blanks or hyphens between, with more digits than a card has? The nearest 16 characters tell."""
+        digits = lambda part: F.length(F.regexp_replace(part, "[^0-9]", ""))
+        first, last = F.regexp_extract(before(text, m["start"], 16), "(?:[0-9]+[ -])+$", 0), F.regexp_extract(after(text, m["end"], 16), "^(?:[ -][0-9]+)+", 0)
+        return digits(first) + digits(m["value"]) + digits(last) > 19
+
+    # there a number that is long enough counts by itself, whatever those beside it make with it
+    several = lambda m: m["value"].rlike("[ -]") & m["value"].rlike("[0-9]{13}")
+    alone = (fixed.RESIDUAL_CARD, lambda m: F.when(cards(m), ~F.when(several(m), in_long_run(m)).otherwise(False)).otherwise(False))
+    grouped = (fixed.RESIDUAL_CARD_GROUP, lambda m: F.when(cards(m), in_long_run(m)).otherwise(False))
+
     def signed(m: Column) -> Column:
         head = F.translate(F.substring_index(m["value"], ".", 1), "-_", "+/")
         padded = F.concat(head, F.repeat(F.lit("="), F.pmod(-F.length(head), F.lit(4))))
@@ -60,7 +71,7 @@ def residual_scan(text: Column) -> Column:
         F.array(_finding("PRIVATE_KEY", F.instr(text, "-----BEGIN") - 1, F.length(text), "PEM block survived")),
     ).otherwise(none)
     return F.concat(
-        guarded(r"[0-9](?:[ -]?[0-9]){12}", kind(fixed.RESIDUAL_CARD, "CREDIT_CARD", "Luhn-valid card survived", cards)),
+        guarded(r"[0-9](?:[ -]?[0-9]){12}", F.array_sort(F.array_union(*[kind(p, "CREDIT_CARD", "Luhn-valid card survived", keep) for p, keep in (alone, grouped)]))),
         F.when(text.contains("eyJ"), kind(fixed.RESIDUAL_JWT, "AUTH_TOKEN", "Valid JWT survived", signed)).otherwise(none),
         keys,
         guarded(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10}", kind(fixed.RESIDUAL_IBAN, "IBAN", "Valid IBAN survived", lambda m: _sum97(m["value"]) == 1)),

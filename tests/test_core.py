@@ -435,3 +435,12 @@ def test_numbers_beside_other_numbers(spark):
     assert found_in(spark, texts_) == [
         {card, address("12.59.8.7")}, {card, address("9.8.7.12"), address("4.3.2.1")}, {address("254.1.2.3")}, {("CREDIT_CARD", "payment_card", f"{plain} 254")}, dated("12/59"), dated("12.59"), dated("12.59"),
     ]
+
+
+def test_cards_in_long_runs_of_numbers(spark):
+    """A card among numbers that are too many digits together counts by itself; one in groups of four is found there as before."""
+    card, four = "4024007103939509", "4024 0071 0393 9509"
+    texts_ = [f"17 132 {card}", f"{card} 999 99", f"{card} {card[:15]} {card}", f"999 9 {card} 1 2 3", f"{four} {four}", f"<td>17</td> {card}", f"{card}-{card}", f"{card} 1", "1 " * 9000 + card, card * 2]
+    got = spark.createDataFrame(list(enumerate(texts_)), "id int, text string").select("id", residual.residual_scan(F.col("text")).alias("f")).collect()
+    held = {r.id: [texts_[r.id][f.start : f.end] for f in r.f] for r in got}
+    assert held == {0: [card], 1: [card], 2: [card, card], 3: [card], 4: [four, four], 5: [card], 6: [card, card], 7: [], 8: [card], 9: []}
